@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ruleloom.llm import bpe, quality, sharding
 from ruleloom.llm.ngram_join import ngram_jaccard_components
 
 
@@ -13,12 +15,58 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> tuple[str, str]:
+    """Rank file and pattern of the multilingual byte-level tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id: 3-word shingles, Jaccard 0.9 or more."""
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
+    return bpe.encode(_table(spark, sf_dir, "documents"), *tokenizer(), digests=True)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, base_failed, kept under the current policy, and the failure bits."""
+    book = quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ~quality.passes("base")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.passes(quality.CURRENT).alias("kept"), F.col("failures"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT doc_id, i, ws[i:i + 2] AS win FROM w, unnest(range(1, len(ws) - 1)) AS r(i)),
+rep AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM rep, unnest([i, i + 1, i + 2]) AS u(j) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
+f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+               + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_lines > 3 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+               + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END
+               + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 64 ELSE 0 END)::BIGINT AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, (failures & 63) = 0 AS kept, failures FROM f
+"""
+
+
+def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard (of 16), slot, grown_shard (of 17)."""
+    return sharding.shard(_table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op4_bpe": op4_bpe,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_rendezvous_shards": op9_rendezvous_shards,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
