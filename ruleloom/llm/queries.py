@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm import bpe, quality, sharding
+from ruleloom.llm import bpe, quality, sharding, toxicity
 from ruleloom.llm.ngram_join import ngram_jaccard_components
 
 
@@ -27,6 +27,17 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted: learnt from the labels of rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    known = _table(spark, sf_dir, "labels").where(~held).select("doc_id", "toxic").where("toxic is not null")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.train(docs.join(known, "doc_id"))
+    # the id says which rows are held out after the scoring; it is no input of a score
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
     return bpe.encode(_table(spark, sf_dir, "documents"), *tokenizer(), digests=True)
@@ -65,6 +76,7 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_toxicity": op2_toxicity,
     "op4_bpe": op4_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op9_rendezvous_shards": op9_rendezvous_shards,
