@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm import bpe, quality, sharding, toxicity
+from ruleloom.llm import bpe, mixing, quality, sharding, toxicity
 from ruleloom.llm.ngram_join import ngram_jaccard_components
 
 
@@ -69,6 +69,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and the output shard of each copy."""
+    planned = mixing.plan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
+
+
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard (of 16), slot, grown_shard (of 17)."""
     return sharding.shard(_table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_bpe": op4_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op8_mixing": op8_mixing,
     "op9_rendezvous_shards": op9_rendezvous_shards,
 }
 SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
