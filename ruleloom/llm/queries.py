@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm import bpe, mixing, quality, sharding, toxicity
+from ruleloom.llm import bpe, html_extract, mixing, quality, sharding, toxicity, url_filter
 from ruleloom.llm.ngram_join import ngram_jaccard_components
 
 
@@ -38,6 +38,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, and the url's template with its purity."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
     return bpe.encode(_table(spark, sf_dir, "documents"), *tokenizer(), digests=True)
@@ -80,12 +85,19 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars: the main text of every page."""
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
+    "op3_url_templates": op3_url_templates,
     "op4_bpe": op4_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_rendezvous_shards": op9_rendezvous_shards,
+    "op10_html_main_text": op10_html_main_text,
 }
 SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
