@@ -1,8 +1,8 @@
 """URL filters by a path-template tree, in DataFrame functions only.
 
 Each host's paths form a tree. Level by level, a segment that is frequent under
-its branch stays literal and all others become one wildcard, so that a branch
-has at most 1 / SHARE literal children. Rules label the urls they fit; a
+its branch, or found at that level on many hosts, stays literal and all others
+become one wildcard. Rules label the urls they fit; a
 template counts its labelled urls. Sibling templates of one shape (literals as
 wildcards) whose block rates do not differ significantly from their pooled rate
 are merged, those without labels among themselves. A template's purity is its
@@ -24,7 +24,7 @@ from ruleloom.plans.durable import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Levels of the tree; what lies deeper is one wildcard more.
 DEPTH = 4
-#: A literal segment has at least so many urls and this share of its branch's urls.
+#: A literal segment has at least so many urls and this share of its branch's urls, or so many hosts and this share of all.
 LEAST, SHARE = 3, 0.05
 #: Weight of the prior in labelled urls, the limit of purity, and of |z| for siblings that merge.
 PRIOR, REJECT, Z = 4.0, 0.5, 1.96
@@ -68,12 +68,15 @@ def fitting(rules: Sequence[Rule], host: Column, path: Column) -> Column:
 def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``urls`` (with host, path) and ``template``, ``branch`` (its first segment) and ``shape``."""
     rows = urls.withColumn("_segs", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("template", F.lit(""))
+    hosts = urls.select("host").distinct().count()
     for level in range(depth):
         rows = materialize(rows, f"op3-level{level}")
         here = rows.withColumn("seg", F.get("_segs", F.lit(level))).where("seg is not null")
         counts = here.groupBy("host", "template", "seg").agg(F.count("*").alias("n"))
         branch = counts.groupBy("host", "template").agg(F.sum("n").alias("all"))
-        keep = counts.where(F.col("n") >= LEAST).join(branch, ["host", "template"]).where(F.col("n") >= SHARE * F.col("all"))
+        common = counts.select("host", "seg").distinct().groupBy("seg").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= max(LEAST, SHARE * hosts))
+        keep = counts.join(branch, ["host", "template"]).join(common, "seg", "left")
+        keep = keep.where(((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all"))) | F.col("hosts").isNotNull())
         keep = keep.select("host", "template", F.col("seg").alias("_lit"))
         seg = F.get("_segs", F.lit(level))
         rows = rows.withColumn("_lit", seg).join(keep.withColumn("_is", F.lit(True)), ["host", "template", "_lit"], "left")
