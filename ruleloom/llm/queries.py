@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.llm import bpe, html_extract, mixing, quality, sharding, toxicity, url_filter
+from ruleloom.llm.embedding_dedup import near_duplicates
 from ruleloom.llm.ngram_join import ngram_jaccard_components
 
 
@@ -48,6 +49,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), *tokenizer(), digests=True)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept: cosine 0.93 or more among equal labels."""
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, base_failed, kept under the current policy, and the failure bits."""
     book = quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_url_templates": op3_url_templates,
     "op4_bpe": op4_bpe,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_rendezvous_shards": op9_rendezvous_shards,
