@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm import bpe, html_extract, mixing, quality, sharding, toxicity, url_filter
 from ruleloom.llm.embedding_dedup import near_duplicates
+from ruleloom.llm.line_dedup import line_dedup
 from ruleloom.llm.ngram_join import ngram_jaccard_components
 
 
@@ -54,6 +55,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the text without its repeated lines."""
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, base_failed, kept under the current policy, and the failure bits."""
     book = quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_templates": op3_url_templates,
     "op4_bpe": op4_bpe,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_rendezvous_shards": op9_rendezvous_shards,
