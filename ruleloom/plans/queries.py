@@ -1,6 +1,789 @@
-"""Registered queries over the reference's operators, each with its DuckDB SQL."""
+"""Registered queries over the catalog operators, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ruleloom.functions import keys, providers, salvage, text
+from ruleloom.operators import catalog, constraints, graph, ranking, vectors
+from ruleloom.plans import fixtures as fx
+from ruleloom.plans.durable import materialize
+from ruleloom.sources import files
+from ruleloom.streaming import serial
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+NATURAL = "list_transform(regexp_extract_all(lower({0}), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '1' || lpad(length(ltrim(t, '0'))::VARCHAR, 6, '0') || ltrim(t, '0') ELSE '0' || t END)"
+
+
+# --- sources, sinks, keys -------------------------------------------------
+
+
+@query(f"WITH {fx.MANIFEST} SELECT url, sha256(url) AS cache_key, count(*) AS n_ids, min(page_id) AS first_page FROM manifest GROUP BY url")
+def manifest_url_dedup(spark, sf_dir):
+    """The manifest, each url fetched once."""
+    rows = files.manifest(fx.manifest(spark, sf_dir)).withColumn("page_id", F.substring("id", 2, 20).cast("long"))
+    got = files.fetched_once(rows, lambda once: once.withColumn("body", F.lit("")))
+    return got.groupBy("url", "cache_key").agg(F.count("*").alias("n_ids"), F.min("page_id").alias("first_page"))
+
+
+@query(f"WITH {fx.MANIFEST} SELECT id, source, url FROM manifest QUALIFY row_number() OVER (PARTITION BY source ORDER BY page_id) <= 3")
+def manifest_limit_per_source(spark, sf_dir):
+    """The first rows of each source."""
+    return ranking.first_per(fx.manifest(spark, sf_dir), ["source"], [F.col("page_id")], 3).select("id", "source", "url")
+
+
+@query(r"""WITH u AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN url ELSE concat('https://github.com/', replace(regexp_extract(url, '^https?://([^/]+)', 1), '.', '-'), '/r', page_id % 7, '/issues/', page_id) END AS link FROM pages)
+SELECT page_id, nullif(regexp_extract(link, '^https?://(?:www\.)?github\.com/([^/?#]+)/([^/?#]+)/issues/([0-9]+)', 1), '') AS owner, nullif(regexp_extract(link, '^https?://(?:www\.)?github\.com/([^/?#]+)/([^/?#]+)/issues/([0-9]+)', 2), '') AS repo,
+CAST(nullif(regexp_extract(link, '^https?://(?:www\.)?github\.com/([^/?#]+)/([^/?#]+)/issues/([0-9]+)', 3), '') AS BIGINT) AS number FROM u""")
+def issue_url_parts(spark, sf_dir):
+    """Owner, repository and number of issue URLs; null for others."""
+    p = fx.table(spark, sf_dir, "pages")
+    link = F.when(F.col("page_id") % 5 == 0, F.col("url")).otherwise(F.concat(F.lit("https://github.com/"), F.replace(F.regexp_extract("url", r"^https?://([^/]+)", 1), F.lit("."), F.lit("-")), F.lit("/r"), F.col("page_id") % 7, F.lit("/issues/"), F.col("page_id")))
+    return p.select("page_id", text.issue_parts(link).alias("p")).select("page_id", "p.owner", "p.repo", "p.number")
+
+
+@query("""SELECT doc_id, concat('# ', trim(split_part(text, chr(10), 1)), chr(10), chr(10), 'Source URL: u', doc_id, chr(10), chr(10), coalesce(nullif(trim(CASE WHEN doc_id % 4 = 0 THEN '  ' ELSE lang END), ''), '_No description provided._'), chr(10)) AS markdown FROM documents""")
+def issue_markdown(spark, sf_dir):
+    """Issues as Markdown."""
+    d = fx.table(spark, sf_dir, "documents")
+    body = F.when(F.col("doc_id") % 4 == 0, F.lit("  ")).otherwise(F.col("lang"))
+    return d.select("doc_id", text.issue_markdown(F.split_part("text", F.lit("\n"), F.lit(1)), F.concat(F.lit("u"), F.col("doc_id")), body).alias("markdown"))
+
+
+@query(f"WITH {fx.LOG} SELECT batch_id, model, seq, value, tokens FROM log QUALIFY row_number() OVER (PARTITION BY batch_id, model, prompt_sha256, input_sha256 ORDER BY seq DESC) = 1")
+def latest_runtime_records(spark, sf_dir):
+    """The last record of each key of an append log."""
+    return ranking.latest(fx.call_log(spark, sf_dir), ["batch_id", "model", "prompt_sha256", "input_sha256"], "seq").select("batch_id", "model", "seq", "value", "tokens")
+
+
+@query("SELECT event_id, printf('E%08d', row_number() OVER (ORDER BY ts, event_id) + 100) AS log_id FROM events")
+def event_log_ids(spark, sf_dir):
+    """Monotone event ids after an offset."""
+    e = fx.table(spark, sf_dir, "events").select("event_id", "ts")
+    return files.event_ids(e.withColumnRenamed("event_id", "id"), [F.col("ts"), F.col("id")], 100).select(F.col("id").alias("event_id"), F.col("event_id").alias("log_id"))
+
+
+@query("""SELECT concat('| ', n_nationkey, ' | ', replace(regexp_replace(trim(n_name), '\\s+', ' ', 'g'), '|', '\\|'), ' | ', n_regionkey, ' |') AS value FROM nation""".replace("\\\\", "\\"))
+def markdown_report(spark, sf_dir):
+    """Rows of a Markdown table with escaped cells."""
+    return files.markdown_table(fx.table(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+
+
+@query(f"""WITH k AS (SELECT page_id, {NATURAL.format("concat('p', page_id, 'x', page_id % 12)")} AS key FROM pages) SELECT page_id, array_to_string(key, '|') AS key, row_number() OVER (ORDER BY key, page_id) - 1 AS position FROM k""")
+def natural_sort_units(spark, sf_dir):
+    """Natural order of ids."""
+    p = fx.table(spark, sf_dir, "pages").select("page_id", keys.natural_key(F.concat(F.lit("P"), F.col("page_id"), F.lit("x"), F.col("page_id") % 12)).alias("k"))
+    return graph.numbered(p, [F.col("k"), F.col("page_id")], "position").select("page_id", F.array_join("k", "|").alias("key"), "position")
+
+
+@query(f"""WITH k AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN concat(vec_id, 'a') ELSE concat('A', vec_id) END AS s FROM embeddings),
+n AS (SELECT vec_id, CASE WHEN regexp_matches(s, '^[0-9]') THEN list_prepend('0', {NATURAL.format('s')}) ELSE {NATURAL.format('s')} END AS key FROM k) SELECT vec_id, array_to_string(key, '|') AS key FROM n""")
+def natural_key_with_head(spark, sf_dir):
+    """The natural key that keeps an empty first piece."""
+    e = fx.table(spark, sf_dir, "embeddings")
+    s = F.when(F.col("vec_id") % 2 == 0, F.concat(F.col("vec_id"), F.lit("a"))).otherwise(F.concat(F.lit("A"), F.col("vec_id")))
+    return e.select("vec_id", s.alias("s")).select("vec_id", F.array_join(keys.natural_key_with_head("s"), "|").alias("key"))
+
+
+@query(f"""WITH {fx.UNITS} SELECT unit_id, sha256(concat('Violated common-sense rule: ', trim(rule), chr(10), 'Situation: ', trim(situation))) AS embedding_sha, length(concat('Situation: ', trim(situation), chr(10), 'Violated commonsense rule: ', trim(rule))) AS rerank_length,
+CASE WHEN starts_with(lower(trim(situation)), 'situation:') THEN trim(situation) ELSE concat('Situation: ', trim(situation)) END AS query_text FROM units""")
+def unit_texts(spark, sf_dir):
+    """Texts for embedding, rerank and queries."""
+    u = fx.units(spark, sf_dir).withColumn("violated_commonsense_rule", F.col("rule"))
+    return u.select("unit_id", keys.sha_text(text.embedding_text()).alias("embedding_sha"), F.length(text.rerank_text()).cast("long").alias("rerank_length"), text.query_text(F.col("situation")).alias("query_text"))
+
+
+IMAGE_ROWS = [
+    (1, "see ![a](https://x.io/a.png) then <img width=2 src=\"https://x.io/b.jpg\"> and ![a](https://x.io/a.png)"),
+    (2, "plain https://x.io/c.gif), end. ![q](<https://x.io/d.webp>)"),
+    (3, "[shot]: https://x.io/e.png\nhttps://user-images.githubusercontent.com/1/f"),
+    (4, "no image"),
+]
+
+
+@query("""SELECT * FROM (VALUES (1, 0, 'https://x.io/a.png'), (1, 1, 'https://x.io/b.jpg'), (2, 0, 'https://x.io/c.gif'), (2, 1, 'https://x.io/d.webp'), (3, 0, 'https://x.io/e.png'), (3, 1, 'https://user-images.githubusercontent.com/1/f')) AS t(id, pos, url)""")
+def image_urls(spark, sf_dir):
+    """Image URLs of Markdown in order of place."""
+    rows = spark.createDataFrame(IMAGE_ROWS, "id int, md string")
+    return rows.select("id", F.posexplode(text.image_urls(F.col("md"))).alias("pos", "url"))
+
+
+@query("""SELECT doc_id, concat('Judge: ', lang, ' / end') AS prompt, CAST(2 AS BIGINT) AS n_parts, concat('i', doc_id % 3) AS first_url FROM documents""")
+def prompt_messages(spark, sf_dir):
+    """A template with one placeholder, and message parts, images first."""
+    d = fx.table(spark, sf_dir, "documents")
+    m = text.messages(text.fill_template("Judge: {{x}} / end", "{{x}}", F.col("lang")), F.array(F.concat(F.lit("i"), F.col("doc_id") % 3)))
+    return d.select("doc_id", m.alias("m")).select("doc_id", F.element_at("m", -1)["text"].alias("prompt"), F.size("m").cast("long").alias("n_parts"), F.col("m")[0]["url"].alias("first_url"))
+
+
+SALVAGE_ROWS = [
+    (1, 'Sure:\n```json\n{"a": 1}\n```\nand ```{"b": 2}```'),
+    (2, '  {"a": {"b": [1, 2]}}  '),
+    (3, 'first {"a": 1} then {"b": {"c": 2}} done'),
+    (4, 'cut off {"a": 1, "b": '),
+    (5, "```\nnot json\n```\n{\"z\": null}"),
+    (6, None),
+]
+
+
+@query("""SELECT * FROM (VALUES (1, '{"a":1}', '{"b":2}', '{"a":1}'), (2, '{"a":{"b":[1,2]}}', '{"a":{"b":[1,2]}}', '{"a":{"b":[1,2]}}'), (3, NULL, '{"b":{"c":2}}', NULL), (4, NULL, NULL, NULL), (5, '{"z":null}', '{"z":null}', '{"z":null}'), (6, NULL, NULL, NULL)) AS t(id, first_fenced, last_object, greedy)""")
+def json_salvage(spark, sf_dir):
+    """The three JSON readers on the same answers."""
+    rows = spark.createDataFrame(SALVAGE_ROWS, "id int, answer string")
+    return rows.select("id", salvage.json_first_fenced("answer").alias("first_fenced"), salvage.json_last_object("answer").alias("last_object"), salvage.json_greedy("answer").alias("greedy"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE trim(concat('x ', lang)) END AS body FROM documents""")
+def fence_stripped(spark, sf_dir):
+    """C11: one outer fence removed."""
+    d = fx.table(spark, sf_dir, "documents")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("lang"), F.lit("\n```\n"))).otherwise(F.concat(F.lit(" x "), F.col("lang")))
+    return d.select("doc_id", text.strip_fence(raw).alias("body"))
+
+
+@query("""SELECT event_id, coalesce(CASE WHEN event_type IN ('error') THEN TRUE WHEN event_type IN ('view') THEN FALSE END, CAST(json_extract_string(props, '$.k') AS BIGINT) = 1) AS found,
+CASE WHEN value BETWEEN 0 AND 1 THEN value WHEN value > 1 AND value <= 100 THEN value / 100 ELSE 0 END AS confidence FROM events""")
+def coalesced_verdict(spark, sf_dir):
+    """Booleans and shares from the first field that reads as one."""
+    e = fx.table(spark, sf_dir, "events")
+    a = F.when(F.col("event_type") == "error", "YES").when(F.col("event_type") == "view", "no").otherwise(F.lit("?"))
+    return e.select("event_id", text.as_bool(a, F.get_json_object("props", "$.k")).alias("found"), text.as_share(F.lit("n/a"), F.col("value").cast("string")).alias("confidence"))
+
+
+@query("""SELECT l_suppkey, substr(sha256(array_to_string(list_sort(list(concat(l_orderkey, '-', l_linenumber))), chr(10))), 1, 16) AS signature, count(*) AS n FROM lineitem GROUP BY l_suppkey""")
+def content_signature(spark, sf_dir):
+    """Content addresses of id sets."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    ids = F.collect_list(F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber")))
+    return li.groupBy("l_suppkey").agg(keys.content_signature(ids).alias("signature"), F.count("*").alias("n"))
+
+
+@query(f"WITH {fx.PLAN} SELECT family_id, member_id, concat('U', row_number() OVER (PARTITION BY family_id ORDER BY l_orderkey, l_linenumber) - 1) AS model_id FROM plan WHERE family_id NOT IN (SELECT family_id FROM plan GROUP BY family_id HAVING count(*) <> count(DISTINCT member_id))")
+def surrogate_ids(spark, sf_dir):
+    """Batch-local ids; an inner join shows that the mapping is a bijection."""
+    rows = keys.surrogate_ids(fx.plan_members(spark, sf_dir), ["family_id"], [F.col("l_orderkey"), F.col("l_linenumber")])
+    bad = keys.mapping_violations(rows, ["family_id"], "model_id", "member_id").select("family_id")
+    return rows.join(bad, "family_id", "left_anti").select("family_id", "member_id", "model_id")
+
+
+@query(r"""SELECT page_id, CASE WHEN trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') = '' THEN 'item' ELSE trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') END AS token, round(page_id / 7.0, 8) AS rounded FROM pages""")
+def path_tokens(spark, sf_dir):
+    """Safe file names and rounded scores."""
+    return fx.table(spark, sf_dir, "pages").select("page_id", keys.safe_path("url").alias("token"), F.round(F.col("page_id") / 7.0, 8).alias("rounded"))
+
+
+@query(f"WITH {fx.VECTORS} SELECT id, CAST(len(unit) AS INTEGER) AS dimensions, round(list_dot_product(unit, unit), 6) AS norm2, round(unit[1], 6) AS first FROM vectors")
+def normalized_vectors(spark, sf_dir):
+    """A3, C20: unit vectors."""
+    v = fx.vectors(spark, sf_dir)
+    return v.select("id", F.size("unit").alias("dimensions"), F.round(F.aggregate("unit", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"), F.round(F.col("unit")[0], 6).alias("first"))
+
+
+@query(f"WITH {fx.UNITS} SELECT unit_id, situation, domain FROM units WHERE flag AND situation <> ''")
+def filter_positive_flatten(spark, sf_dir):
+    """Nested positive extractions, flattened."""
+    u = fx.units(spark, sf_dir)
+    nested = u.select("unit_id", "flag", F.struct("situation", "domain").alias("violated"))
+    return nested.where(F.col("flag") == F.lit(True)).select("unit_id", "violated.*").where("situation <> ''")
+
+
+@query(f"""WITH {fx.UNITS} SELECT concat(unit_id, '::BASE') AS representation_id, sha256(concat('{{"domain":"', domain, '","source":"', source, '"}}')) AS base_sha FROM units""")
+def base_records(spark, sf_dir):
+    """Representation ids and hashes of canonical JSON."""
+    u = fx.units(spark, sf_dir)
+    return u.select(F.concat("unit_id", F.lit("::BASE")).alias("representation_id"), keys.sha_text(keys.canonical_json(source=F.col("source"), domain=F.col("domain"))).alias("base_sha"))
+
+
+@query(r"""SELECT page_id, regexp_matches(link, '(?i)^https?://') AND (host IN ('user-images.githubusercontent.com', 'github.com') OR NOT regexp_matches(link, '(?i)^[^?#]*\.(png|jpe?g|gif|webp)([?#]|$)')) AS localise
+FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://github.com/a.png' WHEN 1 THEN concat(url, '.png') WHEN 2 THEN url ELSE 'data:image/png;base64,' END AS link FROM pages) t, (SELECT 1) x, LATERAL (SELECT lower(regexp_extract(link, '(?i)^https?://([^/?#:]+)', 1)) AS host) h""")
+def image_url_rules(spark, sf_dir):
+    """Which image URLs must be fetched first."""
+    p = fx.table(spark, sf_dir, "pages")
+    m = F.col("page_id") % 4
+    link = F.when(m == 0, "https://github.com/a.png").when(m == 1, F.concat("url", F.lit(".png"))).when(m == 2, F.col("url")).otherwise("data:image/png;base64,")
+    return p.select("page_id", text.needs_localising(link).alias("localise"))
+
+
+@query("""SELECT conv_id, turn, concat('a', turn, CASE WHEN turn % 2 = 0 THEN 'b' ELSE '' END) AS content FROM conversations""")
+def assistant_content(spark, sf_dir):
+    """The text of chat responses, whole or in parts."""
+    c = fx.table(spark, sf_dir, "conversations")
+    one = F.concat(F.lit('{"choices":[{"message":{"content":"a'), F.col("turn"), F.lit('"}}]}'))
+    parts = F.concat(F.lit('{"choices":[{"message":{"content":[{"type":"text","text":"a'), F.col("turn"), F.lit('"},{"type":"text","text":"b"}]}}]}'))
+    return c.select("conv_id", "turn", text.assistant_content(F.when(F.col("turn") % 2 == 0, parts).otherwise(one)).alias("content"))
+
+
+@query("""SELECT doc_id, concat('data:text/plain;base64,', to_base64(encode(lang))) AS data_url, sha256(lang) = sha256(CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END) AS same FROM documents""")
+def data_urls(spark, sf_dir):
+    """Data URLs, and equality of binary contents."""
+    d = fx.table(spark, sf_dir, "documents").withColumns({"a": F.encode("lang", "UTF-8"), "b": F.encode(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.col("source")), "UTF-8")})
+    return d.select("doc_id", text.data_url(F.col("a"), "text/plain").alias("data_url"), files.images_equal(d, "a", "b").alias("same"))
+
+
+@query("""SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN c_name END), ''), nullif(trim(c_mktsegment), ''), '') AS name, '' AS goal FROM customer""")
+def function_records(spark, sf_dir):
+    """Records with aliased field names."""
+    c = fx.table(spark, sf_dir, "customer")
+    rec = F.create_map(F.lit("Function Name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), F.lit("function"), F.col("c_mktsegment"))
+    return c.select("c_custkey", rec.alias("r")).select("c_custkey", *text.renamed(F.col("r"), {"name": ["Function Name", "function"], "goal": ["Goal", "target"]}))
+
+
+# --- constraints ----------------------------------------------------------
+
+
+@query(f"WITH {fx.MANIFEST} SELECT 'unique' AS \"constraint\", url AS key, count(*)::VARCHAR AS detail FROM manifest GROUP BY url HAVING count(*) > 1")
+def unique_id_violations(spark, sf_dir):
+    """D2."""
+    return constraints.unique(fx.manifest(spark, sf_dir), "url")
+
+
+@query("""SELECT 'filled' AS "constraint", doc_id::VARCHAR AS key, 'situation' AS detail FROM documents WHERE doc_id % 9 = 0 UNION ALL SELECT 'distinct_items', doc_id::VARCHAR, '1' FROM documents WHERE lang = source OR doc_id % 2 = 0""")
+def field_violations(spark, sf_dir):
+    """D3: blank fields and repeated items."""
+    d = fx.table(spark, sf_dir, "documents").withColumn("situation", F.when(F.col("doc_id") % 9 == 0, " ").otherwise(F.col("lang")))
+    items = F.when(F.col("doc_id") % 2 == 0, F.array("lang", F.concat(F.lit(" "), "lang"))).otherwise(F.array("lang", "source"))
+    return constraints.filled(d, "doc_id", "situation", "lang").unionAll(constraints.distinct_items(d.withColumn("items", items), "doc_id", "items"))
+
+
+@query("""WITH g AS (SELECT vec_id AS m, vec_id % 7 AS g FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 100 FROM embeddings WHERE vec_id % 6 = 0 UNION ALL SELECT vec_id + 1000000, 1 FROM embeddings WHERE vec_id % 50 = 0),
+k AS (SELECT vec_id AS m FROM embeddings)
+SELECT 'disjoint' AS "constraint", m::VARCHAR AS key, count(DISTINCT g)::VARCHAR AS detail FROM g GROUP BY m HAVING count(DISTINCT g) > 1
+UNION ALL SELECT 'known', m::VARCHAR, 'unknown' FROM (SELECT DISTINCT m FROM g) WHERE m NOT IN (SELECT m FROM k) UNION ALL SELECT 'leftover', m::VARCHAR, 'singleton' FROM k WHERE m NOT IN (SELECT m FROM g)""")
+def disjoint_groups(spark, sf_dir):
+    """Groups must be disjoint subsets; what is left over becomes singletons."""
+    e = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("m"))
+    g = e.where("m % 3 = 0").select("m", (F.col("m") % 7).alias("g")).unionAll(e.where("m % 6 = 0").select("m", F.lit(100).cast("long"))).unionAll(e.where("m % 50 = 0").select(F.col("m") + 1000000, F.lit(1).cast("long")))
+    left = constraints.leftovers(g, e, "m").select(F.lit("leftover"), F.col("m").cast("string"), F.lit("singleton"))
+    return constraints.disjoint(g, e, "g", "m").unionAll(left)
+
+
+@query(f"""WITH {fx.UNITS}, p AS (SELECT doc_id, doc_id // 30 AS g FROM units WHERE doc_id % 11 <> 0 UNION ALL SELECT -1, 0)
+SELECT 'covered' AS "constraint", doc_id::VARCHAR AS key, 'missing' AS detail FROM units WHERE doc_id % 11 = 0 UNION ALL SELECT 'covered', '-1', 'extra' UNION ALL SELECT 'group_size', g::VARCHAR, count(*)::VARCHAR FROM p GROUP BY g HAVING count(*) > 25""")
+def partition_violations(spark, sf_dir):
+    """Groups must cover the input once, with 2 to 25 members."""
+    whole = fx.units(spark, sf_dir).select("doc_id")
+    parts = whole.where("doc_id % 11 <> 0").select("doc_id", F.floor(F.col("doc_id") / 30).alias("g")).unionAll(spark.sql("select -1L, 0L"))
+    return constraints.partition(whole, parts, "doc_id", "g")
+
+
+@query(f"""WITH {fx.MEMBERS}, f AS (SELECT family_id, count(*) AS n FROM members GROUP BY family_id)
+SELECT 'bases' AS name, (SELECT bool_and(c = 1) FROM (SELECT count(*) FILTER (is_base) AS c FROM reps GROUP BY family)) AS passed, (SELECT count(DISTINCT family) FROM reps)::VARCHAR AS detail
+UNION ALL SELECT 'member_count', (SELECT bool_and(n = 9) FROM f), (SELECT sum(n) FROM f)::VARCHAR UNION ALL SELECT 'members_once', (SELECT count(*) = count(DISTINCT member_id) FROM members), (SELECT count(*) FROM members)::VARCHAR""")
+def package_audit(spark, sf_dir):
+    """One aggregate for each check of the catalog."""
+    r = fx.representations(spark, sf_dir)
+    m = catalog.unnest(fx.families(spark, sf_dir))
+    check = lambda ok, detail: F.struct(ok.alias("passed"), detail.cast("string").alias("detail"))
+    bases = r.groupBy("family").agg(F.count_if("is_base").alias("c"))
+    sizes = m.groupBy("family_id").agg(F.count("*").alias("n"))
+    return constraints.audit(bases=(bases, check(F.bool_and(F.col("c") == 1), F.count("*"))), member_count=(sizes, check(F.bool_and(F.col("n") == 9), F.sum("n"))), members_once=(m, check(F.count("*") == F.count_distinct("member_id"), F.count("*"))))
+
+
+@query(f"""WITH {fx.NEIGHBORS}, b AS (SELECT q, n, rank FROM neighbors WHERE NOT (q % 20 = 0 AND rank = 2)), p AS (SELECT q, count(*) AS c, max(rank) AS hi FROM b GROUP BY q)
+SELECT 'ranks' AS "constraint", q::VARCHAR AS key, c::VARCHAR AS detail FROM p WHERE hi <> c UNION ALL SELECT 'length', q::VARCHAR, c::VARCHAR FROM p WHERE c <> {fx.K}""")
+def neighbor_integrity(spark, sf_dir):
+    """Ranked lists with holes and of other lengths."""
+    n = fx.neighbors(spark, sf_dir).where("not (q % 20 = 0 and rank = 2)")
+    return constraints.contiguous(n, "q", "rank", "n", fx.K)
+
+
+@query(f"""WITH {fx.UNITS}, w AS (SELECT unit_id, sha256(rule) AS fp, doc_id FROM units) SELECT unit_id, 'pending' AS state FROM w WHERE doc_id % 3 = 0 OR doc_id % 7 = 0 UNION ALL SELECT unit_id, 'conflict' FROM w WHERE doc_id % 3 <> 0 AND doc_id % 7 = 0""")
+def pending_work(spark, sf_dir):
+    """Work without a result of the same inputs, and results of other inputs."""
+    u = fx.units(spark, sf_dir)
+    work = u.select("unit_id", F.sha2("rule", 256).alias("fp"))
+    done = u.where("doc_id % 3 <> 0").select("unit_id", F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.sha2("rule", 256)).alias("fp"))
+    bad = constraints.conflicts(work, done, ["unit_id"], "fp").select(F.col("key").alias("unit_id"), F.lit("conflict").alias("state"))
+    return constraints.pending(work, done, ["unit_id"], "fp").select("unit_id", F.lit("pending").alias("state")).unionAll(bad)
+
+
+@query("""SELECT 'situation' AS "constraint", conv_id::VARCHAR || '-' || turn AS key, CASE turn % 4 WHEN 0 THEN 'starts before 1' WHEN 1 THEN 'ends before start' ELSE 'not whole' END AS detail FROM conversations WHERE turn % 4 < 3""")
+def situation_violations(spark, sf_dir):
+    """Step ranges that are not valid."""
+    c = fx.table(spark, sf_dir, "conversations")
+    m = F.col("turn") % 4
+    rows = c.select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.when(m == 0, "0").when(m == 2, "1.5").otherwise("3").alias("a"), F.when(m == 1, "2").otherwise("5").alias("b"), F.lit("t").alias("t"))
+    return constraints.situations(rows, "k", "a", "b", "t")
+
+
+@query("""SELECT 'vector' AS "constraint", vec_id::VARCHAR AS key, CASE vec_id % 5 WHEN 0 THEN 'dimensions' WHEN 1 THEN 'zero' WHEN 2 THEN 'not finite' ELSE 'null' END AS detail FROM embeddings WHERE vec_id % 5 < 4""")
+def vector_violations(spark, sf_dir):
+    """Vectors of other lengths, zero, non-finite or missing."""
+    e = fx.table(spark, sf_dir, "embeddings")
+    m, v = F.col("vec_id") % 5, F.col("embedding")
+    odd = F.when(m == 0, F.slice(v, 1, 3)).when(m == 1, F.transform(v, lambda x: F.lit(0).cast("float"))).when(m == 2, F.transform(v, lambda x: F.lit(float("nan")).cast("float"))).when(m == 3, F.lit(None)).otherwise(v)
+    return constraints.vectors(e.select("vec_id", odd.alias("v")), "vec_id", "v", 64)
+
+
+@query(f"""WITH {fx.UNITS}, p AS (SELECT unit_id, row_number() OVER (ORDER BY doc_id) - 1 + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS o, doc_id FROM units WHERE doc_id % 3 = 0)
+SELECT 'dense_order' AS "constraint", 'queue' AS key, count(*)::VARCHAR AS detail FROM p UNION ALL SELECT 'pending', unit_id, 'already in the state' FROM p WHERE doc_id % 10 = 0""")
+def queue_violations(spark, sf_dir):
+    """A queue with holes, and pending units that the state has already."""
+    u = fx.units(spark, sf_dir).where("doc_id % 3 = 0").select("unit_id", "doc_id")
+    p = graph.numbered(u, [F.col("doc_id")], "o").withColumn("o", F.col("o") + (F.col("doc_id") % 2))
+    return constraints.queue(u.where("doc_id % 10 = 0"), p, "o", "unit_id")
+
+
+# --- vector joins ---------------------------------------------------------
+
+
+@query(f"WITH {fx.NEIGHBORS} SELECT q, n, score, rank::INTEGER AS rank FROM neighbors")
+def knn_cosine_topk(spark, sf_dir):
+    """Exact nearest neighbours."""
+    return fx.neighbors(spark, sf_dir)
+
+
+@query(f"""WITH {fx.VECTORS}, n AS (SELECT count(*) AS c FROM vectors), d AS (SELECT a.id, a.unit AS s, b.unit AS r FROM vectors a JOIN vectors b ON b.id = (a.id + 1) % (SELECT c FROM n)),
+s AS (SELECT a.id AS q, b.id AS n, round(0.35 * list_dot_product(a.s, b.s) + 0.65 * list_dot_product(a.r, b.r), 6) AS score FROM d a JOIN d b ON a.id <> b.id)
+SELECT q, n, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, n)::INTEGER AS rank FROM s QUALIFY rank <= 20""")
+def knn_weighted_dual_topk(spark, sf_dir):
+    """Neighbours by the weighted sum of two cosines, as one product of scaled vectors."""
+    v = fx.vectors(spark, sf_dir)
+    n = v.count()
+    other = v.select(((F.col("id") - 1 + n) % n).alias("id"), F.col("unit").alias("rule"))
+    d = materialize(v.join(other, "id").select("id", vectors.dual(F.col("unit"), F.col("rule"), 0.35).alias("unit")), "dual")
+    out = vectors.top_k(d.select(F.col("id").alias("qid"), "unit"), d, 20, exclude_self=True, clip=True)
+    return out.select(F.col("qid").alias("q"), F.col("id").alias("n"), "score", "rank")
+
+
+FAMILY = f"""WITH {fx.REPS}, s AS (SELECT qid, r.id, family, is_base, least(1, greatest(-1, round(list_dot_product(q.unit, r.unit), 6))) AS score FROM queries q, reps r),
+f AS (SELECT qid, family, max(score) AS score, max(score) FILTER (is_base) AS base_score, max(score) FILTER (NOT is_base) AS best_variant_score, arg_min(id, (-score, NOT is_base, id)) AS matched_id FROM s GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, family)::INTEGER AS rank FROM f QUALIFY rank <= 20)"""
+
+
+@query(FAMILY + " SELECT qid, family, score, matched_id, rank FROM top")
+def family_recall_topk(spark, sf_dir):
+    """The best families of each query with the representation that matched."""
+    return vectors.top_groups(fx.held_out(spark, sf_dir), fx.representations(spark, sf_dir), 20).select("qid", "family", "score", "matched_id", "rank")
+
+
+@query(FAMILY + " SELECT qid, family, score, base_score, best_variant_score, matched_id, rank FROM top")
+def family_retrieval_topk(spark, sf_dir):
+    """As E3, with base and best variant scores."""
+    return vectors.top_groups(fx.held_out(spark, sf_dir), fx.representations(spark, sf_dir), 20)
+
+
+@query(f"WITH {fx.REPS} SELECT qid, r.id, round(list_dot_product(q.unit, r.unit), 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(q.unit, r.unit), 6) DESC, r.id)::INTEGER AS rank FROM queries q, reps r QUALIFY rank <= 10")
+def flat_retrieval_topk(spark, sf_dir):
+    """E5: queries against a flat index."""
+    return vectors.top_k(fx.held_out(spark, sf_dir), fx.representations(spark, sf_dir).select("id", "unit"), 10)
+
+
+@query(f"""WITH {fx.NEIGHBORS} SELECT label, count(*) AS n, round(min(score), 4) AS min, round(quantile_cont(score, 0.1), 4) AS p10, round(quantile_cont(score, 0.25), 4) AS p25, round(quantile_cont(score, 0.5), 4) AS median, round(avg(score), 4) AS mean,
+round(quantile_cont(score, 0.75), 4) AS p75, round(quantile_cont(score, 0.9), 4) AS p90, round(quantile_cont(score, 0.95), 4) AS p95, round(quantile_cont(score, 0.99), 4) AS p99, round(max(score), 4) AS max FROM neighbors JOIN vectors ON q = id GROUP BY label""")
+def score_distribution(spark, sf_dir):
+    """quantiles of neighbour scores."""
+    v = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q"), "label")
+    return vectors.distribution(fx.neighbors(spark, sf_dir).join(v, "q"), "score", "label", digits=4)
+
+
+# --- graph ----------------------------------------------------------------
+
+
+def _snn(spark, sf_dir) -> DataFrame:
+    return materialize(graph.snn_edges(fx.neighbors(spark, sf_dir), fx.K, fx.MIN_SHARED), "snn")
+
+
+def _mutual(spark, sf_dir) -> DataFrame:
+    n = fx.neighbors(spark, sf_dir)
+    return materialize(graph.undirected_edges(n, fx.TOP, fx.MIN_SCORE), "mutual")
+
+
+@query(f"WITH {fx.SNN} SELECT source, target, shared, jaccard FROM edges")
+def snn_edges(spark, sf_dir):
+    """Shared-nearest-neighbour edges."""
+    return _snn(spark, sf_dir)
+
+
+@query(f"WITH {fx.SNN} SELECT e.source, e.target, shared, jaccard FROM edges e JOIN neighbors a ON a.q = e.source AND a.n = e.target JOIN neighbors b ON b.q = e.target AND b.n = e.source")
+def snn_edges_mutual(spark, sf_dir):
+    """E6 between mutual neighbours."""
+    return graph.snn_edges(fx.neighbors(spark, sf_dir), fx.K, fx.MIN_SHARED, mutual=True)
+
+
+@query(f"WITH {fx.MUTUAL} SELECT * FROM mutual")
+def mutual_topk_edges(spark, sf_dir):
+    """Undirected edges from qualifying directions both ways."""
+    return _mutual(spark, sf_dir)
+
+
+@query(f"WITH {fx.MUTUAL}, deg AS (SELECT source AS id, mean_score AS w FROM mutual UNION ALL SELECT target, mean_score FROM mutual) SELECT v.id, count(w) AS degree, round(coalesce(sum(w), 0), 6) AS weighted_degree FROM vectors v LEFT JOIN deg USING (id) GROUP BY v.id")
+def weighted_degrees(spark, sf_dir):
+    """Nodes with degrees, isolated ones included."""
+    return graph.graph_nodes(fx.vectors(spark, sf_dir), _mutual(spark, sf_dir), "mean_score")
+
+
+COMPONENTS = f"""WITH RECURSIVE {fx.MUTUAL}, both_ways AS (SELECT source AS a, target AS b FROM mutual UNION SELECT target, source FROM mutual),
+reach(id, r) AS (SELECT id, id FROM vectors UNION SELECT reach.id, b FROM reach JOIN both_ways ON r = a), comps AS (SELECT id, min(r) AS component FROM reach GROUP BY id)"""
+
+
+@query(COMPONENTS + " SELECT id, component FROM comps")
+def connected_components(spark, sf_dir):
+    """Components of the mutual graph."""
+    return graph.component_table(fx.vectors(spark, sf_dir), _mutual(spark, sf_dir))
+
+
+@query(COMPONENTS + """, s AS (SELECT component, count(*) AS size FROM comps GROUP BY component HAVING count(*) > 1), e AS (SELECT component, count(*) AS n_edges, round(avg(mean_score), 6) AS mean_weight FROM mutual JOIN comps ON source = id GROUP BY component)
+SELECT s.component, size, n_edges, mean_weight, round(2.0 * n_edges / (size * (size - 1)), 6) AS density, size > 25 AS oversize, row_number() OVER (ORDER BY size DESC, s.component) AS rank FROM s JOIN e ON s.component = e.component""")
+def component_density(spark, sf_dir):
+    """Exported components with their density; oversize ones are reported."""
+    edges = _mutual(spark, sf_dir)
+    labels = materialize(graph.component_table(fx.vectors(spark, sf_dir), edges), "labels")
+    return graph.component_export(labels, edges, "mean_score")
+
+
+@query(f"""WITH {fx.SNN}, l AS (SELECT id, id % 7 AS c FROM vectors), e AS (SELECT a.c AS a, b.c AS b, jaccard AS w FROM edges JOIN l a ON a.id = source JOIN l b ON b.id = target),
+p AS (SELECT c, sum(inside) AS inside, sum(w) AS total FROM (SELECT a AS c, CASE WHEN a = b THEN 2 * w ELSE 0 END AS inside, w FROM e UNION ALL SELECT b, 0, w FROM e) GROUP BY c) SELECT round(sum(inside) / sum(total) - 0.8 * sum(total * total) / (sum(total) * sum(total)), 6) AS modularity FROM p""")
+def graph_modularity(spark, sf_dir):
+    """F8: modularity of a given partition."""
+    labels = fx.vectors(spark, sf_dir).select("id", (F.col("id") % 7).alias("community"))
+    return graph.modularity(_snn(spark, sf_dir), labels, "jaccard", 0.8)
+
+
+@query()
+def louvain_communities(spark, sf_dir):
+    """Communities with dense ids by size."""
+    labels = materialize(graph.louvain(fx.vectors(spark, sf_dir), _snn(spark, sf_dir)), "louvain")
+    return labels.join(ranking.group_ids(labels, "community", F.col("id")), "community").select("id", "community", "group_id", "size")
+
+
+@query()
+def leiden_refine(spark, sf_dir):
+    """I4: communities above 25 members refined."""
+    edges = _snn(spark, sf_dir)
+    labels = materialize(graph.louvain(fx.vectors(spark, sf_dir), edges), "louvain")
+    return graph.leiden(labels, edges)
+
+
+# --- ranking --------------------------------------------------------------
+
+
+@query(f"WITH {fx.NEIGHBORS} SELECT q, n, rank::INTEGER AS recall_rank, (n % 100) / 100.0 AS rerank_score, row_number() OVER (PARTITION BY q ORDER BY n % 100 DESC, rank)::INTEGER AS rerank_rank FROM neighbors QUALIFY rerank_rank <= 10")
+def rerank_reorder(spark, sf_dir):
+    """The first ten after rerank, with both ranks."""
+    n = fx.neighbors(spark, sf_dir).select("q", "n", F.col("rank").alias("recall_rank"), ((F.col("n") % 100) / 100.0).alias("rerank_score"))
+    return ranking.reranked(n, ["q"], "rerank_score", "recall_rank", 10)
+
+
+@query(f"""WITH {fx.NEIGHBORS}, c AS (SELECT *, count(*) FILTER (score >= 0.36) OVER (PARTITION BY q) AS ok FROM neighbors WHERE rank <= 20) SELECT q, n, score, rank::INTEGER AS rank FROM c WHERE (ok >= 3 AND score >= 0.36) OR (ok < 3 AND rank <= 3)""")
+def soft_floor_candidates(spark, sf_dir):
+    """A threshold with a least number of candidates."""
+    return ranking.soft_floor(fx.neighbors(spark, sf_dir).where("rank <= 20"), ["q"], "score", "rank", 0.36, 3)
+
+
+@query(f"WITH {fx.PLAN} SELECT family_id, chunk, count(*) AS n, CASE WHEN chunk > 1 THEN chunk - 1 END AS depends_on, min(position) AS first_position FROM chunks GROUP BY ALL")
+def membership_batch_plan(spark, sf_dir):
+    """Chunks of 18 that depend on the one before."""
+    m = fx.plan_members(spark, sf_dir)
+    order = [F.when(F.col("member_type") == "EQUIVALENT", 0).otherwise(1), F.desc("score"), F.col("l_orderkey"), F.col("l_linenumber")]
+    c = ranking.chunked(m, ["family_id"], order, 18)
+    return c.groupBy("family_id", "chunk", "depends_on").agg(F.count("*").alias("n"), F.min("position").cast("long").alias("first_position"))
+
+
+@query(f"""WITH {fx.PLAN}, g AS (SELECT family_id, count(*) AS n, count(*) FILTER (member_type = 'EQUIVALENT') AS eq, CAST(ceil(count(*) / 18.0) AS BIGINT) AS calls FROM plan GROUP BY family_id)
+SELECT n // 50 AS bucket, count(*) AS families, sum(n)::BIGINT AS units, sum(eq)::BIGINT AS equivalents, sum(calls)::BIGINT AS calls, round(1 - sum(calls) / sum(n), 6) AS reduction FROM g GROUP BY bucket""")
+def consolidation_summary(spark, sf_dir):
+    """histogram of group sizes, call estimates, reduction."""
+    m = fx.plan_members(spark, sf_dir)
+    g = m.groupBy("family_id").agg(F.count("*").alias("n"), F.count_if(F.col("member_type") == "EQUIVALENT").alias("eq")).withColumn("calls", F.ceil(F.col("n") / 18))
+    return g.groupBy(F.floor(F.col("n") / 50).alias("bucket")).agg(F.count("*").alias("families"), F.sum("n").alias("units"), F.sum("eq").alias("equivalents"), F.sum("calls").alias("calls"), F.round(1 - F.sum("calls") / F.sum("n"), 6).alias("reduction"))
+
+
+@query(f"WITH {fx.UNITS}, q AS (SELECT unit_id, row_number() OVER (ORDER BY doc_id) - 1 AS serial_order FROM units WHERE doc_id % 3 = 0) SELECT unit_id, serial_order, printf('NM%04d', serial_order) AS family_id FROM q")
+def dense_serial_queue(spark, sf_dir):
+    """Uncovered units in natural order with dense numbers and new family ids."""
+    u = fx.units(spark, sf_dir).select("unit_id", "doc_id")
+    out = ranking.dense_queue(u, u.where("doc_id % 3 <> 0").select("unit_id"), "unit_id", [keys.natural_key("unit_id")])
+    return out.select("unit_id", "serial_order", ranking.family_id(F.col("serial_order")).alias("family_id"))
+
+
+# --- catalog --------------------------------------------------------------
+
+
+@query(f"WITH {fx.MEMBERS} SELECT family_id, member_id, member_type, group_index FROM members")
+def family_member_unnest(spark, sf_dir):
+    """nested families as flat memberships."""
+    return catalog.unnest(fx.families(spark, sf_dir))
+
+
+@query(f"WITH {fx.MEMBERS} SELECT family_id, count(*) AS member_count, array_to_string(list_sort(list(member_id)), ',') AS members, count(DISTINCT group_index) AS n_groups FROM members GROUP BY family_id")
+def family_members(spark, sf_dir):
+    """members of a family, nested again."""
+    f = catalog.nest(catalog.unnest(fx.families(spark, sf_dir)))
+    return f.select("family_id", "member_count", F.array_join("member_ids", ",").alias("members"), F.size("variant_groups").cast("long").alias("n_groups"))
+
+
+@query("SELECT lang, count(*) AS families, count(DISTINCT source) AS sources, count(*) FILTER (n_chars > 1000) AS long_ones, min(doc_id) AS first FROM documents GROUP BY lang")
+def catalog_rollup(spark, sf_dir):
+    """counts of a catalog by origin."""
+    d = fx.table(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(F.count("*").alias("families"), F.count_distinct("source").alias("sources"), F.count_if(F.col("n_chars") > 1000).alias("long_ones"), F.min("doc_id").alias("first"))
+
+
+@query(f"WITH {fx.UNITS} SELECT unit_id FROM units WHERE doc_id % 3 = 0")
+def unassigned_units(spark, sf_dir):
+    """Units that no family covers."""
+    u = fx.units(spark, sf_dir)
+    return constraints.leftovers(u.where("doc_id % 3 <> 0"), u, "unit_id")
+
+
+@query(f"""WITH {fx.SYNC}, s AS (SELECT text, min(id) AS source_id FROM sources GROUP BY text),
+j AS (SELECT b.family_id, CASE WHEN a.sha = b.sha THEN 'KEEP' WHEN a.sha IS NOT NULL THEN 'GENERATE_CHANGED' WHEN s.source_id IS NOT NULL THEN 'REUSE_SOURCE' ELSE 'GENERATE_NEW' END AS action, source_id FROM bases b LEFT JOIN active a ON a.family_id = b.family_id LEFT JOIN s ON s.text = b.text)
+SELECT family_id, action, CASE WHEN action = 'REUSE_SOURCE' THEN source_id END AS reused_from FROM j""")
+def sync_actions(spark, sf_dir):
+    """What each base needs from the vector index."""
+    return catalog.sync_actions(*fx.sync_inputs(spark, sf_dir))
+
+
+@query("SELECT text_sha, min(doc_id) AS id FROM (SELECT doc_id, sha256(text) AS text_sha FROM documents) GROUP BY text_sha")
+def text_vector_lookup(spark, sf_dir):
+    """One vector a text, that of the smallest id."""
+    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("text_sha"), F.col("n_chars").alias("vector"))
+    return catalog.text_vectors(d, "text_sha", "id", "vector").select("text_sha", "id")
+
+
+@query("""WITH b AS (SELECT user_id AS family_id, concat('h', user_id % 3) AS sha FROM events GROUP BY user_id),
+e AS (SELECT user_id AS family_id, concat('h', event_id % 3) AS sha, event_id AS seq, value AS vector FROM events UNION ALL SELECT family_id, sha, -1, 0.5 FROM b WHERE family_id % 2 = 0)
+SELECT e.family_id, max(seq) AS seq, arg_max(vector, seq) AS vector FROM e JOIN b ON b.family_id = e.family_id AND b.sha = e.sha GROUP BY e.family_id""")
+def active_vectors(spark, sf_dir):
+    """The newest vector whose hash is the current one."""
+    e = fx.table(spark, sf_dir, "events")
+    b = e.groupBy(F.col("user_id").alias("family_id")).agg(F.concat(F.lit("h"), F.first("user_id") % 3).alias("sha"))
+    updates = e.select(F.col("user_id").alias("family_id"), F.concat(F.lit("h"), F.col("event_id") % 3).alias("sha"), F.col("value").alias("vector"), F.col("event_id").alias("seq"))
+    initial = b.where("family_id % 2 = 0").withColumn("vector", F.lit(0.5))
+    return catalog.active_vectors(b, initial, updates)
+
+
+ENRICH = FAMILY + """, r AS (SELECT qid, family AS family_id, CASE WHEN matched_id % 10 <> 0 THEN matched_id END AS member_id, score, rank FROM top WHERE rank <= 5)"""
+
+
+@query(ENRICH + """ SELECT r.qid, r.family_id, r.member_id, score, rank, concat('base ', r.family_id) AS base_text, CASE WHEN r.member_id IS NULL THEN 'BASE' ELSE 'VARIANT_MEMBER' END AS matched_type, CASE WHEN r.member_id IS NULL THEN concat('base ', r.family_id) ELSE concat('unit ', r.member_id) END AS matched_text FROM r""")
+def enrich_results(spark, sf_dir):
+    """Two-step retrieval with the matched texts; the flagship."""
+    reps = fx.representations(spark, sf_dir)
+    top = vectors.top_groups(fx.held_out(spark, sf_dir), reps, 20)
+    top = top.select("qid", F.col("family").alias("family_id"), F.when(F.col("matched_id") % 10 != 0, F.col("matched_id")).alias("member_id"), "score", "rank")
+    bases = reps.select(F.col("family").alias("family_id")).distinct().withColumn("text", F.concat(F.lit("base "), "family_id"))
+    variants = reps.where("not is_base").select(F.col("id").alias("member_id"), F.concat(F.lit("unit "), "id").alias("text"))
+    return catalog.enriched(top, bases, variants, keep=5)
+
+
+@query(ENRICH + """ SELECT r.qid, r.family_id, r.member_id, score, rank, CASE WHEN r.member_id IS NULL THEN concat('base ', r.family_id) ELSE concat('unit ', r.member_id, chr(10), 'delta ', r.member_id % 2) END AS document FROM r""")
+def candidate_documents(spark, sf_dir):
+    """Rerank documents of candidates."""
+    reps = fx.representations(spark, sf_dir)
+    top = vectors.top_groups(fx.held_out(spark, sf_dir), reps, 5)
+    top = top.select("qid", F.col("family").alias("family_id"), F.when(F.col("matched_id") % 10 != 0, F.col("matched_id")).alias("member_id"), "score", "rank")
+    bases = reps.select(F.col("family").alias("family_id")).distinct().withColumn("text", F.concat(F.lit("base "), "family_id"))
+    member = reps.where("not is_base").select(F.col("id").alias("member_id"))
+    return catalog.candidate_texts(top, bases, member.select(F.col("member_id").alias("unit_id"), F.concat(F.lit("unit "), "member_id").alias("text")), member.select("member_id", F.concat(F.lit("delta "), F.col("member_id") % 2).alias("delta")))
+
+
+@query(f"WITH {fx.REPS} SELECT family AS family_id, id % 2 = 0 AS even, CASE WHEN id // 10 % 3 = 0 THEN 'INGESTED_NO_MATCH' ELSE 'INITIAL' END AS origin, count(*) AS n FROM reps WHERE id // 10 % 3 = 0 GROUP BY ALL")
+def candidate_origins(spark, sf_dir):
+    """Provenance of candidates; only ingested ones are dynamic."""
+    reps = fx.representations(spark, sf_dir).select(F.col("family").alias("family_id"), "id")
+    states = reps.where(F.floor(F.col("id") / 10) % 3 == 0).select("family_id", F.lit("INGESTED_NO_MATCH").alias("origin")).distinct()
+    return catalog.dynamic_candidates(catalog.origins(reps, states)).groupBy("family_id", (F.col("id") % 2 == 0).alias("even"), "origin").agg(F.count("*").alias("n"))
+
+
+@query("""WITH j AS (SELECT l_orderkey * 10 + l_linenumber AS unit_id, l_suppkey AS family_id, min(l_returnflag) AS l_returnflag, max(l_discount) AS score FROM lineitem GROUP BY ALL)
+SELECT family_id, count(*) AS n_units, count(*) FILTER (l_returnflag = 'A') AS n_equivalent, max(score) AS best_score, sha256(array_to_string(list_sort(list(unit_id)), ',')) AS units_sha FROM j WHERE l_returnflag IN ('A', 'R') GROUP BY family_id""")
+def group_accepted(spark, sf_dir):
+    """Accepted judgments with their candidates, by family."""
+    li = fx.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("unit_id"), F.col("l_suppkey").alias("family_id"), "l_returnflag", "l_discount")
+    li = li.groupBy("unit_id", "family_id").agg(F.min("l_returnflag").alias("l_returnflag"), F.max("l_discount").alias("score"))
+    judged = li.select("unit_id", "family_id", F.when(F.col("l_returnflag") == "A", "EQUIVALENT").when(F.col("l_returnflag") == "R", "VARIANT").otherwise("NO_MATCH").alias("decision"))
+    return catalog.accepted_groups(judged, li.select("unit_id", "family_id", "score")).select("family_id", "n_units", "n_equivalent", "best_score", F.sha2(F.array_join("unit_ids", ","), 256).alias("units_sha"))
+
+
+@query(f"""WITH {fx.MEMBERS}, f AS (SELECT family_id, member_id, CAST(substr(family_id, 2) AS INTEGER) AS n, CAST(substr(member_id, 2) AS INTEGER) % 10 AS d FROM members)
+SELECT family_id, 'GRAPH_UNMATCHED' AS origin, member_id FROM f WHERE n % 4 = 0 UNION ALL SELECT family_id, 'SINGLETON', member_id FROM f WHERE n % 4 = 1
+UNION ALL SELECT concat('N', n // 8), 'REGENERATED', member_id FROM f WHERE n % 4 >= 2 AND d <> 5 UNION ALL SELECT family_id, 'ORPHAN', member_id FROM f WHERE n % 4 >= 2 AND d = 5""")
+def catalog_assembly(spark, sf_dir):
+    """Retained, single, regenerated and orphaned memberships."""
+    m = catalog.unnest(fx.families(spark, sf_dir)).select("family_id", "member_id").withColumns({"n": F.substring("family_id", 2, 9).cast("int"), "d": F.substring("member_id", 2, 9).cast("int") % 10})
+    old = m.select("family_id", "member_id")
+    regrouped = m.where("n % 4 >= 2").select("family_id", F.floor(F.col("n") / 8).alias("group_id")).distinct()
+    new = m.where("n % 4 >= 2 and d <> 5").select(F.floor(F.col("n") / 8).alias("group_id"), F.concat(F.lit("N"), F.floor(F.col("n") / 8)).alias("new_family_id"), "member_id")
+    return catalog.assembled(old, m.where("n % 4 = 0").select("family_id").distinct(), regrouped, new)
+
+
+@query("""WITH p AS (SELECT l_returnflag, l_linestatus, list_sort(list(DISTINCT l_suppkey::VARCHAR)) AS c FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus, len(c)::BIGINT AS n_cases, sha256(array_to_string(c, ',')) AS signature, (SELECT count(DISTINCT c) = 1 FROM p) AS same FROM p""")
+def condition_coverage(spark, sf_dir):
+    """H3: every condition has the same cases."""
+    return catalog.coverage(fx.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_suppkey")
+
+
+@query(f"WITH {fx.LOG} SELECT model, 'tokens' AS key, sum(tokens)::BIGINT AS total FROM log GROUP BY model UNION ALL SELECT model, 'calls', count(*) FROM log GROUP BY model")
+def usage_totals(spark, sf_dir):
+    """usage maps summed by key."""
+    log = fx.call_log(spark, sf_dir).withColumn("usage", F.create_map(F.lit("tokens"), "tokens", F.lit("calls"), F.lit(1).cast("long")))
+    return catalog.usage_totals(log, ["model"], "usage")
+
+
+@query(f"WITH {fx.LOG} SELECT 'total_tokens' AS key, sum(tokens)::BIGINT AS total FROM log UNION ALL SELECT 'requests', count(*) FROM log")
+def nested_usage(spark, sf_dir):
+    """whole numbers under matching keys at any depth of a document."""
+    log = fx.call_log(spark, sf_dir)
+    doc = F.concat(F.lit('{"usage":{"total_tokens":'), "tokens", F.lit(',"cost":1.5,"detail":{"requests":1,"token_share":0.5}}}'))
+    return catalog.nested_usage(log.select(doc.alias("doc")), "doc")
+
+
+@query(f"""WITH {fx.LOG}, last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY batch_id, model ORDER BY seq DESC) = 1) SELECT batch_id, count(*) AS n_models, sum(tokens)::BIGINT AS tokens, array_to_string(list_sort(list(model)), ',') AS models FROM last GROUP BY batch_id""")
+def rebuilt_outputs(spark, sf_dir):
+    """results rebuilt from the last records of a log."""
+    last = ranking.latest(fx.call_log(spark, sf_dir), ["batch_id", "model", "prompt_sha256", "input_sha256"], "seq")
+    return last.groupBy("batch_id").agg(F.count("*").alias("n_models"), F.sum("tokens").alias("tokens"), F.array_join(F.array_sort(F.collect_list("model")), ",").alias("models"))
+
+
+# --- context, verdicts ----------------------------------------------------
+
+
+@query(f"WITH {fx.SITUATIONS} SELECT r.case_id, start_step, end_step, s.step_id, situation, action FROM ranges r JOIN steps s ON s.case_id = r.case_id AND s.step_id BETWEEN start_step AND end_step")
+def situation_step_range_join(spark, sf_dir):
+    """Steps inside situation ranges."""
+    ranges, steps = fx.situations(spark, sf_dir)
+    return catalog.steps_in_range(steps, ranges).select("case_id", "start_step", "end_step", "step_id", "situation", "action")
+
+
+@query(f"""WITH {fx.STEPS}, g AS (SELECT case_id, bool_or(failed) AS bug_found, min(step_id) FILTER (failed) AS bug_step, min(confidence) AS low, count(*) FILTER (failed) AS n_failed, coalesce(string_agg(description, '; ' ORDER BY step_id) FILTER (failed), '') AS descriptions FROM steps GROUP BY case_id)
+SELECT g.case_id, bug_found, s.bug_type, bug_step, coalesce(s.confidence, low) AS confidence, n_failed, descriptions FROM g LEFT JOIN steps s ON s.case_id = g.case_id AND s.step_id = g.bug_step""")
+def case_verdict(spark, sf_dir):
+    """a case's verdict from its steps."""
+    return catalog.verdicts(fx.verdict_steps(spark, sf_dir))
+
+
+@query(f"""WITH {fx.SITUATIONS}, t AS (SELECT case_id, step_id, concat(step_id, '. [', action, '] ', length(page)) AS line, row_number() OVER (PARTITION BY case_id ORDER BY step_id) AS r FROM steps) SELECT case_id, count(*) AS n, string_agg(line, chr(10) ORDER BY step_id) AS text FROM t WHERE r <= 3 GROUP BY case_id""")
+def context_render(spark, sf_dir):
+    """The first lines of a case as one text."""
+    _, steps = fx.situations(spark, sf_dir)
+    line = F.concat(F.col("step_id"), F.lit(". ["), F.col("action"), F.lit("] "), F.length("page"))
+    return catalog.joined_text(steps, ["case_id"], F.col("step_id"), line, top=3)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('head ', 'ctx', chr(10), chr(10), '## Task ', lang, ' ## Task') ELSE concat(lang, chr(10), chr(10), 'ctx') END AS prompt FROM documents")
+def context_insert(spark, sf_dir):
+    """A context before the first marker of a prompt."""
+    d = fx.table(spark, sf_dir, "documents")
+    prompt = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("head ## Task "), "lang", F.lit(" ## Task"))).otherwise(F.col("lang"))
+    return d.select("doc_id", text.insert_before(prompt, "## Task", F.lit("ctx")).alias("prompt"))
+
+
+@query(f"WITH {fx.SITUATIONS} SELECT case_id, step_id, page, lead(page) OVER (PARTITION BY case_id ORDER BY step_id) AS after_page FROM steps QUALIFY after_page IS NOT NULL")
+def step_pairs(spark, sf_dir):
+    """Each step with the page after it."""
+    _, steps = fx.situations(spark, sf_dir)
+    return catalog.step_pairs(steps).select("case_id", "step_id", "page", "after_page")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS types FROM e GROUP BY user_id""")
+def ordered_distinct(spark, sf_dir):
+    """distinct values in order of first appearance."""
+    e = fx.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    return catalog.joined_text(e, ["user_id"], F.col("first"), F.col("event_type"), sep=",").select("user_id", F.col("text").alias("types"))
+
+
+# --- serial, services, plans ----------------------------------------------
+
+
+@query(f"""WITH {fx.PLAN} SELECT family_id, max(chunk)::BIGINT AS version, count(*) FILTER (member_type = 'EQUIVALENT') AS n_equivalent, count(*) FILTER (member_type = 'VARIANT') AS n_variant, CASE WHEN count(*) FILTER (member_type = 'VARIANT') > 0 THEN 'SYNTHESIZED' ELSE 'ANCHORED' END AS base_origin, max(chunk)::BIGINT AS chunks FROM chunks GROUP BY family_id""")
+def family_fold(spark, sf_dir):
+    """Parallel across families, serial within."""
+    m = fx.plan_members(spark, sf_dir)
+    order = [F.when(F.col("member_type") == "EQUIVALENT", 0).otherwise(1), F.desc("score"), F.col("l_orderkey"), F.col("l_linenumber")]
+    return serial.family_fold(ranking.chunked(m, ["family_id"], order, 18).select("family_id", "chunk", "position", "member_id", "member_type"))
+
+
+def _serial_events(spark, sf_dir) -> DataFrame:
+    e = fx.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("V"), "vec_id").alias("unit_id"), F.col("vec_id").alias("serial_order"), F.col("embedding").alias("vector"))
+    judge = lambda unit, found: ("EQUIVALENT", found[0][0]) if found and found[0][1] >= 0.45 else ("VARIANT", found[0][0]) if found and found[0][1] >= 0.40 else ("NO_MATCH", None)
+    _, events = serial.fold(e, judge=judge)
+    return spark.createDataFrame(events, "event_id string, serial_order long, unit_id string, decision string, family_id string")
+
+
+@query()
+def serial_consolidation(spark, sf_dir):
+    """The ordered fold over a queue, as its event log."""
+    return _serial_events(spark, sf_dir)
+
+
+@query()
+def state_replay(spark, sf_dir):
+    """The catalog as the events leave it."""
+    return serial.replay(_serial_events(spark, sf_dir))
+
+
+@query()
+def offline_embed(spark, sf_dir):
+    """K1: each distinct text embedded once by the offline embedder."""
+    u = fx.units(spark, sf_dir)
+    return providers.embed(u, "unit_id", "situation", providers.HashEmbedder())
+
+
+@query(f"""WITH {fx.UNITS}, q AS (SELECT unit_id AS qid, list_distinct(list_filter(regexp_split_to_array(lower(situation), '\\s+'), lambda x: x <> '')) AS w FROM units WHERE doc_id % 20 = 0),
+d AS (SELECT unit_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(situation), '\\s+'), lambda x: x <> '')) AS w FROM units WHERE doc_id < 40)
+SELECT qid, id, CASE WHEN len(q.w) = 0 THEN 0 ELSE round(len(list_intersect(q.w, d.w)) / len(q.w), 6) END AS rerank_score FROM q, d""")
+def offline_rerank(spark, sf_dir):
+    """K2: candidates scored by the offline reranker."""
+    u = fx.units(spark, sf_dir)
+    q = u.where("doc_id % 20 = 0").select(F.col("unit_id").alias("qid"), F.col("situation").alias("query"), F.lit(1).alias("one"))
+    d = u.where("doc_id < 40").select(F.col("unit_id").alias("id"), F.col("situation").alias("document"), F.lit(1).alias("one"))
+    return providers.rerank(q.join(F.broadcast(d), "one"), providers.OverlapReranker())  # forty fixed candidates
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'error' WHEN doc_id % 5 = 1 THEN 'invalid_output' ELSE 'success' END AS status, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 5 = 1 THEN 3 WHEN doc_id % 5 = 2 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM documents""")
+def validated_calls(spark, sf_dir):
+    """K3 to K7, K9: calls that are checked and asked again with the complaint."""
+
+    def chat(request: str, complaint: str | None) -> str:
+        kind = int(request) % 5
+        if kind == 0:
+            raise ConnectionError("lost")
+        return "bad" if kind == 1 or kind == 2 and complaint is None else "good"
+
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("request"))
+    return providers.validated(d, "doc_id", "request", chat, lambda answer: None if answer == "good" else "not good").select("doc_id", "status", "attempts")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'made' ELSE 'cached' END AS answer FROM documents")
+def memoised_calls(spark, sf_dir):
+    """Only requests without a recorded answer reach a service."""
+    d = fx.table(spark, sf_dir, "documents")
+    work = d.select("doc_id", providers.request_key("m", F.lit("p"), F.col("text")).alias("request_sha"))
+    cache = work.where("doc_id % 3 <> 0").withColumn("answer", F.lit("cached"))
+    every, _ = providers.memoised(work, cache, ["doc_id", "request_sha"], lambda misses: misses.withColumn("answer", F.lit("made")))
+    return every.select("doc_id", "answer")
+
+
+@query()
+def stage_summary(spark, sf_dir):
+    """L1, L2: the library stages run as one plan, with the rows of each."""
+    from ruleloom.plans.stages import library_summary
+
+    return library_summary(spark, sf_dir)
+
+
+@query("""SELECT detector, model, condition, l_suppkey AS case_id FROM (VALUES ('d1'), ('d2'), ('d3')) a(detector), (VALUES ('m1'), ('m2')) b(model), (VALUES ('base'), ('rules')) c(condition), (SELECT DISTINCT l_suppkey FROM lineitem)""")
+def experiment_jobs(spark, sf_dir):
+    """L3: detector, model and condition of every case's job."""
+    from ruleloom.plans.stages import jobs
+
+    cases = fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("case_id")).distinct()
+    return jobs(cases, detector=["d1", "d2", "d3"], model=["m1", "m2"], condition=["base", "rules"])
