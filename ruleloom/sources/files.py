@@ -21,12 +21,13 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str | StructT
 
     With ``strict`` off, rows carry ``_file`` and ``_corrupt_record`` instead of failing.
     """
-    reader = spark.read.schema(schema)
-    if strict:
-        return reader.option("mode", "FAILFAST").json(path)
     whole = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    whole = StructType(list(whole.fields)).add("_corrupt_record", "string")
-    return spark.read.schema(whole).option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("_file", F.input_file_name())
+    lines = spark.read.text(path).withColumn("_file", F.input_file_name())
+    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where(F.trim("value") != "")
+    if strict:
+        return lines.select(F.from_json("value", whole, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    marked = StructType(list(whole.fields)).add("_corrupt_record", "string")
+    return lines.select(F.from_json("value", marked, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), "_file").select("r.*", "_file")
 
 
 def json_array(spark: SparkSession, path: str | list[str], schema: str | StructType) -> DataFrame:
@@ -37,7 +38,7 @@ def json_array(spark: SparkSession, path: str | list[str], schema: str | StructT
 def text_files(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """(path, stem, text) of a folder's files at any depth."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).format("binaryFile").load(path)
-    return rows.select("path", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return rows.select("path", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"), F.decode("content", "UTF-8").alias("text"))
 
 
 def csv_cases(spark: SparkSession, path: str | list[str], id_col: str = "ID") -> DataFrame:
