@@ -136,3 +136,36 @@ def strip_fence(text: Column) -> Column:
     """The text inside one outer code fence of three lines or more, else the text, trimmed."""
     t = F.trim(F.regexp_replace(text, r"\A\s+|\s+\z", ""))
     return F.when(t.rlike(r"(?s)\A```[^\n]*\n.*\n```\z"), F.regexp_extract(t, r"(?s)\A```[^\n]*\n(.*)\n```\z", 1)).otherwise(t)
+
+
+def bug_record(answer: Column) -> Column:
+    """struct of a detector's JSON answer, with fallbacks for renamed fields; null for no JSON object."""
+    field = lambda *names: F.coalesce(*(_filled(F.get_json_object(answer, f"$.{n}")) for n in names))
+    steps = F.get_json_object(answer, "$.evidence_steps")
+    record = F.struct(
+        as_bool(field("bug_found", "has_bug")).alias("bug_found"),
+        F.coalesce(field("bug_type", "type"), F.lit("")).alias("bug_type"),
+        F.coalesce(field("bug_page_step", "step"), F.lit("")).alias("bug_page_step"),
+        F.coalesce(field("bug_description", "summary"), F.lit("")).alias("bug_description"),
+        as_share(field("confidence")).alias("confidence"),
+        F.coalesce(F.from_json(F.coalesce(steps, F.get_json_object(answer, "$.step_analysis")), "array<string>"), F.array().cast("array<string>")).alias("evidence_steps"),
+    )
+    return F.when(F.get_json_object(answer, "$").startswith("{"), record)
+
+
+def judgment(answer: Column, known: Column) -> Column:
+    """struct(decision, family, error) of a judge's tagged answer; the tag says which fields must be there.
+
+    NO_MATCH names no family, EQUIVALENT and VARIANT one of ``known``, VARIANT
+    also a delta. error is null where all of that holds.
+    """
+    decision, family, delta = (F.get_json_object(answer, f"$.{n}") for n in ("decision", "family", "delta"))
+    listed = F.array_contains(known, family)
+    error = (
+        F.when(F.get_json_object(answer, "$").isNull(), "no JSON")
+        .when(decision.isNull() | ~decision.isin("NO_MATCH", "EQUIVALENT", "VARIANT"), "unknown decision")
+        .when((decision == "NO_MATCH") & family.isNotNull(), "a family without a match")
+        .when((decision != "NO_MATCH") & (family.isNull() | ~listed), "unknown family")
+        .when((decision == "VARIANT") & F.coalesce(_filled(delta), F.lit("")).eqNullSafe(""), "no delta")
+    )
+    return F.struct(decision.alias("decision"), family.alias("family"), error.alias("error"))

@@ -48,8 +48,12 @@ def _blocks(queries: DataFrame, index: DataFrame, deal: str) -> tuple[DataFrame,
     return q.unionByName(i, allowMissingColumns=True), ni
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def _best(scores: np.ndarray, ties: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties in order: only those at or above the k-th score are sorted."""
+    if k < len(scores):
+        some = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+        return some[np.lexsort((ties[some], -scores[some]))][:k]
+    return np.lexsort((ties, -scores))
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = False, clip: bool = False, order: str = "id") -> DataFrame:

@@ -166,6 +166,46 @@ def coalesced_verdict(spark, sf_dir):
     return e.select("event_id", text.as_bool(a, F.get_json_object("props", "$.k")).alias("found"), text.as_share(F.lit("n/a"), F.col("value").cast("string")).alias("confidence"))
 
 
+@query("""SELECT event_id, event_type = 'error' AS bug_found, event_type AS bug_type, CASE WHEN event_id % 2 = 0 THEN concat('s', event_id) ELSE concat('d', event_id) END AS bug_description, 0.9 AS confidence, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_steps FROM events WHERE event_id % 7 <> 0""")
+def bug_records(spark, sf_dir):
+    """Detector answers as records, with fallbacks for renamed fields."""
+    e = fx.table(spark, sf_dir, "events")
+    head = F.concat(F.lit('{"bug_found": "'), F.when(F.col("event_type") == "error", "yes").otherwise("no"), F.lit('", "type": "'), "event_type", F.lit('", "confidence": "90%", '))
+    tail = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"summary": "s'), "event_id", F.lit('", "step_analysis": ["a", "b"]}'))).otherwise(F.concat(F.lit('"bug_description": "d'), "event_id", F.lit('", "summary": "x"}')))
+    answer = F.when(F.col("event_id") % 7 == 0, "none").otherwise(F.concat(head, tail))
+    out = e.select("event_id", text.bug_record(answer).alias("r")).where("r is not null")
+    return out.select("event_id", "r.bug_found", "r.bug_type", "r.bug_description", "r.confidence", F.size("r.evidence_steps").alias("n_steps"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'NO_MATCH' WHEN 2 THEN 'EQUIVALENT' WHEN 3 THEN 'VARIANT' WHEN 4 THEN 'VARIANT' ELSE 'MAYBE' END AS decision,
+CASE event_id % 6 WHEN 0 THEN 'no JSON' WHEN 3 THEN 'no delta' WHEN 5 THEN 'unknown decision' WHEN 2 THEN CASE WHEN event_type = 'error' THEN 'unknown family' END END AS error FROM events""")
+def judgment_outputs(spark, sf_dir):
+    """Tagged answers of a judge, checked by their tag."""
+    e = fx.table(spark, sf_dir, "events")
+    m = F.col("event_id") % 6
+    family = F.when(F.col("event_type") == "error", "F9").otherwise("F1")
+    answer = (
+        F.when(m == 0, "cut {").when(m == 1, '{"decision": "NO_MATCH"}').when(m == 2, F.concat(F.lit('{"decision": "EQUIVALENT", "family": "'), family, F.lit('"}')))
+        .when(m == 3, '{"decision": "VARIANT", "family": "F1", "delta": " "}').when(m == 4, '{"decision": "VARIANT", "family": "F1", "delta": "later"}').otherwise('{"decision": "MAYBE"}')
+    )
+    return e.select("event_id", text.judgment(answer, F.array(F.lit("F1"), F.lit("F2"))).alias("j")).select("event_id", "j.decision", "j.error")
+
+
+@query(f"WITH {fx.NEIGHBORS} SELECT q, q % 9 <> 0 AND q % 7 <> 0 AS complete FROM (SELECT DISTINCT q FROM neighbors)")
+def complete_results(spark, sf_dir):
+    """Lists with all their results and scores."""
+    n = fx.neighbors(spark, sf_dir).where("not (q % 9 = 0 and rank = 4)").withColumn("score", F.when(~((F.col("q") % 7 == 0) & (F.col("rank") == 1)), F.col("score")))
+    return constraints.complete_results(n, ["q"], "n", "score", fx.K)
+
+
+@query(f"WITH {fx.UNITS} SELECT 'a' AS source_name, count(*) AS n_units, count(DISTINCT unit_id) AS n_ids FROM units WHERE doc_id % 2 = 0 UNION ALL SELECT 'b', count(*), count(DISTINCT unit_id) FROM units WHERE doc_id % 2 = 1")
+def units_by_source(spark, sf_dir):
+    """Units of several sources as one table, counted by source."""
+    u = fx.units(spark, sf_dir).select("unit_id", "doc_id")
+    whole = files.units([("a", u.where("doc_id % 2 = 0")), ("b", u.where("doc_id % 2 = 1").drop("doc_id"))], "unit_id")
+    return whole.groupBy("source_name").agg(F.count("*").alias("n_units"), F.count_distinct("unit_id").alias("n_ids"))
+
+
 @query("""SELECT l_suppkey, substr(sha256(array_to_string(list_sort(list(concat(l_orderkey, '-', l_linenumber))), chr(10))), 1, 16) AS signature, count(*) AS n FROM lineitem GROUP BY l_suppkey""")
 def content_signature(spark, sf_dir):
     """Content addresses of id sets."""
