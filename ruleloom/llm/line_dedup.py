@@ -5,9 +5,11 @@ segments, share one segment unchanged, at a place in the longer one that the
 lengths bound closely. Every distinct line gives the hashes of its own segments
 and of those substrings that could be a segment of a line up to ``threshold``
 characters shorter, each with that line's length and the segment's number.
-Lines that share a hash are candidates: all with the earliest one first, then,
-where a line is not near that one, with every earlier line of the hash. They
-are verified by a banded bit-parallel automaton: one bit for each diagonal
+Lines that share a hash are candidates, all with the earliest one first. For
+one edit, the lines of hashes where that leaves some open meet again by finer
+segments, all but one of 32 and then all but one character of that one, so that
+lines with half their text in common do not all meet. Only then is an open line compared
+with every earlier line of its hash. Candidates are verified by a banded bit-parallel automaton: one bit for each diagonal
 within the threshold and each number of edits, one step for each character.
 """
 
@@ -21,6 +23,8 @@ from ruleloom.plans.durable import materialize
 #: Shorter lines (headings, closings) stay, and make no other line go.
 MIN_CHARS = 20
 THRESHOLD = 1
+#: Finer segments for lines that share a hash and are not near its earliest line.
+PIECES = 32
 #: Documents whose ids are sent to every executor at most; more are joined by a shuffle.
 SEND_IDS = 200_000
 
@@ -41,6 +45,34 @@ def segment_keys(line: Column, threshold: int) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def piece_keys(line: Column, pieces: int = PIECES) -> Column:
+    """(key, at, end, more) for each of the line's pieces: the hash of the line without it, for one edit.
+
+    Lines of one length that differ in one character, and a line with one
+    character ``more``, cut as the shorter one is, are equal without the piece
+    of the edit. at and end are the piece's place in the shorter one.
+    """
+    return F.concat(_without_pieces(line, pieces, 0), _without_pieces(line, pieces, 1))
+
+
+def _without(line: Column, at: Column, end: Column, more: int | Column) -> Column:
+    n = F.length(line)
+    return F.xxhash64(F.substring(line, F.lit(1), at), F.substring(line, end + more + 1, n), n - more, at)
+
+
+def _without_pieces(line: Column, pieces: int, more: int) -> Column:
+    size = F.length(line) - more
+    count = F.greatest(F.lit(1), F.least(size, F.lit(pieces)))
+    cut = lambda j: F.floor(j * size / count).cast("int")
+    piece = lambda j: F.struct(_without(line, cut(j), cut(j + 1), more).alias("key"), cut(j).alias("at"), cut(j + 1).alias("end"), F.lit(more).alias("more"))
+    return F.when(size > 0, F.transform(F.sequence(F.lit(0), count - 1), piece)).otherwise(F.array().cast("array<struct<key:bigint,at:int,end:int,more:int>>"))
+
+
+def letter_keys(line: Column, at: Column, end: Column, more: Column) -> Column:
+    """Hashes of the line without each character of a piece."""
+    return F.transform(F.sequence(at, end - 1), lambda c: _without(line, c, c + 1, more))
+
+
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether the edit distance of two strings is at most ``threshold`` (0 to 4).
 
@@ -94,6 +126,30 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return some.select(F.explode(F.transform("at", lambda x: F.struct(x["id"].alias("id"), F.get("_lines", x["pos"]).alias("line")))).alias("x")).select("x.*")
 
 
+def _led(keyed: DataFrame, settle: bool = True) -> DataFrame:
+    """(key, id, lead) of the hashes that several lines share, with the earliest of them."""
+    keyed = materialize(keyed, "op6-keys") if settle else keyed
+    groups = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
+    return materialize(keyed.join(groups, "key"), "op6-members")
+
+
+def _near_lead(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(id) of the lines within the threshold of an earliest one."""
+    star = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    star = star.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    return materialize(star.where(within(F.col("la"), F.col("lb"), threshold)).select(F.col("b").alias("id")).distinct(), "op6-near")
+
+
+def _open(members: DataFrame, near: DataFrame) -> DataFrame:
+    """Members that are near no earlier line so far."""
+    return members.where("id <> lead").join(near, "id", "left_anti")
+
+
+def _unsettled(members: DataFrame, near: DataFrame) -> DataFrame:
+    """All members of the hashes that have an open one."""
+    return members.join(_open(members, near).select("key").distinct(), "key", "left_semi")
+
+
 def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, at): the line numbers, from 0, that go from each document that loses any.
 
@@ -115,23 +171,23 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int
         ident = F.struct("doc", "pos")
     made = made.withColumn("id", ident)
 
-    keyed = made.select("id", F.explode("keys").alias("key"))
-    groups = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    members = materialize(keyed.join(groups, "key"), "op6-members")
+    members = _led(made.select("id", F.explode("keys").alias("key")), settle=False)
     ids = members.select("id").distinct().join(made.select("id", "doc", "pos"), "id")
     texts = materialize(_texts(docs, ids), "op6-texts")
-    ta, tb = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    close = within(F.col("la"), F.col("lb"), threshold)
-
-    star = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    near = materialize(star.join(ta, "a").join(tb, "b").where(close).select("b").distinct(), "op6-near")
-    open_ = members.where("id <> lead").select(F.col("id").alias("b"), "key", "lead").join(near, "b", "left_anti")
-    sizes = texts.select("id", F.length("line").alias("n"))
-    earlier = members.join(sizes, "id").select("key", F.col("id").alias("a"), F.col("n").alias("na")).join(open_.select("key").distinct(), "key")
-    later = open_.join(sizes.withColumnRenamed("id", "b"), "b").select(F.col("key").alias("k"), "b", "lead", F.col("n").alias("nb"))
-    pairs = earlier.join(later, (F.col("key") == F.col("k")) & F.expr(f"a < b and a <> lead and abs(na - nb) <= {threshold}")).select("a", "b").distinct()
-    more = pairs.join(ta, "a").join(tb, "b").where(close).select("b").distinct()
-    near = materialize(near.union(more).distinct().withColumnRenamed("b", "id"), "op6-near")
+    near = _near_lead(members, texts, threshold)
+    if threshold == 1:
+        # the lines of hashes with a line that is near no earlier one yet meet again without one piece, then without one of its characters
+        again = _unsettled(members, near).select("id").distinct().join(texts, "id")
+        members = _led(again.select("id", F.explode(piece_keys(F.col("line"))).alias("x")).select("id", "x.*"))
+        near = materialize(near.union(_near_lead(members, texts, threshold)).distinct(), "op6-near")
+        again = _unsettled(members, near).select("id", "at", "end", "more").distinct().join(texts, "id")
+        members = _led(again.select("id", F.explode(letter_keys(F.col("line"), F.col("at"), F.col("end"), F.col("more"))).alias("key")).distinct())
+        near = materialize(near.union(_near_lead(members, texts, threshold)).distinct(), "op6-near")
+    left = _open(members, near)
+    earlier = _unsettled(members, near).join(texts, "id").select("key", F.col("id").alias("a"), F.col("line").alias("la"))
+    later = left.join(texts, "id").select(F.col("key").alias("k"), F.col("id").alias("b"), "lead", F.col("line").alias("lb"))
+    pairs = earlier.join(later, (F.col("key") == F.col("k")) & F.expr("a < b and a <> lead") & within(F.col("la"), F.col("lb"), threshold))
+    near = materialize(near.union(pairs.select(F.col("b").alias("id"))).distinct(), "op6-near")
 
     fate = made.join(near.withColumn("near", F.lit(True)), "id", "left").select("h", "g", F.col("doc").alias("d0"), F.col("pos").alias("p0"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("doc", "pos", "h", "g").join(fate, ["h", "g"]).where("near or doc <> d0 or pos <> p0")
