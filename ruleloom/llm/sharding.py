@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Slots are numbered within this many key ranges of each shard, side by side.
-RANGES = 64
+RANGES = 1_024
 
 
 def rendezvous(key: str | Column, weights: Sequence[float], seed: int = 0) -> Column:
