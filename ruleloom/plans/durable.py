@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,9 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not conf.get("spark.master", "").startswith("local["):
+    master = conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='ruleloom-')}"
+    own = tempfile.mkdtemp(prefix="ruleloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    folder = f"file://{own}"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
