@@ -22,28 +22,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a, b = edges.columns[:2]
     given = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     given = materialize(given.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
-    live, labels = given.where("u <> v"), None
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
-        step = materialize(live.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("p")), "cc-hooks")
-        while True:  # chains shorten by half each time
-            above = step.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-            flat = materialize(step.join(above, "p", "left").select("x", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "cc-jump")
-            step = flat.select("x", "p")
-            if flat.where("moved").isEmpty():
-                break
-        if labels is None:
-            labels = step
-        else:
-            old = labels.join(step.select(F.col("x").alias("p"), F.col("p").alias("np")), "p", "left").select("x", F.coalesce("np", "p").alias("p"))
-            labels = materialize(old.union(step), "cc-labels")
-        pu, pv = step.select(F.col("x").alias("u"), F.col("p").alias("pu")), step.select(F.col("x").alias("v"), F.col("p").alias("pv"))
+    live, steps = given.where("u <> v"), []
+    while not live.isEmpty():
+        if len(steps) == max_rounds:
+            raise RuntimeError("components did not settle")
+        step = _jumped(live.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("p")))
+        step = materialize(_jumped(step), "cc-parents")
+        while not step.where("moved").isEmpty():  # chains shorten by half each time
+            step = materialize(_jumped(step), "cc-parents")
+        steps.append(step.select("x", "p"))
+        pu, pv = (steps[-1].select(F.col("x").alias(c), F.col("p").alias(f"p{c}")) for c in "uv")
         moved = live.join(pu, "u", "left").join(pv, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"))
         live = materialize(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
-    else:
-        raise RuntimeError("components did not settle")
     ends = given.select("u").union(given.select(F.col("v").alias("u"))).distinct()
-    if labels is None:
-        return ends.select(F.col("u").alias("vertex"), F.col("u").alias("component"))
-    return ends.join(labels.withColumnRenamed("x", "u"), "u", "left").select(F.col("u").alias("vertex"), F.coalesce("p", "u").alias("component"))
+    out = ends.select(F.col("u").alias("vertex"), F.col("u").alias("component"))
+    for n, step in enumerate(steps, 1):  # each round's roots hook in a later one
+        later = step.select(F.col("x").alias("component"), F.col("p").alias("root"))
+        out = out.join(later, "component", "left").select("vertex", F.coalesce("root", "component").alias("component"))
+        out = out if n % 6 else materialize(out, "cc-labels")
+    return out
+
+
+def _jumped(step: DataFrame) -> DataFrame:
+    """Every pointer (x, p) moved to its target's target, with whether it moved."""
+    above = step.select(F.col("x").alias("p"), F.col("p").alias("pp"))
+    return step.select("x", "p").join(above, "p", "left").select("x", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved"))

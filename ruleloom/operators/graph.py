@@ -46,7 +46,7 @@ def graph_nodes(nodes: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
     """(id, degree, weighted_degree) for every node, isolated ones with zeros."""
     ends = edges.select(F.col("source").alias("id"), weight).unionAll(edges.select(F.col("target").alias("id"), weight))
     sums = ends.groupBy("id").agg(F.count("*").alias("degree"), F.sum(weight).alias("w"))
-    return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.round(F.coalesce("w", F.lit(0.0)), 6).alias("weighted_degree"))
+    return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.round(F.coalesce("w", F.lit(0.0)), 8).alias("weighted_degree"))
 
 
 def component_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,12 +56,12 @@ def component_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def component_export(labels: DataFrame, edges: DataFrame, weight: str, largest: int = 25) -> DataFrame:
-    """(component, size, n_edges, density, mean_weight, oversize, rank) of components with two nodes or more.
+    """(component, size, n_edges, density, total_weight, oversize, rank) of components with two nodes or more.
 
     Ranked by size, then the smallest member; an oversize component is reported, never cut.
     """
     size = labels.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    inner = edges.join(labels.withColumnRenamed("id", "source"), "source").groupBy("component").agg(F.count("*").alias("n_edges"), F.round(F.avg(weight), 6).alias("mean_weight"))
+    inner = edges.join(labels.withColumnRenamed("id", "source"), "source").groupBy("component").agg(F.count("*").alias("n_edges"), F.round(F.sum(weight), 8).alias("total_weight"))
     out = size.join(inner, "component", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
     out = out.withColumn("density", F.round(2 * F.col("n_edges") / (F.col("size") * (F.col("size") - 1)), 6)).withColumn("oversize", F.col("size") > largest)
     return numbered(out, [F.desc("size"), F.col("component")], "rank", 1)

@@ -425,12 +425,12 @@ def flat_retrieval_topk(spark, sf_dir):
     return vectors.top_k(fx.held_out(spark, sf_dir), fx.representations(spark, sf_dir).select("id", "unit"), 10)
 
 
-@query(f"""WITH {fx.NEIGHBORS} SELECT label, count(*) AS n, round(min(score), 4) AS min, round(quantile_cont(score, 0.1), 4) AS p10, round(quantile_cont(score, 0.25), 4) AS p25, round(quantile_cont(score, 0.5), 4) AS median, round(avg(score), 4) AS mean,
-round(quantile_cont(score, 0.75), 4) AS p75, round(quantile_cont(score, 0.9), 4) AS p90, round(quantile_cont(score, 0.95), 4) AS p95, round(quantile_cont(score, 0.99), 4) AS p99, round(max(score), 4) AS max FROM neighbors JOIN vectors ON q = id GROUP BY label""")
+@query(f"""WITH {fx.NEIGHBORS} SELECT label, count(*) AS n, round(min(score), 8) AS min, round(quantile_cont(score, 0.1), 8) AS p10, round(quantile_cont(score, 0.25), 8) AS p25, round(quantile_cont(score, 0.5), 8) AS median, round(avg(score), 8) AS mean,
+round(quantile_cont(score, 0.75), 8) AS p75, round(quantile_cont(score, 0.9), 8) AS p90, round(quantile_cont(score, 0.95), 8) AS p95, round(quantile_cont(score, 0.99), 8) AS p99, round(max(score), 8) AS max FROM neighbors JOIN vectors ON q = id GROUP BY label""")
 def score_distribution(spark, sf_dir):
     """quantiles of neighbour scores."""
     v = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q"), "label")
-    return vectors.distribution(fx.neighbors(spark, sf_dir).join(v, "q"), "score", "label", digits=4)
+    return vectors.distribution(fx.neighbors(spark, sf_dir).join(v, "q"), "score", "label", digits=8)
 
 
 # --- graph ----------------------------------------------------------------
@@ -463,7 +463,7 @@ def mutual_topk_edges(spark, sf_dir):
     return _mutual(spark, sf_dir)
 
 
-@query(f"WITH {fx.MUTUAL}, deg AS (SELECT source AS id, mean_score AS w FROM mutual UNION ALL SELECT target, mean_score FROM mutual) SELECT v.id, count(w) AS degree, round(coalesce(sum(w), 0), 6) AS weighted_degree FROM vectors v LEFT JOIN deg USING (id) GROUP BY v.id")
+@query(f"WITH {fx.MUTUAL}, deg AS (SELECT source AS id, mean_score AS w FROM mutual UNION ALL SELECT target, mean_score FROM mutual) SELECT v.id, count(w) AS degree, round(coalesce(sum(w), 0), 8) AS weighted_degree FROM vectors v LEFT JOIN deg USING (id) GROUP BY v.id")
 def weighted_degrees(spark, sf_dir):
     """Nodes with degrees, isolated ones included."""
     return graph.graph_nodes(fx.vectors(spark, sf_dir), _mutual(spark, sf_dir), "mean_score")
@@ -479,8 +479,8 @@ def connected_components(spark, sf_dir):
     return graph.component_table(fx.vectors(spark, sf_dir), _mutual(spark, sf_dir))
 
 
-@query(COMPONENTS + """, s AS (SELECT component, count(*) AS size FROM comps GROUP BY component HAVING count(*) > 1), e AS (SELECT component, count(*) AS n_edges, round(avg(mean_score), 6) AS mean_weight FROM mutual JOIN comps ON source = id GROUP BY component)
-SELECT s.component, size, n_edges, mean_weight, round(2.0 * n_edges / (size * (size - 1)), 6) AS density, size > 25 AS oversize, row_number() OVER (ORDER BY size DESC, s.component) AS rank FROM s JOIN e ON s.component = e.component""")
+@query(COMPONENTS + """, s AS (SELECT component, count(*) AS size FROM comps GROUP BY component HAVING count(*) > 1), e AS (SELECT component, count(*) AS n_edges, round(sum(mean_score), 8) AS total_weight FROM mutual JOIN comps ON source = id GROUP BY component)
+SELECT s.component, size, n_edges, total_weight, round(2.0 * n_edges / (size * (size - 1)), 6) AS density, size > 25 AS oversize, row_number() OVER (ORDER BY size DESC, s.component) AS rank FROM s JOIN e ON s.component = e.component""")
 def component_density(spark, sf_dir):
     """Exported components with their density; oversize ones are reported."""
     edges = _mutual(spark, sf_dir)
