@@ -77,7 +77,7 @@ def messages(prompt: Column, images: Column) -> Column:
 def insert_before(prompt: Column, marker: str, context: Column) -> Column:
     """``context`` and a blank line before the first ``marker``; at the end where there is none."""
     at = F.instr(prompt, marker)
-    return F.when(at > 0, F.concat(F.expr("''"), F.substring(prompt, F.lit(1), at - 1), context, F.lit("\n\n"), F.substring(prompt, at, F.length(prompt)))).otherwise(F.concat(prompt, F.lit("\n\n"), context))
+    return F.when(at > 0, F.concat(F.substring(prompt, F.lit(1), at - 1), context, F.lit("\n\n"), F.substring(prompt, at, F.length(prompt)))).otherwise(F.concat(prompt, F.lit("\n\n"), context))
 
 
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "1"), ("false", "no", "0")

@@ -202,7 +202,7 @@ def complete_results(spark, sf_dir):
 def units_by_source(spark, sf_dir):
     """Units of several sources as one table, counted by source."""
     u = fx.units(spark, sf_dir).select("unit_id", "doc_id")
-    whole = files.units([("a", u.where("doc_id % 2 = 0")), ("b", u.where("doc_id % 2 = 1").drop("doc_id"))], "unit_id")
+    whole = files.units([("a", u.where("doc_id % 2 = 0")), ("b", u.where("doc_id % 2 = 1").drop("doc_id"))])
     return whole.groupBy("source_name").agg(F.count("*").alias("n_units"), F.count_distinct("unit_id").alias("n_ids"))
 
 
@@ -216,7 +216,7 @@ def content_signature(spark, sf_dir):
 
 @query(f"WITH {fx.PLAN} SELECT family_id, member_id, concat('U', row_number() OVER (PARTITION BY family_id ORDER BY l_orderkey, l_linenumber) - 1) AS model_id FROM plan WHERE family_id NOT IN (SELECT family_id FROM plan GROUP BY family_id HAVING count(*) <> count(DISTINCT member_id))")
 def surrogate_ids(spark, sf_dir):
-    """Batch-local ids; an inner join shows that the mapping is a bijection."""
+    """Batch-local ids; batches whose mapping is no bijection are left out."""
     rows = keys.surrogate_ids(fx.plan_members(spark, sf_dir), ["family_id"], [F.col("l_orderkey"), F.col("l_linenumber")])
     bad = keys.mapping_violations(rows, ["family_id"], "model_id", "member_id").select("family_id")
     return rows.join(bad, "family_id", "left_anti").select("family_id", "member_id", "model_id")
@@ -273,7 +273,7 @@ def assistant_content(spark, sf_dir):
 def data_urls(spark, sf_dir):
     """Data URLs, and equality of binary contents."""
     d = fx.table(spark, sf_dir, "documents").withColumns({"a": F.encode("lang", "UTF-8"), "b": F.encode(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.col("source")), "UTF-8")})
-    return d.select("doc_id", text.data_url(F.col("a"), "text/plain").alias("data_url"), files.images_equal(d, "a", "b").alias("same"))
+    return d.select("doc_id", text.data_url(F.col("a"), "text/plain").alias("data_url"), files.images_equal("a", "b").alias("same"))
 
 
 @query("""SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN c_name END), ''), nullif(trim(c_mktsegment), ''), '') AS name, '' AS goal FROM customer""")

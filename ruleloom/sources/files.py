@@ -52,7 +52,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def units(sources: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:
+def units(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """One table of all sources with source_name; ids must be unique across them (see constraints.unique)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("source_name", F.lit(name)) for name, df in sources])
 
@@ -159,7 +159,7 @@ def markdown_head(columns: Sequence[str]) -> str:
     return f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}"
 
 
-def images_equal(pairs: DataFrame, before: str, after: str) -> Column:
+def images_equal(before: str, after: str) -> Column:
     """Equal image files; decoded pixels are compared by ``decoded_sha`` where a decoder is installed."""
     return F.sha2(before, 256) == F.sha2(after, 256)
 
