@@ -166,7 +166,7 @@ def coalesced_verdict(spark, sf_dir):
     return e.select("event_id", text.as_bool(a, F.get_json_object("props", "$.k")).alias("found"), text.as_share(F.lit("n/a"), F.col("value").cast("string")).alias("confidence"))
 
 
-@query("""SELECT event_id, event_type = 'error' AS bug_found, event_type AS bug_type, CASE WHEN event_id % 2 = 0 THEN concat('s', event_id) ELSE concat('d', event_id) END AS bug_description, 0.9 AS confidence, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_steps FROM events WHERE event_id % 7 <> 0""")
+@query("""SELECT event_id, event_type = 'error' AS bug_found, event_type AS bug_type, CASE WHEN event_id % 2 = 0 THEN concat('s', event_id) ELSE concat('d', event_id) END AS bug_description, CAST(0.9 AS DOUBLE) AS confidence, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_steps FROM events WHERE event_id % 7 <> 0""")
 def bug_records(spark, sf_dir):
     """Detector answers as records, with fallbacks for renamed fields."""
     e = fx.table(spark, sf_dir, "events")
