@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from ruleloom.plans.durable import materialize
 
-#: Shorter lines (headings, closings) stay, and make no other line go.
+#: Shorter lines (headings, closings) go for equal ones alone: one edit in a few characters makes another word.
 MIN_CHARS = 20
+#: What makes a line other than blank.
+FILLED = r"[^\x20\x09-\x0D]"
 THRESHOLD = 1
 #: Finer segments for lines that share a hash and are not near its earliest line.
 PIECES = 32
@@ -109,9 +111,10 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return (F.abs(gap) <= t) & (F.call_function("shiftrightunsigned", end, F.greatest(F.lit(0), gap + t) + t * w).bitwiseAND(F.lit(1)) == 1)
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int, every_length: bool) -> DataFrame:
     lines = docs.where("doc is not null and text is not null").select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.where(F.length("line") >= min_chars)
+    long_ones = F.length("line") >= min_chars
+    lines = lines.where(long_ones | F.col("line").rlike(FILLED) if every_length else long_ones)
     return lines.select("doc", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
@@ -150,15 +153,16 @@ def _unsettled(members: DataFrame, near: DataFrame) -> DataFrame:
     return members.join(_open(members, near).select("key").distinct(), "key", "left_semi")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, every_length: bool = False) -> DataFrame:
     """(doc, at): the line numbers, from 0, that go from each document that loses any.
 
     A line goes if an earlier one, in the order of ids and line numbers, is
-    equal or within ``threshold`` edits.
+    equal or within ``threshold`` edits; see :func:`line_dedup` for its length.
     """
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    lines = _lines(docs, min_chars)
-    made = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "pos", segment_keys(F.col("line"), threshold).alias("keys"))).alias("x"))
+    lines = _lines(docs, min_chars, every_length)
+    keys = F.when(F.length("line") >= min_chars, segment_keys(F.col("line"), threshold))  # none for lines that go for equal ones alone
+    made = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "pos", keys.alias("keys"))).alias("x"))
     made = materialize(made.select("h", "g", "x.*"), "op6-lines")
 
     # an id that sorts as (doc, pos): packed into a long where the values allow it
@@ -194,16 +198,17 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int
     return gone.groupBy("doc").agg(F.collect_set("pos").alias("at"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, every_length: bool = False) -> DataFrame:
     """``docs`` with the text's repeated lines removed, and n_lines, n_dropped.
 
     Lines end at \\n. Lines under ``min_chars`` characters stay; of the others,
     those go that have an equal line, or one within ``threshold`` edits, earlier
-    by id and line number. Rows with the same id are one document, each losing
+    by id and line number. With ``every_length`` the lines under ``min_chars``
+    that are not blank go too, for equal ones only. Rows with the same id are one document, each losing
     the same lines. Rows with a null id or text stay as they are (n_lines of a
     null text is 0). Columns of the new names are replaced.
     """
-    gone = duplicate_lines(docs, id_col, text_col, threshold, min_chars)
+    gone = duplicate_lines(docs, id_col, text_col, threshold, min_chars, every_length)
     out = docs.drop("n_lines", "n_dropped")
     out = out.join(gone.withColumnsRenamed({"doc": "_doc", "at": "_at"}), F.col(id_col) == F.col("_doc"), "left")
     lines = F.split(text_col, "\n", -1)

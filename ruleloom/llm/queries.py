@@ -57,7 +57,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text without its repeated lines."""
-    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), every_length=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
