@@ -24,7 +24,7 @@ from ruleloom.plans.durable import materialize
 MIN_CHARS = 20
 #: What makes a line other than blank.
 FILLED = r"[^\x20\x09-\x0D]"
-THRESHOLD = 1
+THRESHOLD = 2
 #: Finer segments for lines that share a hash and are not near its earliest line.
 PIECES = 32
 #: Documents whose ids are sent to every executor at most; more are joined by a shuffle.
@@ -161,7 +161,8 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int
     """
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     lines = _lines(docs, min_chars, every_length)
-    keys = F.when(F.length("line") >= min_chars, segment_keys(F.col("line"), threshold))  # none for lines that go for equal ones alone
+    # none for lines that go for equal ones alone; a slice, as in a branch Spark computes each shared part again
+    keys = F.slice(segment_keys(F.col("line"), threshold), F.lit(1), F.when(F.length("line") >= min_chars, F.lit(1 << 16)).otherwise(F.lit(0)))
     made = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "pos", keys.alias("keys"))).alias("x"))
     made = materialize(made.select("h", "g", "x.*"), "op6-lines")
 

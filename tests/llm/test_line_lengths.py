@@ -17,6 +17,12 @@ def test_equal_lines_of_every_length_go(spark):
     assert out == {1: ("Les.\n\na\nLet.\n ", 7, 2), 2: ("\n", 4, 2), 3: ("b", 2, 1)}
 
 
+def test_lines_two_edits_apart_go_by_default(spark):
+    line = "the weather on erin are ntreou and so on"
+    rows = [(1, line, *[None] * 9), (2, line.replace("are", "at"), *[None] * 9), (3, line.replace("are", "xyz"), *[None] * 9), (4, line.replace("the", "tha", 1) + "!", *[None] * 9)]
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup(cases.frame(spark, rows)).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
 @pytest.mark.parametrize("run", [
     lambda spark: queries.QUERIES["op6_line_dedup"](spark, SF),
     lambda spark: pipeline.repeated_lines(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF),
