@@ -754,8 +754,7 @@ def family_fold(spark, sf_dir):
 def _serial_events(spark, sf_dir) -> DataFrame:
     e = fx.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("V"), "vec_id").alias("unit_id"), F.col("vec_id").alias("serial_order"), F.col("embedding").alias("vector"))
     judge = lambda unit, found: ("EQUIVALENT", found[0][0]) if found and found[0][1] >= 0.45 else ("VARIANT", found[0][0]) if found and found[0][1] >= 0.40 else ("NO_MATCH", None)
-    _, events = serial.fold(e, judge=judge)
-    return spark.createDataFrame(events, "event_id string, serial_order long, unit_id string, decision string, family_id string")
+    return serial.event_log(e, judge)
 
 
 @query()

@@ -1,8 +1,11 @@
 import json
 
 import numpy as np
+import pytest
+from oracle import SF
 
 from ruleloom.operators import catalog
+from ruleloom.plans.queries import QUERIES
 from ruleloom.sources import files
 from ruleloom.streaming import serial
 
@@ -25,6 +28,23 @@ def test_fold_resumes_where_it_stopped(spark):
     assert {r["family_id"]: r["member_ids"] for r in serial.replay(again).collect()} == {k: f.members() for k, f in whole.families.items()}
 
 
+def test_event_log_holds_every_slice(spark):
+    q = queue(spark)
+    _, events = serial.fold(q)
+    for limit in (13, 20, 40, 100):
+        assert [r.asDict() for r in serial.event_log(q, limit=limit).orderBy("serial_order").collect()] == events
+    assert serial.event_log(q.where("false")).count() == 0
+    with pytest.raises(ValueError, match="no unit 10"):
+        serial.event_log(q.where("serial_order < 10 or serial_order > 30"), limit=5)
+
+
+def test_registered_log_and_replay_take_units_beyond_a_slice(spark, monkeypatch):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    monkeypatch.setattr(serial, "event_log", lambda q, judge, run=serial.event_log: run(q, judge, 100))
+    assert n > 100 and QUERIES["serial_consolidation"](spark, SF).count() == n
+    assert sum(len(r["member_ids"]) for r in QUERIES["state_replay"](spark, SF).collect()) == n
+
+
 def test_empty_queue_keeps_the_state(spark):
     state, events = serial.fold(queue(spark, 3).where("false"))
     assert events == [] and state.families == {} and state.next_order == 0
