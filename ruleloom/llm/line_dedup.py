@@ -111,6 +111,16 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return (F.abs(gap) <= t) & (F.call_function("shiftrightunsigned", end, F.greatest(F.lit(0), gap + t) + t * w).bitwiseAND(F.lit(1)) == 1)
 
 
+def letter_parity(line: Column) -> Column:
+    """A bit for each of 64 classes of letters: whether the line has an odd number of them. One edit changes two bits at most."""
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x), F.lit(64)))))
+
+
+def _close(a: Column, b: Column, pa: Column, pb: Column, threshold: int) -> Column:
+    """``within``, after the letters' parities, which leave most pairs out and none that are near."""
+    return F.when(F.bit_count(pa.bitwiseXOR(pb)) <= 2 * threshold, within(a, b, threshold)).otherwise(F.lit(False))
+
+
 def _lines(docs: DataFrame, min_chars: int, every_length: bool) -> DataFrame:
     lines = docs.where("doc is not null and text is not null").select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     long_ones = F.length("line") >= min_chars
@@ -123,10 +133,11 @@ def _send(df: DataFrame, most: int = SEND_IDS) -> DataFrame:
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line) of the given (id, doc, pos)."""
+    """(id, line, parity) of the given (id, doc, pos)."""
     wanted = materialize(ids.groupBy("doc").agg(F.collect_list(F.struct("pos", "id")).alias("at")), "op6-wanted")  # at most a document's lines
     some = docs.join(_send(wanted), "doc").dropDuplicates(["doc"]).withColumn("_lines", F.split("text", "\n", -1))
-    return some.select(F.explode(F.transform("at", lambda x: F.struct(x["id"].alias("id"), F.get("_lines", x["pos"]).alias("line")))).alias("x")).select("x.*")
+    some = some.select(F.explode(F.transform("at", lambda x: F.struct(x["id"].alias("id"), F.get("_lines", x["pos"]).alias("line")))).alias("x")).select("x.*")
+    return some.withColumn("parity", letter_parity(F.col("line")))
 
 
 def _led(keyed: DataFrame, settle: bool = True) -> DataFrame:
@@ -139,8 +150,8 @@ def _led(keyed: DataFrame, settle: bool = True) -> DataFrame:
 def _near_lead(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(id) of the lines within the threshold of an earliest one."""
     star = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    return materialize(star.where(within(F.col("la"), F.col("lb"), threshold)).select(F.col("b").alias("id")).distinct(), "op6-near")
+    star = star.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("parity").alias("pa")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("parity").alias("pb")), "b")
+    return materialize(star.where(_close(F.col("la"), F.col("lb"), F.col("pa"), F.col("pb"), threshold)).select(F.col("b").alias("id")).distinct(), "op6-near")
 
 
 def _open(members: DataFrame, near: DataFrame) -> DataFrame:
@@ -189,9 +200,9 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int
         members = _led(again.select("id", F.explode(letter_keys(F.col("line"), F.col("at"), F.col("end"), F.col("more"))).alias("key")).distinct())
         near = materialize(near.union(_near_lead(members, texts, threshold)).distinct(), "op6-near")
     left = _open(members, near)
-    earlier = _unsettled(members, near).join(texts, "id").select("key", F.col("id").alias("a"), F.col("line").alias("la"))
-    later = left.join(texts, "id").select(F.col("key").alias("k"), F.col("id").alias("b"), "lead", F.col("line").alias("lb"))
-    pairs = earlier.join(later, (F.col("key") == F.col("k")) & F.expr("a < b and a <> lead") & within(F.col("la"), F.col("lb"), threshold))
+    earlier = _unsettled(members, near).join(texts, "id").select("key", F.col("id").alias("a"), F.col("line").alias("la"), F.col("parity").alias("pa"))
+    later = left.join(texts, "id").select(F.col("key").alias("k"), F.col("id").alias("b"), "lead", F.col("line").alias("lb"), F.col("parity").alias("pb"))
+    pairs = earlier.join(later, (F.col("key") == F.col("k")) & F.expr("a < b and a <> lead") & _close(F.col("la"), F.col("lb"), F.col("pa"), F.col("pb"), threshold))
     near = materialize(near.union(pairs.select(F.col("b").alias("id"))).distinct(), "op6-near")
 
     fate = made.join(near.withColumn("near", F.lit(True)), "id", "left").select("h", "g", F.col("doc").alias("d0"), F.col("pos").alias("p0"), F.coalesce("near", F.lit(False)).alias("near"))
