@@ -3,24 +3,29 @@
 Pages of one host share a template. One page of each host, the one with the
 smallest key hash, is the reference; every page's DOM tree is aligned with it
 by simple tree matching (the largest set of node pairs that keeps tags, order
-and ancestry). A reference node counts how many pages match it and how many of
-those carry the same text; the counts of all pages are summed by key, so a
-host's size does not matter. Nodes whose text stays the same are template,
-nodes whose text varies are slots. The wrapper of a host is the slot subtree
-that holds its main text: the article of the pages, or where a host marks none,
-the subtree with the most varying text outside the parts that are never main
-text by their own mark-up (menus, headers, footers, sidebars, notices, adverts,
-forms, comments). Each page's text is then read from the nodes aligned with the
-wrapper; inside it nothing is dropped but such parts.
+and ancestry), at every depth and width. A reference node counts the pages that
+align with it, those of them that carry the same text there, and the varying
+text of all; text of a page that aligns with nothing counts for the nearest
+node above that does. Pages with the same text as the reference have no vote. The
+counts of all pages are summed by key, so a host's size does not matter.
+
+Nodes whose text stays the same on the host's pages are template and go
+wherever a page repeats them. The wrapper is the slot that holds the varying
+text: the subtree with nine tenths of it, or an article or main element with
+half of it. What a page names as menu, header, footer, sidebar, notice, advert,
+form or comments by tag, class, id or role is never main text and has no vote.
+Each page's text is read from the nodes aligned with the wrapper.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,34 +34,42 @@ from ruleloom.plans.durable import materialize
 
 # HTML's elements by role.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript head title iframe object svg canvas math audio video select option datalist textarea button".split())
+HIDDEN = frozenset("script style template noscript head title iframe object canvas audio video select option datalist textarea".split())
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img button output svg math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
 MAIN = ("article", "main")
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-#: Words in an element's class, id or role that mark what is never main text.
-MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|footer|header|masthead|comments?|replies|respond|disqus|share|social|related|recommended|widget|login|search|pagination|pager|copyright|toolbar|skip)(?:$|[\s_-])", re.I)
+#: Words in an element's class, id or role that name a part which is never main text; a part that holds an article or main element is none.
+MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor(?:s|ed)?|promo|banner|cookies?|consent|notices?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|headers?|masthead|comments?|replies|disqus)(?:$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
-#: A page's tree is compared with the reference no deeper and no wider than a host's pages need; the text itself is never cut.
-DEPTH, WIDTH = 12, 64
+#: An article or main element with this share of the varying text is the wrapper; other elements need the second share.
+HINTED, HELD = 0.5, 0.9
+#: A node is template if this share of the pages aligned with it, and so many of them, have its text.
+SAME, VOTERS = 0.9, 20
+#: Cells of an alignment table that are kept at once; larger tables are halved.
+CELLS = 1 << 22
 
 
 class Node:
-    __slots__ = ("bad", "items", "kids", "tag")
+    __slots__ = ("bad", "items", "kids", "num", "shape", "tag")
 
     def __init__(self, tag: str, bad: bool = False):
-        self.tag, self.bad, self.kids, self.items = tag, bad, [], []
+        self.tag, self.bad, self.kids, self.items, self.num, self.shape = tag, bad, [], [], -1, -1
 
-    def words(self) -> str:
-        """All text below, its white space normalised."""
-        out, todo = [], [self]
+    def own(self) -> str:
+        """The text of a block without the blocks below it, its white space normalised; an inline element's text is its block's."""
+        if self.tag in INLINE:
+            return ""
+        out, todo = [], self.items[::-1]
         while todo:
-            n = todo.pop()
-            if isinstance(n, str):
-                out.append(n)
-            elif n.tag not in HIDDEN:
-                todo.extend(reversed(n.items))
-        return SPACE.sub(" ", " ".join(out)).strip()
+            x = todo.pop()
+            if x.__class__ is str:
+                out.append(x)
+            elif x.tag == "br":
+                out.append(" ")
+            elif x.tag in INLINE and not x.bad:
+                todo.extend(reversed(x.items))
+        return SPACE.sub(" ", "".join(out)).strip()
 
 
 class _Tree(HTMLParser):
@@ -66,6 +79,8 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.counts: Counter = Counter()
+        self.marked: list[Node] = []  # open elements that are bad by their attributes alone
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P:
@@ -80,25 +95,45 @@ class _Tree(HTMLParser):
             self._end("tr", {"table"})
         elif tag == "body":
             self._end("head", set())
-        bad = tag in ASIDE or tag in HIDDEN
+        bad = marked = False
         for k, v in attrs:
             if (k in ("class", "id", "role") and v and MARK.search(v)) or k == "hidden" or (k == "aria-hidden" and v == "true"):
-                bad = bad or tag not in ("html", "body", "article", "main")
+                bad = marked = tag not in ("html", "body", "article", "main")
+        if tag in ASIDE or tag in HIDDEN:
+            bad, marked = True, False
+        elif tag in MAIN:
+            for n in self.marked:
+                n.bad = False
+            self.marked.clear()
         node = Node(tag, bad)
         self.open[-1].kids.append(node)
         self.open[-1].items.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.counts[tag] += 1
+            if marked:
+                self.marked.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag and tag in ("svg", "path", "use"):
-            self.open.pop()
+            self._close(len(self.open) - 1)
+
+    def _close(self, i: int) -> None:
+        for n in self.open[i:]:
+            self.counts[n.tag] -= 1
+            if self.marked and self.marked[-1] is n:  # a nested one is closed before
+                self.marked.pop()
+            elif self.marked:
+                self.marked = [m for m in self.marked if m is not n]
+        del self.open[i:]
 
     def _end(self, tag: str, stop: set[str]) -> bool:
+        if not self.counts[tag]:
+            return False
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._close(i)
                 return True
             if self.open[i].tag in stop:
                 return False
@@ -117,60 +152,143 @@ class _Tree(HTMLParser):
 
 
 def parse(html: str | None) -> Node:
+    """The page's tree, its nodes numbered in document order."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    todo, count = [tree.root], 0
+    while todo:
+        n = todo.pop()
+        n.num = count
+        count += 1
+        todo.extend(reversed(n.kids))
     return tree.root
 
 
-def match(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the size of the best match of two trees, and its pairs."""
-    if a.tag != b.tag:
-        return 0, []
-    if depth >= DEPTH:
-        return 1, [(a, b)]
-    xs, ys = a.kids[:WIDTH], b.kids[:WIDTH]
-    if len(xs) == len(ys) and all(not x.kids and not y.kids and x.tag == y.tag for x, y in zip(xs, ys, strict=True)):
-        return 1 + len(xs), [(a, b), *zip(xs, ys, strict=True)]
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    found: dict[tuple[int, int], list] = {}
-    for i, x in enumerate(xs, 1):
-        row, above = best[i], best[i - 1]
-        for j, y in enumerate(ys, 1):
-            most = above[j] if above[j] >= row[j - 1] else row[j - 1]
-            if x.tag == y.tag:
-                size, pairs = match(x, y, depth + 1) if x.kids or y.kids else (1, [(x, y)])
-                found[i, j] = pairs
-                if above[j - 1] + size > most:
-                    most = above[j - 1] + size
-            row[j] = most
-    i, j, pairs = len(xs), len(ys), []
+class Shapes:
+    """Numbers of subtrees by their tags alone: equal shapes, one number. ``base`` holds those of another tree."""
+
+    def __init__(self, root: Node, base: Shapes | None = None):
+        self.ids: dict[tuple, int] = {}
+        self.base = base
+        self.size: list[int] = list(base.size) if base else []
+        self.node: list[Node] = list(base.node) if base else []
+        order, todo = [], [root]
+        while todo:
+            n = todo.pop()
+            order.append(n)
+            todo.extend(n.kids)
+        for n in reversed(order):  # children before their parents
+            key = (n.tag, *[k.shape for k in n.kids])
+            at = base.ids.get(key) if base else None
+            at = self.ids.get(key) if at is None else at
+            if at is None:
+                at = self.ids[key] = len(self.size)
+                self.size.append(1 + sum([self.size[k.shape] for k in n.kids]))
+                self.node.append(n)
+            n.shape = at
+
+
+def _mid(x: list[Node], y: list[Node]) -> tuple[int, int]:
+    """How many children match by shape from the front, and of the others from the end; to pair those is always best."""
+    most, front = min(len(x), len(y)), 0
+    while front < most and x[front].shape == y[front].shape:
+        front += 1
+    back = 0
+    while back < most - front and x[-1 - back].shape == y[-1 - back].shape:
+        back += 1
+    return front, back
+
+
+def align(weights: list[list[int]]) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest set of pairs (i, j), both ascending, and its weight; ``weights[i][j]`` is 0 where i and j cannot pair."""
+    m, n = len(weights), len(weights[0])
+    if m * n > CELLS and m > 1:  # halve the rows where the best of both halves meet
+        half = m // 2
+        top = _last_row(weights[:half], n)
+        low = _last_row([w[::-1] for w in reversed(weights[half:])], n)[::-1]
+        cut = int((top + low).argmax())
+        a, pa = align([w[:cut] for w in weights[:half]]) if cut else (0, [])
+        b, pb = align([w[cut:] for w in weights[half:]]) if cut < n else (0, [])
+        return a + b, pa + [(i + half, j + cut) for i, j in pb]
+    best = [[0] * (n + 1)]
+    for w in weights:
+        above, row, left = best[-1], [0], 0
+        for j in range(n):
+            up = above[j + 1]
+            left = up if up > left else left
+            if w[j] and above[j] + w[j] > left:
+                left = above[j] + w[j]
+            row.append(left)
+        best.append(row)
+    i, j, pairs = m, n, []
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
         elif best[i][j] == best[i][j - 1]:
             j -= 1
         else:
-            pairs.append(found[i, j])
             i, j = i - 1, j - 1
-    return best[-1][-1] + 1, [(a, b), *(p for part in reversed(pairs) for p in part)]
+            pairs.append((i, j))
+    return best[m][n], pairs[::-1]
+
 
+def _last_row(weights: list[list[int]], n: int) -> np.ndarray:
+    row = np.zeros(n + 1, np.int64)
+    for w in weights:
+        row[1:] = np.maximum(row[1:], row[:-1] + np.asarray(w, np.int64))
+        np.maximum.accumulate(row, out=row)
+    return row
 
-def numbered(root: Node) -> dict[int, int]:
-    """Numbers of a tree's nodes in document order, by identity."""
-    out, todo = {}, [root]
+
+def match(a: Node, b: Node, shapes: Shapes | None = None) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: the size of the largest match of two trees, and its pairs. ``shapes``: those of ``a``, if known."""
+    known = Shapes(b, shapes or Shapes(a))
+    node, size = known.node, known.size
+    found: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def weight(x: int, y: int) -> int:
+        return size[x] if x == y else found[x, y][0] if node[x].tag == node[y].tag else 0
+
+    todo = [(a.shape, b.shape)] if a.shape != b.shape and a.tag == b.tag else []
     while todo:
-        n = todo.pop()
-        out[id(n)] = len(out)
-        todo.extend(reversed(n.kids))
-    return out
+        x, y = todo[-1]
+        if (x, y) in found:
+            todo.pop()
+            continue
+        xs, ys = node[x].kids, node[y].kids
+        front, back = _mid(xs, ys)
+        left, right = ([k.shape for k in kids[front : len(kids) - back]] for kids in (xs, ys))
+        lone = [(u, v) for u in dict.fromkeys(left) for v in dict.fromkeys(right) if u != v and node[u].tag == node[v].tag]
+        open_ = [p for p in lone if p not in found]
+        if open_:
+            todo.extend(open_)
+            continue
+        total = 1 + sum(size[k.shape] for k in xs[:front]) + sum(size[k.shape] for k in xs[len(xs) - back :])
+        pairs = [(i, i) for i in range(front)]
+        if left and right:
+            rows = {u: [weight(u, v) for v in right] for u in dict.fromkeys(left)}
+            most, middle = align([rows[u] for u in left])
+            total += most
+            pairs += [(i + front, j + front) for i, j in middle]
+        found[x, y] = total, pairs + [(len(xs) - back + i, len(ys) - back + i) for i in range(back)]
+        todo.pop()
+    out, walk = [], [(a, b)] if a.tag == b.tag else []
+    while walk:
+        x, y = walk.pop()
+        out.append((x, y))
+        if x.shape == y.shape:
+            walk.extend(reversed(list(zip(x.kids, y.kids, strict=True))))
+        else:
+            walk.extend((x.kids[i], y.kids[j]) for i, j in reversed(found[x.shape, y.shape][1]))
+    return len(out), out
 
 
 @lru_cache(maxsize=256)
-def _reference(html: str | None) -> tuple[Node, dict[int, int], frozenset[int]]:
-    """A reference tree, its numbers and its usable nodes; a worker sees the same few again and again."""
+def _reference(html: str | None) -> tuple[Node, Shapes, dict[int, str]]:
+    """A reference tree, its shapes and the texts of its usable nodes by number; batches are read host by host."""
     root = parse(html)
-    return root, numbered(root), frozenset(id(n) for n, _ in _usable(root))
+    return root, Shapes(root), {n.num: n.own() for n, _ in _usable(root)}
 
 
 def _usable(root: Node) -> Iterator[tuple[Node, Node | None]]:
@@ -183,50 +301,69 @@ def _usable(root: Node) -> Iterator[tuple[Node, Node | None]]:
         todo.extend((k, main) for k in reversed(n.kids) if not k.bad)
 
 
-def votes(html: str | None, reference: str | None) -> list[tuple[int, int, int]]:
-    """(reference node, varying characters, constant characters) from one page, for usable nodes with text of their own."""
-    page = parse(html)
-    ref, number, usable = _reference(reference)
-    out = []
-    for r, p in match(ref, page)[1]:
-        if id(r) not in usable:
-            continue
-        a, b = (SPACE.sub(" ", "".join(x for x in n.items if isinstance(x, str))).strip() for n in (r, p))
-        if a or b:
-            out.append((number[id(r)], 0 if a == b else len(b), len(b) if a == b else 0))
-    return out
-
-
-def wrapper(reference: str | None, counts: dict[int, tuple[int, int]], pages: int) -> int:
-    """The reference node that holds the main text, or -1.
+def votes(html: str | None, reference: str | None) -> dict[int, tuple[int, int, int]]:
+    """{reference node: (varying characters, 1 if its text is the same, 1)} from one page, for usable nodes with text of their own.
 
-    An article or main element that any count speaks for is taken; among
-    others, the deepest node that still holds nine tenths of the varying text.
-    A host with one page has no varying text: all its text counts.
+    Text outside the alignment varies, at the nearest aligned node above it,
+    with a vote of 0. A page that differs in no usable text, as the reference itself, has no votes.
+    """
+    page = parse(html)
+    ref, shapes, texts = _reference(reference)
+    partner = {id(p): r.num for r, p in match(ref, page, shapes)[1]}
+    out: dict[int, tuple[int, int, int]] = {}
+    same = whole = 0
+    todo = [(page, 0)]
+    while todo:
+        n, above = todo.pop()
+        at = partner.get(id(n))
+        if at in texts:
+            a, b = texts[at], n.own()
+            if a or b:
+                equal = a == b
+                v, s, k = out.get(at, (0, 0, 0))
+                out[at] = v + (0 if equal else len(b)), s + equal, k + 1
+                same, whole = same + len(b) * equal, whole + len(b)
+            above = at
+        elif b := n.own():
+            v, s, k = out.get(above, (0, 0, 0))
+            out[above] = v + len(b), s, k
+            whole += len(b)
+        todo.extend([(k, above) for k in n.kids if not k.bad])
+    return {} if same == whole else out
+
+
+def wrapper(reference: str | None, counts: dict[int, tuple[int, int, int]]) -> tuple[int, list[int]]:
+    """The reference node that holds the main text, or -1, and the template nodes inside it.
+
+    A host without varying text (one page, or copies of one) has no template;
+    its reference's own text takes the place of the varying text.
     """
     ref = parse(reference)
-    number = numbered(ref)
-    weigh = (lambda n: sum(counts.get(number[id(n)], (0, 0)))) if pages < 2 else (lambda n: counts.get(number[id(n)], (0, 0))[0])
-    mains = [n for n, main in _usable(ref) if main is n]
-    if mains:
-        return number[id(max(mains, key=lambda n: len(n.words())))]
-
+    order = [n for n, _ in _usable(ref)]
+    varying = sum(counts.get(n.num, (0,))[0] for n in order) > 0
     mass: dict[int, int] = {}
-    for n, _ in reversed(list(_usable(ref))):  # children before their parents
-        mass[id(n)] = weigh(n) + sum(mass[id(k)] for k in n.kids if not k.bad)
-    at, whole = ref, mass[id(ref)]
+    for n in reversed(order):  # children before their parents
+        mass[n.num] = (counts.get(n.num, (0,))[0] if varying else len(n.own())) + sum(mass[k.num] for k in n.kids if not k.bad)
+    whole = mass[ref.num]
     if not whole:
-        return -1
-    while True:
-        rich = [k for k in at.kids if not k.bad and 10 * mass[id(k)] >= 9 * whole]
-        if not rich or rich[0].tag in INLINE or rich[0].tag in ENDS_P - {"article", "main", "div", "section", "table", "blockquote"}:
-            return number[id(at)]
-        at = rich[0]
-
-
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks below ``node`` in page order, bad parts left out."""
+        return -1, []
+    mains = [n for n, main in _usable(ref) if main is n and mass[n.num] >= HINTED * whole]
+    if mains:
+        at = max(mains, key=lambda n: mass[n.num])
+    else:
+        at = ref
+        while rich := [k for k in at.kids if not k.bad and mass[k.num] >= HELD * whole]:
+            if rich[0].tag in INLINE or rich[0].tag in ENDS_P - {"article", "main", "div", "section", "table", "blockquote"}:
+                break
+            at = rich[0]
+    fixed = [n.num for n, _ in _usable(at) if varying and n.num in counts and counts[n.num][2] >= VOTERS and counts[n.num][1] >= SAME * counts[n.num][2]]
+    return at.num, fixed
+
+
+def blocks(node: Node, template: frozenset[int] = frozenset()) -> list[str]:
+    """The texts of the blocks below ``node`` in page order, without bad parts and the own texts of ``template`` nodes (by id())."""
     out: list[str] = []
+    mute = set(template)
     run: list[str] = []
 
     def flush():
@@ -245,46 +382,66 @@ def blocks(node: Node) -> list[str]:
         elif n.tag == "br":
             run.append(" ")
         elif n is node or not n.bad:
+            items = n.items
+            if id(n) in mute:
+                items = [x for x in items if isinstance(x, Node)]
+                mute.update(id(x) for x in items if x.tag in INLINE)
             if n.tag in INLINE:
-                todo.extend(reversed(n.items))
+                todo.extend(reversed(items))
             else:
                 todo.append(None)
-                todo.extend(reversed(n.items))
+                todo.extend(reversed(items))
                 todo.append(None)
     flush()
     return out
 
 
-def extract(html: str | None, reference: str | None, at: int) -> str:
-    """The main text: the page's own article or main elements, else what is aligned with the wrapper, else all usable text."""
+def extract(html: str | None, reference: str | None, at: int, fixed: Sequence[int] = ()) -> str:
+    """The text aligned with the wrapper without the template; of a page that does not align with it, its article or main elements, else all usable text."""
     page = parse(html)
-    mains = [n for n, main in _usable(page) if main is n]
-    if not mains and at >= 0:
-        ref, number, _ = _reference(reference)
-        mains = [p for r, p in match(ref, page)[1] if number[id(r)] == at and p.tag != "#root"]
-    if not mains:
-        mains = [page]
-    return "\n".join(b for n in mains for b in blocks(n))
+    mains, template = [], frozenset()
+    if at >= 0:
+        ref, shapes, texts = _reference(reference)
+        pairs = match(ref, page, shapes)[1]
+        mains = [p for r, p in pairs if r.num == at]
+        constant = frozenset(fixed)
+        template = frozenset(id(p) for r, p in pairs if r.num in constant and p.own() == texts[r.num])
+    mains = mains or [n for n, main in _usable(page) if main is n] or [page]
+    return "\n".join(b for n in mains for b in blocks(n, template))
+
+
+def _by_host(b: pa.RecordBatch, host: int) -> list[int]:
+    """Row numbers of a batch, those of one host together."""
+    hosts = b.column(host).to_pylist()
+    return sorted(range(len(hosts)), key=hosts.__getitem__)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [(h, *v) for h, html, ref in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for v in votes(html, ref)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), *(pa.array([x[i] for x in out], pa.int64()) for i in (1, 2, 3))], ["host", "node", "varying", "constant"])
+        hosts, pages, refs = (b.column(i).to_pylist() for i in range(3))
+        sums: dict[tuple[str, int], tuple[int, int, int]] = {}
+        for i in _by_host(b, 0):
+            for node, x in votes(pages[i], refs[i]).items():
+                y = sums.get((hosts[i], node), (0, 0, 0))
+                sums[hosts[i], node] = x[0] + y[0], x[1] + y[1], x[2] + y[2]
+        cols = [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(3))]
+        yield pa.RecordBatch.from_arrays(cols, ["host", "node", "varying", "same", "voters"])
 
 
 def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = b.to_pylist()
-        at = [wrapper(r["reference"], {c["node"]: (c["varying"], c["constant"]) for c in r["counts"] or ()}, r["pages"]) for r in rows]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int64())], ["host", "reference", "at"])
+        found = [wrapper(r["reference"], {c["node"]: (c["varying"], c["same"], c["voters"]) for c in r["counts"] or ()}) for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["host", "reference", "at", "fixed"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for i in range(0, whole.num_rows, 256):
             b = whole.slice(i, 256)
-            texts = [extract(*x) for x in zip(*(b.column(j).to_pylist() for j in (2, 3, 4)), strict=True)]
+            html, refs, at, fixed = (b.column(j).to_pylist() for j in (2, 3, 4, 5))
+            texts = [""] * b.num_rows
+            for j in _by_host(b, 6):
+                texts[j] = extract(html[j], refs[j], at[j], fixed[j])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
 
 
@@ -310,13 +467,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.lower(F.coalesce(F.regexp_extract(url_col, HOST, 1), F.lit(""))).alias("host"))
-    hosts = rows.groupBy("host").agg(F.min(F.struct(F.xxhash64("id", "html").alias("h"), "html")).alias("r"), F.count("*").alias("pages"))
-    hosts = materialize(hosts.select("host", F.col("r.html").alias("reference"), "pages"), "op10-references")
+    hosts = rows.groupBy("host").agg(F.min(F.struct(F.xxhash64("id", "html").alias("h"), "html")).alias("r"))
+    hosts = materialize(hosts.select("host", F.col("r.html").alias("reference")), "op10-references")
     pairs = rows.join(_sent(hosts), "host")
-    counts = pairs.select("host", "html", "reference").mapInArrow(_votes, "host string, node long, varying long, constant long")
-    counts = counts.groupBy("host", "node").agg(F.sum("varying").alias("varying"), F.sum("constant").alias("constant"))
-    counts = counts.groupBy("host").agg(F.collect_list(F.struct("node", "varying", "constant")).alias("counts"))  # one entry a reference node
-    wrappers = hosts.join(counts, "host", "left").select("host", "reference", "pages", "counts").mapInArrow(_wrappers, "host string, reference string, at long")
+    counts = pairs.select("host", "html", "reference").mapInArrow(_votes, "host string, node long, varying long, same long, voters long")
+    counts = counts.groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("varying", "same", "voters")))
+    counts = counts.groupBy("host").agg(F.collect_list(F.struct("node", "varying", "same", "voters")).alias("counts"))  # one entry a reference node
+    wrappers = hosts.join(counts, "host", "left").select("host", "reference", "counts").mapInArrow(_wrappers, "host string, reference string, at long, fixed array<long>")
     wrappers = materialize(wrappers, "op10-wrappers")
-    out = rows.join(_sent(wrappers), "host").select("id", "url", "html", "reference", "at").mapInArrow(_texts, f"id {kind}, url string, text string, n_chars long")
+    out = rows.join(_sent(wrappers), "host").select("id", "url", "html", "reference", "at", "fixed", "host").mapInArrow(_texts, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
