@@ -45,6 +45,44 @@ def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+OP3_SQL = r"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path, row_number() OVER () AS id FROM pages),
+g AS (SELECT *, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                     WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                     WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                     WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+             list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM u),
+v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS given FROM g),
+h AS (SELECT count(DISTINCT host) AS hosts FROM v),
+c0 AS (SELECT host, segs[1] AS seg, count(*) AS n FROM v WHERE len(segs) > 0 GROUP BY ALL),
+w0 AS (SELECT seg FROM c0, h GROUP BY seg, hosts HAVING count(*) >= 8 AND count(*) * 20 >= hosts),
+l0 AS (SELECT host, seg FROM (SELECT *, sum(n) OVER (PARTITION BY host) AS every FROM c0) WHERE (n >= 3 AND n * 20 >= every) OR seg IN (SELECT seg FROM w0)),
+b AS (SELECT v.*, CASE WHEN len(segs) = 0 THEN '' WHEN l0.seg IS NOT NULL THEN segs[1] ELSE '*' END AS branch FROM v LEFT JOIN l0 ON v.host = l0.host AND v.segs[1] = l0.seg),
+d AS (SELECT id, host, branch, i AS level, segs[i] AS seg FROM b, unnest(range(2, len(segs) + 1)) AS r(i)),
+c1 AS (SELECT host, branch, level, seg, count(*) AS n FROM d GROUP BY ALL),
+w1 AS (SELECT level, seg FROM c1, h GROUP BY level, seg, hosts HAVING count(DISTINCT host) >= 8 AND count(DISTINCT host) * 20 >= hosts),
+l1 AS (SELECT c.host, c.branch, c.level, c.seg FROM (SELECT *, sum(n) OVER (PARTITION BY host, branch, level) AS every FROM c1) c LEFT JOIN w1 ON c.level = w1.level AND c.seg = w1.seg WHERE (n >= 3 AND n * 20 >= every) OR w1.seg IS NOT NULL),
+r AS (SELECT d.id, list(CASE WHEN l1.seg IS NOT NULL THEN d.seg ELSE '*' END ORDER BY d.level) AS rest FROM d LEFT JOIN l1 ON d.host = l1.host AND d.branch = l1.branch AND d.level = l1.level AND d.seg = l1.seg GROUP BY d.id),
+t AS (SELECT b.*, CASE WHEN len(segs) = 0 THEN '' ELSE concat('/', array_to_string(list_prepend(branch, coalesce(rest, [])), '/')) END AS template FROM b LEFT JOIN r ON b.id = r.id),
+n AS (SELECT host, template, count(given) AS told, count(*) FILTER (given = 'block') AS bad, count(*) AS urls FROM t GROUP BY ALL),
+o AS (SELECT coalesce(sum(bad) / sum(told), 0.0) AS overall FROM n),
+x AS (SELECT DISTINCT template, k, CASE WHEN k = 0 THEN '' ELSE concat('/', array_to_string(list_filter(string_split(template, '/'), lambda y: y <> '')[1:k], '/')) END AS prefix
+      FROM n, unnest(range(0, len(list_filter(string_split(template, '/'), lambda y: y <> '')) + 1)) AS q(k)),
+i AS (SELECT host, prefix, sum(told)::BIGINT AS told, sum(bad)::BIGINT AS bad FROM n JOIN x ON n.template = x.template GROUP BY ALL HAVING sum(told) > 0 AND sum(told) * 2 >= sum(urls)),
+z AS (SELECT prefix, sum(bad * 1000000 // told)::BIGINT AS rates, count(*) AS voters FROM i GROUP BY prefix),
+e AS (SELECT template, list({'rates': rates::DOUBLE, 'voters': voters::DOUBLE} ORDER BY k) AS chain FROM x JOIN z ON x.prefix = z.prefix GROUP BY template),
+p AS (SELECT template, list_reduce(list_prepend({'rates': overall, 'voters': 0.0::DOUBLE}, chain), lambda a, y: {'rates': (y.rates / 1000000 + a.rates * 4.0) / (y.voters + 4.0), 'voters': 0.0::DOUBLE}).rates AS prior FROM e, o),
+s AS (SELECT host, template, told, bad, regexp_replace(template, '/[^/]+', '/*', 'g') AS shape FROM n WHERE told > 0 AND told * 2 >= urls),
+f AS (SELECT *, sum(bad) OVER (PARTITION BY host, shape) / sum(told) OVER (PARTITION BY host, shape) AS rate FROM s),
+m AS (SELECT *, CASE WHEN abs(bad / told - rate) <= 1.96::DOUBLE * sqrt(greatest(rate * (1 - rate), 1e-4) / told) THEN '' ELSE template END AS merged FROM f),
+y AS (SELECT host, template, sum(bad) OVER (PARTITION BY host, shape, merged) AS b, sum(told) OVER (PARTITION BY host, shape, merged) AS t FROM m),
+j AS (SELECT n.host, n.template, round((coalesce(y.b, 0) + coalesce(p.prior, overall) * 4.0::DOUBLE) / (coalesce(y.t, 0) + 4.0::DOUBLE), 6) AS purity
+      FROM n CROSS JOIN o LEFT JOIN p ON n.template = p.template LEFT JOIN y ON n.host = y.host AND n.template = y.template)
+SELECT page_id, t.host, path, rule, coalesce(given, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, t.template, purity FROM t JOIN j ON t.host = j.host AND t.template = j.template
+"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
     return bpe.encode(_table(spark, sf_dir, "documents"), *tokenizer(), digests=True)
@@ -114,4 +152,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_html_main_text": op10_html_main_text,
 }
-SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
+SQL: dict[str, str] = {"op3_url_templates": OP3_SQL, "op7_quality_rules": OP7_SQL}
