@@ -116,7 +116,7 @@ def prefixes(template: Column) -> Column:
 
 def purities(nodes: DataFrame) -> DataFrame:
     """(host, template, purity) from (host, template, told, bad, urls), one row a host and template."""
-    overall = nodes.agg(F.coalesce(F.sum("bad") / F.sum("told"), F.lit(0.0))).first()[0]
+    overall = nodes.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("told")), F.lit(0.0))).first()[0]
     speaks = (F.col("told") > 0) & (F.col("told") * 2 >= F.col("urls"))
     inner = nodes.select("host", "told", "bad", "urls", F.explode(prefixes(F.col("template"))).alias("x")).groupBy("host", F.col("x.prefix").alias("prefix"))
     inner = inner.agg(*(F.sum(c).alias(c) for c in ("told", "bad", "urls"))).where(speaks)
