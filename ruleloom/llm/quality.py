@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.llm.names import fresh
+
 #: Fixed values of the contract: words, counted symbols.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -54,35 +56,42 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n_lines counts the lines with a word, n_dup_lines those equal to an earlier
     one; n_repeat_words the words inside 3-word windows found twice or more.
     A null text counts as empty. Windows are compared by 64-bit hashes within
-    their document.
+    their document, in one sort, so a long text costs little more than its
+    length. Columns of these names are replaced, all others stay.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.filter(F.split(text, WORD_SPLIT), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumns({"_text": text, "_words": F.transform(words, lambda w: F.xxhash64(w)), "_lines": F.transform(lines, lambda x: F.xxhash64(x))})
-    out = out.withColumn("n_words", F.size("_words").cast("long"))
-    solid = F.translate("_text", " \t\n\x0b\x0c\r", "")
-    plain = F.translate("_text", SYMBOLS, "")
+    own = fresh(docs.columns, "_text", "_words", "_lines", "_windows", "_sorted", "_at")
+    text, words, lines, windows, ordered, at = own
+    plain = F.coalesce(F.col(text_col), F.lit(""))
+    found = F.filter(F.split(plain, WORD_SPLIT), lambda w: w != "")
+    filled = F.filter(F.split(plain, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = docs.withColumns({text: plain, words: F.transform(found, lambda w: F.xxhash64(w)), lines: F.transform(filled, lambda x: F.xxhash64(x))})
+    out = out.withColumn("n_words", F.size(words).cast("long"))
+    solid = F.translate(text, " \t\n\x0b\x0c\r", "")
+    clean = F.translate(text, SYMBOLS, "")
+    tail = lambda k: F.slice(words, k, F.size(words))
+    pairs = F.zip_with(words, tail(2), lambda a, b: F.xxhash64(a, b))
+    threes = F.zip_with(pairs, tail(3), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
     out = out.withColumns(
         {
             "word_chars": F.length(solid).cast("long"),
-            "n_symbols": (F.length("_text") - F.length(plain)).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": F.expr("if(n_words < 3, array(), zip_with(zip_with(_words, slice(_words, 2, size(_words)), (a, b) -> xxhash64(a, b)), slice(_words, 3, size(_words)), (a, b) -> if(b is null, null, xxhash64(a, b))))"),
+            "n_symbols": (F.length(text) - F.length(clean)).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            windows: F.when(F.col("n_words") < 3, F.array().cast("array<bigint>")).otherwise(threes),
         }
     )
-    out = out.withColumn("_windows", F.expr("slice(_windows, 1, greatest(0, int(n_words) - 2))"))
-    out = out.withColumn("_sorted", F.expr("if(size(_windows) = size(array_distinct(_windows)), array(), sort_array(_windows))"))
-    # equal neighbours in sorted order are the windows found twice or more
-    out = out.withColumn("_twice", F.expr("if(size(_sorted) = 0, _sorted, array_distinct(filter(zip_with(_sorted, slice(_sorted, 2, size(_sorted)), (a, b) -> if(a = b, a, null)), x -> x is not null)))"))
+    out = out.withColumn(windows, F.slice(windows, 1, F.greatest(F.lit(0), F.col("n_words").cast("int") - 2)))
+    # windows found twice or more stand beside an equal one when sorted; all with their places, if there are any
+    placed = F.when(F.size(windows) != F.size(F.array_distinct(windows)), F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
+    out = out.withColumn(ordered, F.coalesce(placed, F.array().cast("array<struct<w:bigint,i:int>>")))
+    beside = lambda x, i, by: F.coalesce(F.get(F.col(ordered), i + by)["w"] == x["w"], F.lit(False))
+    twice = F.filter(ordered, lambda x, i: beside(x, i, -1) | beside(x, i, 1))
+    out = out.withColumn(at, F.sort_array(F.transform(twice, lambda x: x["i"])))
     # each repeated window covers its three words; a word counts once
-    covered = """
-        aggregate(_windows, named_struct('n', 0L, 'left', 0),
-            (s, w) -> if(array_contains(_twice, w), named_struct('n', s.n + 3 - s.left, 'left', 2), named_struct('n', s.n, 'left', greatest(s.left - 1, 0))),
-            s -> s.n)"""
-    out = out.withColumn("n_repeat_words", F.expr(f"if(size(_twice) = 0, 0L, {covered})"))
-    return out.drop("_text", "_words", "_lines", "_windows", "_sorted", "_twice")
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
+    covered = F.aggregate(at, start, lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"])
+    out = out.withColumn("n_repeat_words", covered)
+    return out.drop(*own)
 
 
 def failure_bits(rules: tuple[Rule, ...] = RULES) -> Column:
