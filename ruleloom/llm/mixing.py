@@ -4,10 +4,11 @@ Targets follow the weights up to a multiple of each source's size. A source is
 taken in whole passes and one partial pass over its permutation (the order of a
 hash of its keys), whose end is found on block sums first and then inside one
 block only, so no task holds a source. The permutation is cut into blocks; each
-pass over a block is one unit. A binary splitting tree deals the units to the
-output shards: every node permutes its units and sends an exact half to each
-side, which makes the sources' counts of a half multivariate hypergeometric.
-Each shard then holds disjoint blocks, shuffled by a local order.
+pass over a block is one unit, and the units that a source's passes reach are
+its quota. A binary splitting tree deals the quotas to the output shards: every
+node permutes its units and sends an exact half to each side, which makes the
+sources' counts of a half multivariate hypergeometric. Each shard then holds
+disjoint blocks; the rows move to their shard and are shuffled inside it.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ruleloom.llm.names import fresh
 from ruleloom.plans.durable import materialize
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 #: Blocks of a source for the search of a pass's end, and units of a pass for the shards.
 FINE_BITS, UNIT_BITS = 12, 6
+#: Ranges of the hash in which units are ranked side by side.
+RANK_BITS = 10
 #: 2 ** LEVELS output shards.
 LEVELS = 4
 
@@ -52,32 +56,38 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = L
 
 
 def dealt(units: DataFrame, levels: int = LEVELS, seed: int = 0) -> DataFrame:
-    """``units`` (source, pass, block) with ``shard``: exact halves at every node of the tree."""
-    out = units.withColumn("shard", F.lit(0))
-    for level in range(levels):
-        node = Window.partitionBy("shard").orderBy(F.xxhash64("source", "pass", "block", "shard", F.lit(seed + level)), F.col("source").asc_nulls_last(), "pass", "block")
-        all_of = Window.partitionBy("shard")
-        out = out.withColumn("right", (F.row_number().over(node) * 2 > F.count("*").over(all_of)).cast("int")).withColumn("shard", F.col("shard") * 2 + F.col("right")).drop("right")
-    return out
+    """``units`` (source, pass, block) with ``shard``: exact halves at every node of the tree.
 
-
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, limit: int = LIMIT, levels: int = LEVELS, seed: int = 0) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and shards (one for each copy).
-
-    size is the number of words (runs outside 0x20 and 0x09-0x0D; a null text
-    has none). Every document is taken ``floor(target / source_size)`` times;
-    those up to a cut of the permutation once more, and one last document of
-    the source if it brings the sum nearer to the target. Empty texts belong to
-    the copies but add no words. Rows that share an id and size share their
-    fate; a null source is a source; an empty table gives an empty result.
-    Columns of the new names are replaced. The sources are few: their table,
-    64 units a pass each, passes through one task.
+    The units are ranked once in the order of a hash, a random permutation; a
+    node is a range of ranks, and its children are the range's halves, so each
+    side's counts of the sources are multivariate hypergeometric draws from the
+    node's. Ranks are counted within ranges of the hash, so no task holds all units.
     """
+    h = F.xxhash64("source", "pass", "block", F.lit(seed))
+    out = units.withColumn("h", h).withColumn("range", F.shiftrightunsigned("h", 64 - RANK_BITS).cast("int"))
+    counts = out.groupBy("range").agg(F.count("*").alias("n"))  # at most 2 ** RANK_BITS rows
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"), F.sum("n").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    inside = Window.partitionBy("range").orderBy("h", F.col("source").asc_nulls_last(), "pass", "block")
+    out = out.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(counts), "range")
+    low, high, shard = F.lit(0).cast("long"), F.col("all"), F.lit(0)
+    rank = F.col("base") + F.col("rank") - 1
+    for _ in range(levels):  # from the root down: the node's range, and which half of it the unit is in
+        middle = F.floor((low + high + 1) / 2).cast("long")
+        right = rank >= middle
+        low, high, shard = F.when(right, middle).otherwise(low), F.when(right, high).otherwise(middle), shard * 2 + right.cast("int")
+        out = out.withColumns({"low": low, "high": high, "shard": shard})
+        low, high, shard = F.col("low"), F.col("high"), F.col("shard")
+    return out.drop("h", "range", "base", "all", "rank", "low", "high")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], limit: int, levels: int, seed: int, name: str) -> DataFrame:
+    """``docs`` with one more column ``name``: struct(size, source_size, target, copies, shards)."""
+    h, key, k, said = fresh([*docs.columns, name], "_h", "_source", "_k", "_said")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    new = ("size", "_h", "_source", "source_size", "target", "copies", "shards")
-    out = docs.drop(*(set(new) & set(docs.columns))).withColumn("size", size).withColumn("_source", F.col(source_col))
-    out = out.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col("size"), F.lit(seed)), 1))
-    rows = materialize(out.select(F.col("_source").alias("source"), "size", F.col("_h").alias("h")), "op8-sizes")
+    out = docs.withColumns({name: size, key: F.col(source_col)})
+    out = out.withColumn(h, F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(name), F.lit(seed)), 1))
+    rows = materialize(out.select(F.col(key).alias("source"), F.col(name).alias("size"), F.col(h).alias("h")), "op8-sizes")
     aim = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     aim = aim.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     aim = materialize(aim.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "op8-targets")
@@ -99,16 +109,40 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     cut = cut.join(spare, F.col("s").eqNullSafe(F.col("z")), "left").select(F.col("s").alias("c"), "cut", "extra")
     aim = materialize(aim.join(cut, F.col("source").eqNullSafe(F.col("c")), "left").select("source", "source_size", "target", "passes", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("extra", F.lit(-1)).alias("extra")), "op8-plan")
 
-    passes = aim.select("source", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass"))
-    units = passes.select("source", "pass", F.explode(F.sequence(F.lit(0), F.lit((1 << UNIT_BITS) - 1))).alias("block"))
+    # the sources' quotas: all blocks in whole passes, in the partial pass those that it reaches
+    unit = lambda c: F.shiftright(c, 63 - UNIT_BITS).cast("int")
+    passes = aim.select("source", "passes", unit("cut").alias("edge"), unit("extra").alias("spare"), F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass"))
+    units = passes.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << UNIT_BITS) - 1))).alias("block"))
+    units = units.where("pass < passes or block <= edge or block = spare").select("source", "pass", "block")
     shards = dealt(units, levels, seed).groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("x"))
     shards = shards.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("block", F.col("x.shard").alias("shard")))).alias("by_block"))
-    aim = aim.join(shards.withColumnRenamed("source", "k"), F.col("source").eqNullSafe(F.col("k")), "left").drop("k").withColumnRenamed("source", "_s")
-    out = out.join(_few(materialize(aim, "op8-decisions")), F.col("_source").eqNullSafe(F.col("_s")), "left")
-    copies = F.col("passes") + ((F.col("_h") <= F.col("cut")) | (F.col("_h") == F.col("extra"))).cast("int")
-    block = F.shiftright("_h", 63 - UNIT_BITS).cast("int")
-    out = out.withColumn("copies", copies).withColumn("shards", F.slice(F.element_at("by_block", block), 1, F.col("copies")))
-    return out.drop("_s", "_source", "passes", "cut", "extra", "by_block")
+    aim = aim.join(shards.withColumnRenamed("source", "k"), F.col("source").eqNullSafe(F.col("k")), "left")
+    aim = materialize(aim.select(F.col("source").alias(k), F.struct("source_size", "target", "passes", "cut", "extra", "by_block").alias(said)), "op8-decisions")
+    out = out.join(_few(aim), F.col(key).eqNullSafe(F.col(k)), "left")
+    d = F.col(said)
+    copies = d["passes"] + ((F.col(h) <= d["cut"]) | (F.col(h) == d["extra"])).cast("int")
+    taken = F.slice(F.coalesce(F.try_element_at(d["by_block"], unit(h)), F.array().cast("array<int>")), F.lit(1), copies)
+    made = F.struct(F.col(name).alias("size"), d["source_size"].alias("source_size"), d["target"].alias("target"), copies.alias("copies"), taken.alias("shards"))
+    return out.withColumn(name, made).drop(h, key, k, said)
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, limit: int = LIMIT, levels: int = LEVELS, seed: int = 0) -> DataFrame:
+    """``docs`` with size, source_size, target, copies and shards (one for each copy).
+
+    size is the number of words (runs outside 0x20 and 0x09-0x0D; a null text
+    has none). Every document is taken ``floor(target / source_size)`` times;
+    those up to a cut of the permutation once more, and one last document of
+    the source if it brings the sum nearer to the target. Empty texts belong to
+    the copies but add no words. Rows that share an id and size share their
+    fate; a null source is a source; an empty table gives an empty result.
+    Columns of the new names are replaced, all others stay. The table of
+    sources, a row each, passes through one task.
+    """
+    (name,) = fresh(docs.columns, "_plan")
+    out = _decided(docs, id_col, text_col, source_col, weights, limit, levels, seed, name)
+    new = ("size", "source_size", "target", "copies", "shards")
+    given = [c for c in docs.columns if c.lower() not in new]
+    return out.select(*(F.col(f"`{c}`") for c in given), *(F.col(f"{name}.{c}") for c in new))
 
 
 def _few(df: DataFrame, most: int = 20_000) -> DataFrame:
@@ -116,12 +150,19 @@ def _few(df: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows: every copy of a document as a row, with its shard, in shuffled order within it.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, limit: int = LIMIT, levels: int = LEVELS, seed: int = 0) -> DataFrame:
+    """The mixed rows: every copy of a document as a row, moved to its shard, in shuffled order within it.
 
-    The columns are those of ``docs`` and ``shard``, ``copy``.
+    The columns are those of ``docs`` and ``shard``, ``copy``; given columns of
+    those two names are replaced. A shard is a run of whole partitions, as many
+    for each as the session's shuffle partitions allow, and its rows are
+    shuffled: dealt to its partitions and ordered in each by a hash.
     """
-    planned = plan(docs, **options)
-    id_col, seed = options.get("id_col", "doc_id"), options.get("seed", 0)
-    rows = planned.select(*docs.columns, F.posexplode("shards").alias("copy", "shard"))
-    return rows.withColumn("_o", F.xxhash64(id_col, "copy", F.lit(seed + 1))).sortWithinPartitions("shard", "_o").drop("_o")
+    name, order, part = fresh(docs.columns, "_plan", "_order", "_part")
+    planned = _decided(docs, id_col, text_col, source_col, weights, limit, levels, seed, name)
+    given = [c for c in docs.columns if c.lower() not in ("shard", "copy")]
+    rows = planned.select(*(F.col(f"`{c}`") for c in given), F.posexplode(F.col(name)["shards"]).alias("copy", "shard"), F.col(f"`{id_col}`").alias(part))
+    rows = rows.withColumn(order, F.xxhash64(part, "copy", F.lit(seed + 1)))
+    each = max(1, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) >> levels))
+    rows = rows.withColumn(part, F.col("shard") * each + F.pmod(F.shiftright(order, 20), F.lit(each)).cast("int"))
+    return rows.repartitionById(each << levels, F.col(part)).sortWithinPartitions("shard", order).drop(order, part)
