@@ -6,11 +6,11 @@ in at most as many buckets as the sets differ in elements. Sets of similarity
 t or more, the smaller of size a, differ in at most D = a (100 - t) / t
 elements: among any D + 1 buckets one is equal. Each document therefore gives
 its first D + 1 non-empty buckets as join keys, in the size band of its own
-length and, near a band's lower end, in the band below. Both members of a
-linked pair share such a band; of the two, the one whose keys end first has
+length and in each band below that its partners' sizes reach. Both members of
+a linked pair share such a band; of the two, the one whose keys end first has
 D + 1 non-empty buckets there, and an untouched one among them is a key of
-both. Documents too sparse for D + 1 buckets share one more key of their band,
-so no link is lost.
+both. Documents too sparse for D + 1 buckets also give single shingles, the
+first in hash order and so many that two of them share one, so no link is lost.
 
 Equal sets are one vertex. A key's documents are first compared with the
 smallest of them only; where that leaves several components under one key, all
@@ -46,11 +46,11 @@ def bands(limit: int = 1 << 40) -> np.ndarray:
 
 
 def _band_keys(value: np.ndarray, owner: np.ndarray, size: np.ndarray, band: np.ndarray, low: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys, and their text numbers, of all texts whose band is not negative."""
+    """Join keys, and their text numbers, of all texts whose band is not negative; and the texts with too few non-empty buckets."""
     mine = band[owner] >= 0
     value, owner = value[mine], owner[mine]
     if not len(value):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     most = (low[band + 1] - 1) * (100 - t) // t
     need = np.minimum(size * (100 - t) // t, most) + 1
     k = most + 1 + np.maximum(1, (most + 10) // 10)
@@ -68,8 +68,17 @@ def _band_keys(value: np.ndarray, owner: np.ndarray, size: np.ndarray, band: np.
     place = band[who].astype(np.uint64) << np.uint64(40)
     keys = mix(sketch ^ mix(place + where))[keep]
     filled = np.bincount(who, minlength=len(size))
-    sparse = np.flatnonzero((filled > 0) & (filled < need))
-    return np.concatenate([keys, mix((band[sparse].astype(np.uint64) << np.uint64(40)) ^ np.uint64(0xFFFFFFFF))]), np.concatenate([who[keep], sparse])
+    return keys, who[keep], np.flatnonzero((filled > 0) & (filled < need))
+
+
+def _prefix_keys(value: np.ndarray, owner: np.ndarray, size: np.ndarray, texts: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the first shingles, in hash order, of the given texts: two that share t % of their union share one of them."""
+    chosen = np.zeros(len(size), bool)
+    chosen[texts] = True
+    begin = np.cumsum(size) - size
+    rank = np.arange(len(value)) - begin[owner]
+    keep = chosen[owner] & (rank <= size[owner] - (size[owner] * t + 99) // 100)
+    return mix(value[keep] ^ np.uint64(0x3C6EF372FE94F82B)), owner[keep]
 
 
 def _sketches(width: int, t: int):
@@ -96,9 +105,18 @@ def _sketches(width: int, t: int):
                             bits[full, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), at)
                     band = np.searchsorted(low, np.maximum(size, 1), side="right") - 1
                     band[size * (100 - t) < t] = -1  # such small sets link with equal sets only
-                    below = np.where((band > 0) & (size * t <= 100 * (low[np.maximum(band, 0)] - 1)), band - 1, -1)
-                    keys, who = zip(*(_band_keys(value, owner, size, x, low, t) for x in (band, below)), strict=True)
-                    keys, who = np.concatenate(keys), np.concatenate(who)
+                    keys, who, sparse, down = [], [], [], 0
+                    while True:  # its own band, and each below that holds sets large enough to be a partner
+                        at_band = band if not down else np.where((band >= down) & (size * t <= 100 * (low[np.maximum(band - down + 1, 0)] - 1)), band - down, -1)
+                        if not (at_band >= 0).any():
+                            break
+                        found = _band_keys(value, owner, size, at_band, low, t)
+                        keys.append(found[0])
+                        who.append(found[1])
+                        sparse.append(found[2])
+                        down += 1
+                    more = _prefix_keys(value, owner, size, np.concatenate([*sparse, np.zeros(0, np.int64)]), t)
+                    keys, who = np.concatenate([*keys, more[0]]), np.concatenate([*who, more[1]])
                     order = np.argsort(who, kind="stable")
                     keys, ends = keys[order], np.cumsum(np.bincount(who, minlength=n))
                 offsets = pa.array(np.append(0, ends), pa.int32())
