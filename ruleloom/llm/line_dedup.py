@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.llm.names import fresh
 from ruleloom.plans.durable import materialize
 
 #: Shorter lines (headings, closings) go for equal ones alone: one edit in a few characters makes another word.
@@ -27,8 +28,8 @@ FILLED = r"[^\x20\x09-\x0D]"
 THRESHOLD = 2
 #: Finer segments for lines that share a hash and are not near its earliest line.
 PIECES = 32
-#: Documents whose ids are sent to every executor at most; more are joined by a shuffle.
-SEND_IDS = 200_000
+#: Lines whose places are sent to every executor at most; more are joined by a shuffle.
+SEND_IDS = 1_000_000
 
 
 def segment_keys(line: Column, threshold: int) -> Column:
@@ -122,20 +123,18 @@ def _close(a: Column, b: Column, pa: Column, pb: Column, threshold: int) -> Colu
 
 
 def _lines(docs: DataFrame, min_chars: int, every_length: bool) -> DataFrame:
-    lines = docs.where("doc is not null and text is not null").select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = docs.where("doc is not null and text is not null").select("doc", "version", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     long_ones = F.length("line") >= min_chars
     lines = lines.where(long_ones | F.col("line").rlike(FILLED) if every_length else long_ones)
-    return lines.select("doc", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
-
-
-def _send(df: DataFrame, most: int = SEND_IDS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
+    return lines.select("doc", "version", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line, parity) of the given (id, doc, pos)."""
-    wanted = materialize(ids.groupBy("doc").agg(F.collect_list(F.struct("pos", "id")).alias("at")), "op6-wanted")  # at most a document's lines
-    some = docs.join(_send(wanted), "doc").dropDuplicates(["doc"]).withColumn("_lines", F.split("text", "\n", -1))
+    """(id, line, parity) of the given (id, doc, version, pos)."""
+    wanted = materialize(ids.groupBy("doc", "version").agg(F.collect_list(F.struct("pos", "id")).alias("at")), "op6-wanted")  # at most a document's lines
+    lines = wanted.agg(F.sum(F.size("at"))).first()[0] or 0
+    wanted = F.broadcast(wanted) if lines <= SEND_IDS else wanted
+    some = docs.join(wanted, ["doc", "version"]).dropDuplicates(["doc", "version"]).withColumn("_lines", F.split("text", "\n", -1))
     some = some.select(F.explode(F.transform("at", lambda x: F.struct(x["id"].alias("id"), F.get("_lines", x["pos"]).alias("line")))).alias("x")).select("x.*")
     return some.withColumn("parity", letter_parity(F.col("line")))
 
@@ -164,31 +163,39 @@ def _unsettled(members: DataFrame, near: DataFrame) -> DataFrame:
     return members.join(_open(members, near).select("key").distinct(), "key", "left_semi")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, every_length: bool = False) -> DataFrame:
-    """(doc, at): the line numbers, from 0, that go from each document that loses any.
+def versions(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells documents of one id apart: the text's hash, or 0 where every id has one text."""
+    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("h")).where("doc is not null")
+    several = texts.groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    return F.lit(0).cast("long") if several.isEmpty() else F.xxhash64(text_col)
+
+
+def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, version: Column, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, every_length: bool = False) -> DataFrame:
+    """(doc, version, at): the line numbers, from 0, that go from each document that loses any.
 
-    A line goes if an earlier one, in the order of ids and line numbers, is
-    equal or within ``threshold`` edits; see :func:`line_dedup` for its length.
+    A line goes if an earlier one, in the order of ids, versions and line
+    numbers, is equal or within ``threshold`` edits; see :func:`line_dedup` for
+    its length. ``version`` tells documents of one id apart; see :func:`versions`.
     """
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), version.alias("version"))
     lines = _lines(docs, min_chars, every_length)
     # none for lines that go for equal ones alone; a slice, as in a branch Spark computes each shared part again
     keys = F.slice(segment_keys(F.col("line"), threshold), F.lit(1), F.when(F.length("line") >= min_chars, F.lit(1 << 16)).otherwise(F.lit(0)))
-    made = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "pos", keys.alias("keys"))).alias("x"))
+    made = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "version", "pos", keys.alias("keys"))).alias("x"))
     made = materialize(made.select("h", "g", "x.*"), "op6-lines")
 
-    # an id that sorts as (doc, pos): packed into a long where the values allow it
-    span = made.agg(F.max("pos"), F.min("doc"), F.max("doc")).first()
+    # an id that sorts as (doc, version, pos): packed into a long where the values allow it
+    span = made.agg(F.max("pos"), F.min("doc"), F.max("doc"), F.max(F.col("version") != 0)).first()
     integral = made.schema["doc"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     bits = int(span[0] or 0).bit_length()
-    if integral and span[1] is not None and (int(span[2]) - int(span[1])).bit_length() + bits <= 62:
+    if integral and span[1] is not None and not span[3] and (int(span[2]) - int(span[1])).bit_length() + bits <= 62:
         ident = F.shiftleft(F.col("doc").cast("long") - F.lit(int(span[1])), bits) + F.col("pos")
     else:
-        ident = F.struct("doc", "pos")
+        ident = F.struct("doc", "version", "pos")
     made = made.withColumn("id", ident)
 
     members = _led(made.select("id", F.explode("keys").alias("key")), settle=False)
-    ids = members.select("id").distinct().join(made.select("id", "doc", "pos"), "id")
+    ids = members.select("id").distinct().join(made.select("id", "doc", "version", "pos"), "id")
     texts = materialize(_texts(docs, ids), "op6-texts")
     near = _near_lead(members, texts, threshold)
     if threshold == 1:
@@ -205,9 +212,9 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int
     pairs = earlier.join(later, (F.col("key") == F.col("k")) & F.expr("a < b and a <> lead") & _close(F.col("la"), F.col("lb"), F.col("pa"), F.col("pb"), threshold))
     near = materialize(near.union(pairs.select(F.col("b").alias("id"))).distinct(), "op6-near")
 
-    fate = made.join(near.withColumn("near", F.lit(True)), "id", "left").select("h", "g", F.col("doc").alias("d0"), F.col("pos").alias("p0"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("doc", "pos", "h", "g").join(fate, ["h", "g"]).where("near or doc <> d0 or pos <> p0")
-    return gone.groupBy("doc").agg(F.collect_set("pos").alias("at"))
+    fate = made.join(near.withColumn("near", F.lit(True)), "id", "left").select("h", "g", F.col("doc").alias("d0"), F.col("version").alias("v0"), F.col("pos").alias("p0"), F.coalesce("near", F.lit(False)).alias("near"))
+    gone = lines.select("doc", "version", "pos", "h", "g").join(fate, ["h", "g"]).where("near or doc <> d0 or version <> v0 or pos <> p0")
+    return gone.groupBy("doc", "version").agg(F.collect_set("pos").alias("at"))  # at most a document's lines
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, every_length: bool = False) -> DataFrame:
@@ -216,15 +223,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at \\n. Lines under ``min_chars`` characters stay; of the others,
     those go that have an equal line, or one within ``threshold`` edits, earlier
     by id and line number. With ``every_length`` the lines under ``min_chars``
-    that are not blank go too, for equal ones only. Rows with the same id are one document, each losing
-    the same lines. Rows with a null id or text stay as they are (n_lines of a
-    null text is 0). Columns of the new names are replaced.
+    that are not blank go too, for equal ones only. Rows with the same id and text are one document, each losing
+    the same lines; rows with the same id and different texts are documents of
+    their own, in the order of their texts' hashes. Rows with a null id or text
+    stay as they are (n_lines of a null text is 0). Columns of the new names
+    are replaced, all others stay.
     """
-    gone = duplicate_lines(docs, id_col, text_col, threshold, min_chars, every_length)
+    doc, version, at, parts = fresh(docs.columns, "_doc", "_version", "_at", "_lines")
+    mine = versions(docs, id_col, text_col)
+    gone = duplicate_lines(docs, id_col, text_col, mine, threshold, min_chars, every_length)
     out = docs.drop("n_lines", "n_dropped")
-    out = out.join(gone.withColumnsRenamed({"doc": "_doc", "at": "_at"}), F.col(id_col) == F.col("_doc"), "left")
-    lines = F.split(text_col, "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_at", i), x)), lambda x: x.isNotNull())
-    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("_at"), F.lit(0)).cast("long")).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_at").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("_doc", "_at")
+    out = out.join(gone.withColumnsRenamed({"doc": doc, "version": version, "at": at}), (F.col(id_col) == F.col(doc)) & (mine == F.col(version)), "left")
+    out = out.withColumn(parts, F.split(text_col, "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), at)  # by a hash set: linear in the lines
+    kept = F.transform(stay, lambda i: F.get(parts, i))
+    out = out.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
+    out = out.withColumn("n_dropped", F.coalesce(F.size(at), F.lit(0)).cast("long")).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)).cast("long"))
+    return out.withColumn(text_col, F.when(F.col(at).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop(doc, version, at, parts)
