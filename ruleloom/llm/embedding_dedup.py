@@ -4,11 +4,15 @@ Each half of the unit vectors has a codebook of its own; the two indices of the
 nearest centroids name one cell of the product grid. Every vector is stored in
 its cell and looks into the cells that the multi-sequence traversal yields
 first: cells in order of the sum of the two distances, found with a heap over
-the two sorted lists. How many it looks into is set once, so that a simulated
+the two sorted lists. How many it looks into is set so that a simulated
 neighbour exactly at the threshold is found with the target probability by one
 side or the other; all that meet in a cell are then compared in double
-precision, so nothing below the threshold links. The codebooks and the number
-of visits come from a bounded sample; the index holds every vector.
+precision, so nothing below the threshold links.
+
+Labels are compared within themselves only, so each takes as many centroids as
+its own size asks for, without a ceiling: labels whose sizes ask for the same
+number, in powers of two, share codebooks, which come from a sample of their
+vectors that grows with the centroids alone. The index holds every vector.
 
 Equal vectors are one vertex with a multiplicity. Large cells are split into
 blocks on both sides, each pair of blocks is one matrix product, and a block
@@ -29,12 +33,16 @@ from pyspark.sql import functions as F
 from ruleloom.operators.components import connected_components
 from ruleloom.plans.durable import materialize
 
-#: Bounded sample for the codebooks, and the simulated neighbours for the number of visits.
-SAMPLE, SIMULATED = 20_000, 2_000
+#: The sample for codebooks of k centroids holds about PER_CENTROID k vectors, LEAST at least; simulated neighbours for the number of visits.
+LEAST, PER_CENTROID, SIMULATED = 4_000, 32, 2_000
 #: Probability with which a neighbour at the threshold is to be found.
 TARGET = 0.99
 #: Vectors a cell is meant to hold, and the blocks of stored and of visiting vectors.
 FILL, STORED, VISITING = 32, 1_024, 4_096
+#: Distances that are held at once.
+ROOM = 1 << 21
+#: Labels whose sizes are sent to every executor at most; more are joined by a shuffle.
+SEND_LABELS = 200_000
 
 
 @dataclass
@@ -44,13 +52,22 @@ class Codebooks:
 
     def traverse(self, x: np.ndarray) -> list[list[int]]:
         """The first ``visits`` cells of each row of unit vectors, nearest first."""
+        cut, k, out = x.shape[1] // 2, len(self.halves[0]), []
+        step = max(1, ROOM // k)
+        for at in range(0, len(x), step):
+            y = x[at : at + step]
+            ds = [distances(y[:, :cut], self.halves[0]), distances(y[:, cut:], self.halves[1])]
+            orders = [np.argsort(d, axis=1, kind="stable")[:, : self.visits] for d in ds]  # no later one can be reached
+            a, b = (np.take_along_axis(d, o, 1).tolist() for d, o in zip(ds, orders, strict=True))
+            ia, ib = (o.tolist() for o in orders)
+            out += [multi_sequence(*row, k, self.visits) for row in zip(a, b, ia, ib, strict=True)]
+        return out
+
+    def home(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The distances to both codebooks, and the nearest centroid in each."""
         cut = x.shape[1] // 2
-        k = len(self.halves[0])
         ds = [distances(x[:, :cut], self.halves[0]), distances(x[:, cut:], self.halves[1])]
-        orders = [np.argsort(d, axis=1, kind="stable") for d in ds]
-        a, b = (np.take_along_axis(d, o, 1).tolist() for d, o in zip(ds, orders, strict=True))
-        ia, ib = (o.tolist() for o in orders)
-        return [multi_sequence(*row, k, self.visits) for row in zip(a, b, ia, ib, strict=True)]
+        return ds, [d.argmin(1) for d in ds]
 
 
 def multi_sequence(a: list[float], b: list[float], ia: list[int], ib: list[int], k: int, most: int) -> list[int]:
@@ -73,15 +90,20 @@ def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
+    step = max(1, ROOM // k)
     for _ in range(rounds):
-        near = distances(x, c).argmin(1)
+        near = np.concatenate([distances(x[at : at + step], c).argmin(1) for at in range(0, len(x), step)])
         size = np.bincount(near, minlength=k)
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
+        total = np.stack([np.bincount(near, x[:, d], k) for d in range(x.shape[1])], axis=1)
         c[size > 0] = total[size > 0] / size[size > 0, None]
     return c
 
 
+def rank(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many cells come before cell (i, j) when a[i] + b[j] orders them: its place in the multi-sequence traversal."""
+    return int(np.searchsorted(np.sort(b), a[i] + b[j] - a - 1e-12, side="left").sum())  # less a rounding, so as not to count itself
+
+
 def fit(x: np.ndarray, k: int, threshold: float, target: float = TARGET, seed: int = 0) -> Codebooks:
     """Codebooks of the sample ``x`` of unit vectors, and the visits that reach the target."""
     rng = np.random.default_rng(seed)
@@ -94,8 +116,11 @@ def fit(x: np.ndarray, k: int, threshold: float, target: float = TARGET, seed: i
     u -= (u * a).sum(1)[:, None] * a
     norm = np.linalg.norm(u, axis=1)[:, None]
     b = threshold * a + np.sqrt(max(0.0, 1 - threshold * threshold)) * np.divide(u, norm, out=np.zeros_like(u), where=norm > 0)
-    ways = [books.traverse(y) for y in (a, b)]
-    ranks = sorted(min(p.index(q[0]), q.index(p[0])) for p, q in zip(*ways, strict=True))
+    ranks = []
+    for at in range(0, len(a), max(1, ROOM // k)):
+        (da, ha), (db, hb) = (books.home(y[at : at + max(1, ROOM // k)]) for y in (a, b))
+        ranks += [min(rank(da[0][r], da[1][r], hb[0][r], hb[1][r]), rank(db[0][r], db[1][r], ha[0][r], ha[1][r])) for r in range(len(ha[0]))]
+    ranks.sort()
     books.visits = ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))] + 1
     return books
 
@@ -113,23 +138,23 @@ def _assign(sent):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
-                width = np.asarray(b.column(3).value_lengths())
+                width, bits = np.asarray(b.column(3).value_lengths()), np.asarray(b.column(4))
                 cells: list = [None] * b.num_rows
-                for d in np.unique(width):
-                    rows = np.flatnonzero(width == d)
-                    books = sent.value.get(int(d))
+                for d, k in np.unique(np.stack([width, bits]), axis=1).T:
+                    rows = np.flatnonzero((width == d) & (bits == k))
+                    books = sent.value.get((int(d), int(k)))
                     found = books.traverse(units(b.column(3).take(pa.array(rows)))) if books else [[0]] * len(rows)
                     for r, x in zip(rows, found, strict=True):
                         cells[r] = x
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], ["id", "label", "m", "vec", "cells"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(cells, pa.list_(pa.int64()))], ["id", "label", "m", "vec", "cells"])
 
     return run
 
 
-def compare(ids: np.ndarray, home: list[int], visits: list[set[int]], weight: np.ndarray, vectors: np.ndarray, stored: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(ids: np.ndarray, cells: np.ndarray, weight: np.ndarray, vectors: np.ndarray, stored: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(link count, smallest linked id within the block) of each row.
 
-    ``stored`` says which rows lie in the cell; the others visit it. A link
+    ``cells``: the cells each row visits, its own first. ``stored`` says which rows lie in the cell; the others visit it. A link
     that both of its ends find is counted at each end by that end's own visit.
     """
     s, v = np.flatnonzero(stored), np.flatnonzero(~stored)
@@ -139,7 +164,10 @@ def compare(ids: np.ndarray, home: list[int], visits: list[set[int]], weight: np
     a, b = a[keep], b[keep]
     count, least = np.zeros(len(ids), np.int64), ids.copy()
     np.add.at(count, a, weight[b])
-    back = np.fromiter((home[x] not in visits[y] for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+    back = np.ones(len(a), bool)
+    for at in range(0, len(a), 1 << 16):  # whether the stored one's own visits find the visitor at home
+        part = slice(at, at + (1 << 16))
+        back[part] = ~(cells[b[part]] == cells[a[part], :1]).any(axis=1)
     np.add.at(count, b[back], weight[a[back]])
     while len(a):
         before = least.copy()
@@ -158,8 +186,9 @@ def compare(ids: np.ndarray, home: list[int], visits: list[set[int]], weight: np
 def _compare(threshold: float, schema: pa.Schema):
     def run(table: pa.Table) -> pa.Table:
         ids = np.asarray(table["id"].combine_chunks()).astype(np.int64)
-        cells = table["cells"].to_pylist()
-        count, least = compare(ids, [c[0] for c in cells], [set(c) for c in cells], np.asarray(table["m"].combine_chunks()), units(table["vec"]), np.asarray(table["stored"].combine_chunks().to_numpy(zero_copy_only=False)), threshold)
+        cells = table["cells"].combine_chunks()  # of one label, so of one length
+        cells = cells.flatten().to_numpy(zero_copy_only=False).reshape(len(cells), -1)
+        count, least = compare(ids, cells, np.asarray(table["m"].combine_chunks()), units(table["vec"]), np.asarray(table["stored"].combine_chunks().to_numpy(zero_copy_only=False)), threshold)
         some = (count > 0) | (least < ids)
         return pa.table([pa.array(ids[some]), pa.array(count[some]), pa.array(least[some])], schema=schema)
 
@@ -181,15 +210,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     sound = F.coalesce(sound, F.lit(False))
     reps = materialize(rows.where(sound).groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("m")).select("id", "label", "m", "vec"), "op5-vectors")
 
-    labels = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0] or 0
-    k = int(min(256, max(1, round((labels / FILL) ** 0.5))))
-    sample = reps.orderBy(F.xxhash64("id", "vec")).limit(SAMPLE).select("vec").toArrow()["vec"].combine_chunks()
-    width = np.asarray(sample.value_lengths()) if len(sample) else np.zeros(0, int)
-    books = {int(d): fit(units(sample.take(pa.array(np.flatnonzero(width == d)))), k, threshold, target) for d in np.unique(width)}
+    # the centroids a label asks for, a power of two; a sample of each such class of labels, by hash
+    bits = F.greatest(F.lit(0), F.round(F.log2(F.sqrt(F.col("n") / F.lit(float(FILL)))))).cast("int")
+    labels = materialize(reps.groupBy("label", F.size("vec").alias("width")).agg(F.count("*").alias("n")).withColumn("bits", bits), "op5-labels")
+    classes = labels.where("bits > 0").groupBy("width", "bits").agg(F.sum("n").alias("n")).collect()  # a row a width and power of two
+    few = F.broadcast(labels.select("label", "width", "bits")) if labels.count() <= SEND_LABELS else labels.select("label", "width", "bits")
+    reps = reps.withColumn("width", F.size("vec")).join(few, ["label", "width"]).select("id", "label", "m", "vec", "bits")
+    draw = F.shiftrightunsigned(F.xxhash64("id", "vec", F.lit("sample")), 11) / F.lit(float(1 << 53))
+    share = {(c["width"], c["bits"]): min(1.0, max(LEAST, PER_CENTROID << c["bits"]) / c["n"]) for c in classes}
+    books = {}
+    if share:
+        chosen = F.coalesce(*(F.when((F.size("vec") == d) & (F.col("bits") == k), F.lit(x)) for (d, k), x in share.items()), F.lit(0.0))
+        sample = reps.where(draw < chosen).select("id", "vec", "bits").orderBy("id", "vec").select("vec", "bits").toArrow()
+        vecs, powers = sample["vec"].combine_chunks(), np.asarray(sample["bits"])
+        width = np.asarray(vecs.value_lengths()) if len(vecs) else np.zeros(0, int)
+        books = {(d, k): fit(units(vecs.take(pa.array(np.flatnonzero((width == d) & (powers == k))))), 1 << k, threshold, target) for d, k in share}
     sent = vectors.sparkSession.sparkContext.broadcast(books)
 
     kinds = {f.name: f.dataType.simpleString() for f in reps.schema}
-    cells = materialize(reps.mapInArrow(_assign(sent), f"id long, label {kinds['label']}, m long, vec {kinds['vec']}, cells array<int>"), "op5-cells")
+    cells = materialize(reps.mapInArrow(_assign(sent), f"id long, label {kinds['label']}, m long, vec {kinds['vec']}, cells array<bigint>"), "op5-cells")
     key = ["label", "width", "cell"]
     cells = cells.withColumn("width", F.size("vec"))
     home = cells.groupBy("label", "width", F.col("cells")[0].alias("cell")).agg(F.ceil(F.count("*") / STORED).cast("int").alias("ns"))

@@ -57,6 +57,40 @@ def test_multi_sequence_visits_nearest_cells_first():
     assert cost == sorted(cost)
 
 
+def test_rank_is_the_place_in_the_traversal():
+    rng = random.Random(1)
+    a, b = (np.array([rng.random() for _ in range(7)]) for _ in "ab")
+    ia, ib = np.argsort(a), np.argsort(b)
+    order = embedding_dedup.multi_sequence(a[ia].tolist(), b[ib].tolist(), ia.tolist(), ib.tolist(), 7, 49)
+    assert [embedding_dedup.rank(a, b, c // 7, c % 7) for c in order] == list(range(49))
+
+
+def test_labels_take_codebooks_of_their_own_size(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAST", 500)
+    rng = np.random.default_rng(2)
+    sizes = {1: 3_000, 2: 300, 3: 2}
+    rows, n = [], 0
+    for label, size in sizes.items():
+        x = rng.standard_normal((size, 16))
+        half = size // 2
+        x[half : 2 * half] = x[:half] + rng.standard_normal((half, 16)) * 0.12
+        rows += [(n + i, v.tolist(), label) for i, v in enumerate(x)]
+        n += size
+    made = []
+    fit = embedding_dedup.fit
+    monkeypatch.setattr(embedding_dedup, "fit", lambda x, k, *a: made.append((k, len(x))) or fit(x, k, *a))
+    out = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sorted(k for k, _ in made) == [4, 8] and all(len_ < 3_000 for _, len_ in made)
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    label = np.array([r[2] for r in rows])
+    queries = np.arange(0, len(rows), 20)
+    link = (unit[queries] @ unit.T >= 0.93) & (label[queries][:, None] == label[None, :])
+    link[np.arange(len(queries)), queries] = False
+    found = sum(out[int(q)]["n_links"] for q in queries)
+    assert 0.9 * link.sum() <= found <= link.sum() and link.sum() > 50
+
+
 URLS = [
     ("http://A.b.NET/x?y#z", "a.b.net", "/x", "net/", "block"),
     ("https://example.net/en/1", "example.net", "/en/1", "example.net/en/", "allow"),
