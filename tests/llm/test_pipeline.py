@@ -1,6 +1,6 @@
 """The pipeline and each of its stages against plain Python."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import cases
 import public_tokenizers
@@ -26,20 +26,32 @@ def kept_by_quality(text):
     return not (n < 50 or 100 * repeat > 50 * n or 10 * sum(x in quality.SYMBOLS for x in text or "") > n or len(lines) > 3 and 100 * (len(lines) - len(set(lines))) > 30 * len(lines) or chars < 2 * n or chars > 15 * n)
 
 
+class EarlierLines:
+    """Whether a line has no equal one before it, nor, from 20 characters, one within two edits."""
+
+    def __init__(self):
+        self.equal, self.long = set(), defaultdict(list)
+
+    def new(self, x):
+        if x in self.equal:
+            return False
+        self.equal.add(x)
+        letters = Counter(x)
+        near = len(x) >= 20 and any(
+            sum(((letters - c) + (c - letters)).values()) <= 4 and cases.edits(x, y) <= 2 for n in range(len(x) - 2, len(x) + 3) for y, c in self.long[n]
+        )
+        if len(x) >= 20:
+            self.long[len(x)].append((x, letters))
+        return not near
+
+
 def test_pipeline_equals_plain_python(spark):
     docs = rows_of(spark.read.parquet(f"{SF}/documents.parquet"))
     docs = [r for r in docs if kept_by_quality(r[1])]
-    # equal lines only: the near ones have their own test on lines short enough to compare all pairs
-    seen, out = set(), []
+    seen, out = EarlierLines(), []
     for r in sorted(docs):
         lines = r[1].split("\n")
-        keep = [x for x in lines if len(x) < 20 or x not in seen]
-        seen.update(x for x in lines if len(x) >= 20)
-        seen_here, final = set(), []
-        for x in keep:
-            if len(x) < 20 or x not in seen_here:
-                final.append(x)
-            seen_here.add(x)
+        final = [x for x in lines if not cases.WORD.search(x) and len(x) < 20 or seen.new(x)]
         if len(final) == len(lines):
             out.append(r)
         elif cases.WORD.search("\n".join(final)):
