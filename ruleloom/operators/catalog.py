@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ruleloom.plans.durable import materialize
+
 
 def unnest(families: DataFrame) -> DataFrame:
     """(family_id, member_id, member_type, group_index) from equivalent_member_ids and variant_groups."""
@@ -111,20 +113,42 @@ def usage_totals(log: DataFrame, by: Sequence[str], usage: str) -> DataFrame:
     return log.select(*by, F.explode(usage).alias("key", "value")).groupBy(*by, "key").agg(F.sum("value").alias("total"))
 
 
-def nested_usage(log: DataFrame, document: str, pattern: str = "token|requests") -> DataFrame:
-    """(key, total) over all whole numbers below a JSON document whose key matches, at any depth."""
-    pairs = F.regexp_extract_all(F.col(document), F.lit(rf'"([^"]*(?:{pattern})[^"]*)"\s*:\s*(-?[0-9]+)(?![0-9.eE])'), F.lit(0))
-    one = log.select(F.explode(pairs).alias("p"))
-    at = r'^"([^"]*)"\s*:\s*(-?[0-9]+)$'
-    return one.select(F.regexp_extract("p", at, 1).alias("key"), F.regexp_extract("p", at, 2).cast("long").alias("value")).groupBy("key").agg(F.sum("value").alias("total"))
+def nested_usage(log: DataFrame, document: str, pattern: str = "token", names: Sequence[str] = ("requests", "request_count")) -> DataFrame:
+    """(key, total) over all whole numbers below a JSON document whose key holds ``pattern`` or is one of ``names``, whatever the case, at any depth.
+
+    Documents are parsed, so text inside string values is never read as a key.
+    Values are taken apart level by level until none is left; no document is
+    gathered. A document that is no JSON has no numbers.
+    """
+    fits = F.lower("key").contains(pattern.lower()) | F.lower("key").isin([n.lower() for n in names])
+    level = log.select(F.try_parse_json(F.col(document)).alias("v")).where("v is not null")
+    found = None
+    while True:
+        level = materialize(level.select(F.to_json("v").alias("j")), "usage-level").select(F.parse_json("j").alias("v"))
+        objects = level.where(F.schema_of_variant("v").startswith("OBJECT")).lateralJoin(log.sparkSession.tvf.variant_explode(F.col("v").outer())).select("key", F.col("value"))
+        lists = level.where(F.schema_of_variant("v").startswith("ARRAY")).lateralJoin(log.sparkSession.tvf.variant_explode(F.col("v").outer())).select(F.lit(None).cast("string").alias("key"), F.col("value"))
+        parts = objects.unionAll(lists).withColumn("kind", F.schema_of_variant("value"))
+        here = parts.where(fits & (F.col("kind") == "BIGINT")).select("key", F.expr("try_variant_get(value, '$', 'bigint')").alias("n"))
+        here = materialize(here, "usage-numbers")
+        found = here if found is None else found.unionAll(here)
+        level = parts.where(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")).select(F.col("value").alias("v"))
+        if level.isEmpty():
+            return found.groupBy("key").agg(F.sum("n").alias("total"))
 
 
 def coverage(rows: DataFrame, condition: Sequence[str], case: str) -> DataFrame:
-    """(condition..., n_cases, signature, same): whether every condition has the same set of cases."""
-    per = rows.groupBy(*condition).agg(F.array_sort(F.collect_set(F.col(case).cast("string"))).alias("cases"))
-    per = per.select(*condition, F.size("cases").cast("long").alias("n_cases"), F.sha2(F.array_join("cases", ","), 256).alias("signature"))
-    every = Window.partitionBy(F.lit(1))
-    return per.withColumn("same", (F.min("signature").over(every) == F.max("signature").over(every)))
+    """(condition..., n_cases, signature, same): whether every condition has the same set of cases.
+
+    A signature is an order-free sum of the cases' hashes, with their number,
+    so no set is gathered; equal sets have equal ones, and different ones differ
+    but for a collision of 128 bits.
+    """
+    once = rows.select(*condition, F.col(case).cast("string").alias("_case")).distinct()
+    half = lambda seed: F.sum((F.xxhash64("_case", F.lit(seed))).cast("decimal(38,0)"))
+    per = once.groupBy(*condition).agg(F.count("_case").alias("n_cases"), half(1).alias("_a"), half(2).alias("_b"))
+    per = per.withColumn("signature", F.sha2(F.concat_ws(",", "n_cases", F.col("_a").cast("string"), F.col("_b").cast("string")), 256)).drop("_a", "_b")
+    every = per.agg(F.min("signature").alias("_low"), F.max("signature").alias("_high"))
+    return per.crossJoin(F.broadcast(every)).withColumn("same", F.col("_low") == F.col("_high")).drop("_low", "_high")  # one row
 
 
 def joined_text(rows: DataFrame, by: Sequence[str], order: Column, line: Column, top: int | None = None, sep: str = "\n") -> DataFrame:

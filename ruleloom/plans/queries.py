@@ -58,12 +58,12 @@ def issue_url_parts(spark, sf_dir):
     return p.select("page_id", text.issue_parts(link).alias("p")).select("page_id", "p.owner", "p.repo", "p.number")
 
 
-@query("""SELECT doc_id, concat('# ', trim(split_part(text, chr(10), 1)), chr(10), chr(10), 'Source URL: u', doc_id, chr(10), chr(10), coalesce(nullif(trim(CASE WHEN doc_id % 4 = 0 THEN '  ' ELSE lang END), ''), '_No description provided._'), chr(10)) AS markdown FROM documents""")
+@query("""SELECT doc_id, sha256(concat('# ', trim(split_part(text, chr(10), 1)), chr(10), chr(10), 'Source URL: u', doc_id, chr(10), chr(10), coalesce(nullif(trim(CASE WHEN doc_id % 4 = 0 THEN '  ' ELSE text END), ''), '_No description provided._'), chr(10))) AS markdown_sha FROM documents""")
 def issue_markdown(spark, sf_dir):
     """Issues as Markdown."""
     d = fx.table(spark, sf_dir, "documents")
-    body = F.when(F.col("doc_id") % 4 == 0, F.lit("  ")).otherwise(F.col("lang"))
-    return d.select("doc_id", text.issue_markdown(F.split_part("text", F.lit("\n"), F.lit(1)), F.concat(F.lit("u"), F.col("doc_id")), body).alias("markdown"))
+    body = F.when(F.col("doc_id") % 4 == 0, F.lit("  ")).otherwise(F.col("text"))
+    return d.select("doc_id", keys.sha_text(text.issue_markdown(F.split_part("text", F.lit("\n"), F.lit(1)), F.concat(F.lit("u"), F.col("doc_id")), body)).alias("markdown_sha"))
 
 
 @query(f"WITH {fx.LOG} SELECT batch_id, model, seq, value, tokens FROM log QUALIFY row_number() OVER (PARTITION BY batch_id, model, prompt_sha256, input_sha256 ORDER BY seq DESC) = 1")
@@ -109,19 +109,21 @@ def unit_texts(spark, sf_dir):
     return u.select("unit_id", keys.sha_text(text.embedding_text()).alias("embedding_sha"), F.length(text.rerank_text()).cast("long").alias("rerank_length"), text.query_text(F.col("situation")).alias("query_text"))
 
 
-IMAGE_ROWS = [
-    (1, "see ![a](https://x.io/a.png) then <img width=2 src=\"https://x.io/b.jpg\"> and ![a](https://x.io/a.png)"),
-    (2, "plain https://x.io/c.gif), end. ![q](<https://x.io/d.webp>)"),
-    (3, "[shot]: https://x.io/e.png\nhttps://user-images.githubusercontent.com/1/f"),
-    (4, "no image"),
-]
-
-
-@query("""SELECT * FROM (VALUES (1, 0, 'https://x.io/a.png'), (1, 1, 'https://x.io/b.jpg'), (2, 0, 'https://x.io/c.gif'), (2, 1, 'https://x.io/d.webp'), (3, 0, 'https://x.io/e.png'), (3, 1, 'https://user-images.githubusercontent.com/1/f')) AS t(id, pos, url)""")
+@query(r"""WITH m AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('see ![a](', u, '.png) then <img width=2 src="', u, '.jpg"> and ![a](', u, '.png)') WHEN 1 THEN concat('plain ', u, '.gif), end. ![q](<', u, '.webp>)')
+WHEN 2 THEN concat('[shot]: ', u, '.png', chr(10), 'https://user-images.githubusercontent.com/', page_id, '/f') ELSE concat('no image at ', u) END AS md FROM (SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS u FROM pages)),
+f AS (SELECT page_id, unnest(regexp_extract_all(md, 'https?://[^\\s()<>"]+\\.(?:png|jpg|gif|webp)|https://user-images[^\\s()<>"]+')) AS url, generate_subscripts(regexp_extract_all(md, 'https?://[^\\s()<>"]+\\.(?:png|jpg|gif|webp)|https://user-images[^\\s()<>"]+'), 1) AS i FROM m),
+d AS (SELECT page_id, url, min(i) AS i FROM f GROUP BY ALL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, url FROM d""".replace("\\\\", "\\"))
 def image_urls(spark, sf_dir):
-    """Image URLs of Markdown in order of place."""
-    rows = spark.createDataFrame(IMAGE_ROWS, "id int, md string")
-    return rows.select("id", F.posexplode(text.image_urls(F.col("md"))).alias("pos", "url"))
+    """Image URLs of Markdown in order of place, each once."""
+    u = F.substring_index(F.substring_index("url", "?", 1), "#", 1)
+    join = lambda *parts: F.concat(*(F.col("u") if x is None else F.lit(x) if isinstance(x, str) else x for x in parts))
+    md = (
+        F.when(F.col("page_id") % 4 == 0, join("see ![a](", None, '.png) then <img width=2 src="', None, '.jpg"> and ![a](', None, ".png)")).when(F.col("page_id") % 4 == 1, join("plain ", None, ".gif), end. ![q](<", None, ".webp>)"))
+        .when(F.col("page_id") % 4 == 2, join("[shot]: ", None, ".png\nhttps://user-images.githubusercontent.com/", F.col("page_id"), "/f")).otherwise(join("no image at ", None))
+    )
+    rows = fx.table(spark, sf_dir, "pages").select("page_id", u.alias("u")).select("page_id", md.alias("md"))
+    return rows.select("page_id", F.posexplode(text.image_urls(F.col("md"))).alias("pos", "url"))
 
 
 @query("""SELECT doc_id, concat('Judge: ', lang, ' / end') AS prompt, CAST(2 AS BIGINT) AS n_parts, concat('i', doc_id % 3) AS first_url FROM documents""")
@@ -132,21 +134,26 @@ def prompt_messages(spark, sf_dir):
     return d.select("doc_id", m.alias("m")).select("doc_id", F.element_at("m", -1)["text"].alias("prompt"), F.size("m").cast("long").alias("n_parts"), F.col("m")[0]["url"].alias("first_url"))
 
 
-SALVAGE_ROWS = [
-    (1, 'Sure:\n```json\n{"a": 1}\n```\nand ```{"b": 2}```'),
-    (2, '  {"a": {"b": [1, 2]}}  '),
-    (3, 'first {"a": 1} then {"b": {"c": 2}} done'),
-    (4, 'cut off {"a": 1, "b": '),
-    (5, "```\nnot json\n```\n{\"z\": null}"),
-    (6, None),
-]
-
-
-@query("""SELECT * FROM (VALUES (1, '{"a":1}', '{"b":2}', '{"a":1}'), (2, '{"a":{"b":[1,2]}}', '{"a":{"b":[1,2]}}', '{"a":{"b":[1,2]}}'), (3, NULL, '{"b":{"c":2}}', NULL), (4, NULL, NULL, NULL), (5, '{"z":null}', '{"z":null}', '{"z":null}'), (6, NULL, NULL, NULL)) AS t(id, first_fenced, last_object, greedy)""")
+@query(r"""WITH a AS (SELECT conv_id, turn, concat('{"n":', length(text), ',"role":"', role, '"}') AS o, concat('{"turn":', turn, '}') AS p FROM conversations),
+m AS (SELECT *, CASE (conv_id + turn) % 7 WHEN 0 THEN concat('Sure:', chr(10), '```json', chr(10), o, chr(10), '```', chr(10), 'and ```', p, '```') WHEN 1 THEN concat('  ', o, '  ') WHEN 2 THEN concat('first ', o, ' then ', p, ' done')
+WHEN 3 THEN concat('cut off ', left(o, length(o) - 1)) WHEN 4 THEN concat('```', chr(10), 'not json', chr(10), '```', chr(10), o) WHEN 5 THEN concat('```JSON', chr(10), o, chr(10), '``` rather ', p) END AS t FROM a),
+f AS (SELECT *, regexp_extract_all(t, '\{[^{}]*\}') AS objects, list_transform(regexp_extract_all(t, '(?is)```(?:json)?\s*(.*?)\s*```', 1), lambda x: x) AS fences FROM m),
+g AS (SELECT *, list_filter(fences, lambda x: regexp_full_match(x, '\{[^{}]*\}')) AS fenced FROM f)
+SELECT conv_id, turn, CASE WHEN len(fenced) > 0 THEN fenced[1] WHEN len(objects) = 1 THEN objects[1] END AS first_fenced, CASE WHEN len(objects) > 0 THEN objects[len(objects)] END AS last_object,
+CASE WHEN len(fenced) > 0 THEN fenced[1] WHEN len(objects) = 1 THEN objects[1] END AS greedy FROM g""")
 def json_salvage(spark, sf_dir):
-    """The three JSON readers on the same answers."""
-    rows = spark.createDataFrame(SALVAGE_ROWS, "id int, answer string")
-    return rows.select("id", salvage.json_first_fenced("answer").alias("first_fenced"), salvage.json_last_object("answer").alias("last_object"), salvage.json_greedy("answer").alias("greedy"))
+    """The three JSON readers on answers in prose, in fences, with one object or two, cut off, or none."""
+    c = fx.table(spark, sf_dir, "conversations")
+    o = F.concat(F.lit('{"n":'), F.length("text"), F.lit(',"role":"'), "role", F.lit('"}'))
+    p = F.concat(F.lit('{"turn":'), "turn", F.lit("}"))
+    kind = (F.col("conv_id") + F.col("turn")) % 7
+    join = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    answer = (
+        F.when(kind == 0, join("Sure:\n```json\n", o, "\n```\nand ```", p, "```")).when(kind == 1, join("  ", o, "  ")).when(kind == 2, join("first ", o, " then ", p, " done")).when(kind == 3, join("cut off ", F.expr("left(o, length(o) - 1)")))
+        .when(kind == 4, join("```\nnot json\n```\n", o)).when(kind == 5, join("```JSON\n", o, "\n``` rather ", p))
+    )
+    rows = c.withColumn("o", o).select("conv_id", "turn", answer.alias("answer"))
+    return rows.select("conv_id", "turn", salvage.json_first_fenced("answer").alias("first_fenced"), salvage.json_last_object("answer").alias("last_object"), salvage.json_greedy("answer").alias("greedy"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE trim(concat('x ', lang)) END AS body FROM documents""")
@@ -451,7 +458,8 @@ def snn_edges(spark, sf_dir):
     return _snn(spark, sf_dir)
 
 
-@query(f"WITH {fx.SNN} SELECT e.source, e.target, shared, jaccard FROM edges e JOIN neighbors a ON a.q = e.source AND a.n = e.target JOIN neighbors b ON b.q = e.target AND b.n = e.source")
+@query(f"""WITH {fx.SNN}, ways AS (SELECT least(q, n) AS source, greatest(q, n) AS target FROM neighbors GROUP BY ALL HAVING count(*) = 2)
+SELECT source, target, shared, jaccard FROM edges JOIN ways USING (source, target)""")
 def snn_edges_mutual(spark, sf_dir):
     """E6 between mutual neighbours."""
     return graph.snn_edges(fx.neighbors(spark, sf_dir), fx.K, fx.MIN_SHARED, mutual=True)
@@ -665,10 +673,10 @@ def catalog_assembly(spark, sf_dir):
     return catalog.assembled(old, m.where("n % 4 = 0").select("family_id").distinct(), regrouped, new)
 
 
-@query("""WITH p AS (SELECT l_returnflag, l_linestatus, list_sort(list(DISTINCT l_suppkey::VARCHAR)) AS c FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus, len(c)::BIGINT AS n_cases, sha256(array_to_string(c, ',')) AS signature, (SELECT count(DISTINCT c) = 1 FROM p) AS same FROM p""")
+@query("""WITH p AS (SELECT l_returnflag, l_linestatus, list_sort(list(DISTINCT l_suppkey::VARCHAR)) AS c FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus, len(c)::BIGINT AS n_cases, (SELECT count(DISTINCT c) = 1 FROM p) AS same FROM p""")
 def condition_coverage(spark, sf_dir):
     """H3: every condition has the same cases."""
-    return catalog.coverage(fx.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_suppkey")
+    return catalog.coverage(fx.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_suppkey").drop("signature")
 
 
 @query(f"WITH {fx.LOG} SELECT model, 'tokens' AS key, sum(tokens)::BIGINT AS total FROM log GROUP BY model UNION ALL SELECT model, 'calls', count(*) FROM log GROUP BY model")
@@ -682,7 +690,7 @@ def usage_totals(spark, sf_dir):
 def nested_usage(spark, sf_dir):
     """whole numbers under matching keys at any depth of a document."""
     log = fx.call_log(spark, sf_dir)
-    doc = F.concat(F.lit('{"usage":{"total_tokens":'), "tokens", F.lit(',"cost":1.5,"detail":{"requests":1,"token_share":0.5}}}'))
+    doc = F.concat(F.lit('{"note":"\\"tokens\\": 7","usage":{"total_tokens":'), "tokens", F.lit(',"cost":1.5,"detail":[{"requests":1,"token_share":0.5}]}}'))
     return catalog.nested_usage(log.select(doc.alias("doc")), "doc")
 
 
@@ -776,15 +784,17 @@ def offline_embed(spark, sf_dir):
     return providers.embed(u, "unit_id", "situation", providers.HashEmbedder())
 
 
-@query(f"""WITH {fx.UNITS}, q AS (SELECT unit_id AS qid, list_distinct(list_filter(regexp_split_to_array(lower(situation), '\\s+'), lambda x: x <> '')) AS w FROM units WHERE doc_id % 20 = 0),
-d AS (SELECT unit_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(situation), '\\s+'), lambda x: x <> '')) AS w FROM units WHERE doc_id < 40)
-SELECT qid, id, CASE WHEN len(q.w) = 0 THEN 0 ELSE round(len(list_intersect(q.w, d.w)) / len(q.w), 6) END AS rerank_score FROM q, d""")
+WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH {fx.NEIGHBORS}, t AS (SELECT doc_id, {WORDS} AS w FROM documents)
+SELECT q AS qid, n AS id, CASE WHEN len(a.w) = 0 THEN 0 ELSE round_even(len(list_intersect(a.w, b.w)) / len(a.w), 6) END AS rerank_score FROM neighbors JOIN t a ON a.doc_id = q JOIN t b ON b.doc_id = n WHERE rank <= 10""")
 def offline_rerank(spark, sf_dir):
-    """K2: candidates scored by the offline reranker."""
-    u = fx.units(spark, sf_dir)
-    q = u.where("doc_id % 20 = 0").select(F.col("unit_id").alias("qid"), F.col("situation").alias("query"), F.lit(1).alias("one"))
-    d = u.where("doc_id < 40").select(F.col("unit_id").alias("id"), F.col("situation").alias("document"), F.lit(1).alias("one"))
-    return providers.rerank(q.join(F.broadcast(d), "one"), providers.OverlapReranker())  # forty fixed candidates
+    """K2: every query's recall list scored by the offline reranker."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = fx.neighbors(spark, sf_dir).where("rank <= 10").select(F.col("q").alias("qid"), F.col("n").alias("id"))
+    pairs = pairs.join(d.withColumnsRenamed({"doc_id": "qid", "text": "query"}), "qid").join(d.withColumnsRenamed({"doc_id": "id", "text": "document"}), "id")
+    return providers.rerank(pairs, providers.OverlapReranker())
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'error' WHEN doc_id % 5 = 1 THEN 'invalid_output' ELSE 'success' END AS status, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 5 = 1 THEN 3 WHEN doc_id % 5 = 2 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM documents""")
