@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ruleloom.functions.keys import natural_key
 from ruleloom.plans.durable import materialize
 
 
@@ -28,6 +29,28 @@ def nest(members: DataFrame) -> DataFrame:
     return equal.join(groups, "family_id", "left").withColumn("variant_groups", F.coalesce("variant_groups", empty))
 
 
+def normal_families(families: DataFrame) -> DataFrame:
+    """Families (equivalent_member_ids, variant_groups, ...) in normal form, with member_ids, member_count, base_origin and ``faults``.
+
+    Ids are distinct, trimmed and in natural order, groups in the order of
+    their first ids. ``base_origin`` is SYNTHESIZED where base differs from
+    base_before, else origin_before. Faults: repeated (an id twice), blank (an
+    empty id), empty_group, few (less than two members); a family without any
+    has an empty list. Works on each family by itself.
+    """
+    ids = lambda a: F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.trim(x))
+    ordered = lambda a: F.transform(F.array_sort(F.transform(F.array_distinct(a), lambda x: F.struct(natural_key(x).alias("k"), x.alias("x")))), lambda s: s["x"])
+    groups = F.coalesce(F.col("variant_groups"), F.array().cast(families.schema["variant_groups"].dataType))
+    out = families.withColumns({"_e": ids(F.col("equivalent_member_ids")), "_g": F.transform(groups, lambda g: ids(g["member_ids"]))})
+    out = out.withColumn("_all", F.concat("_e", F.flatten("_g")))
+    sorted_groups = F.transform(F.array_sort(F.transform(F.filter("_g", lambda g: F.size(g) > 0), lambda g: F.struct(natural_key(ordered(g)[0]).alias("k"), ordered(g).alias("g")))), lambda s: F.struct(s["g"].alias("member_ids")))
+    fault = lambda name, when: F.when(when, F.lit(name))
+    faults = F.array_compact(F.array(fault("repeated", F.size("_all") != F.size(F.array_distinct("_all"))), fault("blank", F.exists("_all", lambda x: x == "")), fault("empty_group", F.exists("_g", lambda g: F.size(g) == 0)), fault("few", F.size(F.array_distinct("_all")) < 2)))
+    member_ids = ordered(F.col("_all"))
+    out = out.withColumns({"equivalent_member_ids": ordered(F.col("_e")), "variant_groups": sorted_groups, "member_ids": member_ids, "member_count": F.size(member_ids).cast("long"), "base_origin": F.when(F.col("base").eqNullSafe(F.col("base_before")), F.col("origin_before")).otherwise("SYNTHESIZED"), "faults": faults})
+    return out.drop("_e", "_g", "_all")
+
+
 def sync_actions(bases: DataFrame, active: DataFrame, sources: DataFrame) -> DataFrame:
     """(family_id, action, reused_from): KEEP, GENERATE_CHANGED, REUSE_SOURCE or GENERATE_NEW for each base.
 

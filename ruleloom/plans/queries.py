@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ruleloom.functions import keys, providers, salvage, text
 from ruleloom.operators import catalog, constraints, graph, ranking, vectors
 from ruleloom.plans import fixtures as fx
-from ruleloom.plans.durable import materialize
+from ruleloom.plans.durable import materialize, remove, shared_dir
 from ruleloom.sources import files
 from ruleloom.streaming import serial
 
@@ -761,8 +763,9 @@ def family_fold(spark, sf_dir):
 
 def _serial_events(spark, sf_dir) -> DataFrame:
     e = fx.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("V"), "vec_id").alias("unit_id"), F.col("vec_id").alias("serial_order"), F.col("embedding").alias("vector"))
-    judge = lambda unit, found: ("EQUIVALENT", found[0][0]) if found and found[0][1] >= 0.45 else ("VARIANT", found[0][0]) if found and found[0][1] >= 0.40 else ("NO_MATCH", None)
-    return serial.event_log(e, judge)
+    judge = lambda unit, found: serial.by_threshold(unit, found, 0.45, 0.40)
+    generalise = lambda unit, vector, family, members: serial.by_groups(unit, vector, family, members, 0.42, 4)
+    return serial.event_log(e, judge, generalise)
 
 
 @query()
@@ -773,10 +776,37 @@ def serial_consolidation(spark, sf_dir):
 
 @query()
 def state_replay(spark, sf_dir):
-    """The catalog as the events leave it."""
+    """The catalog as the events leave it, with each family's version and origins."""
     return serial.replay(_serial_events(spark, sf_dir))
 
 
+@query("""SELECT user_id AS family_id, max(event_id) AS seq, sha256(arg_max(event_type, event_id)) AS sha, arg_max(value, event_id) AS vector FROM events GROUP BY user_id""")
+def index_sync(spark, sf_dir):
+    """Vector events synced into an active index by micro-batches, the pointer last."""
+    path = f"{shared_dir(spark).rstrip('/')}/sync-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    e = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("family_id"), F.col("event_id").alias("seq"), F.sha2("event_type", 256).alias("sha"), F.col("value").alias("vector"))
+    e.repartitionByRange(3, "seq").write.parquet(f"{path}/events")
+    serial.sync_stream(spark, f"{path}/events", f"{path}/active", f"{path}/checkpoint", "family_id long, seq long, sha string, vector double", per_trigger=1).awaitTermination()
+    return serial.active_index(spark, f"{path}/active")
+
+
+@query(f"""WITH {fx.MEMBERS}, e AS (SELECT family_id, list(member_id ORDER BY CAST(substr(member_id, 2) AS BIGINT)) AS ids FROM members WHERE member_type = 'EQUIVALENT' GROUP BY family_id),
+g AS (SELECT family_id, group_index, list(member_id ORDER BY CAST(substr(member_id, 2) AS BIGINT)) AS ids FROM members WHERE group_index IS NOT NULL GROUP BY ALL),
+v AS (SELECT family_id, array_to_string(list(array_to_string(ids, ' ') ORDER BY CAST(substr(ids[1], 2) AS BIGINT)), '; ') AS groups FROM g GROUP BY family_id),
+n AS (SELECT family_id, count(*) AS member_count FROM members GROUP BY family_id)
+SELECT n.family_id, member_count, array_to_string(e.ids, ' ') AS equivalent, groups, CASE WHEN CAST(substr(n.family_id, 2) AS BIGINT) % 3 = 0 THEN 'SYNTHESIZED' ELSE 'ANCHORED' END AS base_origin,
+CASE WHEN CAST(substr(n.family_id, 2) AS BIGINT) % 7 = 0 THEN 'repeated' ELSE '' END AS faults FROM n JOIN e USING (family_id) JOIN v USING (family_id)""")
+def family_normal_form(spark, sf_dir):
+    """Families in normal form, with their faults; a changed base is synthesised."""
+    f = fx.families(spark, sf_dir).withColumn("n", F.substring("family_id", 2, 9).cast("int"))
+    mixed = F.transform(F.reverse("variant_groups"), lambda g: F.struct(F.reverse(g["member_ids"]).alias("member_ids")))
+    twice = F.when(F.col("n") % 7 == 0, F.concat("equivalent_member_ids", "equivalent_member_ids")).otherwise(F.col("equivalent_member_ids"))
+    f = f.select("family_id", twice.alias("equivalent_member_ids"), mixed.alias("variant_groups"), F.lit("b").alias("base_before"), F.when(F.col("n") % 3 == 0, "c").otherwise("b").alias("base"), F.lit("ANCHORED").alias("origin_before"))
+    out = catalog.normal_families(f)
+    return out.select("family_id", "member_count", F.array_join("equivalent_member_ids", " ").alias("equivalent"), F.array_join(F.transform("variant_groups", lambda g: F.array_join(g["member_ids"], " ")), "; ").alias("groups"), "base_origin", F.array_join("faults", ",").alias("faults"))
+
+
 @query()
 def offline_embed(spark, sf_dir):
     """K1: each distinct text embedded once by the offline embedder."""
