@@ -851,12 +851,48 @@ def memoised_calls(spark, sf_dir):
     return every.select("doc_id", "answer")
 
 
+def _staged(spark, sf_dir):
+    from ruleloom.plans import stages
+
+    root = f"{shared_dir(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, root)
+    return root, stages.fixture(spark, sf_dir)
+
+
 @query()
 def stage_summary(spark, sf_dir):
-    """L1, L2: the library stages run as one plan, with the rows of each."""
-    from ruleloom.plans.stages import library_summary
-
-    return library_summary(spark, sf_dir)
+    """L1, L2: all seven library stages, with the rows of each step's table."""
+    from ruleloom.plans import stages
+
+    root, given = _staged(spark, sf_dir)
+    tables = stages.run_all(spark, root, given, stages.FIXTURE)
+    return stages.summary(tables, [step.output for steps in stages.stages().values() for step in steps])
+
+
+@query("""WITH r AS (SELECT doc_id, length(trim(concat('# ', trim(split_part(text, chr(10), 1))))) AS n FROM documents)
+SELECT step, status, CASE WHEN status = 'success' THEN (SELECT count(*) FROM documents) END AS n_rows, 64 AS hash_length, count(*) AS n FROM (VALUES ('reports'), ('prompts'), ('answers'), ('raw_units')) s(step), (VALUES ('success'), ('skipped')) t(status) GROUP BY ALL""")
+def stage_manifests(spark, sf_dir):
+    """A stage run twice: what its manifests say, with the hashes of its inputs."""
+    from ruleloom.plans import stages
+
+    root, given = _staged(spark, sf_dir)
+    steps = stages.stages(stages.FIXTURE)[1][:4]
+    for _ in range(2):
+        stages.run_stage(spark, root, 1, steps, given, stages.FIXTURE)
+    lines = stages.summaries(spark, root).select(F.explode(F.split("content", "\n")).alias("line")).where("line <> ''").select(F.from_json("line", stages.MANIFEST).alias("m"))
+    return lines.groupBy("m.step", "m.status", "m.n_rows", F.length(F.map_values("m.inputs")[0]).alias("hash_length")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT lang AS source, count(*) FILTER (length(trim(text)) >= 400) AS n_units, count(*) AS n FROM documents GROUP BY lang""")
+def extracted_units(spark, sf_dir):
+    """L2: the extraction stage, by language: reports whose answers hold a rule."""
+    from ruleloom.plans import stages
+
+    root, given = _staged(spark, sf_dir)
+    given["issues"] = given["issues"].drop("source").join(fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("D"), "doc_id").alias("id"), F.col("lang").alias("source")), "id")
+    t = stages.run_stage(spark, root, 1, stages.stages(stages.FIXTURE)[1], given, stages.FIXTURE)
+    found = t["raw_units"].select("id", "is_violation").join(t["reports"].select("id", "source"), "id")
+    return found.groupBy("source").agg(F.count_if("is_violation").alias("n_units"), F.count("*").alias("n"))
 
 
 @query("""SELECT detector, model, condition, l_suppkey AS case_id FROM (VALUES ('d1'), ('d2'), ('d3')) a(detector), (VALUES ('m1'), ('m2')) b(model), (VALUES ('base'), ('rules')) c(condition), (SELECT DISTINCT l_suppkey FROM lineitem)""")
