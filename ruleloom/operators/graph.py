@@ -11,17 +11,25 @@ from ruleloom.operators import community
 from ruleloom.operators.components import connected_components
 from ruleloom.plans.durable import materialize
 
+#: Lists that one part of a hub is in at most, and nodes of a component that one task takes.
+HUB, LARGE = 2_000, 50_000
+
 
 def snn_edges(neighbors: DataFrame, k: int, min_shared: int = 15, mutual: bool = False) -> DataFrame:
     """(source, target, shared, jaccard) of pairs with common out-neighbours.
 
     ``neighbors``: q, n, k rows for each q, none with q = n. An equi-join on
     the neighbour; neither end counts as its own neighbour. ``mutual`` keeps
-    pairs in which each is a neighbour of the other.
+    pairs in which each is a neighbour of the other. A hub, in more lists than
+    HUB, is dealt into parts on both sides, so that its pairs are made by many
+    tasks.
     """
-    a = neighbors.select(F.col("q").alias("source"), "n")
-    b = neighbors.select(F.col("q").alias("target"), "n")
-    edges = a.join(b, "n").where("source < target").groupBy("source", "target").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    hubs = neighbors.groupBy("n").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1")
+    rows = neighbors.select("q", "n").join(hubs, "n", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    mine, every = F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = rows.select(F.col("q").alias("source"), "n", mine.alias("i"), every.alias("j"))
+    b = rows.select(F.col("q").alias("target"), "n", mine.alias("j"), every.alias("i"))
+    edges = a.join(b, ["n", "i", "j"]).where("source < target").groupBy("source", "target").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
     if mutual:
         edges = edges.join(neighbors.select(F.col("q").alias("source"), F.col("n").alias("target")), ["source", "target"], "left_semi")
         edges = edges.join(neighbors.select(F.col("q").alias("target"), F.col("n").alias("source")), ["source", "target"], "left_semi")
@@ -67,11 +75,13 @@ def component_export(labels: DataFrame, edges: DataFrame, weight: str, largest:
     return numbered(out, [F.desc("size"), F.col("component")], "rank", 1)
 
 
-def numbered(rows: DataFrame, order: list, name: str, start: int = 0, parts: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, order: list, name: str, start: int = 0, parts: int | None = None) -> DataFrame:
     """A dense number over the whole table by range partitions: ranks inside each, offset by the rows before.
 
-    Rows are dealt by range, so no task sorts the table.
+    Rows are dealt by range into ``parts``, the session's shuffle partitions if
+    not given, so no task sorts the table.
     """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
     dealt = materialize(dealt, "numbered")
     before = dealt.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -89,13 +99,65 @@ def modularity(edges: DataFrame, labels: DataFrame, weight: str, resolution: flo
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, weight: str = "jaccard", resolution: float = 0.8) -> DataFrame:
-    """(id, community): Louvain with fixed node order, one connected component a group.
+    """(id, community): Louvain, communities named by their smallest member.
 
     Modularity has no gain across components, so each is optimised by itself
-    with the whole graph's edge weight; communities are named by their smallest
-    member. A component is one task's work, as its moves follow one another.
+    with the whole graph's edge weight: components of at most LARGE nodes in
+    one task each, with fixed node order; larger ones together by
+    :func:`louvain_moves`, where no task holds a component.
     """
-    return _by_component(nodes, edges, weight, lambda ids, links, m: community.louvain(ids, links, m, resolution))
+    labels = materialize(component_table(nodes, edges), "components")
+    big = labels.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("component")
+    big = materialize(labels.join(big, "component", "left_semi").select("id"), "large-components")
+    if big.isEmpty():
+        return _by_component(labels, edges, weight, lambda ids, links, m: community.louvain(ids, links, m, resolution))
+    total = edges.agg(F.sum(weight)).first()[0] or 0.0
+    inside = edges.join(big.withColumnRenamed("id", "source"), "source", "left_semi")
+    moved = louvain_moves(big, inside, weight, resolution, total)
+    rest = _by_component(labels.join(big, "id", "left_anti"), edges.join(big.withColumnRenamed("id", "source"), "source", "left_anti"), weight, lambda ids, links, m: community.louvain(ids, links, m, resolution), total)
+    return rest.unionByName(moved)
+
+
+def louvain_moves(nodes: DataFrame, edges: DataFrame, weight: str, resolution: float, total: float, rounds: int = 12) -> DataFrame:
+    """(id, community) by synchronous moves on edge tables.
+
+    In each round a half of the nodes, by a hash, moves to the neighbouring
+    community with the highest gain; a level ends when neither half moves or
+    after ``rounds``, and the graph of its communities is the next level's,
+    until a level moves nothing.
+    """
+    both = lambda e: e.select(F.col("source").alias("a"), F.col("target").alias("b"), "w").unionAll(e.where("source <> target").select(F.col("target").alias("a"), F.col("source").alias("b"), "w"))
+    links = materialize(edges.select("source", "target", F.col(weight).cast("double").alias("w")), "moves-links")
+    out = materialize(nodes.select("id", F.col("id").alias("community")), "moves-labels")
+    while True:
+        ways = materialize(both(links), "moves-ways")
+        degree = ways.groupBy("a").agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("w")).otherwise(F.col("w"))).alias("degree"))
+        home = materialize(degree.select(F.col("a").alias("id"), F.col("a").alias("c"), "degree"), "moves-home")
+        still, changed = 0, False
+        for n in range(rounds):
+            mass = home.groupBy("c").agg(F.sum("degree").alias("mass"))
+            to = ways.where("a <> b").join(home.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
+            own = home.select(F.col("id").alias("a"), F.col("c").alias("own"), "degree")
+            stay = own.select("a", F.col("own").alias("c"), F.lit(0.0).alias("w"))
+            seen = to.unionByName(stay).groupBy("a", "c").agg(F.sum("w").alias("w")).join(own, "a").join(mass, "c")
+            alone = F.when(F.col("c") == F.col("own"), F.col("mass") - F.col("degree")).otherwise(F.col("mass"))
+            gain = F.round(F.col("w") - F.lit(resolution) * F.col("degree") * alone / F.lit(2 * total), 12)
+            best = seen.withColumn("gain", gain).groupBy("a").agg(F.first("own").alias("own"), F.first("degree").alias("degree"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("now"), F.max("gain").alias("top"), F.min_by("c", F.struct((-F.col("gain")).alias("g"), F.col("c"))).alias("to"))
+            turn = F.pmod(F.xxhash64("a"), F.lit(2)) == n % 2
+            step = best.withColumn("goes", turn & (F.col("top") > F.col("now") + 1e-9))
+            step = materialize(step.select(F.col("a").alias("id"), F.when(F.col("goes"), F.col("to")).otherwise(F.col("own")).alias("c"), "degree", "goes"), "moves-home")
+            any_ = not step.where("goes").isEmpty()
+            home, changed, still = step.drop("goes"), changed or any_, 0 if any_ else still + 1
+            if still == 2:
+                break
+        names = home.groupBy("c").agg(F.min("id").alias("name"))
+        home = materialize(home.join(names, "c").select(F.col("id").alias("community"), F.col("name").alias("new")), "moves-names")
+        out = materialize(out.join(home, "community", "left").select("id", F.coalesce("new", "community").alias("community")), "moves-labels")
+        if not changed:
+            names = out.groupBy("community").agg(F.min("id").alias("name"))
+            return out.join(names, "community").select("id", F.col("name").alias("community"))
+        ends = links.join(home.withColumnsRenamed({"community": "source", "new": "s"}), "source").join(home.withColumnsRenamed({"community": "target", "new": "t"}), "target")
+        links = materialize(ends.groupBy(F.least("s", "t").alias("source"), F.greatest("s", "t").alias("target")).agg(F.sum("w").alias("w")), "moves-links")
 
 
 def leiden(labels: DataFrame, edges: DataFrame, weight: str = "jaccard", largest: int = 25, resolution: float = 1.0, factor: float = 1.5, depth: int = 10) -> DataFrame:
@@ -129,9 +191,8 @@ def _read(table: pa.Table) -> tuple[list, list[tuple]]:
     return sorted({a for a, b, _ in rows if b is None}), sorted((a, b, w) for a, b, w in rows if b is not None)
 
 
-def _by_component(nodes: DataFrame, edges: DataFrame, weight: str, split) -> DataFrame:
-    labels = materialize(component_table(nodes, edges), "components")
-    total = edges.agg(F.sum(weight)).first()[0] or 0.0
+def _by_component(labels: DataFrame, edges: DataFrame, weight: str, split, total: float | None = None) -> DataFrame:
+    total = (edges.agg(F.sum(weight)).first()[0] or 0.0) if total is None else total
     kind = labels.schema["id"].dataType
     e = edges.join(labels.withColumnRenamed("id", "source"), "source").select("component", F.col("source").alias("a"), F.col("target").alias("b"), F.col(weight).cast("double").alias("w"))
     linked = labels.join(e.select("component").distinct(), "component", "left_semi")
@@ -144,4 +205,4 @@ def _by_component(nodes: DataFrame, edges: DataFrame, weight: str, split) -> Dat
         return pa.table([pa.array([m[c] for m in members], table.schema.field("a").type) for c in (0, 1)], names=["id", "community"])
 
     found = rows.groupBy("component").applyInArrow(run, f"id {kind.simpleString()}, community {kind.simpleString()}")
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    return labels.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))

@@ -135,8 +135,13 @@ def top_groups(queries: DataFrame, index: DataFrame, k: int, clip: bool = True)
 
 
 def distribution(rows: DataFrame, value: str, *by: str, digits: int = 6) -> DataFrame:
-    """min, p10, p25, median, mean, p75, p90, p95, p99, max, with linearly interpolated quantiles, rounded."""
+    """min, p10, p25, median, mean, p75, p90, p95, p99, max, with linearly interpolated quantiles, rounded.
+
+    Quantiles are exact over values rounded to ``digits``: a group is held as
+    its distinct rounded values with their counts, as few as scores between -1
+    and 1 can have, not as its rows.
+    """
     shares = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.percentile(value, list(shares.values())).alias("q"))
+    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.percentile(F.round(value, digits), list(shares.values())).alias("q"))
     cols = {k: F.col("q")[i] for i, k in enumerate(shares)} | {"min": F.col("min"), "max": F.col("max"), "mean": F.col("mean")}
     return out.select(*by, "n", *(F.round(c.cast("double"), digits).alias(k) for k, c in cols.items()))

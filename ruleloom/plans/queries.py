@@ -6,10 +6,11 @@ import atexit
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.functions import keys, providers, salvage, text
+from ruleloom.functions import detectors, keys, providers, salvage, text
 from ruleloom.operators import catalog, constraints, graph, ranking, vectors
 from ruleloom.plans import fixtures as fx
 from ruleloom.plans.durable import materialize, remove, shared_dir
@@ -44,6 +45,86 @@ def manifest_url_dedup(spark, sf_dir):
     return got.groupBy("url", "cache_key").agg(F.count("*").alias("n_ids"), F.min("page_id").alias("first_page"))
 
 
+def _folder(spark, name: str) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+@query("SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha FROM documents")
+def json_lines_round_trip(spark, sf_dir):
+    """A1, B1: JSON Lines written whole and read back."""
+    path = _folder(spark, "jsonl")
+    files.write_json(fx.table(spark, sf_dir, "documents"), path)
+    return files.json_lines(spark, path, "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_arrays(spark, sf_dir):
+    """A2: files that each hold one array."""
+    path = _folder(spark, "arrays")
+    n = fx.table(spark, sf_dir, "nation")
+    n.groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("value")).withColumn("r", F.col("n_regionkey")).select("r", "value").write.partitionBy("r").text(path)
+    return files.json_array(spark, f"{path}/*", "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("SELECT count(*) AS n_files, sum(n)::BIGINT AS n_lines, max(names) AS last FROM (SELECT n_regionkey, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey)")
+def text_folder(spark, sf_dir):
+    """A10: the files of a folder at any depth, whole."""
+    path = _folder(spark, "texts")
+    n = fx.table(spark, sf_dir, "nation")
+    n.select(F.col("n_regionkey").alias("r"), "n_name").repartition("r").sortWithinPartitions("r", "n_name").write.partitionBy("r").text(path)
+    lines = F.split(F.regexp_replace("text", r"\s+$", ""), "\n")
+    return files.text_files(spark, path, "*.txt").agg(F.count("*").alias("n_files"), F.sum(F.size(lines)).alias("n_lines"), F.max(F.array_join(lines, ",")).alias("last"))
+
+
+@query("SELECT concat('r', n_regionkey) AS dataset, n_nationkey AS ID, n_name AS name, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER) AS position FROM nation")
+def dataset_cases(spark, sf_dir):
+    """The CSV cases of every data set, ids as numbers and in their order."""
+    path = _folder(spark, "datasets")
+    for (region,) in fx.table(spark, sf_dir, "region").select("r_regionkey").collect():  # five data sets
+        rows = fx.table(spark, sf_dir, "nation").where(F.col("n_regionkey") == region).select(F.concat("n_nationkey", F.lit(".0")).alias("ID"), F.col("n_name").alias("name"))
+        rows.write.option("header", True).csv(f"{path}/r{region}")
+    return files.datasets(spark, path, "*.csv").select("dataset", "ID", "name", "position")
+
+
+@query("SELECT doc_id, concat('texts/', doc_id, '.txt') AS member, octet_length(encode(text)) AS size, sha256(text) AS data_sha FROM documents")
+def zip_members(spark, sf_dir):
+    """The members of checked ZIP archives."""
+    import io
+    import zipfile
+
+    @F.udf("binary")
+    def packed(name: str, text: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(f"texts/{name}.txt", text)
+        return out.getvalue()
+
+    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), packed(F.col("doc_id").cast("string"), "text").alias("content"))
+    d = materialize(d, "archives")
+    out = files.unzipped(d, expected=d.select("path", F.sha2("content", 256).alias("sha256")))
+    return out.select(F.col("path").cast("long").alias("doc_id"), "member", "size", F.sha2("data", 256).alias("data_sha"))
+
+
+@query("SELECT n_nationkey, n_name, CAST(2 AS BIGINT) AS times, 'refused' AS second_write FROM nation")
+def append_and_copy(spark, sf_dir):
+    """An append log, its copy as a whole, and a sink that is not written over."""
+    path = _folder(spark, "sinks")
+    n = fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    files.append(n, f"{path}/log")
+    files.append(n, f"{path}/log")
+    for _ in range(2):  # the second takes the first one's place
+        files.copy(spark, f"{path}/log", f"{path}/copy")
+    files.write_json(n, f"{path}/once")
+    try:
+        files.write_json(n, f"{path}/once")
+        second = "written"
+    except AnalysisException:
+        second = "refused"
+    return spark.read.parquet(f"{path}/copy").groupBy("n_nationkey", "n_name").agg(F.count("*").alias("times")).withColumn("second_write", F.lit(second))
+
+
 @query(f"WITH {fx.MANIFEST} SELECT id, source, url FROM manifest QUALIFY row_number() OVER (PARTITION BY source ORDER BY page_id) <= 3")
 def manifest_limit_per_source(spark, sf_dir):
     """The first rows of each source."""
@@ -827,23 +908,61 @@ def offline_rerank(spark, sf_dir):
     return providers.rerank(pairs, providers.OverlapReranker())
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'error' WHEN doc_id % 5 = 1 THEN 'invalid_output' ELSE 'success' END AS status, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 5 = 1 THEN 3 WHEN doc_id % 5 = 2 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'error' WHEN doc_id % 5 = 1 THEN 'invalid_output' ELSE 'success' END AS status, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 5 = 1 THEN 3 WHEN doc_id % 5 = 2 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'bad' WHEN doc_id % 5 = 3 THEN 'good in text' ELSE 'good' END AS output, CAST(CASE WHEN doc_id % 5 = 1 THEN 3 WHEN doc_id % 5 = 2 THEN 2 ELSE 1 END AS BIGINT) AS n_raw FROM documents""")
 def validated_calls(spark, sf_dir):
-    """K3 to K7, K9: calls that are checked and asked again with the complaint."""
+    """K3, K4, K5, K7: calls whose raw answers are stored first, checked, asked again with the complaint, tried again when a connection breaks, and asked in text where images are refused."""
+    import urllib.error
+
+    broken: set[str] = set()
 
-    def chat(request: str, complaint: str | None) -> str:
+    def full(request: str, complaint: str | None) -> str:
         kind = int(request) % 5
-        if kind == 0:
+        if kind == 0 or kind == 4 and request not in broken:
+            broken.add(request)
             raise ConnectionError("lost")
+        if kind == 3:
+            raise urllib.error.HTTPError("u", 400, "no images", None, None)
         return "bad" if kind == 1 or kind == 2 and complaint is None else "good"
 
+    path = _folder(spark, "raw")
     d = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("request"))
-    return providers.validated(d, "doc_id", "request", chat, lambda answer: None if answer == "good" else "not good").select("doc_id", "status", "attempts")
+    chat = providers.with_fallback(full, lambda request, complaint: "good in text")
+    out = providers.validated(d, "doc_id", "request", chat, lambda answer: None if answer.startswith("good") else "not good", pause=0.0, raw_path=path)
+    raw = spark.read.parquet(path).groupBy(F.col("k").alias("doc_id")).agg(F.count("*").alias("n_raw"))
+    return out.join(raw, "doc_id").select("doc_id", "status", "attempts", "output", "n_raw")
+
+
+@query(f"""WITH {fx.SITUATIONS}, r AS (SELECT case_id, step_id, action, CASE WHEN step_id % 2 = 0 THEN page END AS page, concat('f', step_id) AS f FROM steps),
+p AS (SELECT case_id, step_id, 'function_identification' AS entry, CASE WHEN page IS NOT NULL THEN concat('Name the function that this step uses.', chr(10), 'Page: ', page, chr(10), 'Action: ', action) ELSE concat('Name the function that this step uses.', chr(10), 'Action: ', action) END AS prompt, 1 AS n_images FROM r
+UNION ALL SELECT case_id, step_id, 'response_verification', CASE WHEN page IS NOT NULL THEN concat('Does the page after the action fit the function?', chr(10), 'Function: ', f, chr(10), 'Before: ', page, chr(10), 'Action: ', action) ELSE concat('Does the page after the action fit the function?', chr(10), 'Function: ', f, chr(10), 'Action: ', action) END, 2 FROM r
+UNION ALL SELECT case_id, step_id, 'response_verification_rules', concat('Does the page after the action fit the function and these rules?', chr(10), 'Function: ', f, chr(10), 'Action: ', action, chr(10), 'Rules:', chr(10), '$page'), 2 FROM r
+UNION ALL SELECT case_id, step_id, 'function_summary', concat('Sum up what these steps test.', chr(10), coalesce(page, '')), 0 FROM r UNION ALL SELECT case_id, step_id, 'situation_extraction', concat('List the situations that these pages show.', chr(10), coalesce(page, '')), 1 FROM r
+UNION ALL SELECT case_id, step_id, 'situation_extraction_in_sequence', concat('List the situations of this sequence of steps.', chr(10), 'Steps so far: $page', chr(10), coalesce(page, '')), 1 FROM r)
+SELECT case_id, step_id, entry, n_images, length(prompt)::BIGINT AS prompt_length, sha256(concat('m', chr(10), chr(10), entry, chr(10), chr(10), prompt)) AS request_sha FROM p""")
+def detector_requests(spark, sf_dir):
+    """The requests of six prompt-bound entry points for every step of every case."""
+    _, steps = fx.situations(spark, sf_dir)
+    page = F.when(F.col("step_id") % 2 == 0, F.col("page"))
+    fields = {"action": F.col("action"), "page": page, "function": F.concat(F.lit("f"), F.col("step_id")), "context": F.lit("$page")}
+    out = detectors.requests(steps, "m", fields, ["case_id", "step_id"])
+    return out.select("case_id", "step_id", "entry", "n_images", F.length("prompt").cast("long").alias("prompt_length"), "request_sha")
+
+
+@query(f"""WITH {fx.SITUATIONS}, m AS (SELECT case_id, start_step, concat('{{"case":"', case_id, '","steps":"', start_step, '-', end_step, '"}}') AS plain, concat('{{"ablation":"no_generalisation","case":"', case_id, '","retrieval_schema":"instance_level","steps":"', start_step, '-', end_step, '"}}') AS tagged FROM ranges)
+SELECT case_id, start_step, sha256(plain) AS fingerprint, sha256(tagged) AS ablated_fingerprint FROM m""")
+def ablation_mappings(spark, sf_dir):
+    """A case's mapping and its ablation, each under its own fingerprint."""
+    ranges, _ = fx.situations(spark, sf_dir)
+    fields = {"case": F.col("case_id").cast("string"), "steps": F.concat_ws("-", "start_step", "end_step")}
+    plain = detectors.fingerprinted(ranges, **fields).select("case_id", "start_step", "end_step", "fingerprint")
+    tagged = detectors.ablated(ranges, "no_generalisation", **fields).select("case_id", "start_step", F.col("fingerprint").alias("ablated_fingerprint"))
+    return plain.drop("end_step").join(tagged, ["case_id", "start_step"])
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'made' ELSE 'cached' END AS answer FROM documents")
 def memoised_calls(spark, sf_dir):
-    """Only requests without a recorded answer reach a service."""
+    """K8: only requests without a recorded answer reach a service."""
     d = fx.table(spark, sf_dir, "documents")
     work = d.select("doc_id", providers.request_key("m", F.lit("p"), F.col("text")).alias("request_sha"))
     cache = work.where("doc_id % 3 <> 0").withColumn("answer", F.lit("cached"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
+import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -52,6 +55,42 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def unzipped(archives: DataFrame, path: str = "path", content: str = "content", expected: DataFrame | None = None) -> DataFrame:
+    """(path, member, size, data) of the files in ZIP archives, given as rows of bytes (as ``binaryFile`` reads them).
+
+    A member with an absolute name, a drive, or a part ".." fails the read; so
+    does an archive whose SHA-256 is not the one of ``expected`` (path, sha256),
+    or is not in it.
+    """
+    rows = archives.select(F.col(path).alias("path"), F.col(content).alias("content"))
+    if expected is not None:
+        told = expected.select(F.col("path"), F.lower("sha256").alias("_sha"))
+        right = F.sha2("content", 256) == F.col("_sha")
+        fault = F.raise_error(F.concat(F.lit("wrong checksum: "), F.col("path")))
+        rows = rows.join(told, "path", "left").withColumn("content", F.when(F.coalesce(right, F.lit(False)), F.col("content")).otherwise(fault.cast("binary"))).drop("_sha")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for m in z.infolist():
+                        parts = m.filename.replace("\\", "/").split("/")
+                        if parts[0] == "" or ":" in parts[0] or ".." in parts:
+                            raise ValueError(f"unsafe member {m.filename} in {name}")
+                        if not m.is_dir():
+                            cols = [pa.array([name]), pa.array([m.filename]), pa.array([m.file_size], pa.int64()), pa.array([z.read(m)], pa.binary())]
+                            yield pa.RecordBatch.from_arrays(cols, ["path", "member", "size", "data"])
+
+    return rows.mapInArrow(read, "path string, member string, size long, data binary")
+
+
+def datasets(spark: SparkSession, root: str, name: str = "test_case.csv", id_col: str = "ID") -> DataFrame:
+    """The cases of every data set below ``root``, with ``dataset`` (its folder) and ``position`` in numeric order of ids."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("header", True).option("multiLine", True).option("escape", '"').csv(root)
+    rows = rows.withColumn(id_col, F.col(id_col).try_cast("double").cast("long")).withColumn("dataset", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("dataset").orderBy(id_col)))
+
+
 def units(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """One table of all sources with source_name; ids must be unique across them (see constraints.unique)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("source_name", F.lit(name)) for name, df in sources])
@@ -83,6 +122,7 @@ class _IssueReader(DataSourceReader):
         self.urls = json.loads(options.get("urls", "[]"))
         self.per = int(options.get("per_partition", "50"))
         self.token, self.timeout = options.get("token"), float(options.get("timeout", "60"))
+        self.tries, self.pause = int(options.get("tries", "3")), float(options.get("pause", "1"))
 
     def partitions(self) -> list[_Issue]:
         return [_Issue(self.urls[n : n + self.per]) for n in range(0, len(self.urls), self.per)]
@@ -90,22 +130,35 @@ class _IssueReader(DataSourceReader):
     def read(self, partition: _Issue) -> Iterator[tuple]:
         import urllib.request
 
+        from ruleloom.functions.providers import with_retries
+
+        headers = {"Accept": "application/vnd.github+json"} | ({"Authorization": f"Bearer {self.token}"} if self.token else {})
         for url in partition.urls:
-            headers = {"Accept": "application/vnd.github+json"} | ({"Authorization": f"Bearer {self.token}"} if self.token else {})
-            with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=self.timeout) as answer:
-                issue = json.load(answer)
-            yield issue.get("html_url") or url, issue.get("title") or "", issue.get("body")
+
+            def get(url=url) -> dict:
+                with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=self.timeout) as answer:
+                    return json.load(answer)
+
+            try:
+                issue = with_retries(get, self.tries, self.pause)
+                yield issue.get("html_url") or url, issue.get("title") or "", issue.get("body"), None
+            except Exception as e:  # noqa: BLE001  a url that fails is a row, not the end of the scan
+                yield url, None, None, str(e)
 
 
 class IssueSource(DataSource):
-    """``spark.dataSource.register(IssueSource)``, then ``format("rest_issues").option("urls", json)``: one row an issue."""
+    """``spark.dataSource.register(IssueSource)``, then ``format("rest_issues").option("urls", json)``: one row an issue.
+
+    Options: token, timeout, per_partition, tries and pause of the retries. A
+    url that cannot be read gives a row with its error.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "rest_issues"
 
     def schema(self) -> str:
-        return "url string, title string, body string"
+        return "url string, title string, body string, error string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _IssueReader(self.options)
@@ -134,8 +187,15 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def copy(spark: SparkSession, source: str, target: str) -> None:
-    """A table under a new path, visible as a whole."""
-    spark.read.parquet(source).write.mode("overwrite").parquet(target)
+    """A table under a new path, visible as a whole: it is written aside, and takes the place of ``target`` when it is complete."""
+    aside = f"{target.rstrip('/')}-{uuid.uuid4().hex}"
+    spark.read.parquet(source).write.parquet(aside)
+    jvm = spark.sparkContext._jvm
+    new, old = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(target)
+    store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(old, True)
+    if not store.rename(new, old):
+        raise OSError(f"cannot move {aside} to {target}")
 
 
 def event_ids(rows: DataFrame, order: Sequence[Column], offset: int = 0, prefix: str = "E") -> DataFrame:

@@ -31,7 +31,7 @@ def test_readers_find_one_object_in_prose(value, before, after):
 def test_readers_differ():
     two = '{"a": 1} and {"b": 2}'
     assert (salvage.first_fenced(two), salvage.last_object(two), salvage.greedy(two)) == (None, {"b": 2}, None)
-    assert salvage.last_object('```json\n{"a": 1}\n``` then {"b": 2}') == {"a": 1}
+    assert salvage.last_object('```json\n{"a": 1}\n``` then {"b": 2}') == {"b": 2}  # the whole text's objects come after the fences'
     assert salvage.first_fenced("```\nno\n```\n```\n{\"c\": 3}\n```") == {"c": 3}
     assert salvage.first_fenced(None) is salvage.last_object(None) is salvage.greedy(None) is None
 
@@ -97,3 +97,12 @@ def test_embedder_is_deterministic_and_unit():
     e = providers.HashEmbedder()
     a, b = e.embed(["some words", ""]), e.embed(["some words", ""])
     assert a == b and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in a)
+
+
+def test_last_object_prefers_the_whole_text_to_its_fences():
+    from ruleloom.functions.salvage import greedy, last_object
+
+    assert last_object('```json\n{"a":1}\n```\nthen {"b":2}') == {"b": 2}
+    assert last_object('{"b":2} then ```json\n{"a":1}\n```') == {"a": 1}
+    assert last_object("nothing {") is None and last_object(None) is None
+    assert greedy('x {"a":1} y') == {"a": 1}

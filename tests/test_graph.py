@@ -64,3 +64,21 @@ def test_louvain_is_at_least_as_modular_as_components(spark):
     whole = graph.component_table(nodes, edges).withColumnRenamed("component", "community")
     score = lambda x: graph.modularity(edges, x, "jaccard").first()[0]
     assert score(labels) >= score(whole)
+
+
+def test_large_components_by_moves_on_tables(spark, monkeypatch):
+    ids, links = planted(3, 10)
+    nodes = spark.createDataFrame([(i,) for i in [*ids, 99]], "id long")
+    edges = spark.createDataFrame(links, "source long, target long, jaccard double")
+    monkeypatch.setattr(graph, "LARGE", 5)
+    found = {r["id"]: r["community"] for r in graph.louvain(nodes, edges, resolution=1.0).collect()}
+    assert found == {i: i // 10 * 10 for i in ids} | {99: 99}
+
+
+def test_hubs_in_parts_count_all_shared_neighbours(spark, monkeypatch):
+    rng = random.Random(2)
+    lists = {q: rng.sample([n for n in range(30) if n != q], 6) + [40] for q in range(30)}
+    rows = spark.createDataFrame([(q, n) for q, ns in lists.items() for n in ns], "q long, n long")
+    monkeypatch.setattr(graph, "HUB", 7)
+    want = {(a, b): len(set(lists[a]) & set(lists[b])) for a in lists for b in lists if a < b and len(set(lists[a]) & set(lists[b])) >= 2}
+    assert {(r["source"], r["target"]): r["shared"] for r in graph.snn_edges(rows, 7, 2).collect()} == want

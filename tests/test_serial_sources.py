@@ -1,4 +1,9 @@
+import http.server
+import io
 import json
+import re
+import threading
+import zipfile
 
 import numpy as np
 import pytest
@@ -17,15 +22,89 @@ def queue(spark, n=40):
     return spark.createDataFrame(rows, "serial_order long, unit_id string, vector array<double>")
 
 
-def test_fold_resumes_where_it_stopped(spark):
-    q = queue(spark)
-    whole, events = serial.fold(q)
-    state, first = serial.fold(q, limit=13)
-    state, second = serial.fold(q, state)
-    assert first + second == events and state.families == whole.families
-    assert sum(len(f.members()) for f in whole.families.values()) == 40
-    again = spark.createDataFrame(events, "event_id string, serial_order long, unit_id string, decision string, family_id string")
-    assert {r["family_id"]: r["member_ids"] for r in serial.replay(again).collect()} == {k: f.members() for k, f in whole.families.items()}
+def plain(rows, match, variant, group, most):
+    """The whole queue by loops over lists: (events, families) as the rules say."""
+    fams, vec, events = {}, {}, []
+    cos = lambda a, b: round(float(np.dot(a, b)), 6)
+    num = lambda u: (re.sub("[0-9]", "", u), int(re.sub("[^0-9]", "", u)))
+    for n, unit, v in rows:
+        v = np.array(v) / np.linalg.norm(v)
+        near = sorted(((-cos(f["v"], v), name) for name, f in fams.items()))[:20]
+        rejected, outcome = 0, None
+        while near and outcome is None:
+            score, name = -near[0][0], near[0][1]
+            f = fams[name]
+            if score < variant:
+                break
+            if score >= match:
+                f["eq"] = sorted([*f["eq"], unit], key=num)
+                outcome = "EQUIVALENT"
+                continue
+            hit = [g for g in f["groups"] if cos(vec[g[0]], v) >= group]
+            if hit:
+                hit[0].append(unit)
+                hit[0].sort(key=num)
+                outcome = "ADD_TO_EXISTING_GROUP"
+            elif len(f["groups"]) == 1 and len(f["groups"][0]) >= most:
+                rejected, near = rejected + 1, near[1:]
+            elif len(f["groups"]) >= most // 2:
+                var = sorted([x for g in f["groups"] for x in g] + [unit], key=num)
+                order = sorted(f["eq"] + [x for x in var if x != unit], key=num) + [unit]
+                mean = np.mean([v if x == unit else vec[x] for x in order], axis=0)
+                f["groups"], f["v"] = [var], mean / np.linalg.norm(mean)
+                outcome = "FULL_RULE_FAMILY"
+            else:
+                f["groups"].append([unit])
+                outcome = "CREATE_NEW_GROUP"
+        if outcome is None:
+            name, outcome = f"NM{n + 1:04d}", "NEW_FAMILY"
+            fams[name] = {"eq": [unit], "groups": [], "v": v}
+        vec[unit] = v
+        events.append((n, unit, outcome, name, rejected))
+    return events, {k: (f["eq"], f["groups"]) for k, f in fams.items()}
+
+
+RULES = {"match": 0.97, "variant": 0.75, "group": 0.93, "most": 4}
+
+
+def rules():
+    judge = lambda unit, found: serial.by_threshold(unit, found, RULES["match"], RULES["variant"])
+    return judge, lambda unit, v, family, members: serial.by_groups(unit, v, family, members, RULES["group"], RULES["most"])
+
+
+def wide(spark, n=240):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((7, 8))
+    rows = [(i, f"u{i}", (base[i % 7] + rng.standard_normal(8) * rng.choice([0.02, 0.3, 0.45])).tolist()) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "serial_order long, unit_id string, vector array<double>")
+
+
+def test_every_outcome_as_in_plain_python(spark):
+    rows, q = wide(spark)
+    events, families = plain(rows, **RULES)
+    state, found = serial.fold(q, None, *rules())
+    assert [(e["serial_order"], e["unit_id"], e["outcome"], e["family_id"], e["n_rejected"]) for e in found] == events
+    assert {k: (f.equivalent, f.groups) for k, f in state.families.items()} == families
+    assert {e[2] for e in events} == {"NEW_FAMILY", "EQUIVALENT", "ADD_TO_EXISTING_GROUP", "CREATE_NEW_GROUP", "FULL_RULE_FAMILY"} and any(e[4] for e in events)
+    assert [r.asDict() for r in serial.event_log(q, *rules(), limit=77).orderBy("serial_order").collect()] == found
+
+
+def test_a_stored_run_goes_on_where_it_stopped(spark, tmp_path):
+    rows, q = wide(spark, 120)
+    whole, events = serial.fold(q, None, *rules())
+    path = f"file://{tmp_path}/run"
+    first = serial.consolidate(q, path, *rules(), limit=25, most=2)
+    assert first.next_order == 50
+    # a slice that was written before a crash, without its pointer, is replaced
+    spark.createDataFrame([(f"x{i}", 50 + i, "u", "NEW_FAMILY", "F", None, 0, True) for i in range(9)], serial.EVENT).write.parquet(f"{path}/events/from=50")
+    assert serial.committed(spark, path).count() == 50
+    last = serial.consolidate(q, path, *rules(), limit=25)
+    assert [r.asDict() for r in serial.committed(spark, path).orderBy("serial_order").collect()] == events
+    assert {k: (f.equivalent, f.groups, f.version, f.base_origin) for k, f in last.families.items()} == {k: (f.equivalent, f.groups, f.version, f.base_origin) for k, f in whole.families.items()}
+    assert serial.consolidate(q, path, *rules()).next_order == 120
+    for r in serial.replay(serial.committed(spark, path)).collect():
+        f = whole.families[r["family_id"]]
+        assert (r["n_members"], r["version"], r["base_origin"], r["state_origin"]) == (len(f.members()), f.version, f.base_origin, f.state_origin)
 
 
 def test_event_log_holds_every_slice(spark):
@@ -38,11 +117,18 @@ def test_event_log_holds_every_slice(spark):
         serial.event_log(q.where("serial_order < 10 or serial_order > 30"), limit=5)
 
 
+def test_changes_that_lose_or_repeat_a_unit_are_refused():
+    f = serial.Family("F", "a", np.ones(1), ["a"], [["b"]])
+    for how in (serial.Generalisation("ADD_TO_EXISTING_GROUP", 1), serial.Generalisation("FULL_RULE_FAMILY", None, ["a"], [["c"]], np.ones(1)), serial.Generalisation("FULL_RULE_FAMILY", None, ["a", "b", "b"], [["c"]], np.ones(1)), serial.Generalisation("WHAT")):
+        with pytest.raises(ValueError):
+            serial._changed(f, "c", how)
+
+
 def test_registered_log_and_replay_take_units_beyond_a_slice(spark, monkeypatch):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
-    monkeypatch.setattr(serial, "event_log", lambda q, judge, run=serial.event_log: run(q, judge, 100))
+    monkeypatch.setattr(serial, "event_log", lambda q, judge, generalise, run=serial.event_log: run(q, judge, generalise, 100))
     assert n > 100 and QUERIES["serial_consolidation"](spark, SF).count() == n
-    assert sum(len(r["member_ids"]) for r in QUERIES["state_replay"](spark, SF).collect()) == n
+    assert sum(r["n_members"] for r in QUERIES["state_replay"](spark, SF).collect()) == n
 
 
 def test_empty_queue_keeps_the_state(spark):
@@ -56,8 +142,7 @@ def test_sync_stream_replaces_the_active_table(spark, tmp_path):
     serial.sync_stream(spark, f"{tmp_path}/events/*", f"{tmp_path}/active", f"{tmp_path}/check", schema).awaitTermination()
     spark.createDataFrame([("a", 3, "h3", 0.3)], schema).write.parquet(f"{tmp_path}/events/2")
     serial.sync_stream(spark, f"{tmp_path}/events/*", f"{tmp_path}/active", f"{tmp_path}/check", schema).awaitTermination()
-    version = spark.read.parquet(f"{tmp_path}/active/pointer").first()["version"]
-    rows = spark.read.parquet(f"{tmp_path}/active/versions/{version}").collect()
+    rows = serial.active_index(spark, f"{tmp_path}/active").collect()
     assert {(r["family_id"], r["seq"], r["vector"]) for r in rows} == {("a", 3, 0.3), ("b", 2, 0.2)}
 
 
@@ -113,3 +198,65 @@ def test_nested_families_round_trip(spark):
     flat = [("f", "a", "EQUIVALENT", None), ("f", "b", "VARIANT", 0), ("f", "c", "VARIANT", 1), ("g", "d", "EQUIVALENT", None)]
     df = spark.createDataFrame(flat, "family_id string, member_id string, member_type string, group_index int")
     assert sorted(map(tuple, catalog.unnest(catalog.nest(df)).collect()), key=str) == sorted(flat, key=str)
+
+
+def test_stages_are_skipped_when_their_tables_are_there_and_manifests_say_so(spark, tmp_path):
+    from ruleloom.plans import stages
+
+    root, calls = f"file://{tmp_path}/root", []
+    given = {"a": spark.range(5)}
+    steps = [stages.Step("b", ("a",), lambda t: calls.append("b") or t["a"].where("id > 1")), stages.Step("c", ("a", "b"), lambda t: calls.append("c") or t["b"].unionAll(t["a"]))]
+    planned = stages.run_stage(spark, root, 2, steps, given, dry_run=True)
+    assert set(planned) == {"a"} and calls == []
+    assert stages.run_stage(spark, root, 2, steps, given)["c"].count() == 8
+    stages.run_stage(spark, root, 2, steps, given)
+    assert calls == ["b", "c"]
+    stages.run_stage(spark, root, 2, steps, given, overwrite=True)
+    assert calls == ["b", "c"] * 2
+    bad = stages.Step("d", ("b",), lambda t: t["b"].select("missing"))
+    with pytest.raises(Exception, match="missing"):
+        stages.run_stage(spark, root, 2, [bad], given | {"b": given["a"]})
+    lines = [json.loads(x) for r in stages.summaries(spark, root).collect() for x in r["content"].splitlines()]
+    assert sorted((x["step"], x["status"]) for x in lines) == sorted([("b", "success"), ("c", "success")] * 2 + [("b", "skipped"), ("c", "skipped"), ("d", "failed")])
+    assert len({x["inputs"]["a"] for x in lines if "a" in x["inputs"]}) == 1
+    assert stages.fingerprint(spark.range(5)) == stages.fingerprint(spark.range(4, -1, -1)) != stages.fingerprint(spark.range(6))
+
+
+def test_archives_with_unsafe_members_or_wrong_checksums_are_refused(spark):
+    def packed(name):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, "x")
+        return out.getvalue()
+
+    frame = lambda name: spark.createDataFrame([("p", packed(name))], "path string, content binary")
+    assert [(r["member"], bytes(r["data"])) for r in files.unzipped(frame("a/b.txt")).collect()] == [("a/b.txt", b"x")]
+    for name in ("../b", "/b", "a/../../b", "C:/b"):
+        with pytest.raises(Exception, match="unsafe member"):
+            files.unzipped(frame(name)).collect()
+    with pytest.raises(Exception, match="wrong checksum"):
+        files.unzipped(frame("a"), expected=spark.createDataFrame([("p", "00")], "path string, sha256 string")).collect()
+
+
+def test_rest_source_tries_again_and_keeps_urls_that_fail(spark):
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append(self.path)
+            code = 404 if self.path == "/gone" else 503 if seen.count(self.path) < 3 else 200
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps({"html_url": "u" + self.path, "title": "t", "body": None}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(files.IssueSource)
+    urls = [f"http://127.0.0.1:{server.server_port}/{x}" for x in ("one", "gone")]
+    rows = {r["url"]: r for r in spark.read.format("rest_issues").option("urls", json.dumps(urls)).option("pause", "0").load().collect()}
+    server.shutdown()
+    assert rows["u/one"]["title"] == "t" and rows["u/one"]["error"] is None
+    assert "404" in rows[urls[1]]["error"] and seen.count("/gone") == 1 and seen.count("/one") == 3
