@@ -5,8 +5,9 @@ into overlapping chunks that travel as rows of their own: each chunk is
 pre-tokenised by itself, its last match and trailing white space set aside,
 since more text could change them. Where a match of one chunk ends at a
 boundary of the next chunk's matches, both go on alike; the pieces are stitched
-there and every chunk encodes the pieces that fall to it. A text whose chunks
-never meet again (one match longer than the overlap) is pre-tokenised whole.
+there and every chunk encodes the pieces that fall to it, matches of white space
+at a piece's end one by one, as the text after them made them. A text whose
+chunks never meet again (one match longer than the overlap) is pre-tokenised whole.
 """
 
 from __future__ import annotations
@@ -79,6 +80,18 @@ def stitch(first: list[np.ndarray], starts: list[int]) -> list[tuple[int, int]]
     return out
 
 
+def tail(ends: np.ndarray, spaced: np.ndarray, a: int, b: int) -> list[int]:
+    """The last ends in (a, b]: from the last match that ends in other than white space on.
+
+    What comes before is cut where more text changes no match, so it may be
+    pre-tokenised again by itself; each later match must be taken as it is.
+    """
+    inside = (ends > a) & (ends <= b)
+    solid = ends[inside & ~spaced]
+    start = int(solid[-1]) if len(solid) else a
+    return [start, *ends[inside & (ends > start)].tolist()]
+
+
 def _digest(ids: np.ndarray) -> str:
     return hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
 
@@ -114,28 +127,43 @@ def _chunk_ends(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
-            ends = [settled(r["part"], pretokenise(r["part"], pattern), r["last"]) + r["start"] for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([e.tolist() for e in ends], pa.list_(pa.int64()))], ["row", "chunk", "start", "ends"])
+            space = _compiled(r"\s")
+            ends = [settled(r["part"], pretokenise(r["part"], pattern), r["last"]) for r in rows]
+            # an end after white space is written as a negative number
+            signed = [[-(e + r["start"]) if space.match(r["part"], e - 1) else e + r["start"] for e in x.tolist()] for r, x in zip(rows, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(signed, pa.list_(pa.int64()))], ["row", "chunk", "start", "ends"])
 
     return run
 
 
 def _stitched(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     rows = sorted(zip(table["chunk"].to_pylist(), table["start"].to_pylist(), table["ends"].to_pylist(), strict=True))
-    parts = stitch([np.array(r[2], np.int64) for r in rows], [r[1] for r in rows])
+    signed = [np.array(r[2], np.int64) for r in rows]
+    parts = stitch([np.abs(x) for x in signed], [r[1] for r in rows])
     if parts is None:
-        return pa.table({"row": [key[0].as_py()], "chunk": [-1], "a": [0], "b": [0]}, schema=_PARTS)
-    return pa.table({"row": [key[0].as_py()] * len(rows), "chunk": [r[0] for r in rows], "a": [p[0] for p in parts], "b": [p[1] for p in parts]}, schema=_PARTS)
+        return pa.table({"row": [key[0].as_py()], "chunk": [-1], "a": [0], "b": [0], "tail": [[]]}, schema=_PARTS)
+    tails = [[e - a for e in tail(np.abs(x), x < 0, a, b)] for x, (a, b) in zip(signed, parts, strict=True)]
+    return pa.table({"row": [key[0].as_py()] * len(rows), "chunk": [r[0] for r in rows], "a": [p[0] for p in parts], "b": [p[1] for p in parts], "tail": tails}, schema=_PARTS)
 
 
-_PARTS = pa.schema([("row", pa.int64()), ("chunk", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_PARTS = pa.schema([("row", pa.int64()), ("chunk", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("tail", pa.list_(pa.int64()))])
+
+
+def encode_piece(enc, text: str, ends: list[int]) -> list[int]:
+    """The ids of a piece: up to the first of ``ends`` as a text, then match by match; without any, as a text."""
+    if not ends:
+        return enc.encode_ordinary(text)
+    out = enc.encode_ordinary(text[: ends[0]])
+    for a, b in zip(ends, ends[1:], strict=False):
+        out += enc.encode_ordinary(text[a:b])
+    return out
 
 
 def _encode_parts(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for b in batches:
-            ids = [enc.encode_ordinary(t) for t in b.column(2).to_pylist()]
+            ids = [encode_piece(enc, t, x) for t, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["row", "chunk", "ids"])
 
     return run
@@ -173,8 +201,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     at = long_.select("row", "text", F.posexplode(F.expr(f"sequence(0L, greatest(0L, ceil((length(text) - {chunk}) / {step})) * {step}, {step}L)")).alias("chunk", "start"))
     at = at.select("row", F.col("chunk").cast("long"), "start", F.expr(f"substring(text, int(start) + 1, {chunk})").alias("part"), F.expr(f"start + {chunk} >= length(text)").alias("last"))
     ends = at.repartition("row", "chunk").mapInArrow(_chunk_ends(pattern), "row long, chunk long, start long, ends array<long>")
-    parts = materialize(ends.groupBy("row").applyInArrow(_stitched, "row long, chunk long, a long, b long"), "op4-parts")
-    cut = parts.join(long_, "row").select("row", "chunk", F.expr("if(chunk < 0, text, substring(text, int(a) + 1, int(b - a)))").alias("part"))
+    parts = materialize(ends.groupBy("row").applyInArrow(_stitched, "row long, chunk long, a long, b long, tail array<long>"), "op4-parts")
+    cut = parts.join(long_, "row").select("row", "chunk", F.expr("if(chunk < 0, text, substring(text, int(a) + 1, int(b - a)))").alias("part"), "tail")
     done = cut.repartition("row", "chunk").mapInArrow(_encode_parts(path, pattern), f"row long, chunk long, {_IDS}")
     done = done.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("parts"))
     done = done.join(long_.select("row", "id"), "row").select("row", "id", "parts").mapInArrow(_join_parts(path, pattern, digests), f"row long, id {kind}, {cols}")

@@ -212,12 +212,6 @@ def test_toxicity_on_held_out_texts(spark):
     assert len(odd) == len(cases.documents()) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in odd)
 
 
-def test_estimates_share_unseen_letters():
-    model = toxicity.estimate([(0, "^", "a", 3), (1, "^", "a", 1), (1, "^", "b", 2)])
-    assert model.seen["^b"] > 0 > model.seen["^a"]
-    assert model.evidence("", {}) == (0.0, 0.0) == model.evidence(None, {})
-
-
 def test_empty_tables(spark):
     none = cases.empty(spark)
     assert ngram_join.ngram_jaccard_components(none).count() == 0
