@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.plans.durable import materialize
+from ruleloom.plans.durable import materialize, release
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -29,11 +29,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = _jumped(live.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("p")))
         step = materialize(_jumped(step), "cc-parents")
         while not step.where("moved").isEmpty():  # chains shorten by half each time
-            step = materialize(_jumped(step), "cc-parents")
+            shorter = materialize(_jumped(step), "cc-parents")
+            release(step)
+            step = shorter
         steps.append(step.select("x", "p"))
         pu, pv = (steps[-1].select(F.col("x").alias(c), F.col("p").alias(f"p{c}")) for c in "uv")
         moved = live.join(pu, "u", "left").join(pv, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"))
-        live = materialize(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
+        left = materialize(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
+        release(live)  # of the first round it is a view of ``given``, which has no files of its own
+        live = left
     ends = given.select("u").union(given.select(F.col("v").alias("u"))).distinct()
     out = ends.select(F.col("u").alias("vertex"), F.col("u").alias("component"))
     for n, step in enumerate(steps, 1):  # each round's roots hook in a later one

@@ -50,10 +50,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return it as read.
 
     A lost executor then costs a read, not the work before it. The files go
-    when the driver ends.
+    when the driver ends, or by :func:`release` when nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialised table that later ones have replaced, so that a long loop's disk does not grow."""
+    if path := getattr(df, "stored_at", None):
+        remove(df.sparkSession, path)
