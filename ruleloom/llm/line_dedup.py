@@ -76,9 +76,42 @@ def letter_keys(line: Column, at: Column, end: Column, more: Column) -> Column:
     return F.transform(F.sequence(at, end - 1), lambda c: _without(line, c, c + 1, more))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Powers of two by which a common prefix is found, so up to 2 ** 31 characters.
+_STEPS = tuple(1 << k for k in range(30, -1, -1))
+
+
+def _common(v: Column) -> Column:
+    """The length of the common prefix of v.a and v.b, by halving: comparisons of whole substrings, not of characters."""
+    reach = lambda m, p: (m + p <= v["n"]) & F.when(m + p <= v["n"], F.substring(v["a"], F.lit(1), m + p) == F.substring(v["b"], F.lit(1), m + p))
+    small = F.filter(F.array(*map(F.lit, _STEPS)), lambda p: p <= v["n"])
+    return F.aggregate(small, F.lit(0), lambda m, p: F.when(reach(m, p), m + p).otherwise(m))
+
+
+def _rest(a: Column, b: Column) -> Column:
+    """struct(a, b, n) without their common prefix, the other way round, and the shorter one's length."""
+    ends = lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("n"))
+    cut = lambda x, p: F.reverse(F.substring(x, p + 1, F.length(x)))
+    return _let(ends(a, b), lambda v: _let(_common(v), lambda p: ends(cut(v["a"], p), cut(v["b"], p))))
+
+
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether the edit distance of two strings is at most ``threshold`` (0 to 4).
 
+    What they share at their start and end changes no distance and is cut off
+    first; the automaton reads what is left.
+    """
+    core = _let(_rest(a, b), lambda r: _rest(r["a"], r["b"]))
+    return (F.abs(F.length(a) - F.length(b)) <= threshold) & _let(core, lambda c: automaton(c["a"], c["b"], threshold))
+
+
+def automaton(a: Column, b: Column, threshold: int) -> Column:
+    """As :func:`within`, by one banded bit-parallel automaton over whole strings.
+
     Bit d + threshold of level e says that the first j + d characters of ``a``
     turn into the first j of ``b`` with e edits; the levels share one long.
     """
