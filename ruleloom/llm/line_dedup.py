@@ -81,15 +81,16 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-#: Powers of two by which a common prefix is found, so up to 2 ** 31 characters.
-_STEPS = tuple(1 << k for k in range(30, -1, -1))
-
-
 def _common(v: Column) -> Column:
     """The length of the common prefix of v.a and v.b, by halving: comparisons of whole substrings, not of characters."""
-    reach = lambda m, p: (m + p <= v["n"]) & F.when(m + p <= v["n"], F.substring(v["a"], F.lit(1), m + p) == F.substring(v["b"], F.lit(1), m + p))
-    small = F.filter(F.array(*map(F.lit, _STEPS)), lambda p: p <= v["n"])
-    return F.aggregate(small, F.lit(0), lambda m, p: F.when(reach(m, p), m + p).otherwise(m))
+    bits = F.when(v["n"] > 0, F.sequence(F.floor(F.log2(v["n"])).cast("int"), F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    start = F.lit(0)
+
+    def step(m: Column, k: Column) -> Column:
+        upto = m + F.call_function("shiftleft", F.lit(1), k)
+        return F.when((upto <= v["n"]) & (F.substring(v["a"], start + 1, upto) == F.substring(v["b"], start + 1, upto)), upto).otherwise(m)
+
+    return F.aggregate(bits, start, step)
 
 
 def _rest(a: Column, b: Column) -> Column:
