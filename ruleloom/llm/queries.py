@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm import bpe, html_extract, mixing, quality, sharding, toxicity, url_filter
+from ruleloom.llm import bpe, filter_audit, html_extract, lm_scoring, mixing, quality, sharding, toxicity, url_filter, whitening
 from ruleloom.llm.embedding_dedup import near_duplicates
 from ruleloom.llm.line_dedup import line_dedup
 from ruleloom.llm.ngram_join import ngram_jaccard_components
@@ -140,6 +140,43 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: learnt from the rows that are not held out (a null id is not)."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return lm_scoring.score(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error: the first 8 components of each vector."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step and the counts of every order of the five filters."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+e AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS q, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS x FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, coalesce(q, 0) AS q, coalesce(x, 0) AS x, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+             100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(d.doc_id > first, false) AS e
+      FROM d JOIN e USING (t) LEFT JOIN l ON d.doc_id = l.doc_id),
+m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, sum(q) AS good, sum(x) AS bad FROM f GROUP BY ALL),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT concat(k1.f, k2.f, k3.f, k4.f, k5.f) AS filter_order, [k1.bit, k2.bit, k3.bit, k4.bit, k5.bit] AS bits FROM k k1, k k2, k k3, k k4, k k5
+      WHERE k1.bit + k2.bit + k3.bit + k4.bit + k5.bit = 31 AND k1.bit | k2.bit | k3.bit | k4.bit | k5.bit = 31),
+s AS (SELECT filter_order, i AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS before FROM o, unnest(range(1, 6)) AS r(i))
+SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit <> 0), 0)::BIGINT AS shapley
+FROM m, s GROUP BY part, filter_order, step
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -151,5 +188,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_html_main_text": op10_html_main_text,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_filter_audit": op13_filter_audit,
 }
-SQL: dict[str, str] = {"op3_url_templates": OP3_SQL, "op7_quality_rules": OP7_SQL}
+SQL: dict[str, str] = {"op3_url_templates": OP3_SQL, "op7_quality_rules": OP7_SQL, "op13_filter_audit": OP13_SQL}
