@@ -39,9 +39,11 @@ ASIDE = frozenset("nav header footer aside form menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img button output svg math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
 MAIN = ("article", "main")
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-#: Words in an element's class, id or role that name a part which is never main text; a part that holds an article or main element is none.
-MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor(?:s|ed)?|promo|banner|cookies?|consent|notices?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|headers?|masthead|comments?|replies|disqus)(?:$|[\s_-])", re.I)
+#: Words that, as the whole of a class, id or role, name a part which is never main text; a part that holds an article or main element is none.
+MARK = re.compile(r"(?:^|\s)(?:(?:site|page|main|top|left|right|cookie|comment|ad)[_-])?(?:ads?|advert\w*|sponsor(?:s|ed)?|promo|banner|cookies?|consent|notices?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|headers?|masthead|comments?|replies|disqus)(?:[_-](?:list|section|box|bar|area|banner|container|wrapper))?(?:$|\s)", re.I)
 SPACE = re.compile(r"\s+")
+#: Comments that end where they begin, and the ends of others.
+COMMENT_ENDS, COMMENT_END = re.compile(r"<!--(?:-?>)"), re.compile(r"--!?>")
 #: An article or main element with this share of the varying text is the wrapper; other elements need the second share.
 HINTED, HELD = 0.5, 0.9
 #: A node is template if this share of the pages aligned with it, and so many of them, have its text.
@@ -150,6 +152,30 @@ class _Tree(HTMLParser):
         if data:
             self.open[-1].items.append(data)
 
+    # Markup that never ends goes, and so does every declaration, processing instruction and marked section, whatever it holds: it is a comment up to
+    # the next ">". None of them can raise.
+
+    def parse_starttag(self, i):
+        at = super().parse_starttag(i)
+        return at if at >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i):
+        at = super().parse_endtag(i)
+        return at if at >= 0 else len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        return self.parse_comment(i) if self.rawdata.startswith("<!--", i) else self.parse_pi(i)
+
+    def parse_comment(self, i, report=True):
+        if found := COMMENT_ENDS.match(self.rawdata, i):
+            return found.end()
+        end = COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_pi(self, i):
+        end = self.rawdata.find(">", i + 2)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
 
 def parse(html: str | None) -> Node:
     """The page's tree, its nodes numbered in document order."""
