@@ -138,19 +138,33 @@ def strip_fence(text: Column) -> Column:
     return F.when(t.rlike(r"(?s)\A```[^\n]*\n.*\n```\z"), F.regexp_extract(t, r"(?s)\A```[^\n]*\n(.*)\n```\z", 1)).otherwise(t)
 
 
+def truth(value: Column) -> Column:
+    """Whether a variant is anything but null, false, zero, or an empty string, array or object; null counts as false."""
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    return F.coalesce(
+        F.when(F.is_variant_null(value), False).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+        .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(value, "$", "array<variant>")) > 0).when(kind.startswith("OBJECT"), kind != "OBJECT<>").otherwise(number != 0), F.lit(False),
+    )
+
+
 def bug_record(answer: Column) -> Column:
-    """struct of a detector's JSON answer, with fallbacks for renamed fields; null for no JSON object."""
-    field = lambda *names: F.coalesce(*(_filled(F.get_json_object(answer, f"$.{n}")) for n in names))
-    steps = F.get_json_object(answer, "$.evidence_steps")
+    """struct of a detector's JSON answer; null for no JSON object.
+
+    bug_found is the truth of the field, so that the string "no" is true; the
+    others are variants, as given: a field that is there counts even if it is
+    null, one that is missing has its default. bug_description falls back to
+    summary, evidence_steps to step_analysis.
+    """
+    whole = F.try_parse_json(answer)
+    given = lambda name: F.try_variant_get(whole, f"$.{name}", "variant")
+    lit = lambda text: F.parse_json(F.lit(text))
     record = F.struct(
-        as_bool(field("bug_found", "has_bug")).alias("bug_found"),
-        F.coalesce(field("bug_type", "type"), F.lit("")).alias("bug_type"),
-        F.coalesce(field("bug_page_step", "step"), F.lit("")).alias("bug_page_step"),
-        F.coalesce(field("bug_description", "summary"), F.lit("")).alias("bug_description"),
-        as_share(field("confidence")).alias("confidence"),
-        F.coalesce(F.from_json(F.coalesce(steps, F.get_json_object(answer, "$.step_analysis")), "array<string>"), F.array().cast("array<string>")).alias("evidence_steps"),
-    )
-    return F.when(F.get_json_object(answer, "$").startswith("{"), record)
+        truth(given("bug_found")).alias("bug_found"), F.coalesce(given("bug_type"), lit('"unknown"')).alias("bug_type"), given("bug_page_step").alias("bug_page_step"),
+        F.coalesce(given("bug_description"), given("summary"), lit('""')).alias("bug_description"), given("confidence").alias("confidence"),
+        F.coalesce(given("evidence_steps"), given("step_analysis"), lit("[]")).alias("evidence_steps"), F.coalesce(given("exploration_feedback"), lit("[]")).alias("exploration_feedback"),
+    )
+    return F.when(F.schema_of_variant(whole).startswith("OBJECT"), record)
 
 
 def judgment(answer: Column, known: Column) -> Column:

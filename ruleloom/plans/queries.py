@@ -256,15 +256,21 @@ def coalesced_verdict(spark, sf_dir):
     return e.select("event_id", text.as_bool(a, F.get_json_object("props", "$.k")).alias("found"), text.as_share(F.lit("n/a"), F.col("value").cast("string")).alias("confidence"))
 
 
-@query("""SELECT event_id, event_type = 'error' AS bug_found, event_type AS bug_type, CASE WHEN event_id % 2 = 0 THEN concat('s', event_id) ELSE concat('d', event_id) END AS bug_description, CAST(0.9 AS DOUBLE) AS confidence, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_steps FROM events WHERE event_id % 7 <> 0""")
+@query("""SELECT event_id, kind IN (1, 3, 5) AS bug_found, CASE kind WHEN 1 THEN NULL WHEN 5 THEN event_type ELSE 'unknown' END AS bug_type, CASE WHEN kind = 5 THEN '3' END AS bug_page_step,
+CASE kind WHEN 1 THEN concat('s', event_id) WHEN 3 THEN NULL ELSE '' END AS bug_description, CASE kind WHEN 2 THEN '90%' WHEN 5 THEN '0.5' END AS confidence,
+CASE WHEN kind = 2 THEN '["a"]' ELSE '[]' END AS evidence_steps, CASE WHEN kind = 3 THEN '["f"]' ELSE '[]' END AS exploration_feedback FROM (SELECT *, event_id % 8 AS kind FROM events) WHERE kind <> 7""")
 def bug_records(spark, sf_dir):
-    """Detector answers as records, with fallbacks for renamed fields."""
+    """Detector answers as records: a field that is there counts whatever it holds, a missing one has its default."""
     e = fx.table(spark, sf_dir, "events")
-    head = F.concat(F.lit('{"bug_found": "'), F.when(F.col("event_type") == "error", "yes").otherwise("no"), F.lit('", "type": "'), "event_type", F.lit('", "confidence": "90%", '))
-    tail = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"summary": "s'), "event_id", F.lit('", "step_analysis": ["a", "b"]}'))).otherwise(F.concat(F.lit('"bug_description": "d'), "event_id", F.lit('", "summary": "x"}')))
-    answer = F.when(F.col("event_id") % 7 == 0, "none").otherwise(F.concat(head, tail))
+    kind, join = F.col("event_id") % 8, lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    answer = (
+        F.when(kind == 0, "{}").when(kind == 1, join('{"bug_found": "no", "bug_type": null, "summary": "s', F.col("event_id"), '"}')).when(kind == 2, '{"bug_found": 0, "confidence": "90%", "step_analysis": ["a"]}')
+        .when(kind == 3, '{"bug_found": [1], "bug_description": null, "summary": "x", "exploration_feedback": ["f"]}').when(kind == 4, '{"bug_found": "", "evidence_steps": [], "step_analysis": ["b"]}')
+        .when(kind == 5, join('{"bug_found": true, "bug_type": "', F.col("event_type"), '", "bug_page_step": 3, "confidence": 0.5}')).when(kind == 6, '{"bug_found": {}, "has_bug": true, "type": "t"}').otherwise("none")
+    )
     out = e.select("event_id", text.bug_record(answer).alias("r")).where("r is not null")
-    return out.select("event_id", "r.bug_found", "r.bug_type", "r.bug_description", "r.confidence", F.size("r.evidence_steps").alias("n_steps"))
+    given = ("bug_type", "bug_page_step", "bug_description", "confidence", "evidence_steps", "exploration_feedback")
+    return out.select("event_id", "r.bug_found", *(F.col(f"r.{c}").cast("string").alias(c) for c in given))
 
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'NO_MATCH' WHEN 2 THEN 'EQUIVALENT' WHEN 3 THEN 'VARIANT' WHEN 4 THEN 'VARIANT' ELSE 'MAYBE' END AS decision,
@@ -636,7 +642,7 @@ def consolidation_summary(spark, sf_dir):
     return g.groupBy(F.floor(F.col("n") / 50).alias("bucket")).agg(F.count("*").alias("families"), F.sum("n").alias("units"), F.sum("eq").alias("equivalents"), F.sum("calls").alias("calls"), F.round(1 - F.sum("calls") / F.sum("n"), 6).alias("reduction"))
 
 
-@query(f"WITH {fx.UNITS}, q AS (SELECT unit_id, row_number() OVER (ORDER BY doc_id) - 1 AS serial_order FROM units WHERE doc_id % 3 = 0) SELECT unit_id, serial_order, printf('NM%04d', serial_order) AS family_id FROM q")
+@query(f"WITH {fx.UNITS}, q AS (SELECT unit_id, row_number() OVER (ORDER BY doc_id) - 1 AS serial_order FROM units WHERE doc_id % 3 = 0) SELECT unit_id, serial_order, printf('NM%04d', serial_order + 1) AS family_id FROM q")
 def dense_serial_queue(spark, sf_dir):
     """Uncovered units in natural order with dense numbers and new family ids."""
     u = fx.units(spark, sf_dir).select("unit_id", "doc_id")
