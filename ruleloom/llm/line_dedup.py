@@ -5,12 +5,15 @@ segments, share one segment unchanged, at a place in the longer one that the
 lengths bound closely. Every distinct line gives the hashes of its own segments
 and of those substrings that could be a segment of a line up to ``threshold``
 characters shorter, each with that line's length and the segment's number.
-Lines that share a hash are candidates, all with the earliest one first. For
-one edit, the lines of hashes where that leaves some open meet again by finer
-segments, all but one of 32 and then all but one character of that one, so that
-lines with half their text in common do not all meet. Only then is an open line compared
-with every earlier line of its hash. Candidates are verified by a banded bit-parallel automaton: one bit for each diagonal
-within the threshold and each number of edits, one step for each character.
+Lines that share a hash are candidates, all with the earliest one first, then
+the open ones with all earlier ones of their hash. Where a hash has too many
+lines for that, they meet again by finer keys: what is left of two near lines
+without the shared segment is within the threshold too, so it is cut into
+segments in turn, and so on until little is left; lines that are equal but for
+a few characters meet by those characters without as many as the threshold.
+Candidates are verified by a banded bit-parallel automaton: one bit for each
+diagonal within the threshold and each number of edits, one step for each
+character.
 """
 
 from __future__ import annotations
@@ -26,15 +29,17 @@ MIN_CHARS = 20
 #: What makes a line other than blank.
 FILLED = r"[^\x20\x09-\x0D]"
 THRESHOLD = 2
-#: Finer segments for lines that share a hash and are not near its earliest line.
-PIECES = 32
+#: Lines of a hash that are all compared with each other at most; more meet by finer keys. Characters that are not cut further.
+SMALL, SHORT = 128, 12
 #: Lines whose places are sent to every executor at most; more are joined by a shuffle.
 SEND_IDS = 1_000_000
+#: Keys whose figures are sent to every executor at most.
+SEND_KEYS = 100_000
 
 
-def segment_keys(line: Column, threshold: int) -> Column:
-    """Hashes of the substrings that are, or could be, segments; those of its own segments are among them."""
-    n, keys = F.length(line), []
+def _segments(line: Column, threshold: int) -> list[tuple[Column, Column, Column, int, bool]]:
+    """(start, width, length, number, own) of the line's own segments and of the substrings that could be segments of another line of that length."""
+    n, out = F.length(line), []
     for shorter in range(threshold + 1):
         size = n - shorter
         base = F.floor(size / (threshold + 1)).cast("int")
@@ -44,36 +49,31 @@ def segment_keys(line: Column, threshold: int) -> Column:
             start = base * i + extra + 1
             width = base + (F.lit(i) >= (threshold + 1) - long_ones).cast("int")
             low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
-            keys += [F.xxhash64(F.substring(line, start + move, width), size, F.lit(i)) for move in range(low, high + 1)]
-    return F.array_distinct(F.array(*keys))
-
-
-def piece_keys(line: Column, pieces: int = PIECES) -> Column:
-    """(key, at, end, more) for each of the line's pieces: the hash of the line without it, for one edit.
-
-    Lines of one length that differ in one character, and a line with one
-    character ``more``, cut as the shorter one is, are equal without the piece
-    of the edit. at and end are the piece's place in the shorter one.
-    """
-    return F.concat(_without_pieces(line, pieces, 0), _without_pieces(line, pieces, 1))
+            out += [(start + move, width, size, i, shorter == move == 0) for move in range(low, high + 1)]
+    return out
 
 
-def _without(line: Column, at: Column, end: Column, more: int | Column) -> Column:
-    n = F.length(line)
-    return F.xxhash64(F.substring(line, F.lit(1), at), F.substring(line, end + more + 1, n), n - more, at)
+def segment_keys(line: Column, threshold: int) -> Column:
+    """Hashes of the substrings that are, or could be, segments; those of its own segments are among them."""
+    return F.array_distinct(F.array(*(F.xxhash64(F.substring(line, start, width), size, F.lit(i)) for start, width, size, i, _ in _segments(line, threshold))))
 
 
-def _without_pieces(line: Column, pieces: int, more: int) -> Column:
-    size = F.length(line) - more
-    count = F.greatest(F.lit(1), F.least(size, F.lit(pieces)))
-    cut = lambda j: F.floor(j * size / count).cast("int")
-    piece = lambda j: F.struct(_without(line, cut(j), cut(j + 1), more).alias("key"), cut(j).alias("at"), cut(j + 1).alias("end"), F.lit(more).alias("more"))
-    return F.when(size > 0, F.transform(F.sequence(F.lit(0), count - 1), piece)).otherwise(F.array().cast("array<struct<key:bigint,at:int,end:int,more:int>>"))
+def rest_keys(rest: Column, threshold: int, *under: Column) -> Column:
+    """(key, rest, own): as :func:`segment_keys`, with what is left without the substring and whether it is the line's own segment; ``under``: what goes into the hash too."""
+    rows = []
+    for start, width, size, i, own in _segments(rest, threshold):
+        key = F.xxhash64(*under, F.substring(rest, start, width), size, F.lit(i))
+        rows.append(F.struct(key.alias("key"), F.concat(F.substring(rest, F.lit(1), start - 1), F.substring(rest, start + width, F.length(rest))).alias("rest"), F.lit(own).alias("own")))
+    return F.array_distinct(F.array(*rows))
 
 
-def letter_keys(line: Column, at: Column, end: Column, more: Column) -> Column:
-    """Hashes of the line without each character of a piece."""
-    return F.transform(F.sequence(at, end - 1), lambda c: _without(line, c, c + 1, more))
+def shorter_ones(rest: Column, threshold: int) -> Column:
+    """The strings that ``rest`` leaves without up to ``threshold`` characters; strings within the threshold have one in common."""
+    out = F.array(rest)
+    for _ in range(threshold):
+        less = F.flatten(F.transform(out, lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))).otherwise(F.array().cast("array<string>"))))
+        out = F.array_distinct(F.concat(out, less))
+    return out
 
 
 def _let(value: Column, use) -> Column:
@@ -174,9 +174,10 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _led(keyed: DataFrame, settle: bool = True) -> DataFrame:
-    """(key, id, lead) of the hashes that several lines share, with the earliest of them."""
+    """The rows of keys that several lines share, with the earliest of them as ``lead``; where ``own`` says so, one of them has the key by its own segment."""
     keyed = materialize(keyed, "op6-keys") if settle else keyed
-    groups = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
+    own = F.max("own") if "own" in keyed.columns else F.lit(True)
+    groups = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), own.alias("own")).where("lead < last and own").select("key", "lead")
     return materialize(keyed.join(groups, "key"), "op6-members")
 
 
@@ -187,14 +188,65 @@ def _near_lead(members: DataFrame, texts: DataFrame, threshold: int) -> DataFram
     return materialize(star.where(_close(F.col("la"), F.col("lb"), F.col("pa"), F.col("pb"), threshold)).select(F.col("b").alias("id")).distinct(), "op6-near")
 
 
-def _open(members: DataFrame, near: DataFrame) -> DataFrame:
-    """Members that are near no earlier line so far."""
-    return members.where("id <> lead").join(near, "id", "left_anti")
+def _pairs(members: DataFrame, near: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(id) of open members that are near an earlier one of their key; a key's open lines are dealt into parts of SMALL, the earlier ones go to each."""
+    later = members.where("id <> lead").join(near, "id", "left_anti").join(texts, "id")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    later = later.select(F.col("key").alias("k"), part.alias("p"), F.col("id").alias("b"), "lead", F.col("line").alias("lb"), F.col("parity").alias("pb"))
+    earlier = members.join(texts, "id").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("a"), F.col("line").alias("la"), F.col("parity").alias("pa"))
+    close = _close(F.col("la"), F.col("lb"), F.col("pa"), F.col("pb"), threshold)
+    pairs = earlier.join(later, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")) & F.expr("a < b and a <> lead") & close)
+    return pairs.select(F.col("b").alias("id")).distinct()
 
 
-def _unsettled(members: DataFrame, near: DataFrame) -> DataFrame:
-    """All members of the hashes that have an open one."""
-    return members.join(_open(members, near).select("key").distinct(), "key", "left_semi")
+def _more(near: DataFrame, found: DataFrame) -> DataFrame:
+    return materialize(near.union(found).distinct(), "op6-near")
+
+
+def _by_key(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with what was found for their key, which is sent to them where the keys are few."""
+    found = materialize(found, "op6-by-key")
+    return rows.join(F.broadcast(found) if found.count() <= SEND_KEYS else found, "key")
+
+
+def _stripped(rows: DataFrame) -> DataFrame:
+    """(key, id, rest, longest): the rests without what all of a key have in common at their start and end, which changes no distance."""
+    for _ in range(2):  # the start, then, turned round, the end
+        ends = F.struct(F.min("rest").alias("a"), F.max("rest").alias("b"), F.least(F.length(F.min("rest")), F.length(F.max("rest"))).alias("n"))
+        same = rows.groupBy("key").agg(ends.alias("v")).select("key", _common(F.col("v")).alias("same"))
+        # the least and the greatest have in common what all have
+        rows = _by_key(rows, same).select("key", "id", F.reverse(F.substring("rest", F.col("same") + 1, F.length("rest"))).alias("rest"))
+    return _by_key(rows, rows.groupBy("key").agg(F.max(F.length("rest")).alias("longest")))
+
+
+def _settled(members: DataFrame, near: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(id) of all lines near an earlier one: ``near``, and what the keys' other members add.
+
+    ``members``: (key, id, lead) of lines that share a key with others; in later
+    rounds (key, id, rest, lead), where the lines of a key differ in their rests alone.
+    """
+    while True:
+        open_ = members.where("id <> lead").join(near, "id", "left_anti").groupBy("key").agg(F.lit(1).alias("one")).select("key")
+        sizes = members.join(open_, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+        some = materialize(members.join(sizes, "key"), "op6-open")
+        small = some.where(F.col("n") <= SMALL).withColumn("parts", F.lit(1))
+        near = _more(near, _pairs(small, near, texts, threshold))
+        big = some.where(F.col("n") > SMALL)
+        if big.isEmpty():
+            return near
+        if "rest" not in members.columns:  # the first round: what the shared segment leaves of each line
+            cut = big.select("key", "id").join(texts, "id").select("key", "id", F.explode(rest_keys(F.col("line"), threshold)).alias("x")).where("x.key = key")
+            cut = materialize(cut.select("key", "id", "x.rest", "x.own"), "op6-rests")
+            big = _by_key(cut, cut.where("own").select("key").distinct())
+        big = materialize(_stripped(big), "op6-rests")
+        ends = big.where(F.col("longest") <= SHORT).select("id", F.explode(F.transform(shorter_ones(F.col("rest"), threshold), lambda s: F.xxhash64(F.lit(2), F.col("key"), s))).alias("key")).distinct()
+        ends = _led(ends.select("key", "id"))
+        near = _more(near, _near_lead(ends, texts, threshold))
+        counts = ends.join(ends.where("id <> lead").join(near, "id", "left_anti").select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("parts"))
+        near = _more(near, _pairs(ends.join(counts, "key"), near, texts, threshold))
+        finer = big.where(F.col("longest") > SHORT).select("id", F.explode(rest_keys(F.col("rest"), threshold, F.col("key"))).alias("x")).select("x.key", "id", "x.rest", "x.own").distinct()
+        members = _led(finer)
+        near = _more(near, _near_lead(members, texts, threshold))
 
 
 def versions(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -232,19 +284,7 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, version: Column
     ids = members.select("id").distinct().join(made.select("id", "doc", "version", "pos"), "id")
     texts = materialize(_texts(docs, ids), "op6-texts")
     near = _near_lead(members, texts, threshold)
-    if threshold == 1:
-        # the lines of hashes with a line that is near no earlier one yet meet again without one piece, then without one of its characters
-        again = _unsettled(members, near).select("id").distinct().join(texts, "id")
-        members = _led(again.select("id", F.explode(piece_keys(F.col("line"))).alias("x")).select("id", "x.*"))
-        near = materialize(near.union(_near_lead(members, texts, threshold)).distinct(), "op6-near")
-        again = _unsettled(members, near).select("id", "at", "end", "more").distinct().join(texts, "id")
-        members = _led(again.select("id", F.explode(letter_keys(F.col("line"), F.col("at"), F.col("end"), F.col("more"))).alias("key")).distinct())
-        near = materialize(near.union(_near_lead(members, texts, threshold)).distinct(), "op6-near")
-    left = _open(members, near)
-    earlier = _unsettled(members, near).join(texts, "id").select("key", F.col("id").alias("a"), F.col("line").alias("la"), F.col("parity").alias("pa"))
-    later = left.join(texts, "id").select(F.col("key").alias("k"), F.col("id").alias("b"), "lead", F.col("line").alias("lb"), F.col("parity").alias("pb"))
-    pairs = earlier.join(later, (F.col("key") == F.col("k")) & F.expr("a < b and a <> lead") & _close(F.col("la"), F.col("lb"), F.col("pa"), F.col("pb"), threshold))
-    near = materialize(near.union(pairs.select(F.col("b").alias("id"))).distinct(), "op6-near")
+    near = _settled(members, near, texts, threshold)
 
     fate = made.join(near.withColumn("near", F.lit(True)), "id", "left").select("h", "g", F.col("doc").alias("d0"), F.col("version").alias("v0"), F.col("pos").alias("p0"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("doc", "version", "pos", "h", "g").join(fate, ["h", "g"]).where("near or doc <> d0 or version <> v0 or pos <> p0")

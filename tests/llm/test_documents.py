@@ -13,7 +13,8 @@ from oracle import SF, expected, got
 from pyspark.sql import functions as F
 
 from ruleloom.llm import bpe, mixing, ngram_join, quality, queries, sharding, toxicity
-from ruleloom.llm.line_dedup import letter_keys, line_dedup, piece_keys, within
+from ruleloom.llm import line_dedup as lines_module
+from ruleloom.llm.line_dedup import line_dedup, rest_keys, shorter_ones, within
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -61,8 +62,10 @@ def test_bpe_equals_whole_encoding_and_decodes(spark, options):
     assert Counter(bpe.decode(r["ids"], PATH, PATTERN) for r in ids) == Counter((r[1] or "").encode() for r in rows)
 
 
-@pytest.mark.parametrize("threshold", [1, 2])
-def test_line_dedup_equals_all_pairs(spark, threshold):
+@pytest.mark.parametrize(("threshold", "small", "short"), [(1, 128, 12), (2, 128, 12), (1, 1, 4), (2, 1, 12), (2, 2, 5)])
+def test_line_dedup_equals_all_pairs(spark, monkeypatch, threshold, small, short):
+    monkeypatch.setattr(lines_module, "SMALL", small)
+    monkeypatch.setattr(lines_module, "SHORT", short)
     rng = random.Random(threshold)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(4, 26))) for _ in range(18)]
 
@@ -92,19 +95,30 @@ def test_within_equals_edit_distance(spark):
         assert all(r["w"] == (cases.edits(r["a"], r["b"]) <= t) for r in df.select("a", "b", within(F.col("a"), F.col("b"), t).alias("w")).collect())
 
 
-def test_one_edit_shares_a_piece_key(spark):
+def test_near_lines_share_a_key_and_a_shorter_one(spark):
     rng = random.Random(8)
-    pairs = []
-    for _ in range(200):
-        s = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 40)))
-        i = rng.randrange(len(s) + 1)
-        pairs.append((s, rng.choice([s[:i] + "z" + s[i:], s[:i] + s[i + 1 :], s[:i] + "y" + s[i + 1 :]])))
-    df = spark.createDataFrame([p for p in pairs if all(p)], "a string, b string")
-    for pieces in (32, 4):
-        keyed = df.withColumns({c: F.transform(piece_keys(F.col(c), pieces), lambda x: x["key"]) for c in ("a", "b")})
-        assert keyed.where(~F.arrays_overlap("a", "b")).count() == 0
-        letters = lambda c: F.flatten(F.transform(piece_keys(F.col(c), pieces), lambda x: letter_keys(F.col(c), x["at"], x["end"], x["more"])))  # noqa: E731, B023
-        assert df.where(~F.arrays_overlap(letters("a"), letters("b"))).count() == 0
+
+    def edited(s, k):
+        for _ in range(k):
+            i = rng.randrange(len(s) + 1)
+            s = rng.choice([s[:i] + "z" + s[i:], s[:i] + s[i + 1 :], s[:i] + "y" + s[i + 1 :]])
+        return s
+
+    for t in (1, 2):
+        pairs = [(s, edited(s, t)) for s in ("".join(rng.choice("abcd") for _ in range(rng.randrange(8, 30))) for _ in range(100))]
+        df = spark.createDataFrame(pairs, "a string, b string")
+        rests = [F.explode(rest_keys(F.col(c), t)).alias(f"k{c}") for c in "ab"]
+        met = df.select("a", "b", rests[0]).select("*", rests[1]).where("ka.key = kb.key").where(within(F.col("ka.rest"), F.col("kb.rest"), t))
+        assert met.select("a", "b").distinct().count() == len(set(pairs))
+        assert df.where(~F.arrays_overlap(shorter_ones(F.col("a"), t), shorter_ones(F.col("b"), t))).count() == 0
+
+
+def test_a_shared_segment_is_no_block_of_all_pairs(spark):
+    rng = random.Random(3)
+    lines = ["common start of " + "".join(rng.choice("abcdefghij") for _ in range(26)) for _ in range(3000)]
+    rows = [(i, x) for i, x in enumerate([*lines, lines[7][:-2] + "zz", lines[2999].replace("start", "stark")])]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.where("n_dropped > 0").collect()} == {3000, 3001}
 
 
 def test_quality_equals_python_and_sql(spark):
