@@ -13,6 +13,8 @@ from ruleloom.plans.durable import materialize
 
 #: Lists that one part of a hub is in at most, and nodes of a component that one task takes.
 HUB, LARGE = 2_000, 50_000
+#: Nodes and edges of a community that the refinement takes as one group; larger ones are divided on edge tables.
+PIECE, PIECE_EDGES = 2_000, 50_000
 
 
 def snn_edges(neighbors: DataFrame, k: int, min_shared: int = 15, mutual: bool = False) -> DataFrame:
@@ -160,30 +162,154 @@ def louvain_moves(nodes: DataFrame, edges: DataFrame, weight: str, resolution: f
         links = materialize(ends.groupBy(F.least("s", "t").alias("source"), F.greatest("s", "t").alias("target")).agg(F.sum("w").alias("w")), "moves-links")
 
 
-def leiden(labels: DataFrame, edges: DataFrame, weight: str = "jaccard", largest: int = 25, resolution: float = 1.0, factor: float = 1.5, depth: int = 10) -> DataFrame:
-    """(id, parent, community, was_refined): communities above ``largest`` refined until none is.
+def leiden(labels: DataFrame, edges: DataFrame, weight: str = "jaccard", largest: int = 25, resolution: float = 1.0, factor: float = 1.5, depth: int = 30) -> DataFrame:
+    """(id, parent, community, was_refined): communities above ``largest`` divided until none is; every part is connected.
 
-    Each oversize community is split by itself at a resolution that grows by
-    ``factor`` a level, at most ``depth`` levels; what is still too large is cut
-    along its breadth-first order. The others pass through unread.
+    Each level divides the communities that are too large, each as a graph of
+    its own, at a resolution that grows by ``factor`` a level: moves, refinement
+    into well-connected parts, and the same on the graph of the parts. Those of
+    at most PIECE nodes and PIECE_EDGES edges are one group each; larger ones
+    are divided together on edge tables by :func:`leiden_level`, where no task
+    holds a community. A community without edges falls into single nodes, and
+    what ``depth`` levels leave too large raises. The others pass through unread.
     """
-    sizes = labels.groupBy("community").agg(F.count("*").alias("size"))
-    big = sizes.where(F.col("size") > largest).select("community")
-    rest = labels.join(big, "community", "left_anti").select("id", F.col("community").alias("parent"), "community", F.lit(False).alias("was_refined"))
-    inner = labels.join(big, "community", "left_semi")
-    e = edges.join(inner.select(F.col("id").alias("source"), F.col("community").alias("parent")), "source").join(inner.select(F.col("id").alias("target"), F.col("community").alias("other")), "target").where("parent = other")
-    rows = inner.select(F.col("community").alias("parent"), F.col("id").alias("a"), F.lit(None).cast(labels.schema["id"].dataType).alias("b"), F.lit(0.0).alias("w")).unionAll(e.select("parent", F.col("source").alias("a"), F.col("target").alias("b"), F.col(weight).cast("double").alias("w")))
     kind = labels.schema["id"].dataType.simpleString()
-
-    def refine(table: pa.Table) -> pa.Table:
-        ids, links = _read(table)
-        parts = community.refine(ids, links, largest, resolution, factor, depth)
+    todo = materialize(labels.select("id", F.col("community").alias("parent"), F.col("community").cast(kind).alias("community")), "leiden-todo")
+    e = edges.select("source", "target", F.col(weight).cast("double").alias("w"))
+    done, level = None, 0
+    while True:
+        sizes = todo.groupBy("community").agg(F.count("*").alias("n"))
+        small = todo.join(sizes.where(F.col("n") <= largest).select("community"), "community", "left_semi").select("id", "parent", "community", F.lit(level > 0).alias("was_refined"))
+        done = small if done is None else done.unionByName(small)
+        big = todo.join(sizes.where(F.col("n") > largest), "community")
+        inner = e.join(big.select(F.col("id").alias("source"), "community", "n"), "source").join(big.select(F.col("id").alias("target"), F.col("community").alias("other")), "target").where("community = other").drop("other")
+        inner = materialize(inner, "leiden-inner")
+        linked = inner.groupBy("community").agg(F.count("*").alias("m"))
+        big = materialize(big.join(linked, "community", "left"), "leiden-big")
+        if big.isEmpty():
+            return done
+        lone = big.where("m is null").select("id", "parent", F.col("id").alias("community"), F.lit(True).alias("was_refined"))
+        whole = (F.col("n") <= PIECE) & (F.col("m") <= PIECE_EDGES)
+        groups = big.where(whole).select("community", F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), F.lit(0.0).alias("w"))
+        groups = groups.unionAll(inner.join(linked, "community").where(whole).select("community", F.col("source").alias("a"), F.col("target").alias("b"), "w"))
+
+        found = groups.groupBy("community").applyInArrow(_divided(largest, resolution * factor**level, factor, depth - level), f"id {kind}, community {kind}")
+        refined = big.where(whole).select("id", "parent").join(found, "id").select("id", "parent", "community", F.lit(True).alias("was_refined"))
+        done = materialize(done.unionByName(lone).unionByName(refined), "leiden-done")
+        rest = big.where(F.col("m").isNotNull() & ~whole)
+        if rest.isEmpty():
+            return done
+        if level > depth:
+            raise RuntimeError(f"communities are still above {largest} nodes at resolution {resolution * factor**level}")
+        split = leiden_level(rest.select("id", F.col("community").alias("graph")), inner.join(rest.select("community").distinct(), "community", "left_semi"), resolution * factor**level)
+        todo = materialize(rest.select("id", "parent").join(split, "id"), "leiden-todo")
+        level += 1
+
+
+def _divided(largest: int, resolution: float, factor: float, depth: int):
+    """What divides one community that is small enough for a group."""
+
+    def divide(table: pa.Table) -> pa.Table:
+        parts = community.refine(*_read(table), largest, resolution, factor, depth)
         members = [(i, min(part)) for part in parts for i in sorted(part)]
-        t = table.schema
-        return pa.table([pa.array([m[0] for m in members], t.field("a").type), pa.array([table["parent"][0].as_py()] * len(members), t.field("parent").type), pa.array([m[1] for m in members], t.field("a").type), pa.array([True] * len(members))], names=["id", "parent", "community", "was_refined"])
+        return pa.table([pa.array([m[c] for m in members], table.schema.field("a").type) for c in (0, 1)], names=["id", "community"])
+
+    return divide
 
-    refined = rows.groupBy("parent").applyInArrow(refine, f"id {kind}, parent {labels.schema['community'].dataType.simpleString()}, community {kind}, was_refined boolean")
-    return rest.unionByName(refined)
+
+def leiden_level(nodes: DataFrame, edges: DataFrame, resolution: float, start: DataFrame | None = None, rounds: int = 8, times: int = 10) -> DataFrame:
+    """(id, community): connected communities of every ``graph`` at one resolution, on edge tables.
+
+    ``nodes``: id, graph; ``edges``: source, target, w inside the graphs;
+    ``start``: id, community to begin with, else single nodes. Moves as in
+    :func:`louvain_moves`; then the nodes of each community start again as
+    single ones, and those that are well connected to it join parts that are;
+    the parts, in their communities, are the next graph's nodes. A step that
+    lowers the modularity is taken back and ends the moves.
+    """
+    kind = nodes.schema["id"].dataType.simpleString()
+    ways = materialize(edges.where("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b"), "w").unionAll(edges.where("source <> target").select(F.col("target").alias("a"), F.col("source").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")), "leiden-ways")
+    inner = ways
+    loops = edges.where("source = target").groupBy(F.col("source").alias("id")).agg((2 * F.sum("w")).alias("loop"))
+    degrees = ways.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("out"))
+    home = nodes.join(degrees, "id", "left").join(loops, "id", "left").select("id", "graph", (F.coalesce("out", F.lit(0.0)) + F.coalesce("loop", F.lit(0.0))).alias("degree"), F.coalesce("loop", F.lit(0.0)).alias("loop"))
+    home = home.join(home.groupBy("graph").agg(F.sum("degree").alias("m2")), "graph")
+    home = home.join(start.withColumnRenamed("community", "c"), "id") if start is not None else home.withColumn("c", F.col("id"))
+    home = materialize(home.select("id", "c", "degree", "loop", "m2"), "leiden-home")
+    out = nodes.select("id", F.col("id").alias("node"))
+    for _ in range(times):
+        home = _moves(ways, home, resolution, rounds)
+        parts = _refined(ways, home, resolution, rounds // 2)
+        merged = parts.where("part <> id")
+        out = materialize(out.join(parts.select(F.col("id").alias("node"), "part"), "node").select("id", F.col("part").alias("node")), "leiden-parts")
+        ends = ways.join(parts.select(F.col("id").alias("a"), F.col("part").alias("x")), "a").join(parts.select(F.col("id").alias("b"), F.col("part").alias("y")), "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w"))
+        ends = materialize(ends, "leiden-ends")
+        within = ends.where("a = b").select(F.col("a").alias("id"), F.col("w").alias("inside"))
+        home = home.join(parts.select("id", "part"), "id").groupBy(F.col("part").alias("id")).agg(F.min("c").alias("c"), F.sum("degree").alias("degree"), F.sum("loop").alias("loop"), F.max("m2").alias("m2"))
+        home = materialize(home.join(within, "id", "left").select("id", "c", "degree", (F.col("loop") + F.coalesce("inside", F.lit(0.0))).alias("loop"), "m2"), "leiden-home")
+        ways = ends.where("a <> b")
+        if merged.isEmpty():
+            break
+    found = out.join(home.select(F.col("id").alias("node"), "c"), "node").select("id", "c")
+    same = inner.join(found.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(found.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb and a < b").select(F.col("a").alias("source"), F.col("b").alias("target"))
+    return component_table(nodes, same).select("id", F.col("component").cast(kind).alias("community"))
+
+
+def _quality(ways: DataFrame, home: DataFrame, resolution: float) -> float:
+    """The sum of the graphs' modularities; ``ways`` holds both directions."""
+    at = home.select("id", "c", "m2")
+    inside = ways.join(at.select(F.col("id").alias("a"), "c", "m2"), "a").join(at.select(F.col("id").alias("b"), F.col("c").alias("d")), "b").where("c = d").agg(F.sum(F.col("w") / F.col("m2"))).first()[0] or 0.0
+    rest = home.groupBy("c").agg(F.sum("degree").alias("k"), F.sum("loop").alias("loop"), F.max("m2").alias("m2")).where("m2 > 0").agg(F.sum(F.col("loop") / F.col("m2") - F.lit(resolution) * (F.col("k") / F.col("m2")) ** 2)).first()[0] or 0.0
+    return inside + rest
+
+
+def _moves(ways: DataFrame, home: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """``home`` (id, c, degree, loop, m2) after rounds in which half of the nodes, by a hash, go to the neighbouring community of the highest gain."""
+    value, still = _quality(ways, home, resolution), 0
+    for n in range(rounds):
+        mass = home.groupBy("c").agg(F.sum("degree").alias("mass"))
+        to = ways.join(home.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("w"))
+        own = home.withColumnRenamed("c", "own")
+        seen = to.unionByName(home.select("id", "c", F.lit(0.0).alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w")).join(own, "id").join(mass, "c")
+        gain = F.round(F.col("w") - F.lit(resolution) * F.col("degree") * (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(0.0)) / F.col("m2"), 12)
+        seen = seen.where("m2 > 0").withColumn("gain", gain)
+        best = seen.groupBy("id").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("now"), F.min(F.struct((-F.col("gain")).alias("g"), F.col("c").alias("c"))).alias("to"))
+        goes = (F.pmod(F.xxhash64("id", F.lit(n // 2)), F.lit(2)) == n % 2) & (-F.col("to.g") > F.col("now") + 1e-9)
+        step = materialize(home.join(best.where(goes).select("id", F.col("to.c").alias("new")), "id", "left"), "leiden-moves")
+        if step.where("new is not null").isEmpty():
+            still += 1
+            if still == 2:
+                return home
+            continue
+        moved = step.select("id", F.coalesce("new", "c").alias("c"), "degree", "loop", "m2")
+        now = _quality(ways, moved, resolution)
+        if now <= value + 1e-12:
+            return home
+        home, value, still = moved, now, 0
+    return home
+
+
+def _refined(ways: DataFrame, home: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """(id, part): single nodes that are well connected to their community join, in turns, parts of it that are; ties go to the smaller part."""
+    whole = home.groupBy("c").agg(F.sum("degree").alias("whole"))
+    at = home.select("id", "c")
+    links = ways.join(at.select(F.col("id").alias("a"), "c"), "a").join(at.select(F.col("id").alias("b"), F.col("c").alias("d")), "b").where("c = d").select("a", "b", "w")
+    links = materialize(links, "leiden-links")
+    state = materialize(home.join(whole, "c").where("m2 > 0").select("id", "c", "degree", "m2", "whole", F.col("id").alias("part")), "leiden-state")
+    for n in range(rounds):
+        place = state.select(F.col("id").alias("b"), F.col("part").alias("to"))
+        near = links.join(place, "b").groupBy(F.col("a").alias("id"), "to").agg(F.sum("w").alias("w"))
+        near = materialize(near.join(state.select("id", "part"), "id"), "leiden-near")
+        outer = near.where("to <> part").groupBy("part").agg(F.sum("w").alias("outer"))
+        parts = state.groupBy("part").agg(F.count("*").alias("size"), F.sum("degree").alias("mass"), F.max("whole").alias("whole"), F.max("m2").alias("m2")).join(outer, "part", "left")
+        well = F.coalesce("outer", F.lit(0.0)) >= F.lit(resolution) * F.col("mass") * (F.col("whole") - F.col("mass")) / F.col("m2") - 1e-12
+        turn = (F.col("size") == 1) & (F.pmod(F.xxhash64("part", F.lit(n // 2)), F.lit(2)) == n % 2)  # the others stay where they are
+        parts = materialize(parts.select("part", "mass", "m2", well.alias("well"), turn.alias("turn")).where("well"), "leiden-well")
+        goes = near.where("to <> part").join(parts.where("turn").select("part", F.col("mass").alias("degree")), "part").join(parts.where("not turn").select(F.col("part").alias("to"), "mass", "m2"), "to")
+        gain = F.round(F.col("w") - F.lit(resolution) * F.col("degree") * F.col("mass") / F.col("m2"), 12)
+        new = goes.withColumn("gain", gain).where("gain > 1e-12").groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("to").alias("to"))).alias("x")).select("id", F.col("x.to").alias("new"))
+        state = materialize(state.join(new, "id", "left").select("id", "c", "degree", "m2", "whole", F.coalesce("new", "part").alias("part")), "leiden-state")
+    return home.select("id").join(state.select("id", "part"), "id", "left").select("id", F.coalesce("part", "id").alias("part"))
 
 
 def _read(table: pa.Table) -> tuple[list, list[tuple]]:

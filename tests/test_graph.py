@@ -1,4 +1,9 @@
 import random
+from itertools import product
+
+import pytest
+
+from pyspark.sql import functions as F
 
 from ruleloom.operators import community, graph
 from ruleloom.operators.components import connected_components
@@ -52,7 +57,9 @@ def test_refine_is_a_partition_within_the_bound():
     assert sorted(i for p in parts for i in p) == ids
     assert max(map(len, parts)) <= 25
     clique = [(a, b, 1.0) for a in range(60) for b in range(a)]
-    assert max(map(len, community.refine(list(range(60)), clique, 25, 1.0, 1.5, 3))) <= 25
+    assert max(map(len, community.refine(list(range(60)), clique, 25, 1.0, 1.5, 30))) <= 25
+    with pytest.raises(RuntimeError, match="still above"):
+        community.refine(list(range(60)), clique, 25, 0.1, 1.0, 3)
     assert community.refine([1, 2, 3], [], 2, 1.0, 1.5, 10) == [{1}, {2}, {3}]
 
 
@@ -82,3 +89,89 @@ def test_hubs_in_parts_count_all_shared_neighbours(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB", 7)
     want = {(a, b): len(set(lists[a]) & set(lists[b])) for a in lists for b in lists if a < b and len(set(lists[a]) & set(lists[b])) >= 2}
     assert {(r["source"], r["target"]): r["shared"] for r in graph.snn_edges(rows, 7, 2).collect()} == want
+
+
+def linked(members, links):
+    near = {i: set() for i in members}
+    for a, b, _ in links:
+        if a in near and b in near:
+            near[a].add(b)
+            near[b].add(a)
+    return len(community.connected(set(members), near)) == 1
+
+
+def quality(parts, links, resolution=1.0):
+    m2 = 2 * sum(w for *_, w in links)
+    home = {i: n for n, p in enumerate(parts) for i in p}
+    mass = [0.0] * len(parts)
+    inside = 0.0
+    for a, b, w in links:
+        mass[home[a]] += w
+        mass[home[b]] += w
+        inside += 2 * w * (home[a] == home[b])
+    return inside / m2 - resolution * sum((k / m2) ** 2 for k in mass)
+
+
+def test_leiden_is_connected_and_no_worse_than_its_start():
+    for seed in range(6):
+        rng = random.Random(seed)
+        ids = list(range(40))
+        links = [(a, b, rng.choice([1.0, 2.0])) for a in ids for b in ids if a < b and rng.random() < (0.5 if a % 4 == b % 4 else 0.06)]
+        total = sum(w for *_, w in links)
+        parts = community.leiden(ids, links, total, 1.0)
+        assert sorted(i for p in parts for i in p) == ids and all(linked(p, links) for p in parts)
+        assert quality(parts, links) >= quality(community.louvain(ids, links, total, 1.0), links) - 0.02
+        assert parts == community.leiden(ids, links[::-1], total, 1.0)
+
+
+def test_leiden_of_small_graphs_against_all_partitions():
+    def every(n):
+        for labels in product(range(n), repeat=n):
+            if all(x <= max(labels[:i], default=-1) + 1 for i, x in enumerate(labels)):
+                yield [{i for i in range(n) if labels[i] == c} for c in set(labels)]
+
+    links = [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (2, 3, 0.5), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0)]
+    best = max(quality(p, links) for p in every(6))
+    assert quality(community.leiden(list(range(6)), links, 6.5, 1.0), links) == pytest.approx(best)
+
+
+def test_a_part_that_hangs_by_a_bridge_node_is_cut_off():
+    # a and b meet in one node only; once it is gone its old community is no longer connected
+    ids, links = planted(2, 10)
+    links += [(0, 10, 3.0), (0, 11, 3.0), (0, 12, 3.0)]
+    assert all(linked(p, links) for p in community.leiden(ids, links, sum(w for *_, w in links), 1.0))
+
+
+@pytest.mark.parametrize("piece", [2_000, 5])
+def test_leiden_of_tables_and_of_groups(spark, monkeypatch, piece):
+    monkeypatch.setattr(graph, "PIECE", piece)
+    ids, links = planted(5, 14)
+    ids = [*ids, 100, 101]
+    nodes = spark.createDataFrame([(i,) for i in ids], "id long")
+    edges = spark.createDataFrame([*links, (3, 3, 0.5)], "source long, target long, jaccard double")
+    start = spark.createDataFrame([(i, 0 if i < 42 else 42 if i < 100 else i) for i in ids], "id long, community long")
+    out = graph.leiden(start, edges, largest=14).collect()
+    assert sorted(r["id"] for r in out) == ids
+    parts = {}
+    for r in out:
+        parts.setdefault(r["community"], set()).add(r["id"])
+        assert r["parent"] == (0 if r["id"] < 42 else 42 if r["id"] < 100 else r["id"]) and r["was_refined"] == (r["id"] < 100)
+    assert all(len(p) <= 14 and min(p) == c and linked(p, links) for c, p in parts.items())
+    assert sum(p == set(range(g, g + 14)) for g in range(0, 70, 14) for p in parts.values()) >= 4  # the planted ones
+    level = graph.leiden_level(nodes.where("id < 100").withColumn("graph", F.lit(0)), edges.where("source <> target").withColumnRenamed("jaccard", "w"), 1.0)
+    found = {}
+    for r in level.collect():
+        found.setdefault(r["community"], set()).add(r["id"])
+    assert quality(list(found.values()), links) >= quality(community.louvain(ids[:70], links, sum(w for *_, w in links), 1.0), links) - 0.02
+
+
+def test_leiden_level_is_no_worse_than_a_given_start(spark):
+    ids, links = planted(4, 9)
+    nodes = spark.createDataFrame([(i, 0) for i in ids], "id long, graph int")
+    edges = spark.createDataFrame(links, "source long, target long, w double")
+    start = [set(p) for p in community.louvain(ids, links, sum(w for *_, w in links), 1.0)]
+    given = spark.createDataFrame([(i, min(p)) for p in start for i in p], "id long, community long")
+    found = {}
+    for r in graph.leiden_level(nodes, edges, 1.0, given).collect():
+        found.setdefault(r["community"], set()).add(r["id"])
+    assert quality(list(found.values()), links) >= quality(start, links) - 1e-9
