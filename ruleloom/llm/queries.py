@@ -13,6 +13,10 @@ from ruleloom.llm.line_dedup import line_dedup
 from ruleloom.llm.ngram_join import ngram_jaccard_components
 
 
+#: Labels that are sent to every executor at most; more are joined by a shuffle.
+SEND_LABELS = 1_000_000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +42,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     known = _table(spark, sf_dir, "labels").where(~held).select("doc_id", "toxic").where("toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = F.broadcast(known) if known.count() <= SEND_LABELS else known  # else the texts would be shuffled for a few bytes each
     model = toxicity.train(docs.join(known, "doc_id"))
     # the id says which rows are held out after the scoring; it is no input of a score
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
