@@ -1,22 +1,35 @@
 """Exact cosine top-k joins, flat and grouped, in blocks.
 
-Queries and index rows are dealt into blocks by a hash; each pair of blocks is
-one matrix product whose local top k leaves the task, and the parts are merged
-by a ranked window. No task holds an index, nothing is collected, and a group
-lies in one index block, so its maximum is final there. Scores are rounded
+Queries and index rows are dealt into balls around sampled centres, and large
+balls into blocks; each pair of blocks is one matrix product whose local top k
+leaves the task, and the parts are merged by a ranked window. Each query ball
+first meets the balls nearest to it; the least k-th score of its queries then
+rules out every ball whose vectors the triangle inequality keeps below it, so
+those pairs of blocks are never shipped. No task holds an index, a group lies in
+one index block, so its maximum is final there, and what reaches the driver is a
+centre and a radius for each ball, BALLS of them at most. Scores are rounded
 before they are ranked, and ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK = 4_096
+from ruleloom.plans.durable import materialize
+
+#: Rows of a block, and balls at most.
+BLOCK, BALLS = 4_096, 4_096
 DIGITS = 6
+#: What rounding can add to a score, and to an angle.
+SLACK = 2e-6
+log = logging.getLogger(__name__)
 
 
 def unit(vector: str | Column) -> Column:
@@ -35,17 +48,88 @@ def dual(first: Column, second: Column, weight: float) -> Column:
     return F.concat(F.transform(first, lambda x: x * a), F.transform(second, lambda x: x * b))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def _blocks(queries: DataFrame, index: DataFrame, deal: str) -> tuple[DataFrame, int]:
-    n_index, n_query = index.count(), queries.count()
-    ni, nq = max(1, -(-n_index // BLOCK)), max(1, -(-n_query // BLOCK))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
-    i = index.withColumn("ib", F.pmod(F.xxhash64(deal), F.lit(ni)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    return q.unionByName(i, allowMissingColumns=True), ni
+def _in_balls(rows: DataFrame, key: str, centers: np.ndarray) -> tuple[DataFrame, dict[int, tuple[float, int]]]:
+    """``rows`` with ball and block, and {ball: (largest angle to its centre, rows)}; rows of one ``key`` (their first vector's) share both."""
+    sent = rows.sparkSession.sparkContext.broadcast(centers)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = (_matrix(b.column(1)) @ sent.value.T).argmax(axis=1) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int32))], ["of", "ball"])
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ball = b.column(0).to_numpy()
+            cos = np.einsum("ij,ij->i", _matrix(b.column(1)), sent.value[ball]) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arccos(np.clip(cos, -1, 1)))], ["ball", "angle"])
+
+    first = rows.groupBy(F.col(key).alias("of")).agg(F.min_by("unit", F.xxhash64("unit")).alias("unit")) if len(centers) > 1 else None
+    if first is None:
+        out = rows.withColumn("ball", F.lit(0))
+    else:
+        of = materialize(first.mapInArrow(nearest, f"of {kind}, ball int"), "balls")
+        out = rows.join(of, F.col(key) == F.col("of")).drop("of")
+    out = materialize(out, "in-balls")
+    found = out.select("ball", "unit").mapInArrow(angles, "ball int, angle double").groupBy("ball").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect()  # a row a ball
+    balls = {r["ball"]: (r["r"], r["n"]) for r in found}
+    parts = F.create_map(*(F.lit(x) for b, (_, n) in sorted(balls.items()) for x in (b, max(1, -(-n // BLOCK))))) if balls else F.create_map(F.lit(0), F.lit(1))
+    return out.withColumn("block", F.pmod(F.xxhash64(key), parts[F.col("ball")]).cast("int")).withColumn("blocks", parts[F.col("ball")]), balls
+
+
+def _paired(queries: DataFrame, index: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """The rows of both sides for every pair of their blocks, in the pairs (query ball, index ball): columns qball, qb, iball, ib."""
+    spark = queries.sparkSession
+    listed = F.broadcast(spark.createDataFrame(pairs, "qball int, iball int"))  # at most BALLS x BALLS
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    iparts = F.broadcast(index.groupBy(F.col("ball").alias("iball")).agg(F.max("blocks").alias("iblocks")))
+    qparts = F.broadcast(queries.groupBy(F.col("ball").alias("qball")).agg(F.max("blocks").alias("qblocks")))
+    q = queries.withColumnsRenamed({"ball": "qball", "block": "qb"}).join(listed, "qball").join(iparts, "iball").withColumn("ib", every("iblocks")).drop("iblocks", "blocks")
+    i = index.withColumnsRenamed({"ball": "iball", "block": "ib"}).join(listed, "iball").join(qparts, "qball").withColumn("qb", every("qblocks")).drop("qblocks", "blocks")
+    return q.unionByName(i, allowMissingColumns=True)
+
+
+def _ranked(queries: DataFrame, index: DataFrame, key: str, k: int, run: Callable, schema: str, order: list) -> DataFrame:
+    """The k best rows that ``run`` finds for each qid, over those pairs of balls that can hold them; ``skipped``: (pairs left out, all pairs)."""
+    n_index = index.count()
+    balls = max(1, min(BALLS, -(-n_index // BLOCK)))
+    centers = np.array([r["unit"] for r in index.orderBy(F.xxhash64("unit")).limit(balls).collect()], float) if balls > 1 else np.zeros((1, 1))
+    if balls == 1 and n_index:  # any centre serves one ball
+        centers = np.array([index.first()["unit"]], float)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
+    best = lambda part: part.withColumn("rank", rank).where(F.col("rank") <= k)
+    score = lambda pairs: _paired(q, i, pairs).groupBy("qball", "qb", "iball", "ib").applyInArrow(run, schema)
+    i, ri = _in_balls(index, key, centers)
+    q, rq = _in_balls(queries, "qid", centers)
+    between = np.arccos(np.clip(centers @ centers.T, -1, 1)) if n_index else np.zeros((1, 1))
+    # the least angle of a query and an index vector, by the triangle inequality
+    least = {(a, b): max(0.0, between[a, b] - rq[a][0] - ri[b][0]) for a in rq for b in ri}
+    if len(ri) <= 1:
+        out = best(score(sorted(least) or [(0, 0)]))
+        out.skipped = 0, len(least)
+        return out
+    near: list[tuple[int, int]] = []
+    for a in rq:
+        seen = 0
+        for b in sorted(ri, key=lambda b: (between[a, b], b)):
+            near.append((a, b))
+            seen += ri[b][1]
+            if seen > k:
+                break
+    first = materialize(best(score(near)).drop("rank"), "near-pairs")
+    kth = first.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("kth")).select("qid", F.when(F.col("n") >= k, F.col("kth")).otherwise(-2.0).alias("kth"))
+    bound = {r["ball"]: r["kth"] for r in q.select("qid", "ball").join(kth, "qid", "left").groupBy("ball").agg(F.min(F.coalesce("kth", F.lit(-2.0))).alias("kth")).collect()}  # a row a ball
+    met = set(near)
+    rest = [p for p, angle in sorted(least.items()) if p not in met and np.cos(max(0.0, angle - SLACK)) + SLACK >= bound[p[0]]]
+    log.info("%d of %d pairs of balls can't hold any of the %d best", len(least) - len(near) - len(rest), len(least), k)
+    out = best(first.unionByName(score(rest)) if rest else first)
+    out.skipped = len(least) - len(near) - len(rest), len(least)
+    return out
 
 
 def _best(scores: np.ndarray, ties: np.ndarray, k: int) -> np.ndarray:
@@ -65,7 +149,6 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = Fal
     """
     q = queries.where("unit is not null").select("qid", "unit", F.lit(True).alias("asks"))
     i = index.where("unit is not null").select("id", "unit", F.col(order).alias("tie") if order != "id" else F.col("id").alias("tie"), F.lit(False).alias("asks"))
-    both, _ = _blocks(q, i, "id")
     qk, ik = q.schema["qid"].dataType.simpleString(), i.schema["id"].dataType.simpleString()
     tk = i.schema["tie"].dataType.simpleString()
 
@@ -86,9 +169,10 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = Fal
                             c.append(v)
         return pa.table([pa.array(c, type=t) for c, t in zip(cols, (table.schema.field("qid").type, table.schema.field("id").type, pa.float64(), table.schema.field("tie").type), strict=True)], names=["qid", "id", "score", "tie"])
 
-    part = both.groupBy("qb", "ib").applyInArrow(run, f"qid {qk}, id {ik}, score double, tie {tk}")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "tie", "id"))
-    return part.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "id", "score", "rank")
+    found = _ranked(q, i, "id", k, run, f"qid {qk}, id {ik}, score double, tie {tk}", [F.desc("score"), F.col("tie"), F.col("id")])
+    out = found.select("qid", "id", "score", "rank")
+    out.skipped = found.skipped
+    return out
 
 
 def top_groups(queries: DataFrame, index: DataFrame, k: int, clip: bool = True) -> DataFrame:
@@ -101,7 +185,6 @@ def top_groups(queries: DataFrame, index: DataFrame, k: int, clip: bool = True)
     """
     q = queries.where("unit is not null").select("qid", "unit", F.lit(True).alias("asks"))
     i = index.where("unit is not null").select("id", "family", "is_base", "unit", F.lit(False).alias("asks"))
-    both, _ = _blocks(q, i, "family")
     qk, ik, fk = q.schema["qid"].dataType.simpleString(), i.schema["id"].dataType.simpleString(), i.schema["family"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
@@ -129,9 +212,7 @@ def top_groups(queries: DataFrame, index: DataFrame, k: int, clip: bool = True)
         kinds = (table.schema.field("qid").type, table.schema.field("family").type, pa.float64(), pa.float64(), pa.float64(), table.schema.field("id").type)
         return pa.table([pa.array([r[c] for r in out], type=t) for c, t in enumerate(kinds)], names=["qid", "family", "score", "base_score", "best_variant_score", "matched_id"])
 
-    part = both.groupBy("qb", "ib").applyInArrow(run, f"qid {qk}, family {fk}, score double, base_score double, best_variant_score double, matched_id {ik}")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "family"))
-    return part.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _ranked(q, i, "family", k, run, f"qid {qk}, family {fk}, score double, base_score double, best_variant_score double, matched_id {ik}", [F.desc("score"), F.col("family")])
 
 
 def distribution(rows: DataFrame, value: str, *by: str, digits: int = 6) -> DataFrame:
@@ -145,3 +226,58 @@ def distribution(rows: DataFrame, value: str, *by: str, digits: int = 6) -> Data
     out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.percentile(F.round(value, digits), list(shares.values())).alias("q"))
     cols = {k: F.col("q")[i] for i, k in enumerate(shares)} | {"min": F.col("min"), "max": F.col("max"), "mean": F.col("mean")}
     return out.select(*by, "n", *(F.round(c.cast("double"), digits).alias(k) for k, c in cols.items()))
+
+
+def pair_distribution(rows: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """One row (n, min, p10, p25, median, mean, p75, p90, p95, p99, max) of the cosines of all pairs of different rows of (id, unit).
+
+    Each pair of blocks is a product that leaves its task as a histogram of the
+    scores rounded to ``digits``; the histograms add up to one of at most
+    2 * 10**digits + 1 values, in which the quantiles are exact, linearly
+    interpolated. No pair is emitted. Rows without a unit vector have no pairs;
+    without any pair all but n is null.
+    """
+    v = rows.where("unit is not null").select("unit", F.xxhash64("id").alias("h"))
+    blocks = max(1, -(-v.count() // BLOCK))
+    mine = F.pmod("h", F.lit(blocks)).cast("int")
+    v = v.withColumn("mine", mine)
+    left = v.withColumn("a", F.col("mine")).withColumn("b", F.explode(F.sequence(F.col("mine"), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
+    right = v.where("mine > 0").withColumn("b", F.col("mine")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("mine") - 1))).withColumn("asks", F.lit(False))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table["asks"].combine_chunks().to_numpy(zero_copy_only=False)
+        x = _matrix(table["unit"])
+        if table["a"][0].as_py() == table["b"][0].as_py():
+            scores = (x @ x.T)[np.triu_indices(len(x), 1)]
+        else:
+            scores = (x[asks] @ x[~asks].T).ravel()
+        values, n = np.unique(np.rint(np.clip(scores, -1, 1) * 10**digits).astype(np.int64), return_counts=True)
+        return pa.table([pa.array(values), pa.array(n)], names=["value", "n"])
+
+    found = left.unionByName(right).select("a", "b", "unit", "asks").groupBy("a", "b").applyInArrow(run, "value long, n long")
+    found = materialize(found.groupBy("value").agg(F.sum("n").alias("n")), "pair-scores")
+    scale, n = 10.0**digits, F.sum("n")
+    whole = found.agg(n.alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.sum(F.col("value") * F.col("n")).alias("sum")).first()
+    shares = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    total = whole["n"] or 0
+    # coarse steps of the histogram first, so that only the wanted steps are ordered
+    step = F.floor(F.col("value") / 1000)
+    upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = found.groupBy(step.alias("step")).agg(n.alias("m")).withColumn("base", F.coalesce(F.sum("m").over(upto), F.lit(0)))  # at most 2 * 10**digits / 1000 + 1 rows
+    inside = Window.partitionBy("step").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = found.withColumn("step", step).join(F.broadcast(coarse), "step").withColumn("upto", F.col("base") + F.sum("n").over(inside))
+    wanted = sorted({r for p in shares.values() for at in [(total - 1) * p] for r in (int(np.floor(at)), int(np.ceil(at)))}) if total else []
+    at = {r: F.min(F.when(F.col("upto") > r, F.col("value"))) for r in wanted}
+    got = ends.agg(*(c.alias(f"r{r}") for r, c in at.items())).first() if wanted else None
+
+    def quantile(p: float) -> float | None:
+        if not total:
+            return None
+        low = int(np.floor((total - 1) * p))
+        a, b = got[f"r{low}"] / scale, got[f"r{int(np.ceil((total - 1) * p))}"] / scale
+        return a + (b - a) * ((total - 1) * p - low)
+
+    row = {"n": total, "min": whole["min"] / scale if total else None, "mean": whole["sum"] / scale / total if total else None, "max": whole["max"] / scale if total else None} | {k: quantile(p) for k, p in shares.items()}
+    names = ["n", "min", "p10", "p25", "median", "mean", "p75", "p90", "p95", "p99", "max"]
+    made = rows.sparkSession.createDataFrame([tuple(row[c] for c in names)], ", ".join(["n long", *(f"{c} double" for c in names[1:])]))
+    return made.select("n", *(F.round(c, digits + 2).alias(c) for c in names[1:]))

@@ -529,6 +529,14 @@ def score_distribution(spark, sf_dir):
     return vectors.distribution(fx.neighbors(spark, sf_dir).join(v, "q"), "score", "label", digits=8)
 
 
+@query(f"""WITH {fx.VECTORS}, s AS (SELECT round(least(1, greatest(-1, list_dot_product(a.unit, b.unit))), 6) AS score FROM vectors a JOIN vectors b ON a.id < b.id)
+SELECT count(*) AS n, round(min(score), 8) AS min, round(quantile_cont(score, 0.1), 8) AS p10, round(quantile_cont(score, 0.25), 8) AS p25, round(quantile_cont(score, 0.5), 8) AS median, round(avg(score), 8) AS mean,
+round(quantile_cont(score, 0.75), 8) AS p75, round(quantile_cont(score, 0.9), 8) AS p90, round(quantile_cont(score, 0.95), 8) AS p95, round(quantile_cont(score, 0.99), 8) AS p99, round(max(score), 8) AS max FROM s""")
+def pair_score_distribution(spark, sf_dir):
+    """quantiles of all pairs' scores, the upper triangle."""
+    return vectors.pair_distribution(fx.vectors(spark, sf_dir))
+
+
 # --- graph ----------------------------------------------------------------
 
 
