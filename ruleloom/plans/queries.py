@@ -15,7 +15,7 @@ from ruleloom.operators import catalog, constraints, graph, ranking, vectors
 from ruleloom.plans import fixtures as fx
 from ruleloom.plans.durable import materialize, remove, shared_dir
 from ruleloom.sources import files
-from ruleloom.streaming import serial
+from ruleloom.streaming import families, serial
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -848,12 +848,21 @@ def ordered_distinct(spark, sf_dir):
 # --- serial, services, plans ----------------------------------------------
 
 
-@query(f"""WITH {fx.PLAN} SELECT family_id, max(chunk)::BIGINT AS version, count(*) FILTER (member_type = 'EQUIVALENT') AS n_equivalent, count(*) FILTER (member_type = 'VARIANT') AS n_variant, CASE WHEN count(*) FILTER (member_type = 'VARIANT') > 0 THEN 'SYNTHESIZED' ELSE 'ANCHORED' END AS base_origin, max(chunk)::BIGINT AS chunks FROM chunks GROUP BY family_id""")
+@query("""WITH one AS (SELECT l_suppkey AS family_id, concat(l_orderkey, '-', l_linenumber) AS member_id, min(CASE WHEN l_returnflag = 'A' THEN 'EQUIVALENT' ELSE 'VARIANT' END) AS member_type, max(l_discount) AS score, l_orderkey, l_linenumber FROM lineitem GROUP BY ALL),
+m AS (SELECT *, concat('d', l_linenumber) AS delta, CAST(ceil(row_number() OVER (PARTITION BY family_id ORDER BY CASE WHEN member_type = 'EQUIVALENT' THEN 0 ELSE 1 END, score DESC, l_orderkey, l_linenumber) / 18.0) AS INTEGER) AS chunk FROM one),
+g AS (SELECT family_id, delta, array_to_string(list(member_id ORDER BY l_orderkey, l_linenumber), ' ') AS ids, min((l_orderkey, l_linenumber)) AS first FROM m WHERE member_type = 'VARIANT' GROUP BY ALL),
+v AS (SELECT family_id, array_to_string(list(concat(delta, ': ', ids) ORDER BY first), '; ') AS variants FROM g GROUP BY family_id),
+e AS (SELECT family_id, max(chunk)::INTEGER AS version, coalesce(array_to_string(list(member_id ORDER BY l_orderkey, l_linenumber) FILTER (member_type = 'EQUIVALENT'), ' '), '') AS equivalent FROM m GROUP BY family_id)
+SELECT e.family_id, version, CASE WHEN variants IS NULL THEN 'ANCHORED' ELSE 'SYNTHESIZED' END AS base_origin, equivalent, coalesce(variants, '') AS variants, version + 1 AS next_chunk, CAST(NULL AS VARCHAR) AS fault FROM e LEFT JOIN v USING (family_id)""")
 def family_fold(spark, sf_dir):
-    """Parallel across families, serial within."""
-    m = fx.plan_members(spark, sf_dir)
+    """Families as their chunks leave them, parallel across families, serial within, in slices that a broken run goes on from."""
+    m = fx.plan_members(spark, sf_dir).groupBy("family_id", "member_id", "l_orderkey", "l_linenumber").agg(F.min("member_type").alias("member_type"), F.max("score").alias("score"))
+    m = m.withColumn("delta", F.concat(F.lit("d"), "l_linenumber"))
     order = [F.when(F.col("member_type") == "EQUIVALENT", 0).otherwise(1), F.desc("score"), F.col("l_orderkey"), F.col("l_linenumber")]
-    return serial.family_fold(ranking.chunked(m, ["family_id"], order, 18).select("family_id", "chunk", "position", "member_id", "member_type"))
+    plan = materialize(ranking.chunked(m, ["family_id"], order, 18).select("family_id", "chunk", "position", "member_id", "member_type", "delta"), "family-plan")
+    f = families.fold(plan, _folder(spark, "families"))
+    groups = F.array_join(F.transform("variant_groups", lambda g: F.concat(g["delta"], F.lit(": "), F.array_join(g["member_ids"], " "))), "; ")
+    return f.select("family_id", "version", "base_origin", F.array_join("equivalent_member_ids", " ").alias("equivalent"), groups.alias("variants"), "next_chunk", "fault")
 
 
 def _serial_events(spark, sf_dir) -> DataFrame:
@@ -877,13 +886,14 @@ def state_replay(spark, sf_dir):
 
 @query("""SELECT user_id AS family_id, max(event_id) AS seq, sha256(arg_max(event_type, event_id)) AS sha, arg_max(value, event_id) AS vector FROM events GROUP BY user_id""")
 def index_sync(spark, sf_dir):
-    """Vector events synced into an active index by micro-batches, the pointer last."""
+    """Vector events synced into a bucketed index by micro-batches, with compaction, the manifest last."""
+    schema = "family_id long, seq long, sha string, vector double"
     path = f"{shared_dir(spark).rstrip('/')}/sync-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     e = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("family_id"), F.col("event_id").alias("seq"), F.sha2("event_type", 256).alias("sha"), F.col("value").alias("vector"))
     e.repartitionByRange(3, "seq").write.parquet(f"{path}/events")
-    serial.sync_stream(spark, f"{path}/events", f"{path}/active", f"{path}/checkpoint", "family_id long, seq long, sha string, vector double", per_trigger=1).awaitTermination()
-    return serial.active_index(spark, f"{path}/active")
+    serial.sync_stream(spark, f"{path}/events", f"{path}/active", f"{path}/checkpoint", schema, per_trigger=1, deltas=1).awaitTermination()
+    return serial.active_index(spark, f"{path}/active", schema)
 
 
 @query(f"""WITH {fx.MEMBERS}, e AS (SELECT family_id, list(member_id ORDER BY CAST(substr(member_id, 2) AS BIGINT)) AS ids FROM members WHERE member_type = 'EQUIVALENT' GROUP BY family_id),

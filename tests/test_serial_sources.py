@@ -136,14 +136,39 @@ def test_empty_queue_keeps_the_state(spark):
     assert events == [] and state.families == {} and state.next_order == 0
 
 
-def test_sync_stream_replaces_the_active_table(spark, tmp_path):
+def test_sync_stream_touches_its_buckets_only(spark, tmp_path):
+    schema = "family_id string, seq long, sha string, vector double"
+    active, want, changed = f"{tmp_path}/active", {}, {}
+
+    def sync(n, rows):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events/{n}")
+        before = serial.bucket_files(spark, active)
+        serial.sync_stream(spark, f"{tmp_path}/events/*", active, f"{tmp_path}/check", schema, buckets=8, deltas=2).awaitTermination()
+        for f, seq, _, v in rows:
+            if seq >= want.get(f, (-1, 0))[0]:
+                want[f] = seq, v
+        after = serial.bucket_files(spark, active)
+        changed[n] = {b for b in after if after[b] != before.get(b)}
+        assert {r["family_id"]: (r["seq"], r["vector"]) for r in serial.active_index(spark, active, schema).collect()} == want
+        return after
+
+    sync(0, [(f"f{i}", i, "h", i / 10) for i in range(40)])
+    for n in range(1, 4):  # the third delta of f3's bucket compacts it
+        files_ = sync(n, [("f3", 100 + n, "h", 1.0 + n), ("f3", 50, "old", 9.0)])
+    assert changed[0] == set(range(8)) and len(changed[1]) == 1 and changed[1] == changed[2] == changed[3]
+    (bucket,) = changed[3]
+    assert any("/bases/" in x for x in files_[bucket]) and not any("/bases/" in x for b in files_ if b != bucket for x in files_[b])
+
+
+def test_a_sync_batch_that_runs_again_changes_nothing(spark, tmp_path):
     schema = "family_id string, seq long, sha string, vector double"
     spark.createDataFrame([("a", 1, "h1", 0.1), ("b", 2, "h2", 0.2)], schema).write.parquet(f"{tmp_path}/events/1")
-    serial.sync_stream(spark, f"{tmp_path}/events/*", f"{tmp_path}/active", f"{tmp_path}/check", schema).awaitTermination()
-    spark.createDataFrame([("a", 3, "h3", 0.3)], schema).write.parquet(f"{tmp_path}/events/2")
-    serial.sync_stream(spark, f"{tmp_path}/events/*", f"{tmp_path}/active", f"{tmp_path}/check", schema).awaitTermination()
-    rows = serial.active_index(spark, f"{tmp_path}/active").collect()
-    assert {(r["family_id"], r["seq"], r["vector"]) for r in rows} == {("a", 3, 0.3), ("b", 2, 0.2)}
+    for check in ("one", "two"):  # another checkpoint: batch 0 is run again, as after a crash
+        serial.sync_stream(spark, f"{tmp_path}/events/*", f"{tmp_path}/active", f"{tmp_path}/{check}", schema).awaitTermination()
+    rows = serial.active_index(spark, f"{tmp_path}/active", schema).collect()
+    assert {(r["family_id"], r["seq"], r["vector"]) for r in rows} == {("a", 1, 0.1), ("b", 2, 0.2)}
+    assert all(len(x) == 1 for x in serial.bucket_files(spark, f"{tmp_path}/active").values())
+    assert serial.active_index(spark, f"{tmp_path}/none", schema).count() == 0
 
 
 def test_usage_stream(spark, tmp_path):
