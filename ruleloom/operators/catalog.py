@@ -189,6 +189,33 @@ def steps_in_range(steps: DataFrame, ranges: DataFrame, case: str = "case_id") -
     return each.join(steps, [case, "step_id"])
 
 
+def case_histories(steps: DataFrame, case: str = "case_id") -> DataFrame:
+    """(case, history): a case's steps as one array of (step_id, page, action, after_page), in order; the prefix that all its matches share."""
+    pairs = steps.withColumn("after_page", F.lead("page").over(Window.partitionBy(case).orderBy("step_id")))
+    return pairs.groupBy(case).agg(F.array_sort(F.collect_list(F.struct("step_id", "page", "action", "after_page"))).alias("history"))  # at most a case's steps
+
+
+def steps_with_history(steps: DataFrame, ranges: DataFrame, case: str = "case_id") -> DataFrame:
+    """Each range's steps, with the places (history_from, history_to, from 1) of the steps seen so far in its case's history.
+
+    A match names its prefix by two numbers, so a case of n steps costs n rows
+    and not n * n / 2; :func:`with_prefix` cuts the steps themselves out of
+    ``case_histories`` where they are wanted. Steps before the range are not
+    seen; steps that are missing in a case are in no prefix.
+    """
+    place = F.row_number().over(Window.partitionBy(case).orderBy("step_id"))
+    placed = steps.withColumn("history_to", place)
+    found = steps_in_range(placed, ranges, case)
+    # the first step of the range that the case has: its place is the least one among the range's matches
+    least = found.groupBy(case, "start_step", "end_step").agg(F.min("history_to").alias("history_from"))
+    return found.join(least, [case, "start_step", "end_step"])
+
+
+def with_prefix(matched: DataFrame, histories: DataFrame, case: str = "case_id") -> DataFrame:
+    """``matched`` with ``prefix``: the steps from the range's first to its own."""
+    return matched.join(histories, case).withColumn("prefix", F.slice("history", F.col("history_from"), F.col("history_to") - F.col("history_from") + 1)).drop("history")
+
+
 def verdicts(steps: DataFrame, case: str = "case_id") -> DataFrame:
     """(case, bug_found, bug_type, bug_step, confidence, n_failed, descriptions): the first failing step decides.
 

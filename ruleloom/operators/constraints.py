@@ -84,6 +84,32 @@ def queue(state: DataFrame, pending: DataFrame, order: str, key: str) -> DataFra
     return _said(holes, "dense_order", F.lit("queue"), F.col("n")).unionAll(_said(pending.join(state.select(key), key, "left_semi"), "pending", F.col(key), F.lit("already in the state")))
 
 
+def serial_state(processed: DataFrame, queue: DataFrame, order: str, key: str, version: int) -> DataFrame:
+    """The processed units are the queue's first ones, the version is their number, and the queue is not empty.
+
+    processed: key; queue: order from 0, key. A unit that is in one of the two
+    prefixes only is named, with where it is missing.
+    """
+    n = processed.select(key).where(F.col(key).isNotNull()).distinct().count()
+    prefix = queue.where(F.col(order) < n).select(key)
+    done = processed.select(key)
+    spark = queue.sparkSession
+    figures = [(c, "queue", d) for c, d, bad in (("version", f"{version} of {n}", version != n), ("empty_queue", "0", queue.isEmpty())) if bad]
+    out = spark.createDataFrame(figures, "constraint string, key string, detail string")
+    out = out.unionAll(_said(prefix.join(done, key, "left_anti"), "prefix", F.col(key), F.lit("not processed")))
+    return out.unionAll(_said(done.join(prefix, key, "left_anti"), "prefix", F.col(key), F.lit("not next in the queue")))
+
+
+def one_of(whole: DataFrame, key: str, **parts: DataFrame) -> DataFrame:
+    """Every key of ``whole`` lies in exactly one of the named parts, and the parts hold no other key."""
+    each = reduce(DataFrame.unionAll, [p.select(F.col(key).alias("k"), F.lit(name).alias("part")).distinct() for name, p in parts.items()])
+    where = each.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list("part")), ",").alias("parts"), F.count("*").alias("n"))  # at most one entry a part
+    found = whole.select(F.col(key).alias("w")).distinct().join(where, F.col("w") == F.col("k"), "full")
+    bad = found.where("w is null or k is null or n > 1")
+    detail = F.when(F.col("w").isNull(), "unknown").when(F.col("k").isNull(), "in no part").otherwise(F.concat(F.lit("in "), "parts"))
+    return _said(bad, "one_part", F.coalesce("w", "k"), detail)
+
+
 def enforce(violations: DataFrame) -> None:
     """Raise with the first violations; a decision of the caller, after which rows may be quarantined instead."""
     if found := violations.limit(5).collect():

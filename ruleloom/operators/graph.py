@@ -65,6 +65,22 @@ def component_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found.withColumnRenamed("vertex", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def representatives(nodes: DataFrame, edges: DataFrame, labels: DataFrame, weight: str, order: list, most: int = 10) -> DataFrame:
+    """(community, rank, id, degree, weighted_degree): the ``most`` members of each community with the highest weighted degree in the whole graph; ``order`` breaks ties."""
+    rows = labels.select("id", "community").join(graph_nodes(nodes, edges, weight), "id")
+    rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("weighted_degree"), *order))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("community", "rank", "id", "degree", "weighted_degree")  # ranked inside the tasks first
+
+
+def graph_summary(nodes: DataFrame, edges: DataFrame, components: DataFrame, labels: DataFrame, weight: str, resolution: float = 1.0) -> DataFrame:
+    """One row: nodes, edges, components, their largest and the single ones; communities, their largest and single ones; modularity; least and greatest weight."""
+    sizes = lambda rows, c, name: rows.groupBy(c).agg(F.count("*").alias("n")).agg(F.count("*").alias(name), F.max("n").alias(f"largest_{name}"), F.count_if(F.col("n") == 1).alias(f"single_{name}"))
+    row = nodes.agg(F.count("*").alias("nodes"))
+    for one in (edges.agg(F.count("*").alias("edges"), F.min(weight).alias("min_weight"), F.max(weight).alias("max_weight")), sizes(components, "component", "components"), sizes(labels, "community", "communities"), modularity(edges, labels, weight, resolution)):
+        row = row.join(F.broadcast(one))  # a row each
+    return row
+
+
 def component_export(labels: DataFrame, edges: DataFrame, weight: str, largest: int = 25) -> DataFrame:
     """(component, size, n_edges, density, total_weight, oversize, rank) of components with two nodes or more.
 

@@ -476,6 +476,26 @@ def queue_violations(spark, sf_dir):
     return constraints.queue(u.where("doc_id % 10 = 0"), p, "o", "unit_id")
 
 
+@query(f"""WITH {fx.UNITS}, q AS (SELECT unit_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM units), p AS (SELECT unit_id FROM q WHERE o % 10 < 4 AND o <> 11), n AS (SELECT count(*) AS n FROM p)
+SELECT 'version' AS "constraint", 'queue' AS key, concat(n + 1, ' of ', n) AS detail FROM n UNION ALL SELECT 'prefix', unit_id, 'not processed' FROM q, n WHERE o < n AND unit_id NOT IN (SELECT unit_id FROM p)
+UNION ALL SELECT 'prefix', unit_id, 'not next in the queue' FROM q, n WHERE o >= n AND unit_id IN (SELECT unit_id FROM p)""")
+def serial_state_violations(spark, sf_dir):
+    """A serial state whose units are not the queue's first, under a version that is not their number."""
+    u = fx.units(spark, sf_dir).select("unit_id", "doc_id")
+    q = materialize(ranking.dense_queue(u, u.where("false").select("unit_id"), "unit_id", [F.col("doc_id")]).select("unit_id", F.col("serial_order").alias("o")), "queue")
+    done = q.where("o % 10 < 4 and o <> 11")
+    return constraints.serial_state(done, q, "o", "unit_id", done.count() + 1)
+
+
+@query("""WITH f AS (SELECT concat('F', doc_id) AS family_id, doc_id FROM documents), w AS (SELECT family_id, list_filter([CASE WHEN doc_id % 3 = 0 THEN 'kept' END, CASE WHEN doc_id % 3 = 1 OR doc_id % 30 = 0 THEN 'regrouped' END, CASE WHEN doc_id % 3 = 2 AND doc_id % 7 <> 0 THEN 'unmatched' END], lambda x: x IS NOT NULL) AS parts, doc_id FROM f)
+SELECT 'one_part' AS "constraint", family_id AS key, CASE WHEN doc_id % 11 = 0 THEN 'unknown' WHEN len(parts) = 0 THEN 'in no part' ELSE concat('in ', array_to_string(parts, ',')) END AS detail FROM w WHERE (doc_id % 11 = 0 AND len(parts) > 0) OR (doc_id % 11 <> 0 AND len(parts) <> 1)""")
+def family_partition_violations(spark, sf_dir):
+    """Families in no part of the three-way partition, in several, or unknown to the catalog."""
+    f = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("F"), "doc_id").alias("family_id"), "doc_id")
+    m = F.col("doc_id") % 3
+    return constraints.one_of(f.where("doc_id % 11 <> 0"), "family_id", kept=f.where(m == 0), regrouped=f.where((m == 1) | (F.col("doc_id") % 30 == 0)), unmatched=f.where((m == 2) & (F.col("doc_id") % 7 != 0)))
+
+
 # --- vector joins ---------------------------------------------------------
 
 
@@ -574,6 +594,14 @@ def weighted_degrees(spark, sf_dir):
     return graph.graph_nodes(fx.vectors(spark, sf_dir), _mutual(spark, sf_dir), "mean_score")
 
 
+@query(f"""WITH {fx.MUTUAL}, ends AS (SELECT source AS id, mean_score AS w FROM mutual UNION ALL SELECT target, mean_score FROM mutual), d AS (SELECT v.id, count(w) AS degree, round(coalesce(sum(w), 0), 8) AS weighted_degree FROM vectors v LEFT JOIN ends USING (id) GROUP BY v.id)
+SELECT id % 7 AS community, row_number() OVER (PARTITION BY id % 7 ORDER BY weighted_degree DESC, id)::INTEGER AS rank, id, degree, weighted_degree FROM d QUALIFY rank <= 10""")
+def community_representatives(spark, sf_dir):
+    """the members of each community with the highest weighted degree."""
+    v = fx.vectors(spark, sf_dir)
+    return graph.representatives(v, _mutual(spark, sf_dir), v.select("id", (F.col("id") % 7).alias("community")), "mean_score", [F.col("id")])
+
+
 COMPONENTS = f"""WITH RECURSIVE {fx.MUTUAL}, both_ways AS (SELECT source AS a, target AS b FROM mutual UNION SELECT target, source FROM mutual),
 reach(id, r) AS (SELECT id, id FROM vectors UNION SELECT reach.id, b FROM reach JOIN both_ways ON r = a), comps AS (SELECT id, min(r) AS component FROM reach GROUP BY id)"""
 
@@ -601,6 +629,18 @@ def graph_modularity(spark, sf_dir):
     return graph.modularity(_snn(spark, sf_dir), labels, "jaccard", 0.8)
 
 
+@query(COMPONENTS + """, l AS (SELECT id, id % 7 AS c FROM vectors), x AS (SELECT a.c AS a, b.c AS b, mean_score AS w FROM mutual JOIN l a ON a.id = source JOIN l b ON b.id = target),
+p AS (SELECT c, sum(inside) AS inside, sum(w) AS total FROM (SELECT a AS c, CASE WHEN a = b THEN 2 * w ELSE 0 END AS inside, w FROM x UNION ALL SELECT b, 0, w FROM x) GROUP BY c),
+cs AS (SELECT component, count(*) AS n FROM comps GROUP BY component), ls AS (SELECT c, count(*) AS n FROM l GROUP BY c)
+SELECT (SELECT count(*) FROM vectors) AS nodes, (SELECT count(*) FROM mutual) AS edges, (SELECT min(mean_score) FROM mutual) AS min_weight, (SELECT max(mean_score) FROM mutual) AS max_weight, (SELECT count(*) FROM cs) AS components, (SELECT max(n) FROM cs) AS largest_components,
+(SELECT count(*) FROM cs WHERE n = 1) AS single_components, (SELECT count(*) FROM ls) AS communities, (SELECT max(n) FROM ls) AS largest_communities, (SELECT count(*) FROM ls WHERE n = 1) AS single_communities, (SELECT round(sum(inside) / sum(total) - sum(total * total) / (sum(total) * sum(total)), 6) FROM p) AS modularity""")
+def graph_summary(spark, sf_dir):
+    """F8: the figures of a graph, its components and its communities."""
+    v, edges = fx.vectors(spark, sf_dir), _mutual(spark, sf_dir)
+    parts = materialize(graph.component_table(v, edges), "labels")
+    return graph.graph_summary(v, edges, parts, v.select("id", (F.col("id") % 7).alias("community")), "mean_score")
+
+
 @query()
 def louvain_communities(spark, sf_dir):
     """Communities with dense ids by size."""
@@ -808,6 +848,15 @@ def situation_step_range_join(spark, sf_dir):
     return catalog.steps_in_range(steps, ranges).select("case_id", "start_step", "end_step", "step_id", "situation", "action")
 
 
+@query(f"WITH {fx.SITUATIONS} SELECT r.case_id, start_step, end_step, s.step_id, count(*) AS n_seen, string_agg(concat(h.step_id, ' ', h.action, ' ', length(h.page)), '; ' ORDER BY h.step_id) AS seen FROM ranges r JOIN steps s ON s.case_id = r.case_id AND s.step_id BETWEEN start_step AND end_step JOIN steps h ON h.case_id = r.case_id AND h.step_id BETWEEN start_step AND s.step_id GROUP BY ALL")
+def situation_step_history(spark, sf_dir):
+    """Each matched step with the steps of its situation up to it."""
+    ranges, steps = fx.situations(spark, sf_dir)
+    found = catalog.with_prefix(catalog.steps_with_history(steps, ranges), catalog.case_histories(steps))
+    seen = F.array_join(F.transform("prefix", lambda s: F.concat(s["step_id"], F.lit(" "), s["action"], F.lit(" "), F.length(s["page"]))), "; ")
+    return found.select("case_id", "start_step", "end_step", "step_id", F.size("prefix").cast("long").alias("n_seen"), seen.alias("seen"))
+
+
 @query(f"""WITH {fx.STEPS}, g AS (SELECT case_id, bool_or(failed) AS bug_found, min(step_id) FILTER (failed) AS bug_step, min(confidence) AS low, count(*) FILTER (failed) AS n_failed, coalesce(string_agg(description, '; ' ORDER BY step_id) FILTER (failed), '') AS descriptions FROM steps GROUP BY case_id)
 SELECT g.case_id, bug_found, s.bug_type, bug_step, coalesce(s.confidence, low) AS confidence, n_failed, descriptions FROM g LEFT JOIN steps s ON s.case_id = g.case_id AND s.step_id = g.bug_step""")
 def case_verdict(spark, sf_dir):
