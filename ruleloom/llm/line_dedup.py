@@ -29,8 +29,8 @@ MIN_CHARS = 20
 #: What makes a line other than blank.
 FILLED = r"[^\x20\x09-\x0D]"
 THRESHOLD = 2
-#: Lines of a hash that are all compared with each other at most; more meet by finer keys. Characters that are not cut further.
-SMALL, SHORT = 128, 12
+#: Lines of a hash that are all compared with each other at most, more meet by finer keys; open lines that one task compares with the earlier ones; characters that are not cut further.
+SMALL, PART, SHORT = 2_000, 128, 12
 #: Lines whose places are sent to every executor at most; more are joined by a shuffle.
 SEND_IDS = 1_000_000
 #: Keys whose figures are sent to every executor at most.
@@ -189,7 +189,7 @@ def _near_lead(members: DataFrame, texts: DataFrame, threshold: int) -> DataFram
 
 
 def _pairs(members: DataFrame, near: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(id) of open members that are near an earlier one of their key; a key's open lines are dealt into parts of SMALL, the earlier ones go to each."""
+    """(id) of open members that are near an earlier one of their key; a key's open lines are dealt into parts of about PART, the earlier ones go to each."""
     later = members.where("id <> lead").join(near, "id", "left_anti").join(texts, "id")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     later = later.select(F.col("key").alias("k"), part.alias("p"), F.col("id").alias("b"), "lead", F.col("line").alias("lb"), F.col("parity").alias("pb"))
@@ -229,7 +229,7 @@ def _settled(members: DataFrame, near: DataFrame, texts: DataFrame, threshold: i
         open_ = members.where("id <> lead").join(near, "id", "left_anti").groupBy("key").agg(F.lit(1).alias("one")).select("key")
         sizes = members.join(open_, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
         some = materialize(members.join(sizes, "key"), "op6-open")
-        small = some.where(F.col("n") <= SMALL).withColumn("parts", F.lit(1))
+        small = some.where(F.col("n") <= SMALL).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
         near = _more(near, _pairs(small, near, texts, threshold))
         big = some.where(F.col("n") > SMALL)
         if big.isEmpty():
@@ -239,12 +239,17 @@ def _settled(members: DataFrame, near: DataFrame, texts: DataFrame, threshold: i
             cut = materialize(cut.select("key", "id", "x.rest", "x.own"), "op6-rests")
             big = _by_key(cut, cut.where("own").select("key").distinct())
         big = materialize(_stripped(big), "op6-rests")
-        ends = big.where(F.col("longest") <= SHORT).select("id", F.explode(F.transform(shorter_ones(F.col("rest"), threshold), lambda s: F.xxhash64(F.lit(2), F.col("key"), s))).alias("key")).distinct()
-        ends = _led(ends.select("key", "id"))
-        near = _more(near, _near_lead(ends, texts, threshold))
-        counts = ends.join(ends.where("id <> lead").join(near, "id", "left_anti").select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("parts"))
-        near = _more(near, _pairs(ends.join(counts, "key"), near, texts, threshold))
-        finer = big.where(F.col("longest") > SHORT).select("id", F.explode(rest_keys(F.col("rest"), threshold, F.col("key"))).alias("x")).select("x.key", "id", "x.rest", "x.own").distinct()
+        ends = big.where(F.col("longest") <= SHORT)
+        if not ends.isEmpty():
+            keyed = ends.select("id", F.explode(F.transform(shorter_ones(F.col("rest"), threshold), lambda s: F.xxhash64(F.lit(2), F.col("key"), s))).alias("key")).distinct()
+            ends = _led(keyed.select("key", "id"))
+            near = _more(near, _near_lead(ends, texts, threshold))
+            counts = ends.join(ends.where("id <> lead").join(near, "id", "left_anti").select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+            near = _more(near, _pairs(ends.join(counts, "key"), near, texts, threshold))
+        finer = big.where(F.col("longest") > SHORT)
+        if finer.isEmpty():
+            return near
+        finer = finer.select("id", F.explode(rest_keys(F.col("rest"), threshold, F.col("key"))).alias("x")).select("x.key", "id", "x.rest", "x.own").distinct()
         members = _led(finer)
         near = _more(near, _near_lead(members, texts, threshold))
 
