@@ -89,3 +89,25 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert texts(spark, [("http://y.org/", page.format("", i)) for i in range(20)]) == ["Same\nThe same long text on every page ."] * 20
     few = [("http://x.org/", page.format(i, i)) for i in range(20)]
     assert texts(spark, few) == [f"Same\nThe same long text on every page {i}." for i in range(20)]
+
+
+def test_no_markup_raises_or_stays_as_text():
+    import random
+
+    from ruleloom.llm import html_extract
+
+    said = {"a<![foo[bar]]>b": "ab", "<p>x</p><!foo": "x", "<p>x</p><![": "x", "a<?b": "a", '<p>a</p><div class="x': "a", "<!-->x": "x", "<!--->y<!-- z --!>w": "yw", "<![CDATA[q]]>r": "r", "a<!-- b": "a", "</ >d": "d"}
+    assert {h: "|".join(html_extract.blocks(html_extract.parse(h))) for h in said} == said
+    rng = random.Random(1)
+    parts = ["<", "<!", "<![", "]]>", "-->", "<!--", ">", "</", "p", "div", "&", "#", "x41;", "=", '"', "'", " ", "a", "<?", "/", "<script>", "</p>", "<p>", "\x00", "é", "[", "]", "!", "-", "class", "article"]
+    for _ in range(5000):
+        h = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        html_extract.votes(h, "<p>a</p>")
+        assert isinstance(html_extract.extract(h, h, 0), str)
+
+
+def test_a_class_names_a_part_as_a_whole_only():
+    from ruleloom.llm.html_extract import blocks, parse
+
+    page = '<article><div class="comments-on-law"><p>Essay text</p></div><p class="header-note">note</p><p class="big notice">n</p><div class="comments">no</div><div class="site-footer">no</div></article>'
+    assert blocks(parse(page)) == ["Essay text", "note"]

@@ -122,3 +122,12 @@ def test_the_tree_splits_quotas_as_the_hypergeometric_law_does(spark):
     mean, var = 24, 48 * 0.5 * 0.5 * (96 - 48) / (96 - 1)
     assert abs(sum(left) / 40 - mean) < 4 * (var / 40) ** 0.5
     assert 0.4 * var < sum((x - mean) ** 2 for x in left) / 40 < 2.2 * var
+
+
+def test_repeated_and_null_ids_come_near_their_target(spark):
+    text = " ".join(f"w{i}" for i in range(10))
+    for ids in ([1] * 60 + [2] * 40, [None] * 100, list(range(100))):
+        df = spark.createDataFrame([(i, text, "a") for i in ids] + [(1000 + i, text, "b") for i in range(210)], "doc_id long, text string, source string")
+        rows = mixing.plan(df).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target"), F.sum(F.size("shards")).alias("n"), F.sum("copies").alias("copies"), F.count("*").alias("rows")).collect()
+        assert {r["source"]: r["rows"] for r in rows} == {"a": 100, "b": 210}
+        assert all(abs(r["taken"] - r["target"]) <= 10 and r["n"] == r["copies"] for r in rows)
