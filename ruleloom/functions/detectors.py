@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+import time
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions.keys import canonical_json, sha_text
+from ruleloom.plans.durable import exists
 
 
 @dataclass(frozen=True)
@@ -65,3 +70,62 @@ def fingerprinted(rows: DataFrame, **fields: Column) -> DataFrame:
 def ablated(rows: DataFrame, tag: str, **fields: Column) -> DataFrame:
     """The mapping of an ablation: the same fields, tagged, and so with a fingerprint of its own."""
     return fingerprinted(rows, **fields, ablation=F.lit(tag), retrieval_schema=F.lit("instance_level"))
+
+
+ANSWER = "key string, raw string, failure string"
+
+
+def run_jobs(jobs: DataFrame, key: str, request: str, call: Callable[[str], str], path: str, tasks: int = 4, concurrency: int = 4, per_second: float | None = None, waves: int = 1) -> DataFrame:
+    """(key, raw, failure) of every job: ``call`` of its request, or why that failed.
+
+    Raw answers are a table below ``path``, a part for each of ``waves``; a job
+    with an answer there is not called again, so a run that is broken off goes
+    on after its last whole wave, and failed jobs are tried again by the next
+    run. A wave runs in ``tasks`` tasks of ``concurrency`` calls at a time; each
+    starts at most ``per_second`` / ``tasks`` calls a second, so that all of
+    them together keep the limit on however many executors they run. A null key
+    or request is a failure, and rows of one key are one job.
+    """
+    spark = jobs.sparkSession
+    least = tasks / per_second if per_second else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started = [time.monotonic() - least]
+
+        def ask(text: str | None) -> tuple[str | None, str | None]:
+            try:
+                return (call(text), None) if text is not None else (None, "no request")
+            except Exception as e:  # noqa: BLE001  a failed call is a result of its job
+                return None, str(e)
+
+        def paced(texts: list[str | None], pool: ThreadPoolExecutor):
+            for text in texts:
+                wait = started[0] + least - time.monotonic()
+                if wait > 0:
+                    time.sleep(wait)
+                started[0] = time.monotonic()
+                yield pool.submit(ask, text)
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for b in batches:
+                found = [f.result() for f in list(paced(b.column(1).to_pylist(), pool))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in found], pa.string()) for i in (0, 1))], ["key", "raw", "failure"])
+
+    rows = jobs.groupBy(F.col(key).cast("string").alias("key")).agg(F.min(request).alias("request"))
+    wave = F.pmod(F.xxhash64("key"), F.lit(waves))
+    for n in range(waves):
+        todo = rows.where(wave == n)
+        at = f"{path.rstrip('/')}/wave={n}"
+        done = spark.read.schema(ANSWER).parquet(at).where("raw is not null") if exists(spark, at) else None
+        todo = todo.join(done.select("key"), "key", "left_anti") if done is not None else todo
+        todo.repartition(tasks, "key").mapInArrow(run, ANSWER).write.mode("append").parquet(at)
+    every = spark.read.schema(ANSWER).parquet(*(f"{path.rstrip('/')}/wave={n}" for n in range(waves)))
+    # of a job that failed and was tried again, the answer stays
+    return every.groupBy("key").agg(F.max("raw").alias("raw"), F.max("failure").alias("failure")).select("key", "raw", F.when(F.col("raw").isNull(), F.col("failure")).alias("failure"))
+
+
+def offline_detector(request: str) -> str:
+    """A detector without a service: its request is a JSON object of detector, condition, failed and steps; rules ask for one failure more."""
+    r = json.loads(request)
+    limit = {"any": 1, "half": -(-r["steps"] // 2)}[r["detector"]] + (r["condition"] == "rules")
+    return json.dumps({"bug_found": r["failed"] >= limit, "bug_type": "steps" if r["failed"] >= limit else "none", "confidence": r["failed"] / r["steps"]})

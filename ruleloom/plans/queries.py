@@ -1094,3 +1094,40 @@ def experiment_jobs(spark, sf_dir):
 
     cases = fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("case_id")).distinct()
     return jobs(cases, detector=["d1", "d2", "d3"], model=["m1", "m2"], condition=["base", "rules"])
+
+
+@query(f"""WITH {fx.STEPS}, g AS (SELECT case_id, count(*) AS n, count(*) FILTER (failed) AS failed FROM steps GROUP BY case_id),
+j AS (SELECT *, CASE detector WHEN 'any' THEN 1 ELSE CAST(ceil(n / 2.0) AS BIGINT) END + CASE condition WHEN 'rules' THEN 1 ELSE 0 END AS least FROM g, (VALUES ('any'), ('half')) a(detector), (VALUES ('base'), ('rules')) c(condition))
+SELECT case_id, detector, condition, failed >= least AS bug_found, CASE WHEN failed >= least THEN 'steps' ELSE 'none' END AS bug_type, round(failed / n, 6) AS confidence FROM j""")
+def experiment_results(spark, sf_dir):
+    """K9, L3: each case's jobs run by the offline detectors, their raw answers stored and read as one result a job."""
+    from ruleloom.plans.stages import jobs
+
+    g = fx.verdict_steps(spark, sf_dir).groupBy("case_id").agg(F.count("*").alias("steps"), F.count_if("failed").alias("failed"))
+    work = jobs(g, detector=["any", "half"], condition=["base", "rules"])
+    work = work.withColumn("key", F.concat_ws("|", "case_id", "detector", "condition")).withColumn("request", F.to_json(F.struct("detector", "condition", "failed", "steps")))
+    out = detectors.run_jobs(work, "key", "request", detectors.offline_detector, _folder(spark, "jobs"), waves=2)
+    r, key = text.bug_record(F.col("raw")), F.split("key", r"\|")
+    return out.select(key[0].cast("long").alias("case_id"), key[1].alias("detector"), key[2].alias("condition"), r.alias("r")).select("case_id", "detector", "condition", "r.bug_found", F.col("r.bug_type").cast("string").alias("bug_type"), F.round(F.col("r.confidence").cast("double"), 6).alias("confidence"))
+
+
+@query("SELECT vec_id, '8x8' AS size, true AS equal_pixels, false AS equal_files FROM embeddings")
+def image_pixels(spark, sf_dir):
+    """PNG files of the same pixels, written with other filters and compression, compared by bytes and by pixels."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ruleloom.functions import images
+
+    def made(batches):
+        for b in batches:
+            files_: list[tuple[bytes, bytes]] = []
+            for v in b.column(1).to_pylist():
+                p = np.repeat(np.rint(np.array(v, float) * 128 + 128).astype(np.uint8).reshape(8, 8, 1), 4, axis=2)
+                files_.append((images.encode(p, 1, 1), images.encode(p, 2, 9)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i] for f in files_], pa.binary()) for i in (0, 1))], ["vec_id", "a", "b"])
+
+    pairs = materialize(fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(made, "vec_id long, a binary, b binary"), "images")
+    one, two = (images.pixel_hashes(pairs, "vec_id", c).withColumnsRenamed({"size": f"size_{c}", "pixels": f"pixels_{c}"}) for c in "ab")
+    out = pairs.select("vec_id", files.images_equal("a", "b").alias("equal_files")).join(one, "vec_id").join(two, "vec_id")
+    return out.select("vec_id", F.col("size_a").alias("size"), (F.col("pixels_a") == F.col("pixels_b")).alias("equal_pixels"), "equal_files")

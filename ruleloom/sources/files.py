@@ -193,9 +193,15 @@ def copy(spark: SparkSession, source: str, target: str) -> None:
     jvm = spark.sparkContext._jvm
     new, old = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(target)
     store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(old, True)
+    gone = jvm.org.apache.hadoop.fs.Path(f"{aside}-old")
+    there = store.exists(old)
+    if there and not store.rename(old, gone):  # the old table stays until the new one has taken its place
+        raise OSError(f"cannot move {target} aside")
     if not store.rename(new, old):
+        if there:
+            store.rename(gone, old)
         raise OSError(f"cannot move {aside} to {target}")
+    store.delete(gone, True)
 
 
 def event_ids(rows: DataFrame, order: Sequence[Column], offset: int = 0, prefix: str = "E") -> DataFrame:
@@ -220,30 +226,5 @@ def markdown_head(columns: Sequence[str]) -> str:
 
 
 def images_equal(before: str, after: str) -> Column:
-    """Equal image files; decoded pixels are compared by ``decoded_sha`` where a decoder is installed."""
+    """Equal image files; for equal pixels in different files see ``functions.images.pixel_hashes``."""
     return F.sha2(before, 256) == F.sha2(after, 256)
-
-
-def decoded_sha(rows: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, size, pixels): SHA-256 of each image's decoded RGBA pixels; null where it can't be decoded."""
-    kind = rows.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-        import io
-
-        try:
-            from PIL import Image
-        except ImportError:
-            Image = None
-        for b in batches:
-            out = []
-            for data in b.column(1).to_pylist():
-                try:
-                    image = Image.open(io.BytesIO(data)).convert("RGBA")
-                    out.append((f"{image.width}x{image.height}", hashlib.sha256(image.tobytes()).hexdigest()))
-                except (AttributeError, OSError, TypeError):
-                    out.append((None, None))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], ["k", "size", "pixels"])
-
-    return rows.select(key, content).mapInArrow(run, f"k {kind}, size string, pixels string").withColumnRenamed("k", key)
