@@ -37,12 +37,43 @@ NATURAL = "list_transform(regexp_extract_all(lower({0}), '[0-9]+|[^0-9]+'), lamb
 # --- sources, sinks, keys -------------------------------------------------
 
 
-@query(f"WITH {fx.MANIFEST} SELECT url, sha256(url) AS cache_key, count(*) AS n_ids, min(page_id) AS first_page FROM manifest GROUP BY url")
+@query(f"""WITH {fx.MANIFEST}, u AS (SELECT url, min(page_id) AS p, count(*) AS n_ids FROM manifest GROUP BY url)
+SELECT url, sha256(url) AS cache_key, n_ids, CASE WHEN length(url) % 5 = 0 THEN 'failed' WHEN p % 2 = 0 THEN 'cached' ELSE 'fetched' END AS status, CASE WHEN length(url) % 5 <> 0 THEN concat(CASE WHEN p % 2 = 0 THEN 'first ' ELSE 'second ' END, url) END AS body FROM u""")
 def manifest_url_dedup(spark, sf_dir):
-    """The manifest, each url fetched once."""
+    """The manifest by a store of bodies: a first run over some of the urls, a second over all."""
     rows = files.manifest(fx.manifest(spark, sf_dir)).withColumn("page_id", F.substring("id", 2, 20).cast("long"))
-    got = files.fetched_once(rows, lambda once: once.withColumn("body", F.lit("")))
-    return got.groupBy("url", "cache_key").agg(F.count("*").alias("n_ids"), F.min("page_id").alias("first_page"))
+
+    def fetch(run):
+        def get(url):
+            if len(url) % 5 == 0:
+                raise ConnectionError("lost")
+            return f"{run} {url}"
+
+        return get
+
+    store = _folder(spark, "bodies")
+    even = rows.groupBy("url").agg(F.min("page_id").alias("p")).where("p % 2 = 0").select("url")
+    files.fetched(rows.join(even, "url", "left_semi"), store, fetch("first")).count()
+    got = files.fetched(rows, store, fetch("second"))
+    return got.groupBy("url", "cache_key", "status", "body").agg(F.count("*").alias("n_ids"))
+
+
+@query("SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS line FROM documents")
+def json_lines_numbered(spark, sf_dir):
+    """A1: lines with their numbers in their files, a file a language."""
+    path = _folder(spark, "numbered")
+    d = fx.table(spark, sf_dir, "documents")
+    d.repartition("lang").sortWithinPartitions("lang", "doc_id").write.partitionBy("lang").json(path)
+    lines = files.numbered_lines(spark, path)
+    return lines.select(F.regexp_extract("file", "lang=([^/]*)/", 1).alias("lang"), F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "line")
+
+
+@query(f"WITH {fx.MANIFEST} SELECT url, min(page_id) AS first_page FROM manifest GROUP BY url")
+def manifest_first_pages(spark, sf_dir):
+    """A5: the first id of each url of the manifest."""
+    rows = files.manifest(fx.manifest(spark, sf_dir)).withColumn("page_id", F.substring("id", 2, 20).cast("long"))
+    rows = files.manifest(fx.manifest(spark, sf_dir)).withColumn("page_id", F.substring("id", 2, 20).cast("long"))
+    return rows.groupBy("url").agg(F.min("page_id").alias("first_page"))
 
 
 def _folder(spark, name: str) -> str:

@@ -17,20 +17,42 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ruleloom.functions.text import issue_markdown, issue_parts
+from ruleloom.plans.durable import exists, materialize
+
+
+#: Splits of text files whose first lines' numbers are sent to every executor at most.
+SEND_SPLITS = 100_000
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, value): the lines of text files, numbered from 1 in each file, blank ones too.
+
+    A large file is read in splits side by side; one scan before counts the
+    lines of every split, and a line's number is what the splits before its own
+    hold and its place in its own.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    splits = lines.groupBy("file", "at").agg(F.min("n").alias("first"), F.count("*").alias("lines"))  # a split's rows follow each other in one task
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = materialize(splits.select("file", "at", "first", before.alias("before")), "splits")
+    splits = F.broadcast(splits) if splits.count() <= SEND_SPLITS else splits
+    return lines.join(splits, ["file", "at"]).select("file", (F.col("before") + F.col("n") - F.col("first") + 1).alias("line"), "value")
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str | StructType, strict: bool = True) -> DataFrame:
-    """Objects, one a line; blank lines are skipped, a byte order mark is accepted, and any other line fails the read.
+    """Objects, one a line; blank lines are skipped, a byte order mark is accepted, and any other line fails the read, naming file and line.
 
-    With ``strict`` off, rows carry ``_file`` and ``_corrupt_record`` instead of failing.
+    With ``strict`` off, rows carry ``_file``, ``_line`` and ``_corrupt_record`` instead of failing.
     """
     whole = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    lines = spark.read.text(path).withColumn("_file", F.input_file_name())
-    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where(F.trim("value") != "")
-    if strict:
-        return lines.select(F.from_json("value", whole, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    lines = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where(F.trim("value") != "")
     marked = StructType(list(whole.fields)).add("_corrupt_record", "string")
-    return lines.select(F.from_json("value", marked, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), "_file").select("r.*", "_file")
+    read = lines.select(F.from_json("value", marked, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), F.col("file").alias("_file"), F.col("line").alias("_line"))
+    if not strict:
+        return read.select("r.*", "_file", "_line")
+    bad = F.raise_error(F.concat(F.col("_file"), F.lit(":"), F.col("_line"), F.lit(": not a JSON object of the schema")))
+    sound = F.when(F.col("r._corrupt_record").isNull(), F.struct(*(F.col(f"r.`{f.name}`").alias(f.name) for f in whole.fields))).otherwise(bad.cast(whole))
+    return read.select(sound.alias("r")).select("r.*")
 
 
 def json_array(spark: SparkSession, path: str | list[str], schema: str | StructType) -> DataFrame:
@@ -101,10 +123,56 @@ def manifest(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.trim(F.col(c).cast("string")).alias(c) for c in ("id", "source", "url")))
 
 
-def fetched_once(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The manifest with what ``fetch`` gives for (cache_key, url): each url is fetched once, whatever ids share it."""
+FETCHED = "cache_key string, url string, body string, error string"
+
+
+def fetched(rows: DataFrame, path: str, fetch: Callable[[str], str], overwrite: bool = False, dry_run: bool = False, tasks: int = 8) -> DataFrame:
+    """The manifest with (cache_key, status, body, error), from a store of bodies by the SHA-256 of their urls.
+
+    Each url is fetched once, whatever ids share it, and only if the store below
+    ``path`` has no body of it; ``overwrite`` fetches all again, and the newest
+    body counts. A ``dry_run`` calls nothing: it says cached or missing. A run's
+    bodies are written aside and moved into the store as a whole, so that a run
+    that breaks off leaves the store as it was. A url that fails is a row with
+    its error and is not stored; a null url is failed, and is not called.
+    """
+    spark = rows.sparkSession
     keyed = rows.withColumn("cache_key", F.sha2("url", 256))
-    return keyed.join(fetch(keyed.select("cache_key", "url").distinct()).drop("url"), "cache_key")
+    batches = f"{path.rstrip('/')}/batches"
+    there = spark.read.option("basePath", batches).schema(f"{FETCHED}, batch long").parquet(batches) if exists(spark, batches) else spark.createDataFrame([], f"{FETCHED}, batch long")
+    known = there.groupBy("cache_key").agg(F.max_by("body", "batch").alias("body"))
+    if dry_run:
+        found = keyed.join(known.select("cache_key", F.lit(True).alias("there")), "cache_key", "left")
+        return found.select(*keyed.columns, F.when(F.col("there"), "cached").otherwise("missing").alias("status"), F.lit(None).cast("string").alias("body"), F.lit(None).cast("string").alias("error"))
+    todo = keyed.where("url is not null").select("cache_key", "url").distinct()
+    todo = todo if overwrite else todo.join(known.select("cache_key"), "cache_key", "left_anti")
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in given:
+            out: list[tuple] = []
+            for url in b.column(1).to_pylist():
+                try:
+                    out.append((fetch(url), None))
+                except Exception as e:  # noqa: BLE001  a url that fails is a row
+                    out.append((None, str(e)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([o[i] for o in out], pa.string()) for i in (0, 1))], ["cache_key", "url", "body", "error"])
+
+    got = materialize(todo.repartition(tasks, "cache_key").mapInArrow(run, FETCHED), "fetched")
+    good = got.where("error is null and body is not null")
+    if not good.isEmpty():
+        number = (there.agg(F.max("batch")).first()[0] or 0) + 1
+        aside = f"{path.rstrip('/')}/aside-{uuid.uuid4().hex}"
+        good.write.parquet(aside)
+        jvm = spark.sparkContext._jvm
+        new, at = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(f"{batches}/batch={number}")
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(at.getParent())
+        if store.exists(at) or not store.rename(new, at):
+            raise OSError(f"cannot move {aside} to {at}")
+    every = got.select("cache_key", F.when(F.col("error").isNull(), "fetched").otherwise("failed").alias("status"), "body", "error")
+    old = known.join(got.select("cache_key"), "cache_key", "left_anti").select("cache_key", F.lit("cached").alias("status"), "body", F.lit(None).cast("string").alias("error"))
+    out = keyed.join(every.unionByName(old), "cache_key", "left")
+    return out.select(*keyed.columns, F.coalesce("status", F.lit("failed")).alias("status"), "body", F.when(F.col("url").isNull(), "no url").otherwise(F.col("error")).alias("error"))
 
 
 def rendered_issues(issues: DataFrame) -> DataFrame:
