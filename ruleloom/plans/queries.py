@@ -125,15 +125,21 @@ def zip_members(spark, sf_dir):
     import io
     import zipfile
 
-    @F.udf("binary")
+    import pyarrow as pa
+
     def packed(name: str, text: str) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
             z.writestr(f"texts/{name}.txt", text)
         return out.getvalue()
 
-    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), packed(F.col("doc_id").cast("string"), "text").alias("content"))
-    d = materialize(d, "archives")
+    def archives(batches):
+        for b in batches:
+            files_ = [packed(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files_, pa.binary())], ["path", "content"])
+
+    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    d = materialize(d.mapInArrow(archives, "path string, content binary"), "archives")
     out = files.unzipped(d, expected=d.select("path", F.sha2("content", 256).alias("sha256")))
     return out.select(F.col("path").cast("long").alias("doc_id"), "member", "size", F.sha2("data", 256).alias("data_sha"))
 
@@ -1025,6 +1031,7 @@ def validated_calls(spark, sf_dir):
         if kind == 0 or kind == 4 and request not in broken:
             broken.add(request)
             raise ConnectionError("lost")
+        broken.discard(request)  # a task that runs again meets the same; one lost connection more or less within an attempt changes no result
         if kind == 3:
             raise urllib.error.HTTPError("u", 400, "no images", None, None)
         return "bad" if kind == 1 or kind == 2 and complaint is None else "good"
