@@ -329,3 +329,17 @@ def test_a_store_of_bodies_is_called_once(spark, tmp_path):
     (tmp_path / "store" / "aside-broken").mkdir()
     assert look(files.fetched(rows, store, lambda url: get(url, "c"), overwrite=True))["1"] == ("fetched", "cu1", None)
     assert look(files.fetched(rows, store, get))["1"] == ("cached", "cu1", None)
+
+
+def test_the_offline_answers_read_the_report_as_it_was_given(spark):
+    from pyspark.sql import functions as F
+
+    from ruleloom.functions import text
+    from ruleloom.plans import stages
+
+    bodies = ["x" * 399, "x" * 400, "  " + "x" * 399 + "  ", "y" * 500 + "\n\n# more\nz", "x" * 398 + "\n\n"]
+    given = spark.createDataFrame([(f"D{i}", "s", f"u{i}", f"title {i}", b) for i, b in enumerate(bodies)], "id string, source string, url string, title string, body string")
+    prompts = given.select("id", text.fill_template(stages.PROMPT, "{{REPORT}}", text.issue_markdown(F.col("title"), F.col("url"), F.col("body"))).alias("prompt"))
+    found = {r["id"]: json.loads(r["answer"].split("\n", 2)[2][:-4]) for r in stages.offline_answers(prompts).collect()}
+    for i, b in enumerate(bodies):
+        assert found[f"D{i}"] == {"is_violation": len(b.strip(" ")) >= 400, "violated": {"situation": f"title {i}", "rule": b.strip(" "), "domain": "app"}}
