@@ -70,3 +70,22 @@ def test_pair_distribution_equals_all_pairs(spark, monkeypatch, block):
     assert math.isclose(r["mean"], s.mean(), abs_tol=1e-6) and math.isclose(r["min"], s.min(), abs_tol=2e-6)
     one = vectors.pair_distribution(frame(spark, x[:1])).first().asDict()
     assert one["n"] == 0 and one["median"] is None
+
+
+def test_rows_are_sent_to_parts_and_not_to_balls(spark, monkeypatch):
+    """Vectors without clusters, 150 balls: no ball can be skipped, but a row is sent to PARTS tasks, not to 150."""
+    x = np.random.default_rng(5).normal(size=(600, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sent, paired = [], vectors._paired
+    monkeypatch.setattr(vectors, "_paired", lambda *a: sent.append(paired(*a)) or sent[-1])
+    for name, value in {"BLOCK": 4, "QUERIES": 100, "INDEX": 220, "ROWS": 7, "TILE": 64}.items():
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    got = {}
+    for r in vectors.top_k(frame(spark, x, "qid"), frame(spark, x), 5, exclude_self=True).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    assert got == {q: [i for i, _ in nearest(x, x[q], 5, q)] for q in range(600)}
+    assert sum(s.count() for s in sent) <= 600 * (24 + 3) * 2
+    reps = spark.createDataFrame([(i, f"F{i // 6:02d}", i % 6 == 0, v.tolist()) for i, v in enumerate(x)], "id long, family string, is_base boolean, unit array<double>")
+    got = [tuple(r) for r in vectors.top_groups(frame(spark, x[:40], "qid"), reps, 4).orderBy("qid", "rank").collect()]
+    monkeypatch.undo()
+    assert got == [tuple(r) for r in vectors.top_groups(frame(spark, x[:40], "qid"), reps, 4).orderBy("qid", "rank").collect()]
