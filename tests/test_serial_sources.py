@@ -343,3 +343,40 @@ def test_the_offline_answers_read_the_report_as_it_was_given(spark):
     found = {r["id"]: json.loads(r["answer"].split("\n", 2)[2][:-4]) for r in stages.offline_answers(prompts).collect()}
     for i, b in enumerate(bodies):
         assert found[f"D{i}"] == {"is_violation": len(b.strip(" ")) >= 400, "violated": {"situation": f"title {i}", "rule": b.strip(" "), "domain": "app"}}
+
+
+def test_recall_orders_only_the_best_of_a_large_catalog():
+    import time
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(20_000, 8)), 1) + 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::7] = x[0]  # ties
+    state = serial.State()
+    for n, v in enumerate(x):
+        state.put(serial.Family(f"F{n}", None, v))
+    for q in (x[0], x[1]):
+        scores = np.round(x @ q, 6)
+        want = sorted(range(len(x)), key=lambda i: (-scores[i], f"F{i}"))
+        for k in (1, 20, 30_000):
+            assert state.recall(q, k) == [(f"F{i}", float(scores[i])) for i in want[:k]]
+    began = time.process_time()
+    for q in x[1:30_000:700]:
+        state.recall(q, 20)
+    quick = time.process_time() - began
+    began = time.process_time()
+    for q in x[1:30_000:700]:
+        np.lexsort((np.array(state.names), -np.round(x @ q, 6)))[:20]
+    print(f"{quick:.3f} s, by a full sort {time.process_time() - began:.3f} s")
+    assert quick < (time.process_time() - began) / 3
+
+
+def test_a_member_joins_a_large_family_without_sorting_it_anew(monkeypatch):
+    family = serial.Family("F", "V0", np.ones(1), [f"V{i}" for i in range(0, 4_000, 2)], [[f"V{i}" for i in range(1, 4_000, 2)]])
+    calls, natural = [], serial.natural
+    monkeypatch.setattr(serial, "natural", lambda u: calls.append(u) or natural(u))
+    as_equal = serial._changed(family, "V1001", serial.Generalisation("EQUIVALENT"))
+    in_group = serial._changed(family, "V1000", serial.Generalisation("ADD_TO_EXISTING_GROUP", 0))
+    assert len(calls) < 60
+    assert as_equal.equivalent == sorted([*family.equivalent, "V1001"], key=natural) and as_equal.groups == family.groups
+    assert in_group.groups == [sorted([*family.groups[0], "V1000"], key=natural)] and len(family.groups[0]) == 2_000
