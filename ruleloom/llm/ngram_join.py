@@ -183,7 +183,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     copies = sets.join(classes.where("copies > 1"), ["f1", "f2", "n"]).where("id <> rep").select("id").distinct()
     copies = materialize(copies, "op1-copies")
     vertices = sets.join(_send(copies), "id", "left_anti")
-    keyed = vertices.select(F.col("id").alias("doc"), F.explode("keys").alias("key"))
+    # dealt once: the groups and the join below read the same shuffle
+    keyed = vertices.select(F.col("id").alias("doc"), F.explode("keys").alias("key")).where("key is not null").repartition("key")
     groups = keyed.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead <> last").select("key", "lead")
     members = materialize(keyed.join(groups, "key"), "op1-members")
 
