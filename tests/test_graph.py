@@ -175,3 +175,16 @@ def test_leiden_level_is_no_worse_than_a_given_start(spark):
     for r in graph.leiden_level(nodes, edges, 1.0, given).collect():
         found.setdefault(r["community"], set()).add(r["id"])
     assert quality(list(found.values()), links) >= quality(start, links) - 1e-9
+
+
+def test_a_community_of_some_thousand_nodes_is_one_group(spark, monkeypatch):
+    """Dense ones too: on edge tables each level of theirs takes hundreds of Spark jobs."""
+    monkeypatch.setattr(graph, "leiden_level", lambda *a, **k: pytest.fail("divided on edge tables"))
+    ids = [f"D{i:04d}" for i in range(2_400)]
+    links = [(ids[a], ids[b], 1.0 if a // 24 == b // 24 else 0.01) for a in range(2_400) for b in {*range(a + 1, a // 24 * 24 + 24), *((a + 24 * n) % 2_400 for n in range(1, 12))} if a < b]
+    start = spark.createDataFrame([(i, ids[0]) for i in ids], "id string, community string")
+    out = graph.leiden(start, spark.createDataFrame(links, "source string, target string, jaccard double")).collect()
+    parts = {}
+    for r in out:
+        parts.setdefault(r["community"], set()).add(r["id"])
+    assert parts == {ids[g]: set(ids[g : g + 24]) for g in range(0, 2_400, 24)}
