@@ -19,10 +19,11 @@ toxic ones add as itself. A slope and a threshold turn the figure into a
 probability; they are fitted on a bounded sample of one half of the labelled
 texts, judged by the counts of the other half.
 
-A model is two tables of CELLS cells at most, whatever the size of the input:
-estimates are made from all counts, and of the rows that fall into one cell the
-one with most occurrences stays; what another cell took is estimated by its
-context's backoff.
+Estimates are made from all counts. Of each of the two tables the CELLS commonest
+rows at most are sent to the workers, whatever the size of the input; the whole
+tables stay where they are. A word with a letter that the sent rows don't have is
+spelt by a join with the whole tables, so every text has the same figure however
+few rows are sent.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ CONTEXT, DISCOUNT = 5, 0.75
 SHARE, POWER = 0.02, 0.75
 #: The bounded sample for the slope and the threshold: so many labelled texts of each class. All labelled texts are counted.
 SAMPLE = 1_500
-#: Cells of each of a model's tables.
+#: Rows of each of a model's tables that are sent to the workers.
 CELLS = 1 << 22
 #: Words whose ratios a worker remembers.
 REMEMBERED = 300_000
@@ -58,15 +59,16 @@ CLIP = 30.0
 
 @dataclass
 class Table:
-    """Log ratios by the 64-bit hash of a string, sorted."""
+    """Log ratios by the 64-bit hash of a string, sorted; whether they are all there are."""
 
     keys: np.ndarray
     values: np.ndarray
+    whole: bool = True
 
     @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
+    def of(cls, keys: np.ndarray, values: np.ndarray, whole: bool = True) -> Table:
         order = np.argsort(keys)
-        return cls(keys[order], values[order].astype(np.float32))
+        return cls(keys[order], values[order].astype(np.float32), whole)
 
     def get(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The values, 0 where there is none, and whether there is one."""
@@ -83,15 +85,19 @@ _NONE = Table(np.zeros(0, np.int64), np.zeros(0, np.float32))
 
 @dataclass
 class Model:
-    """Log ratios of seen letters (by context and letter) and of contexts' backoff weights; the slope and the bias of the logistic function."""
+    """Log ratios of seen letters (by context and letter) and of contexts' backoff weights; the slope and the bias of the logistic function.
+
+    ``rest``: the two tables (string, ratio) in whole, where one of those sent is not.
+    """
 
     seen: Table = field(default_factory=lambda: _NONE)
     backoff: Table = field(default_factory=lambda: _NONE)
     weights: tuple[float, ...] = (1.0, -3.0)
     name: str = ""
+    rest: tuple[DataFrame, DataFrame] | None = None
 
     def expressions(self, words: list[str]) -> list[float]:
-        """The log ratio of each word's spelling."""
+        """The log ratio of each word's spelling; not a number where only the whole tables can tell."""
         grams, contexts, ends = [], [], []
         for word in words:
             s = f"^{word}$"
@@ -102,12 +108,12 @@ class Model:
             ends.append(len(grams))
         values, there = self.seen.get(grams)
         missing = np.flatnonzero(~there)
-        values[missing], _ = self.backoff.get([contexts[i] for i in missing])
-        total = np.concatenate([[0.0], np.cumsum(values)])
-        return np.diff(total[np.array([0, *ends])]).tolist()
+        values[missing], known = self.backoff.get([contexts[i] for i in missing])
+        values[missing[~(known | self.backoff.whole) if self.seen.whole else slice(None)]] = np.nan
+        return np.add.reduceat(values, [0, *ends[:-1]]).tolist() if ends else []
 
-    def evidence(self, text: str | None, memory: dict[str, float]) -> float:
-        """The length-normalised log-likelihood of the text as a toxic one, less that as an ordinary one; 0 without any word."""
+    def parts(self, text: str | None, memory: dict[str, float]) -> tuple[float, int, list[tuple[str, int]]]:
+        """The sum over the text's words of their log-likelihoods' difference, the number of words, and those words that the sum lacks, with their numbers."""
         words = Counter(WORD.findall((text or "").lower()))
         new = [w for w in words if w not in memory]
         if new:
@@ -116,7 +122,13 @@ class Model:
                 new = list(words)
             ratios = np.clip(self.expressions(new), -CLIP, CLIP)
             memory.update(zip(new, np.log1p(SHARE * np.expm1(ratios)).tolist(), strict=True))
-        return sum(memory[w] * n for w, n in words.items()) / words.total() ** POWER if words else 0.0
+        found = [(w, n, memory[w]) for w, n in words.items()]
+        return sum(x * n for _, n, x in found if x == x), words.total(), [(w, n) for w, n, x in found if x != x]
+
+    def evidence(self, text: str | None, memory: dict[str, float]) -> float:
+        """The length-normalised log-likelihood of the text as a toxic one, less that as an ordinary one; 0 without any word."""
+        total, n, lacking = self.parts(text, memory)
+        return float("nan") if lacking else total / n**POWER if n else 0.0
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         w = np.array(self.weights)
@@ -194,18 +206,74 @@ def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 0.1, steps
 
 
 def _fetched(ratios: DataFrame, string) -> dict[int, Table]:
-    """The tables by model: at most CELLS rows each, 12 bytes a row."""
-    rows = ratios.select("model", F.xxhash64(string).alias("h"), F.col("ratio").cast("float"), "n").groupBy("model", F.pmod("h", F.lit(CELLS)).alias("cell"))
-    rows = rows.agg(F.max(F.struct("n", "h", "ratio")).alias("x")).select("model", "x.h", "x.ratio").toArrow()
+    """The tables by model: the commonest rows, CELLS at most, 12 bytes a row; rows as common as one that is too many stay behind."""
+    rows = ratios.select("model", F.xxhash64(string).alias("h"), F.col("ratio").cast("float").alias("ratio"), "n")
+    total, least = Counter(), {}
+    for r in rows.groupBy("model", "n").agg(F.count("*").alias("rows")).orderBy("model", F.desc("n")).collect():  # a row for each number of occurrences
+        total[r["model"]] += r["rows"]
+        if total[r["model"]] <= CELLS:
+            least[r["model"]] = r["n"]
+    sent = reduce(lambda a, b: a | b, ((F.col("model") == m) & (F.col("n") >= n) for m, n in least.items()), F.lit(False))
+    rows = rows.where(sent).select("model", "h", "ratio").toArrow()
     model, keys, values = (rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("model", "h", "ratio"))
-    return {int(m): Table.of(keys[model == m], values[model == m]) for m in np.unique(model)}
+    return {m: Table.of(keys[model == m], values[model == m], n <= CELLS) for m, n in total.items()}
+
+
+def _by_join(words: DataFrame, rest: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(word, term): what a word adds to its text's sum, from the whole tables of (string, ratio)."""
+    seen, backoff = rest
+    s = words.select("word", F.concat(F.lit("^"), "word", F.lit("$")).alias("s"))
+    each = s.select("word", F.explode(F.expr(f"transform(sequence(2, length(s)), i -> struct(substring(s, greatest(1, i - {CONTEXT}), least(i - 1, {CONTEXT})) as context, substring(s, i, 1) as letter))")).alias("x")).select("word", "x.*")
+    # a word may have a letter after the same context more than once, and all words share theirs
+    each = each.groupBy("word", "context", "letter").agg(F.count("*").alias("times")).withColumn("string", F.concat("context", "letter"))
+    each = each.join(seen.withColumnRenamed("ratio", "own"), "string", "left").drop("string").join(backoff.withColumnRenamed("string", "context"), "context", "left")
+    ratio = F.sum(F.coalesce("own", "ratio", F.lit(0.0)).cast("float").cast("double") * F.col("times"))
+    return each.groupBy("word").agg(F.log1p(SHARE * F.expm1(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), ratio)))).alias("term"))
+
+
+_MEMORY: dict[str, dict[str, float]] = {}
+
+
+def _evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """(key, evidence) of every row (key, text)."""
+    sent = rows.sparkSession.sparkContext.broadcast(replace(model, name=uuid.uuid4().hex, rest=None))
+    kind, partly = rows.schema["key"].dataType.simpleString(), model.rest is not None
+    listed = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        if model.name not in _MEMORY:  # a worker's tasks share what they have spelt
+            _MEMORY.clear()
+            _MEMORY[model.name] = {}
+        memory = _MEMORY[model.name]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                if not partly:
+                    found = pa.array([model.evidence(t, memory) for t in b.column(1).to_pylist()], pa.float64())
+                    yield pa.RecordBatch.from_arrays([b.column(0), found], ["key", "evidence"])
+                    continue
+                total, n, lacking = zip(*(model.parts(t, memory) for t in b.column(1).to_pylist()), strict=True)
+                lacking = pa.array([[{"word": w, "n": k} for w, k in x] for x in lacking], listed)
+                names = pa.array([uuid.uuid4().hex for _ in n])  # keys may be null or repeated
+                yield pa.RecordBatch.from_arrays([b.column(0), names, pa.array(total, pa.float64()), pa.array(n, pa.int64()), lacking], ["key", "row", "total", "n", "lacking"])
+
+    if not partly:
+        return rows.select("key", "text").mapInArrow(run, f"key {kind}, evidence double")
+    found = materialize(rows.select("key", "text").mapInArrow(run, f"key {kind}, row string, total double, n long, lacking array<struct<word: string, n: bigint>>"), "op2-known")
+    each = found.select("row", F.explode("lacking").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
+    terms = materialize(_by_join(each.select("word").distinct(), model.rest), "op2-terms")
+    more = each.join(terms, "word").groupBy("row").agg(F.sum(F.col("term") * F.col("times")).alias("more"))
+    total = F.col("total") + F.coalesce("more", F.lit(0.0))
+    return found.select("key", "row", "total", "n").join(more, "row", "left").select("key", F.when(F.col("n") > 0, total / F.pow("n", F.lit(POWER))).otherwise(0.0).alias("evidence"))
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from labelled texts; rows without a 0/1 label are ignored.
 
-    Letters are counted over all of them, on the executors; the tables of
-    ratios, of CELLS cells, go through the driver to the workers. The weights come
+    Letters are counted over all of them, on the executors; the commonest rows
+    of the tables of ratios, CELLS at most, go through the driver to the workers,
+    the others are joined. The weights come
     from the ``sample`` texts of each class with the smallest hashes of key and
     text; reruns agree. With one class or none there is no evidence to weigh,
     and the default weights stay.
@@ -218,53 +286,37 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     each = each.groupBy("model", "context", "letter").agg(*(F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
     each = materialize(each, "op2-grams")
     release(counts)
-    seen, backoff = estimates(each)
-    seen, backoff = _fetched(seen, F.concat("context", "letter")), _fetched(backoff, F.col("context"))
-    judging, model = (Model(seen.get(m, _NONE), backoff.get(m, _NONE)) for m in (0, 1))
-    # no more than sample rows of a class: equal hashes, those of repeated rows, are counted once
-    chosen = [rows.where((F.col("y") == y) & (F.col("half") == 1)).groupBy("h").agg(F.first("y").alias("y"), F.first("text").alias("text")).orderBy("h").limit(sample) for y in (0, 1)]
-    sent = labelled.sparkSession.sparkContext.broadcast(judging)
+    seen, backoff = (materialize(t, "op2-ratios") for t in estimates(each))
+    release(each)
+    whole = seen.withColumn("string", F.concat("context", "letter")), backoff.withColumn("string", F.col("context"))
+    tables = [_fetched(t, F.col("string")) for t in whole]
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, float] = {}
-        for b in batches:
-            found = [sent.value.evidence(t, memory) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["y", "evidence"])
+    def made(m: int) -> Model:
+        sent = [t.get(m, _NONE) for t in tables]
+        return Model(*sent, rest=None if all(t.whole for t in sent) else tuple(t.where(F.col("model") == m).select("string", "ratio") for t in whole))
 
-    known = chosen[0].unionAll(chosen[1]).select("y", "text").mapInArrow(judge, "y int, evidence double").toPandas().sort_values(["y", "evidence"])
-    sent.unpersist()
-    if known["y"].nunique() == 2:
+    judging, model = made(0), made(1)
+    # no more than sample rows of a class: equal hashes, those of repeated rows, are counted once
+    chosen = [rows.where((F.col("y") == y) & (F.col("half") == 1)).groupBy("h").agg(F.first("y").alias("y"), F.first("text").alias("text")).orderBy("h").limit(sample) for y in (0, 1)]
+    if judging.rest is None and model.rest is None:
+        release(seen)
+        release(backoff)
+    known = _evidence(chosen[0].unionAll(chosen[1]).select(F.col("y").alias("key"), "text"), judging).toPandas().sort_values(["key", "evidence"])
+    if known["key"].nunique() == 2:
         evidence = np.clip(known[["evidence"]].to_numpy(float), -CLIP, CLIP)
         unit = evidence.std() or 1.0  # the ridge is one of the figure's spread, whatever its size
-        slope, bias = logistic(evidence / unit, known["y"].to_numpy(float))
+        slope, bias = logistic(evidence / unit, known["key"].to_numpy(float))
         model.weights = slope / unit, bias
     return model
 
 
-_MEMORY: dict[str, dict[str, float]] = {}
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(id_col, score, predicted) for every row of ``docs``, from the whole text alone.
 
     Empty and null texts, and texts without letters, have no evidence and get
     the score of evidence 0. Rows with null or repeated ids stay as they are.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(replace(model, name=uuid.uuid4().hex))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        if model.name not in _MEMORY:  # a worker's tasks share what they have spelt
-            _MEMORY.clear()
-            _MEMORY[model.name] = {}
-        memory = _MEMORY[model.name]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                found = np.array([model.evidence(t, memory) for t in b.column(1).to_pylist()], float)
-                s = model.score(found)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "score", "predicted"])
-
-    out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, score double, predicted int")
-    return out.withColumnRenamed("id", id_col)
+    w = model.weights
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.col("evidence"))) * w[0] + w[1]))))
+    found = _evidence(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), model)
+    return found.select(F.col("key").alias(id_col), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -108,6 +108,29 @@ def test_a_full_cell_keeps_its_commonest_row(spark, monkeypatch):
     assert {m: t.values.tolist() for m, t in found.items()} == {0: [2.0], 1: [3.0]}
 
 
+@pytest.mark.parametrize("cells", [0, 40])
+def test_rows_that_are_not_sent_are_joined(spark, monkeypatch, cells):
+    """Every text has the same score however few rows of the tables are sent."""
+    df = spark.createDataFrame(corpus(random.Random(7)), "doc_id long, text string, toxic int")
+    asked = spark.createDataFrame([(1, "grubbiest houses of the vile zebra"), (1, "grubby grubby andofand"), (None, None), (3, ""), (4, "12"), (None, "the oth\u00e9r thing"), (None, "the oth\u00e9r thing")], "doc_id long, text string")
+    found = lambda model: sorted((r.doc_id or 0, r.score, r.predicted) for r in toxicity.score(asked, model).collect())
+    whole = toxicity.train(df)
+    want = found(whole)
+    monkeypatch.setattr(toxicity, "CELLS", cells)
+    few = toxicity.train(df)
+    got = found(few)
+    assert len(few.seen.keys) <= cells < len(whole.seen.keys)
+    assert few.weights == pytest.approx(whole.weights, rel=1e-3)
+    assert [(i, p) for i, _, p in got] == [(i, p) for i, _, p in want] and [s for _, s, _ in got] == pytest.approx([s for _, s, _ in want], abs=1e-4)
+
+
+def test_rows_of_one_cell_are_both_sent_below_the_bound(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, f"s{i}", float(i), 1) for i in range(60)], "model int, s string, ratio double, n long")
+    monkeypatch.setattr(toxicity, "CELLS", 64)
+    found = toxicity._fetched(rows, "s")[0]
+    assert found.whole and sorted(found.values.tolist()) == [float(i) for i in range(60)]
+
+
 def test_the_likelihoods_decide_alone(spark):
     rng = random.Random(6)
     plain = [" ".join(rng.choice(["house", "tree", "river", "stone", "field"]) for _ in range(60)) for _ in range(40)]
