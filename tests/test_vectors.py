@@ -89,3 +89,18 @@ def test_rows_are_sent_to_parts_and_not_to_balls(spark, monkeypatch):
     got = [tuple(r) for r in vectors.top_groups(frame(spark, x[:40], "qid"), reps, 4).orderBy("qid", "rank").collect()]
     monkeypatch.undo()
     assert got == [tuple(r) for r in vectors.top_groups(frame(spark, x[:40], "qid"), reps, 4).orderBy("qid", "rank").collect()]
+
+
+def test_both_sides_are_cut_so_that_few_rows_are_sent(spark, monkeypatch):
+    """Where no ball can be skipped a vector goes to 8 + 3 tasks of 24, not to 24 + 1."""
+    x = np.random.default_rng(6).normal(size=(600, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sent, paired = [], vectors._paired
+    monkeypatch.setattr(vectors, "_paired", lambda *a: sent.append(paired(*a)) or sent[-1])
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    got = {}
+    for r in vectors.top_k(frame(spark, x, "qid"), frame(spark, x), 5, exclude_self=True).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    assert got == {q: [i for i, _ in nearest(x, x[q], 5, q)] for q in range(600)}
+    assert max(s.count() for s in sent) <= 600 * (8 + 3)
+    assert sent[-1].select("qpart", "ipart").distinct().count() == 24
