@@ -104,3 +104,25 @@ def test_both_sides_are_cut_so_that_few_rows_are_sent(spark, monkeypatch):
     assert got == {q: [i for i, _ in nearest(x, x[q], 5, q)] for q in range(600)}
     assert max(s.count() for s in sent) <= 600 * (8 + 3)
     assert sent[-1].select("qpart", "ipart").distinct().count() == 24
+
+
+def test_single_precision_vectors_ask_each_other_and_travel_as_they_are(spark, monkeypatch):
+    """Floats that are not normalised give the rows of their unit vectors in doubles, without a second copy of the queries; the bounds leave as a row a ball, not as k rows a query."""
+    rng = np.random.default_rng(7)
+    x = (clustered(300, spread=0.2) * rng.uniform(0.1, 9, size=(300, 1))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [float("inf")] + [1.0] * 15), (904, [None] + [1.0] * 15)]
+    given = spark.createDataFrame(rows, "id long, unit array<float>")
+    units = given.select("id", vectors.unit("unit").alias("unit"))
+    assert units.where("unit is not null").count() == 300
+    for block in (4096, 12):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        want = [tuple(r) for r in vectors.top_k(units.withColumnRenamed("id", "qid"), units, 6, exclude_self=True).orderBy("qid", "rank").collect()]
+        sent, paired = [], vectors._paired
+        with monkeypatch.context() as m:
+            m.setattr(vectors, "_paired", lambda *a: sent.append(paired(*a)) or sent[-1])
+            out = vectors.top_k(None, given, 6, exclude_self=True)
+        assert [tuple(r) for r in out.orderBy("qid", "rank").collect()] == want and len(want) == 1800
+        assert {s.schema["unit"].dataType.simpleString() for s in sent} == {"array<float>"}
+    for i, r in enumerate(units.where("id < 300").orderBy("id").collect()):
+        assert r["unit"] == vectors._normalised(x[i : i + 1].astype(float))[0][0].tolist()
+    assert vectors.top_k(None, given.where("id > 900"), 3).count() == 0
