@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import product
 
 import pytest
@@ -188,3 +189,17 @@ def test_a_community_of_some_thousand_nodes_is_one_group(spark, monkeypatch):
     for r in out:
         parts.setdefault(r["community"], set()).add(r["id"])
     assert parts == {ids[g]: set(ids[g : g + 24]) for g in range(0, 2_400, 24)}
+
+
+def test_snn_edges_shuffle_arrays_and_no_row_a_pair(spark, monkeypatch):
+    """Pairs are made after the rows are with their source: no exchange is by source and target; hubs in parts give the same counts."""
+    rng = random.Random(11)
+    lists = {q: [0, *rng.sample(range(1, 40), 5)] for q in range(40, 100)}
+    n = spark.createDataFrame([(q, x) for q, some in lists.items() for x in some], "q long, n long")
+    want = {(a, b): len(set(lists[a]) & set(lists[b])) for a in lists for b in lists if a < b and len(set(lists[a]) & set(lists[b])) > 1}
+    for hub in (2_000, 7):
+        monkeypatch.setattr(graph, "HUB", hub)
+        edges = graph.snn_edges(n, 6, 2)
+        assert {(r["source"], r["target"]): r["shared"] for r in edges.collect()} == want and len(want) > 100
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(source" in plan and not re.search(r"hashpartitioning\(source#\d+L?, target", plan)
