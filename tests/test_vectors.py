@@ -126,3 +126,20 @@ def test_single_precision_vectors_ask_each_other_and_travel_as_they_are(spark, m
     for i, r in enumerate(units.where("id < 300").orderBy("id").collect()):
         assert r["unit"] == vectors._normalised(x[i : i + 1].astype(float))[0][0].tolist()
     assert vectors.top_k(None, given.where("id > 900"), 3).count() == 0
+
+
+@pytest.mark.parametrize("n", [160, 640])
+def test_own_rows_are_sent_seven_times_at_any_size(spark, monkeypatch, n):
+    """Rows that ask each other go to 4 + 3 tasks of 12 in a small table as in one of four times its rows; balls that all overlap are compared at once, without a pass for bounds that rule out nothing."""
+    x = np.random.default_rng(8).normal(size=(n, 12)).astype(np.float32)
+    unit = np.array([v / np.linalg.norm(v) for v in x.astype(float)])
+    given = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, unit array<float>")
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    sent, paired = [], vectors._paired
+    monkeypatch.setattr(vectors, "_paired", lambda *a: sent.append(paired(*a)) or sent[-1])
+    got = {}
+    for r in vectors.top_k(None, given, 5, exclude_self=True).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["id"], r["score"]))
+    assert got == {q: nearest(unit, unit[q], 5, q) for q in range(n)}
+    assert [s.count() for s in sent] == [n * (4 + 3)]
+    assert sent[0].select("qpart", "ipart").distinct().count() == 12
