@@ -3,11 +3,14 @@ import re
 from itertools import product
 
 import pytest
+from oracle import SF
 
 from pyspark.sql import functions as F
 
 from ruleloom.operators import community, graph
 from ruleloom.operators.components import connected_components
+from ruleloom.plans import fixtures as fx
+from ruleloom.plans.queries import QUERIES
 
 
 def roots(edges):
@@ -203,3 +206,13 @@ def test_snn_edges_shuffle_arrays_and_no_row_a_pair(spark, monkeypatch):
         assert {(r["source"], r["target"]): r["shared"] for r in edges.collect()} == want and len(want) > 100
         plan = edges._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(source" in plan and not re.search(r"hashpartitioning\(source#\d+L?, target", plan)
+
+
+def test_mutual_edges_read_no_more_neighbours_than_can_make_one(spark, monkeypatch):
+    """The edges of the whole lists, from lists of their first TOP rows."""
+    asked, whole = [], fx.neighbors
+    want = graph.undirected_edges(whole(spark, SF), fx.TOP, fx.MIN_SCORE)
+    monkeypatch.setattr(fx, "neighbors", lambda s, d, k=fx.K: asked.append(whole(s, d, k)) or asked[-1])
+    found = QUERIES["mutual_topk_edges"](spark, SF)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 0
+    assert asked[0].groupBy("q").count().agg({"count": "max"}).first()[0] == fx.TOP
