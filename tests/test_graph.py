@@ -7,7 +7,7 @@ from oracle import SF
 
 from pyspark.sql import functions as F
 
-from ruleloom.operators import community, graph
+from ruleloom.operators import community, graph, ranking
 from ruleloom.operators.components import connected_components
 from ruleloom.plans import fixtures as fx
 from ruleloom.plans.queries import QUERIES
@@ -216,3 +216,13 @@ def test_mutual_edges_read_no_more_neighbours_than_can_make_one(spark, monkeypat
     found = QUERIES["mutual_topk_edges"](spark, SF)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 0
     assert asked[0].groupBy("q").count().agg({"count": "max"}).first()[0] == fx.TOP
+
+
+def test_soft_floor_reads_twenty_neighbours(spark, monkeypatch):
+    """The candidates of the whole lists' first 20 rows, from lists of 20."""
+    asked, whole = [], fx.neighbors
+    want = ranking.soft_floor(whole(spark, SF).where("rank <= 20"), ["q"], "score", "rank", 0.36, 3)
+    monkeypatch.setattr(fx, "neighbors", lambda s, d, k=fx.K: asked.append(whole(s, d, k)) or asked[-1])
+    found = QUERIES["soft_floor_candidates"](spark, SF)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 0
+    assert asked[0].groupBy("q").count().agg({"count": "max"}).first()[0] == 20
