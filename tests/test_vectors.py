@@ -72,6 +72,27 @@ def test_pair_distribution_equals_all_pairs(spark, monkeypatch, block):
     assert one["n"] == 0 and one["median"] is None
 
 
+@pytest.mark.parametrize(("block", "tile"), [(4096, 1 << 22), (24, 64)])
+def test_distribution_has_every_partner_of_a_label(spark, monkeypatch, block, tile):
+    """Not the thirty nearest alone: n counts all pairs, the least score is the farthest partner's; equal ids are no pair, a null label is a group."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "TILE", tile)
+    x = (clustered(90, spread=0.3) * np.random.default_rng(3).uniform(0.1, 9, size=(90, 1))).astype(np.float32)
+    labels = [None if i == 7 else "ab"[i > 60] for i in range(90)]
+    rows = [(i, v.tolist(), labels[i]) for i, v in enumerate(x)]
+    given = spark.createDataFrame([*rows, (200, None, "a"), (201, [0.0] * 16, "b"), (None, x[0].tolist(), "a")], "id long, unit array<float>, label string")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 6)
+    got = {r["label"]: r.asDict() for r in vectors.distribution(given, "label").collect()}
+    assert set(got) == {"a", "b", None}
+    for label, r in got.items():
+        want = np.concatenate([np.delete(s[i], i) for i in range(90) if labels[i] == label])
+        assert r["n"] == len(want) and r["n"] == 89 * labels.count(label)
+        figures = {"min": want.min(), "mean": want.mean(), "max": want.max()} | {name: np.quantile(want, p) for name, p in vectors.SHARES.items()}
+        assert all(math.isclose(r[name], v, abs_tol=2e-6) for name, v in figures.items())
+    assert vectors.distribution(given.where("id = 7"), "label").count() == 0
+
+
 def test_rows_are_sent_to_parts_and_not_to_balls(spark, monkeypatch):
     """Vectors without clusters, 150 balls: no ball can be skipped, but a row is sent to PARTS tasks, not to 150."""
     x = np.random.default_rng(5).normal(size=(600, 12))
