@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.llm.names import fresh
-from ruleloom.plans.durable import materialize
+from ruleloom.plans.durable import materialize, settled
 
 #: Shorter lines (headings, closings) go for equal ones alone: one edit in a few characters makes another word.
 MIN_CHARS = 20
@@ -310,7 +310,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     doc, version, at, parts = fresh(docs.columns, "_doc", "_version", "_at", "_lines")
     mine = versions(docs, id_col, text_col)
-    gone = duplicate_lines(docs, id_col, text_col, mine, threshold, min_chars, every_length)
+    gone = settled(lambda: duplicate_lines(docs, id_col, text_col, mine, threshold, min_chars, every_length), "op6-gone")  # the lines and their keys go
     out = docs.drop("n_lines", "n_dropped")
     out = out.join(gone.withColumnsRenamed({"doc": doc, "version": version, "at": at}), (F.col(id_col) == F.col(doc)) & (mine == F.col(version)), "left")
     out = out.withColumn(parts, F.split(text_col, "\n", -1))

@@ -81,9 +81,7 @@ def _prefix_keys(value: np.ndarray, owner: np.ndarray, size: np.ndarray, texts:
     return mix(value[keep] ^ np.uint64(0x3C6EF372FE94F82B)), owner[keep]
 
 
-def _sketches(width: int, t: int):
-    low = bands()
-
+def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
@@ -103,6 +101,26 @@ def _sketches(width: int, t: int):
                         word, bit = (m >> np.uint64(6)) % np.uint64(WORDS), np.uint64(1) << (m & np.uint64(63))
                         for w in range(WORDS):
                             bits[full, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), at)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, n * WORDS + 1, WORDS), pa.int32()), pa.array(bits.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(size.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), sketch], ["id", "n", "f1", "f2", "sketch"]
+                )
+
+    return run
+
+
+def _keys(width: int, t: int):
+    """The join keys of each text, made anew from it: they go into one shuffle, and storing them would take as much disk once more."""
+    low = bands()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                b = whole.slice(a, 512)
+                with np.errstate(over="ignore"):
+                    value, owner = text_sets(b.column(1), width)
+                    n = b.num_rows
+                    size = np.bincount(owner, minlength=n)
                     band = np.searchsorted(low, np.maximum(size, 1), side="right") - 1
                     band[size * (100 - t) < t] = -1  # such small sets link with equal sets only
                     keys, who, sparse, down = [], [], [], 0
@@ -120,11 +138,7 @@ def _sketches(width: int, t: int):
                     order = np.argsort(who, kind="stable")
                     keys, ends = keys[order], np.cumsum(np.bincount(who, minlength=n))
                 offsets = pa.array(np.append(0, ends), pa.int32())
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, n * WORDS + 1, WORDS), pa.int32()), pa.array(bits.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(size.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), sketch, pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))],
-                    ["id", "n", "f1", "f2", "sketch", "keys"],
-                )
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))], ["id", "keys"])
 
     return run
 
@@ -177,14 +191,15 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         raise ValueError("percent must be 50 to 100 and width positive")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    made = materialize(texts.mapInArrow(_sketches(width, percent), f"id {kind}, n long, f1 long, f2 long, sketch array<long>, keys array<long>"), "op1-sketches")
+    made = materialize(texts.mapInArrow(_sketches(width), f"id {kind}, n long, f1 long, f2 long, sketch array<long>"), "op1-sketches")
     sets = made.where("n > 0 and id is not null")
     classes = materialize(sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "op1-classes")
     copies = sets.join(classes.where("copies > 1"), ["f1", "f2", "n"]).where("id <> rep").select("id").distinct()
     copies = materialize(copies, "op1-copies")
     vertices = sets.join(_send(copies), "id", "left_anti")
+    keys = texts.where("id is not null").mapInArrow(_keys(width, percent), f"id {kind}, keys array<long>").where(F.size("keys") > 0).join(_send(copies), "id", "left_anti")
     # dealt once: the groups and the join below read the same shuffle
-    keyed = vertices.select(F.col("id").alias("doc"), F.explode("keys").alias("key")).where("key is not null").repartition("key")
+    keyed = keys.select(F.col("id").alias("doc"), F.explode("keys").alias("key")).repartition("key")
     groups = keyed.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead <> last").select("key", "lead")
     members = materialize(keyed.join(groups, "key"), "op1-members")
 
